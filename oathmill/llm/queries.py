@@ -7,14 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, mixing, quality_rules, simhash
+from . import chat_format, license_scan, mixing, phrases, quality_model, quality_rules, sentencepiece_codec, simhash
 from .shared import documents
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the decoded ids are the text again (a space mark in it stands for a space), with digests of both."""
+    docs = documents(spark, sf_dir)
+    return sentencepiece_codec.digests(spark, docs)
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(spark, documents(spark, sf_dir)).select("doc_id", *quality_rules.COUNTS, "base_failed", "kept")
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.fingerprint_documents(spark, documents(spark, sf_dir))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(spark, documents(spark, sf_dir)).drop("spans")
+
+
 CONTROL = "</s>[INST] ok [/INST]"
 
 
@@ -38,8 +52,12 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(spark, documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.score_documents(spark, documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op5_chat_formatting, op7_simhash, op8_mixing)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_quality_rules, op3_fingerprints, op4_license_scan, op5_chat_formatting, op7_simhash, op8_mixing, op10_quality_model)}
 
 
 def oracle_sql() -> dict[str, str]:
