@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, license_scan, mixing, phrases, quality_model, quality_rules, sentencepiece_codec, simhash
+from . import chat_format, license_scan, main_text, mixing, phrases, quality_model, quality_rules, sentencepiece_codec, simhash, substring_dedup
 from .shared import documents
 
 
@@ -43,6 +43,10 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.char_length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.removal_digests(spark, documents(spark, sf_dir))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(spark, documents(spark, sf_dir))
     return out.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
@@ -52,13 +56,54 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(spark, documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.main_text(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score_documents(spark, documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_quality_rules, op3_fingerprints, op4_license_scan, op5_chat_formatting, op7_simhash, op8_mixing, op10_quality_model)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_quality_rules, op3_fingerprints, op4_license_scan, op5_chat_formatting, op6_substring_dedup, op7_simhash, op8_mixing, op9_main_text, op10_quality_model)}
+
+
+ORACLES = {
+    "op5_chat_formatting": """
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+r AS (
+  SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before_role,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS n FROM t),
+f AS (
+  SELECT *, (n = 1 OR role <> before_role) AS opens,
+    length(text) + length(regexp_replace(text, '[^\\[<\\\\]', '', 'g')) AS text_chars,
+    length(role) + length(regexp_replace(role, '[^\\[<\\\\]', '', 'g')) AS role_chars FROM r)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(3 + sum(text_chars + CASE WHEN opens THEN 12 + role_chars + 10 + 10 ELSE 8 END) AS BIGINT) AS formatted_chars
+FROM f GROUP BY conv_id""",
+    "op6_substring_dedup": """
+WITH w AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS words FROM documents),
+win AS (
+  SELECT doc_id, i, array_to_string(words[i:i + 12], ' ') AS s
+  FROM w, unnest(generate_series(1, len(words) - 12)) AS g(i) WHERE len(words) >= 13),
+low AS (SELECT s, min(doc_id) AS first_id FROM win GROUP BY s),
+hit AS (SELECT doc_id, i FROM win JOIN low USING (s) WHERE doc_id > first_id),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM hit, unnest(generate_series(0, 12)) AS g(k)),
+word AS (SELECT doc_id, i, words[i] AS word FROM w, unnest(generate_series(1, len(words))) AS g(i)),
+kept AS (
+  SELECT doc_id, count(*) AS n, count(gone.i) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE gone.i IS NULL) AS text
+  FROM word LEFT JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)""",
+}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
