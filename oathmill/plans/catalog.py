@@ -5,6 +5,321 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from oathmill.functions import cases as C
+from oathmill.functions import documents as D
+from oathmill.functions import money, names
+from oathmill.operators import entity, ingest
+from oathmill.plans import analytics as A
+from oathmill.plans import model
+from oathmill.sources import html_tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+#: The wide fact, as the adapter builds it, and the two readings of "latest".
+FACT = """
+ord AS (SELECT *, CAST(year(o_orderdate) AS INTEGER) AS year, CASE WHEN o_orderkey % 10 = 0 THEN 'LokSabha' ELSE 'Assembly' END AS house FROM orders),
+one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, year, house ORDER BY o_orderkey DESC) AS n FROM ord) WHERE n = 1),
+cs AS (SELECT l_orderkey, count(*) FILTER (WHERE l_returnflag = 'R') AS cases FROM lineitem GROUP BY l_orderkey),
+fact AS (
+  SELECT o_orderkey AS appearance_id, o_custkey AS politician_id, c_name AS name, trim(regexp_replace(lower(c_name), '[^a-z0-9]+', '-', 'g'), '-') AS slug,
+    n_name AS state, r_name AS zone, house, year, n_name || ' ' || c_mktsegment AS constituency,
+    CASE WHEN o_orderpriority <> '4-NOT SPECIFIED' THEN o_orderpriority END AS party, o_orderstatus <> 'P' AS won,
+    CAST(round(o_totalprice * 100) AS BIGINT) AS assets, CAST(coalesce(cases, 0) AS BIGINT) AS cases
+  FROM one JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey LEFT JOIN cs ON l_orderkey = o_orderkey),
+latest_all AS (SELECT * FROM (SELECT *, rank() OVER (PARTITION BY politician_id ORDER BY year DESC) AS rk FROM fact) WHERE rk = 1),
+latest_assembly AS (SELECT * FROM (SELECT *, rank() OVER (PARTITION BY politician_id ORDER BY year DESC) AS rk FROM fact WHERE house = 'Assembly') WHERE rk = 1),
+current_assembly AS (SELECT * FROM fact WHERE house = 'Assembly' AND won AND year = (SELECT max(year) FROM fact WHERE house = 'Assembly')),
+current_by_state AS (SELECT f.* FROM fact f JOIN (SELECT state, max(year) AS y FROM fact WHERE house = 'Assembly' GROUP BY state) m ON f.state = m.state AND f.year = m.y WHERE f.house = 'Assembly' AND won),
+seq AS (SELECT *, row_number() OVER (PARTITION BY politician_id ORDER BY year, appearance_id) AS i, count(*) OVER (PARTITION BY politician_id) AS n FROM fact),
+ends AS (SELECT a.politician_id, a.name, a.year AS first_year, b.year AS last_year, a.assets AS from_inr, b.assets AS to_inr FROM seq a JOIN seq b USING (politician_id) WHERE a.i = 1 AND b.i = b.n AND b.n >= 2),
+aseq AS (SELECT *, row_number() OVER (PARTITION BY politician_id ORDER BY year, appearance_id) AS i, count(*) OVER (PARTITION BY politician_id) AS n FROM fact WHERE house = 'Assembly'),
+aends AS (SELECT a.politician_id, a.name, a.year AS first_year, b.year AS last_year, a.assets AS from_inr, b.assets AS to_inr FROM aseq a JOIN aseq b USING (politician_id) WHERE a.i = 1 AND b.i = b.n AND b.n >= 2)
+"""
+_GREY = "'#7f8c8d'"
+_CARD = "politician_id, name, slug, appearance_id, year, coalesce(party, 'IND') AS party, constituency, assets, cases"
+_TILE = f"constituency, name AS mla, slug, coalesce(party, 'IND') AS party, {_GREY} AS color, assets AS wealth_inr, cases, year"
+
+
+def _register(name: str, query: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:
+    QUERIES[name] = query
+    if sql:
+        ORACLES[name] = sql
+
+
+def _fact(name: str, query: Callable[[DataFrame], DataFrame], sql: str | None = None) -> None:
+    """A query over the fact; the SQL continues the fact's definitions."""
+    _register(name, lambda spark, d: query(model.from_driver(spark, d)), f"WITH {FACT} {sql}" if sql else None)
+
+
+_KPIS = """count(*) AS count, CAST(coalesce(sum(assets), 0) AS BIGINT) AS total_wealth_inr, coalesce(CAST(sum(assets) AS DOUBLE) / count(*), 0) AS avg_wealth_inr,
+  coalesce(CAST(100 * count(*) FILTER (WHERE cases > 0) AS DOUBLE) / count(*), 0) AS pct_with_cases, coalesce(CAST(100 * count(*) FILTER (WHERE assets >= 10000000) AS DOUBLE) / count(*), 0) AS pct_crorepati,
+  CAST(coalesce(sum(cases), 0) AS BIGINT) AS total_cases, coalesce(CAST(sum(cases) AS DOUBLE) / count(*), 0) AS avg_cases"""
+
+_fact("zone_summary", A.zone_summary, """SELECT zone, count(*) AS mlas, CAST(100 * count(*) FILTER (WHERE cases = 0) AS DOUBLE) / count(*) AS transparency, CAST(sum(cases) AS DOUBLE) / count(*) AS avg_cases,
+  string_agg(DISTINCT state, ',' ORDER BY state) AS states FROM current_by_state GROUP BY zone""")
+_fact("hero_kpis", A.hero_kpis, f"SELECT 'Assembly' AS house, {_KPIS} FROM latest_assembly")
+_fact("hero_kpis_current", lambda f: A.hero_kpis(f, scope="current"), f"SELECT 'Assembly' AS house, {_KPIS} FROM current_assembly")
+_fact("hero_kpis_state", lambda f: A.hero_kpis(f, state="NATION_7"), f"SELECT 'Assembly' AS house, {_KPIS} FROM latest_assembly WHERE state = 'NATION_7'")
+_fact("state_kpis", A.state_kpis, f"SELECT state, {_KPIS} FROM current_by_state GROUP BY state")
+_fact("tile_intensity", lambda f: A.tile_intensity(A.state_kpis(f)), """SELECT state, avg_cases, avg_cases / max(avg_cases) OVER () AS intensity,
+  CASE WHEN avg_cases < 1 THEN '<1' WHEN avg_cases < 2 THEN '<2' WHEN avg_cases < 4 THEN '<4' WHEN avg_cases < 6 THEN '<6' ELSE '>=6' END AS severity
+  FROM (SELECT state, CAST(sum(cases) AS DOUBLE) / count(*) AS avg_cases FROM current_by_state GROUP BY state)""")
+_fact("top_by_wealth", A.top_by_wealth, f"SELECT {_CARD} FROM latest_assembly WHERE assets <> 0 ORDER BY assets DESC, appearance_id LIMIT 10")
+_fact("top_by_wealth_current", lambda f: A.top_by_wealth(f, scope="current"), f"SELECT {_CARD} FROM current_assembly WHERE assets <> 0 ORDER BY assets DESC, appearance_id LIMIT 10")
+_fact("top_by_cases", A.top_by_cases, f"SELECT {_CARD} FROM latest_assembly WHERE cases > 0 ORDER BY cases DESC, appearance_id LIMIT 10")
+_MOVERS = "SELECT *, to_inr - from_inr AS delta, CAST(to_inr - from_inr AS DOUBLE) / CAST(from_inr AS DOUBLE) * 100 AS pct FROM ends WHERE from_inr <> 0 ORDER BY delta {}, politician_id LIMIT 10"
+_fact("wealth_movers_gain", lambda f: A.wealth_movers(f, direction="gain"), _MOVERS.format("DESC"))
+_fact("wealth_movers_loss", lambda f: A.wealth_movers(f, direction="loss"), _MOVERS.format("ASC"))
+_fact("wealth_multipliers", A.wealth_multipliers, "SELECT *, round(CAST(to_inr - from_inr AS DOUBLE) / CAST(from_inr AS DOUBLE) * 100) AS pct FROM aends WHERE from_inr >= 100000 AND to_inr > from_inr ORDER BY pct DESC, politician_id LIMIT 10")
+_fact("crorepati_newcomers", A.crorepati_newcomers, "SELECT *, CAST(to_inr - from_inr AS DOUBLE) / CAST(greatest(from_inr, 1) AS DOUBLE) * 100 AS pct FROM aends WHERE from_inr < 10000000 AND to_inr >= 10000000 ORDER BY to_inr DESC, politician_id LIMIT 10")
+_fact("long_servers", A.long_servers, "SELECT politician_id, any_value(name) AS name, count(*) AS wins, min(year) AS first_year, max(year) AS last_year FROM fact WHERE won AND house = 'Assembly' GROUP BY politician_id HAVING count(*) >= 2 ORDER BY wins DESC, last_year DESC, politician_id LIMIT 10")
+_fact("clean_and_wealthy", lambda f: A.clean_and_wealthy(f, min_crore=3.0), f"SELECT {_CARD} FROM latest_assembly WHERE assets >= 30000000 AND cases = 0 ORDER BY assets DESC, appearance_id LIMIT 10")
+_fact("party_switchers", A.party_switchers, """, h AS (SELECT *, lag(party) OVER (PARTITION BY politician_id ORDER BY year, appearance_id) AS before FROM fact WHERE party IS NOT NULL)
+SELECT politician_id, any_value(name) AS name, count(DISTINCT party) AS n_parties, count(*) FILTER (WHERE party <> before) AS switches, arg_min(party, (year, appearance_id)) AS from_party, arg_max(party, (year, appearance_id)) AS to_party,
+  min(year) AS first_year, max(year) AS last_year, string_agg(party, ' > ' ORDER BY year, appearance_id) AS journey
+FROM h GROUP BY politician_id HAVING count(DISTINCT party) >= 2 ORDER BY switches DESC, last_year DESC, politician_id LIMIT 20""")
+_fact("trends_by_cycle", A.trends_by_cycle, """SELECT state, house, year, count(*) AS total_winners, CAST(sum(assets) // count(*) AS BIGINT) AS avg_wealth_inr, count(*) FILTER (WHERE assets >= 10000000) AS crorepati_count,
+  CAST(100 * count(*) FILTER (WHERE assets >= 10000000) AS DOUBLE) / count(*) AS crorepati_pct, count(*) FILTER (WHERE cases > 0) AS with_cases_count, CAST(100 * count(*) FILTER (WHERE cases > 0) AS DOUBLE) / count(*) AS with_cases_pct
+FROM fact WHERE won GROUP BY state, house, year""")
+_STATS = f"""SELECT party, {_GREY} AS color, count(*) AS count, CAST(sum(assets) AS DOUBLE) / count(*) AS avg_inr, max(CASE WHEN i = n - CAST(floor((n - 1) / 2) AS BIGINT) THEN assets END) AS median_inr, count(*) FILTER (WHERE cases > 0) AS with_cases_count,
+  CAST(100 * count(*) FILTER (WHERE cases > 0) AS DOUBLE) / count(*) AS with_cases_pct, count(*) FILTER (WHERE assets >= 10000000) AS crorepati_count
+FROM (SELECT *, row_number() OVER (PARTITION BY party ORDER BY assets) AS i, count(*) OVER (PARTITION BY party) AS n FROM fact WHERE won AND party IS NOT NULL{{}}) GROUP BY party"""
+_fact("party_stats", A.party_stats, _STATS.format(""))
+_fact("party_stats_year", lambda f: A.party_stats(f, year=1996), _STATS.format(" AND year = 1996"))
+_fact("upper_median_by_party", lambda f: A.upper_median(f.where("party is not null"), ["party"], F.col("assets"), "median_inr"), """SELECT party, assets AS median_inr FROM (SELECT *, row_number() OVER (PARTITION BY party ORDER BY assets) AS i, count(*) OVER (PARTITION BY party) AS n FROM fact WHERE party IS NOT NULL) WHERE i = n - CAST(floor((n - 1) / 2) AS BIGINT)""")
+_fact("party_seats_by_year", A.party_seats_by_year, f""", s AS (SELECT coalesce(party, 'IND') AS party, year, count(*) AS seats FROM fact WHERE won AND house = 'Assembly' GROUP BY 1, 2)
+SELECT p.party, y.year, coalesce(s.seats, 0) AS seats, {_GREY} AS color, max(coalesce(s.seats, 0)) OVER (PARTITION BY p.party) AS max_seats FROM (SELECT DISTINCT party FROM s) p CROSS JOIN (SELECT DISTINCT year FROM s) y LEFT JOIN s ON s.party = p.party AND s.year = y.year""")
+_fact("party_wealth_by_cycle", A.party_wealth_by_cycle, """, w AS (SELECT * FROM fact WHERE won AND house = 'Assembly'), c AS (SELECT party, year, sum(assets) AS w, count(*) AS n FROM w WHERE party IS NOT NULL GROUP BY 1, 2),
+b AS (SELECT party, CAST(sum(w) AS BIGINT) AS total_inr FROM c GROUP BY party ORDER BY total_inr DESC, party LIMIT 5)
+SELECT b.party, y.year, total_inr, coalesce(CAST(w AS DOUBLE) / CAST(n AS DOUBLE) / 10000000, 0.0) AS avg_cr FROM b CROSS JOIN (SELECT DISTINCT year FROM w) y LEFT JOIN c ON c.party = b.party AND c.year = y.year""")
+_fact("scatter_points", A.scatter_points, f"SELECT appearance_id, {_TILE} FROM latest_all")
+_fact("dots_by_year", A.dots_by_year, f"SELECT appearance_id, {_TILE} FROM fact WHERE won AND house = 'Assembly'")
+
+_SEATS = "seats AS (SELECT DISTINCT n_name || ' ' || c_mktsegment AS ac, n_name || CASE WHEN c_mktsegment IN ('AUTOMOBILE', 'BUILDING') THEN ' BUILDING' ELSE ' MACHINERY' END AS pc, n_nationkey, length(c_mktsegment) AS l, c_mktsegment FROM customer JOIN nation ON c_nationkey = n_nationkey)"
+
+
+def _seats(spark: SparkSession, d: str) -> DataFrame:
+    rows = model.table(spark, d, "customer").join(F.broadcast(model.table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).select("n_name", "n_nationkey", "c_mktsegment").distinct()
+    area = F.when(F.col("c_mktsegment").isin("AUTOMOBILE", "BUILDING"), " BUILDING").otherwise(" MACHINERY")
+    return rows.select(F.concat_ws(" ", "n_name", "c_mktsegment").alias("ac"), F.concat(F.col("n_name"), area).alias("pc"), "n_nationkey", "c_mktsegment")
+
+
+def _centroids(spark: SparkSession, d: str) -> DataFrame:
+    return _seats(spark, d).where("c_mktsegment <> 'HOUSEHOLD'").select(F.col("ac").alias("name"), F.col("n_nationkey").cast("double").alias("lat"), F.length("c_mktsegment").cast("double").alias("lng"))
+
+
+_MPS = """, mp AS (SELECT * FROM (SELECT constituency AS pc, name AS mp_name, coalesce(party, 'IND') AS mp_party, year AS mp_year, assets AS mp_wealth_inr, cases AS mp_cases, row_number() OVER (PARTITION BY constituency ORDER BY year DESC, appearance_id) AS n FROM fact WHERE house = 'LokSabha' AND won) WHERE n = 1),
+""" + _SEATS
+_TILES = f"SELECT appearance_id, {_TILE}, coalesce(seats.pc, '') AS ls_pc, mp_name, mp_party, mp_year, mp_wealth_inr, mp_cases FROM latest_assembly LEFT JOIN seats ON seats.ac = constituency LEFT JOIN mp ON mp.pc = seats.pc"
+_register("constituency_tiles", lambda s, d: A.constituency_tiles(model.from_driver(s, d), _seats(s, d).select("pc", "ac")), f"WITH {FACT} {_MPS} {_TILES}")
+_register("map_by_constituency", lambda s, d: A.map_by_constituency(A.constituency_tiles(model.from_driver(s, d), _seats(s, d).select("pc", "ac"))),
+          f"WITH {FACT} {_MPS}, t AS ({_TILES}) SELECT * EXCLUDE (n) FROM (SELECT *, upper(constituency) AS key, row_number() OVER (PARTITION BY constituency ORDER BY appearance_id DESC) AS n FROM t) WHERE n = 1")
+_register("constituency_dots", lambda s, d: A.constituency_dots(model.from_driver(s, d), _centroids(s, d)), f"WITH {FACT}, {_SEATS} SELECT appearance_id, {_TILE}, CAST(n_nationkey AS DOUBLE) AS lat, CAST(l AS DOUBLE) AS lng FROM current_assembly JOIN seats ON ac = constituency WHERE c_mktsegment <> 'HOUSEHOLD'")
+
+
+def _registry(spark: SparkSession, d: str) -> DataFrame:
+    """Every nation declares 1996 to 1998, and those with an even key 1990 too."""
+    rows = model.table(spark, d, "nation")
+    return rows.select(F.col("n_name").alias("state"), F.when(F.col("n_nationkey") % 2 == 0, F.array(F.lit(1990), F.lit(1996), F.lit(1997))).otherwise(F.array(F.lit(1996), F.lit(1997))).alias("years"))
+
+
+_register("coverage_summary", lambda s, d: A.coverage_summary(model.from_driver(s, d), _registry(s, d)), f"""WITH {FACT}, reg AS (SELECT n_name AS state, unnest(CASE WHEN n_nationkey % 2 = 0 THEN [1990, 1996, 1997] ELSE [1996, 1997] END) AS year FROM nation),
+have AS (SELECT DISTINCT state, year, true AS h FROM fact WHERE house = 'Assembly')
+SELECT state, CASE WHEN count(h) = 0 THEN 'none' WHEN count(h) < count(*) THEN 'partial' ELSE 'full' END AS status, coalesce(string_agg(CAST(year AS VARCHAR), ',' ORDER BY year DESC) FILTER (WHERE h), '') AS loaded, coalesce(string_agg(CAST(year AS VARCHAR), ',' ORDER BY year DESC) FILTER (WHERE h IS NULL), '') AS missing
+FROM reg LEFT JOIN have USING (state, year) GROUP BY state""")
+_SCORE = """, m AS (SELECT greatest(max(CASE WHEN i = n - CAST(floor((n - 1) / 2) AS BIGINT) THEN assets END), 1) AS m FROM (SELECT assets, row_number() OVER (ORDER BY assets) AS i, count(*) OVER () AS n FROM {0})),
+r AS (SELECT *, greatest(1.0, CAST(assets AS DOUBLE) / CAST(m AS DOUBLE)) AS ratio FROM {0} CROSS JOIN m),
+sc AS (SELECT politician_id, name, appearance_id, cases, assets AS wealth_inr, ratio AS wealth_x_median, round(greatest(0.0, least(100.0, 100.0 - cases * 8 - log10(ratio + 1) * 15)), 9) AS score FROM r WHERE cases > 0 OR ratio >= 3),
+k AS (SELECT *, CASE WHEN score < 30 THEN 'critical' WHEN score < 60 THEN 'suspicious' ELSE 'standard' END AS risk FROM sc ORDER BY score, appearance_id LIMIT {1})"""
+_scored = lambda rows: rows.withColumn("score", F.round("score", 9))
+_fact("anomaly_candidates", lambda f: _scored(A.anomaly_candidates(f)), _SCORE.format("current_assembly", 50) + " SELECT * FROM k")
+_fact("anomaly_candidates_all", lambda f: _scored(A.anomaly_candidates(f, scope="all", limit=200)), _SCORE.format("latest_assembly", 200) + " SELECT * FROM k")
+_fact("anomaly_buckets", A.anomaly_buckets, _SCORE.format("current_assembly", 500) + " SELECT count(*) FILTER (WHERE risk = 'critical') AS critical, count(*) FILTER (WHERE risk = 'suspicious') AS suspicious, count(*) FILTER (WHERE risk = 'standard') AS standard FROM k")
+_fact("did_you_know", A.did_you_know, """, s AS (SELECT count(*) AS n, count(*) FILTER (WHERE cases > 0) AS c, count(*) FILTER (WHERE assets >= 10000000) AS r, min(year) AS y1, max(year) AS y2, count(DISTINCT year) AS ys, arg_max(name, (assets, -appearance_id)) AS wn, max(assets) AS wx, arg_max(name, (cases, -appearance_id)) AS cn, max(cases) AS cx FROM latest_all),
+g AS (SELECT count(*) - count(DISTINCT politician_id) AS again FROM fact),
+u AS (SELECT unnest([
+  'The wealthiest member on record is ' || wn || ' with declared assets of ' || CAST(wx // 10000000 AS VARCHAR) || ' crore.',
+  CAST(CAST(floor(CAST(c * 100 AS DOUBLE) / n + 0.5) AS BIGINT) AS VARCHAR) || '% of members on record have at least one declared criminal case.',
+  cn || ' faces the most pending criminal cases: ' || CAST(cx AS VARCHAR) || '.',
+  CAST(CAST(floor(CAST(r * 100 AS DOUBLE) / n + 0.5) AS BIGINT) AS VARCHAR) || '% of members are crorepatis.',
+  'The data covers elections from ' || CAST(y1 AS VARCHAR) || ' to ' || CAST(y2 AS VARCHAR) || ': ' || CAST(ys AS VARCHAR) || ' cycles.',
+  CASE WHEN again > 0 THEN CAST(again AS VARCHAR) || ' entries are of politicians who stood more than once.' END]) AS fact, unnest(range(6)) AS p FROM s CROSS JOIN g)
+SELECT CAST(row_number() OVER (ORDER BY p) - 1 AS INTEGER) AS pos, fact FROM u WHERE fact IS NOT NULL""")
+_BROWSE = """, i AS (SELECT DISTINCT politician_id FROM fact WHERE state = 'NATION_7' AND house IN ('Assembly', 'LokSabha', 'RajyaSabha')),
+p AS (SELECT politician_id, any_value(name) AS name, any_value(slug) AS slug, arg_max(assets, (year, appearance_id)) AS wealth_inr, arg_max(cases, (year, appearance_id)) AS cases, count(*) FILTER (WHERE won) AS terms, bool_or(coalesce(party = '1-URGENT', false)) AS hp, bool_or(year = 1996) AS hy FROM fact JOIN i USING (politician_id) GROUP BY politician_id ORDER BY name, politician_id LIMIT 1500)"""
+_fact("browse_rankings", lambda f: A.browse(f, "NATION_7", sort="wealth"), _BROWSE + " SELECT politician_id, name, slug, wealth_inr, cases, terms FROM p")
+_fact("browse_filtered", lambda f: A.browse(f, "NATION_7", party="1-URGENT", year=1996, sort="terms"), _BROWSE + " SELECT politician_id, name, slug, wealth_inr, cases, terms FROM p WHERE hp AND hy")
+_fact("politician_term_deltas", A.term_deltas, """SELECT politician_id, appearance_id, year, assets, previous_inr, from_year, assets - previous_inr AS delta, CAST(assets - previous_inr AS DOUBLE) / CAST(previous_inr AS DOUBLE) * 100 AS pct
+FROM (SELECT *, lag(assets) OVER w AS previous_inr, lag(year) OVER w AS from_year FROM fact WINDOW w AS (PARTITION BY politician_id ORDER BY year, appearance_id)) WHERE previous_inr > 0""")
+_ASSETS = "ast AS (SELECT l_orderkey AS appearance_id, CASE WHEN l_linestatus = 'O' THEN 'movable' ELSE 'immovable' END AS category, p_type AS subcategory, CAST(round(l_extendedprice * 100) AS BIGINT) AS value_inr FROM lineitem JOIN part ON l_partkey = p_partkey)"
+_register("asset_trend", lambda s, d: A.asset_trend(model.from_driver(s, d), model.asset_rows(s, d)), f"""WITH {FACT}, {_ASSETS}, c AS (SELECT politician_id, category, subcategory, year, max(value_inr) AS v FROM ast JOIN fact USING (appearance_id) GROUP BY ALL),
+b AS (SELECT * FROM (SELECT politician_id, category, subcategory, max(v) AS peak, row_number() OVER (PARTITION BY politician_id ORDER BY max(v) DESC, category, subcategory) AS n FROM c GROUP BY 1, 2, 3 HAVING max(v) > 0) WHERE n <= 8)
+SELECT b.politician_id, b.category, CASE WHEN length(b.subcategory) > 50 THEN b.subcategory[1:50] || '…' ELSE b.subcategory END AS label, peak, y.year, CAST(coalesce(v, 0) AS DOUBLE) / 100000 AS lakhs
+FROM b JOIN (SELECT DISTINCT politician_id, year FROM fact) y USING (politician_id) LEFT JOIN c ON c.politician_id = b.politician_id AND c.category = b.category AND c.subcategory = b.subcategory AND c.year = y.year""")
+_KEYS = ("customer-000000007", "12", "CUSTOMER-000000013", "nobody")
+_register("lookup_cascade", lambda s, d: A.lookup(model.from_driver(s, d), s.createDataFrame([(k,) for k in _KEYS], "key string")), f"""WITH {FACT}, p AS (SELECT DISTINCT politician_id, name, slug FROM fact), k AS (SELECT unnest({list(_KEYS)!r}) AS key),
+h AS (SELECT key, 1 AS way, politician_id, name FROM p JOIN k ON slug = key UNION ALL SELECT key, 2, politician_id, name FROM p JOIN k ON politician_id = try_cast(key AS BIGINT) UNION ALL SELECT key, 3, politician_id, name FROM p JOIN k ON slug = lower(key))
+SELECT key, CAST(way AS INTEGER) AS way, politician_id, name FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY way, politician_id) AS n FROM h) WHERE n = 1""")
+_fact("similar_names", lambda f: A.similar_names(f, "customer-000000012-xy"), "SELECT politician_id, any_value(name) AS name, any_value(slug) AS slug, count(*) AS appearances FROM fact WHERE name ILIKE '%customer%' OR name ILIKE '%000000012%' GROUP BY politician_id ORDER BY politician_id LIMIT 6")
+_fact("autocomplete", lambda f: A.autocomplete(f, "00001"), "SELECT politician_id, any_value(name) AS name, any_value(slug) AS slug, arg_max(coalesce(party, 'IND'), (year, appearance_id)) AS party, arg_max(constituency, (year, appearance_id)) AS constituency FROM fact WHERE name ILIKE '%00001%' GROUP BY politician_id ORDER BY name, politician_id LIMIT 8")
+_PEOPLE = "SELECT politician_id, any_value(name) AS name, any_value(slug) AS slug, count(*) AS appearances FROM fact GROUP BY politician_id ORDER BY "
+_fact("api_politicians", lambda f: A.politicians_page(f, 50, 100), _PEOPLE + "name, politician_id LIMIT 50 OFFSET 100")
+_fact("debug_politicians", lambda f: A.people(f).orderBy("politician_id").limit(20), _PEOPLE + "politician_id LIMIT 20")
+_fact("api_stats", A.api_stats, "SELECT count(DISTINCT politician_id) AS politicians, count(*) AS appearances, count(DISTINCT party) AS parties, count(DISTINCT (state, house, year)) AS elections FROM fact")
+_fact("elections", A.elections, "SELECT DISTINCT state, house, year FROM fact")
+_fact("api_leaderboards", A.leaderboards, """(SELECT 'wealth' AS board, politician_id, name, assets AS value FROM latest_assembly WHERE assets <> 0 ORDER BY assets DESC, appearance_id LIMIT 5)
+UNION ALL (SELECT 'cases', politician_id, name, cases FROM latest_assembly WHERE cases > 0 ORDER BY cases DESC, appearance_id LIMIT 5)
+UNION ALL (SELECT 'gain', politician_id, name, to_inr - from_inr FROM ends ORDER BY to_inr - from_inr DESC, politician_id LIMIT 5)
+UNION ALL (SELECT 'loss', politician_id, name, to_inr - from_inr FROM ends ORDER BY to_inr - from_inr, politician_id LIMIT 5)""")
+_fact("random_politician", A.random_politician)
+
+# --- writes ---
+
+_register("get_or_create_dims", lambda s, d: ingest.get_or_create(
+    model.table(s, d, "orders").where("o_orderpriority < '3'").select(F.col("o_orderpriority").alias("short_name")).distinct().withColumn("id", F.substring("short_name", 1, 1).cast("int")),
+    model.table(s, d, "orders").select(F.col("o_orderpriority").alias("short_name")), ["short_name"]).agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.min("id").alias("low"), F.max("id").alias("high")),
+    "SELECT count(DISTINCT o_orderpriority) AS n, count(DISTINCT o_orderpriority) AS ids, CAST(1 AS INTEGER) AS low, CAST(count(DISTINCT o_orderpriority) AS INTEGER) AS high FROM orders")
+
+
+def _upsert(fact: DataFrame) -> DataFrame:
+    rows = fact.select(F.concat_ws("|", "state", "house", F.col("year").cast("string")).alias("election"), F.col("politician_id").alias("candidate_id"), "won", "assets", "cases", "year")
+    old = rows.where("year <= 1996").drop("year")
+    new = rows.where("year >= 1996").select("election", "candidate_id", (F.col("won") & (F.col("candidate_id") % 2 == 0)).alias("won"), F.when(F.col("candidate_id") % 3 == 0, F.col("assets") + 1).alias("assets"), "cases", F.lit(1).alias("seq"))
+    return ingest.upsert_appearances(ingest.upsert_appearances(old, new), new)
+
+
+_fact("upsert_merge", _upsert, "SELECT state || '|' || house || '|' || CAST(year AS VARCHAR) AS election, politician_id AS candidate_id, CASE WHEN year > 1996 THEN won AND politician_id % 2 = 0 ELSE won END AS won, CASE WHEN year >= 1996 AND politician_id % 3 = 0 THEN assets + 1 WHEN year > 1996 THEN NULL ELSE assets END AS assets, cases FROM fact")
+_fact("winners_flagged", lambda f: ingest.flag_winners(f.select("appearance_id", "politician_id"), f.where("won"), ["appearance_id"]), "SELECT appearance_id, politician_id, won FROM fact")
+_register("not_enriched_anti_join", lambda s, d: ingest.not_enriched(model.from_driver(s, d).select("appearance_id", "year"), model.asset_rows(s, d).where("category = 'movable'")), f"WITH {FACT}, {_ASSETS} SELECT appearance_id, year FROM fact WHERE appearance_id NOT IN (SELECT appearance_id FROM ast WHERE category = 'movable')")
+_register("replace_children", lambda s, d: ingest.replace_children(model.asset_rows(s, d), model.asset_rows(s, d).where("category = 'movable' and appearance_id % 2 = 0"), "value_inr").groupBy("appearance_id").agg(F.count("*").alias("n"), F.sum("value_inr").alias("total")),
+          f"WITH {_ASSETS}, f AS (SELECT * FROM ast WHERE category = 'movable' AND appearance_id % 2 = 0), r AS (SELECT * FROM ast WHERE appearance_id NOT IN (SELECT appearance_id FROM f) UNION ALL SELECT * FROM f) SELECT appearance_id, count(*) AS n, CAST(sum(value_inr) AS BIGINT) AS total FROM r GROUP BY 1")
+_register("bulk_load_ignore", lambda s, d: ingest.insert_missing(model.table(s, d, "customer").where("c_custkey % 3 = 0").select("c_custkey", "c_name"), model.table(s, d, "customer").select("c_custkey", F.upper("c_name").alias("c_name")), ["c_custkey"]), "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_name ELSE upper(c_name) END AS c_name FROM customer")
+_register("repair_slugs", lambda s, d: ingest.repair_slugs(model.table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("name"), F.when(F.col("c_custkey") % 2 == 0, names.slugify(F.col("c_mktsegment"))).otherwise("").alias("slug"))),
+          """WITH c AS (SELECT c_custkey AS id, c_mktsegment AS name, lower(c_mktsegment) AS base, c_custkey % 2 = 0 AS filled FROM customer), k AS (SELECT *, row_number() OVER (PARTITION BY base, filled ORDER BY id) = 1 AND filled AS keeps FROM c),
+o AS (SELECT *, row_number() OVER (PARTITION BY base, keeps ORDER BY id) AS n FROM k) SELECT id, name, CASE WHEN keeps THEN base ELSE base || '-' || CAST(n + 1 AS VARCHAR) END AS slug FROM o""")
+
+
+def _split(spark: SparkSession, d: str) -> DataFrame:
+    orders = model.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 50).cast("int").alias("politician_id"), F.concat(F.lit("https://x.example/El"), F.year("o_orderdate").cast("string"), F.lit("/candidate.php?candidate_id="), F.col("o_custkey").cast("string")).alias("source_url"))
+    people = spark.range(50).select(F.col("id").cast("int").alias("id"), F.concat(F.lit("Person "), F.col("id").cast("string")).alias("name"))
+    made, moved = ingest.split_merged(orders, people)
+    return moved.join(made.select(F.col("id").alias("politician_id"), "name", "slug"), "politician_id").select("id", "name", "slug")
+
+
+_register("split_merged", _split, "SELECT o_orderkey AS id, 'Person ' || CAST(o_custkey % 50 AS VARCHAR) AS name, 'person-' || CAST(o_custkey % 50 AS VARCHAR) || '-el' || CAST(year(o_orderdate) AS VARCHAR) || '-' || CAST(o_custkey AS VARCHAR) AS slug FROM orders")
+
+# --- functions over generated text ---
+
+_IPC = "'IPC ' || CAST(l_partkey % 520 AS VARCHAR) || ', ' || CAST(l_suppkey * 7 % 520 AS VARCHAR) || CASE l_linenumber WHEN 1 THEN 'A NDPS' WHEN 2 THEN 'B' WHEN 3 THEN ' Arms Act' ELSE '' END"
+
+
+def _ipc(spark: SparkSession, d: str) -> DataFrame:
+    tail = F.when(F.col("l_linenumber") == 1, "A NDPS").when(F.col("l_linenumber") == 2, "B").when(F.col("l_linenumber") == 3, " Arms Act").otherwise("")
+    return model.table(spark, d, "lineitem").select(F.concat(F.lit("IPC "), (F.col("l_partkey") % 520).cast("string"), F.lit(", "), (F.col("l_suppkey") * 7 % 520).cast("string"), tail).alias("ipc"))
+
+
+_FIRST = "CASE " + " ".join(f"WHEN regexp_matches(ipc, '(?i){p}') THEN '{label}'" for p, label in C.CASE_RULES) + f" ELSE '{C.OTHER}' END"
+_ALL = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(ipc, '(?i){p}') THEN '{label}' END" for p, label in C.CASE_RULES) + "], lambda x: x IS NOT NULL)"
+_register("case_types_first", lambda s, d: A.case_type_counts(_ipc(s, d), F.array(C.case_type(F.col("ipc")))), f"WITH t AS (SELECT {_IPC} AS ipc FROM lineitem) SELECT {_FIRST} AS case_type, count(*) AS n FROM t GROUP BY 1")
+_register("case_types_all", lambda s, d: A.case_type_counts(_ipc(s, d), C.all_case_types(F.col("ipc"))), f"WITH t AS (SELECT {_IPC} AS ipc FROM lineitem), a AS (SELECT {_ALL} AS l FROM t), b AS (SELECT unnest(CASE WHEN len(l) = 0 THEN ['{C.OTHER}'] ELSE l END) AS case_type FROM a) SELECT case_type, count(*) AS n FROM b GROUP BY 1")
+_register("parse_inr_cols", lambda s, d: model.table(s, d, "orders").select("o_orderkey", money.parse_inr(F.concat(F.lit("Rs "), F.format_number(F.floor("o_totalprice"), 0), F.lit(" ~ 12 Lacs+"))).alias("inr"), money.indian_int(F.format_number(F.floor("o_totalprice"), 0)).alias("whole"), money.safe_inr(F.floor("o_totalprice") * 100_000_000).cast("long").alias("safe")),
+          "SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS inr, CAST(floor(o_totalprice) AS BIGINT) AS whole, CASE WHEN CAST(floor(o_totalprice) AS BIGINT) * 100000000 <= 10000000000000 THEN CAST(floor(o_totalprice) AS BIGINT) * 100000000 END AS safe FROM orders")
+_register("name_normalise", lambda s, d: model.table(s, d, "part").select("p_partkey", names.person_key(F.concat_ws(" #", "p_name", "p_brand")).alias("person"), names.seat_key(F.concat(F.col("p_name"), F.lit("  (SC)"))).alias("seat"), names.slugify(F.col("p_name")).alias("slug")),
+          "SELECT p_partkey, trim(regexp_replace(regexp_replace(upper(p_name || ' #' || p_brand), '[^A-Z0-9 ]', ' ', 'g'), '\\s+', ' ', 'g')) AS person, trim(regexp_replace(upper(p_name), '\\s+', ' ', 'g')) AS seat, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM part")
+_PANS = "'id ABCDE' || lpad(CAST(o_orderkey % 10000 AS VARCHAR), 4, '0') || substr('05O18LQBSZ', CAST(o_orderkey % 10 AS INTEGER) + 1, 1) || ' end'"
+_register("pan_repair", lambda s, d: model.table(s, d, "orders").select("o_orderkey", D.repair_pan(F.concat(F.lit("id ABCDE"), F.lpad((F.col("o_orderkey") % 10000).cast("string"), 4, "0"), F.substr(F.lit("05O18LQBSZ"), (F.col("o_orderkey") % 10 + 1).cast("int"), F.lit(1)), F.lit(" end"))).alias("text")),
+          f"SELECT o_orderkey, replace({_PANS}, 'substr', '') AS text FROM orders".replace("replace(", "regexp_replace(regexp_replace(regexp_replace(regexp_replace(").replace(", 'substr', '')", r", '\b([A-Z]{5}\d{4})[0O]\b', '\1Q'), '\b([A-Z]{5}\d{4})5\b', '\1S'), '\b([A-Z]{5}\d{4})1\b', '\1I'), '\b([A-Z]{5}\d{4})8\b', '\1B')"))
+_register("source_url_parts", lambda s, d: model.table(s, d, "pages").select("page_id", *[c.alias(n) for c, n in zip(names.source_url_parts(F.concat("url", F.lit("/el/candidate.php?candidate_id="), F.col("page_id").cast("string"))), ("election_slug", "candidate_id"), strict=True)]), "SELECT page_id, 'el' AS election_slug, CAST(page_id AS INTEGER) AS candidate_id FROM pages")
+_register("clean_case_text", lambda s, d: model.table(s, d, "orders").select("o_orderkey", C.clean_description(F.concat(F.lit("FIR No 12/2016, , Cheating "), F.col("o_orderstatus"), F.lit(", Police Station X y, ; 0101/2016,"))).alias("text"), C.is_real_case(F.when(F.col("o_orderstatus") == "O", "420").otherwise(""), F.when(F.col("o_orderstatus") == "F", "-- No Case --").otherwise("Cheating")).alias("is_real")),
+          "SELECT o_orderkey, 'Cheating ' || o_orderstatus AS text, o_orderstatus <> 'F' AS is_real FROM orders")
+_register("asset_icons", lambda s, d: model.table(s, d, "part").select(C.asset_icon(F.concat_ws(" ", "p_type", "p_name")).alias("icon")).groupBy("icon").agg(F.count("*").alias("n")), "SELECT CASE " + " ".join(f"WHEN regexp_matches(lower(p_type || ' ' || p_name), '{w}') THEN '{i}'" for w, i in C.ICONS) + " ELSE 'category' END AS icon, count(*) AS n FROM part GROUP BY 1")
+
+# --- documents ---
+
+
+def _doc_text(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as page text, with the marks of a filing added on some."""
+    t = model.table(spark, d, "documents")
+    marks = F.concat(F.when(F.col("doc_id") % 2 == 0, " ABCDE1234F Rs. 12,345 ").otherwise(" "), F.when(F.col("doc_id") % 3 == 0, "PART-B INDEPENDENT ").otherwise(""), F.when(F.col("doc_id") % 5 == 0, "MARY JONES").otherwise(""))
+    return t.select(F.concat(F.lit("007_MARY_JONES__"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("source_pdf"), F.array(F.struct(F.lit(1).alias("page"), F.lit("text").alias("method"), F.concat("text", marks).alias("text"))).alias("pages"))
+
+
+_QC = r"""WITH t AS (SELECT '007_MARY_JONES__' || CAST(doc_id AS VARCHAR) || '.pdf' AS source_pdf, text || CASE WHEN doc_id % 2 = 0 THEN ' ABCDE1234F Rs. 12,345 ' ELSE ' ' END || CASE WHEN doc_id % 3 = 0 THEN 'PART-B INDEPENDENT ' ELSE '' END || CASE WHEN doc_id % 5 = 0 THEN 'MARY JONES' ELSE '' END AS t FROM documents),
+m AS (SELECT source_pdf, t, CAST((contains(upper(t), 'MARY') AND contains(upper(t), 'JONES')) AS INTEGER) AS name_found, CAST(regexp_matches(t, '\b[A-Z]{5}\d{4}[A-Z]\b') AS INTEGER) AS pan_found,
+  CAST(regexp_matches(upper(t), 'AAM AADMI|BHARATIYA JANATA|INDIAN NATIONAL CONGRESS|INDEPENDENT|JANATA|DAL|MORCHA|SAMAJWADI|MAJLIS|BAHUJAN|RASHTRIYA|PARTY') AS INTEGER) AS party_found,
+  CAST(regexp_matches(t, '(?:Rs\.?|₹|RS\.?)\s*[\d,]{3,}') AS INTEGER) AS currency_found, CAST(regexp_matches(upper(t), 'PART-B|PART - B|PART B|ABSTRACT OF THE DETAILS') AS INTEGER) AS part_b_found FROM t),
+h AS (SELECT *, name_found + pan_found + party_found + currency_found + part_b_found AS hits FROM m),
+s AS (SELECT *, CASE WHEN length(t) < 500 THEN 'EMPTY' WHEN hits >= 5 THEN 'CLEAN' WHEN hits >= 4 THEN 'LIGHT' ELSE 'FLAG' END AS status FROM h)"""
+_register("qc_markers", lambda s, d: entity.qc_report(_doc_text(s, d)).drop("pan_sample", "rs_sample"), _QC + " SELECT source_pdf, 'MARY JONES' AS candidate_name, name_found, pan_found, party_found, currency_found, part_b_found, hits, status, CAST(length(t) AS INTEGER) AS text_chars FROM s")
+_register("qc_summary", lambda s, d: entity.status_shares(entity.qc_report(_doc_text(s, d)), ("CLEAN", "LIGHT", "FLAG", "EMPTY")), _QC + " SELECT v.status, count(s.status) AS n, CAST(100 * count(s.status) AS DOUBLE) / sum(count(s.status)) OVER () AS pct FROM (VALUES ('CLEAN'), ('LIGHT'), ('FLAG'), ('EMPTY')) v(status) LEFT JOIN s ON s.status = v.status GROUP BY v.status")
+
+
+def _recon(spark: SparkSession, d: str) -> DataFrame:
+    people = model.table(spark, d, "customer").where("c_acctbal >= 0")
+    recorded = people.where("c_custkey % 7 <> 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.floor("c_acctbal").cast("long").alias("assets"), (F.col("c_custkey") % 4).alias("cases"))
+    gap = F.array(F.lit(0), F.lit(4), F.lit(9), F.lit(30))
+    read = people.select(F.lower("c_name").alias("name"), F.when(F.col("c_custkey") % 5 > 0, F.floor("c_acctbal").cast("long") + F.floor(F.floor("c_acctbal") * F.get(gap, (F.col("c_custkey") % 4).cast("int")) / 100).cast("long")).alias("read_assets"), F.when(F.col("c_custkey") % 3 > 0, F.col("c_custkey") % 4 + F.col("c_custkey") % 2).alias("read_cases"))
+    return entity.reconcile(read, recorded)
+
+
+_RECON = """WITH p AS (SELECT c_custkey AS k, c_name, CAST(floor(c_acctbal) AS BIGINT) AS a FROM customer WHERE c_acctbal >= 0),
+r AS (SELECT k, lower(c_name) AS name, CASE WHEN k % 7 <> 0 THEN k END AS id, CASE WHEN k % 7 <> 0 THEN a END AS db_assets, CASE WHEN k % 7 <> 0 THEN k % 4 END AS db_cases, CASE WHEN k % 5 > 0 THEN a + CAST(floor(CAST(a * [0, 4, 9, 30][k % 4 + 1] AS DOUBLE) / 100) AS BIGINT) END AS read_assets, CASE WHEN k % 3 > 0 THEN k % 4 + k % 2 END AS read_cases FROM p),
+g AS (SELECT *, CASE WHEN db_assets = 0 THEN CASE WHEN read_assets = 0 THEN 0.0 ELSE 100.0 END ELSE CAST(abs(read_assets - db_assets) AS DOUBLE) / CAST(nullif(db_assets, 0) AS DOUBLE) * 100 END AS gap, coalesce(abs(read_cases - db_cases), 0) AS dc FROM r),
+s AS (SELECT *, CASE WHEN db_assets IS NULL THEN 'NO_DB_ROW' WHEN read_assets IS NULL THEN 'PARSE_FAIL' WHEN gap <= 5 AND dc <= 0 THEN 'MATCH' WHEN gap <= 10 AND dc <= 1 THEN 'CLOSE' ELSE 'FLAG' END AS status FROM g)"""
+_register("reconcile_status", lambda s, d: _recon(s, d).select("name", "id", "db_assets", "read_assets", "db_cases", "read_cases", "status", "asset_delta_pct"), _RECON + " SELECT name, id, db_assets, read_assets, db_cases, read_cases, status, CASE WHEN db_assets IS NOT NULL AND read_assets IS NOT NULL THEN gap END AS asset_delta_pct FROM s")
+_register("reconcile_summary", lambda s, d: entity.status_shares(_recon(s, d), entity.RECON_STATUSES), _RECON + " SELECT v.status, count(s.status) AS n, CAST(100 * count(s.status) AS DOUBLE) / sum(count(s.status)) OVER () AS pct FROM (VALUES ('MATCH'), ('CLOSE'), ('FLAG'), ('NO_DB_ROW'), ('PARSE_FAIL')) v(status) LEFT JOIN s ON s.status = v.status GROUP BY v.status")
+
+
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    o = model.table(spark, d, "orders")
+    cert = F.when(F.col("o_orderkey") % 4 > 0, F.concat(F.lit("IN-ZZ"), F.lpad((F.floor(F.col("o_orderkey") / 3) % 1000).cast("string"), 16, "0"), F.lit("X"))).otherwise("")
+    return o.select(F.when(F.col("o_orderkey") % 9 > 0, F.concat(F.lit("in/CAND_"), F.col("o_custkey").cast("string"), F.lit("__"), F.col("o_orderkey").cast("string"), F.lit(".pdf"))).otherwise(F.concat(F.lit("in/scan-"), F.col("o_orderkey").cast("string"), F.lit(".pdf"))).alias("pdf_path"),
+                    F.floor("o_totalprice").cast("long").alias("file_size"), cert.alias("estamp_cert"), F.lit("").alias("candidate_name"), F.lit("").alias("candidate_father"), F.when(F.col("o_custkey") % 11 > 0, F.col("o_orderpriority")).otherwise("").alias("candidate_party"), F.when(F.col("o_orderkey") % 2 == 0, F.lit("Seat")).otherwise("").alias("candidate_constituency"))
+
+
+_RECORDS = """WITH r AS (SELECT o_orderkey, CASE WHEN o_orderkey % 9 > 0 THEN 'in/CAND_' || CAST(o_custkey AS VARCHAR) || '__' || CAST(o_orderkey AS VARCHAR) || '.pdf' ELSE 'in/scan-' || CAST(o_orderkey AS VARCHAR) || '.pdf' END AS path, CASE WHEN o_orderkey % 9 > 0 THEN 'CAND ' || CAST(o_custkey AS VARCHAR) ELSE '' END AS fname,
+  CAST(floor(o_totalprice) AS BIGINT) AS sz, CASE WHEN o_orderkey % 4 > 0 THEN 'IN-ZZ' || lpad(CAST((o_orderkey // 3) % 1000 AS VARCHAR), 16, '0') || 'X' ELSE '' END AS cert, CASE WHEN o_custkey % 11 > 0 THEN trim(regexp_replace(regexp_replace(upper(o_orderpriority), '[^A-Z0-9 ]', ' ', 'g'), '\\s+', ' ', 'g')) ELSE '' END AS party, CASE WHEN o_orderkey % 2 = 0 THEN 'SEAT' ELSE '' END AS seat FROM orders),
+s AS (SELECT *, CASE WHEN fname <> '' AND party <> '' THEN substr(sha256(fname || '|' || party), 1, 16) WHEN seat <> '' AND party <> '' THEN substr(sha256(seat || '|' || party), 1, 16) ELSE 'single_' || substr(sha256(path), 1, 12) END AS signature FROM r),
+f AS (SELECT signature, cert AS estamp_cert, count(*) AS pdf_count, CAST(sum(sz) AS BIGINT) AS total_bytes, arg_min(path, (-sz, path)) AS canonical_pdf FROM s GROUP BY 1, 2),
+o AS (SELECT *, CAST(row_number() OVER (PARTITION BY signature ORDER BY regexp_replace(estamp_cert, '\\D', '', 'g') DESC, total_bytes DESC, estamp_cert) AS INTEGER) AS filing FROM f)"""
+_register("dedup_canonical", lambda s, d: entity.filings(_records(s, d)), _RECORDS + " SELECT *, filing = 1 AS is_canonical FROM o")
+_register("dedup_candidates", lambda s, d: entity.candidates(entity.drop_poisoned(_records(s, d))).select("signature", F.size("filings").alias("n_filings"), "canonical_cert", "canonical_pdf"), _RECORDS.replace("FROM orders)", "FROM orders WHERE o_orderkey % 4 > 0 OR o_custkey % 11 > 0)") + " SELECT signature, CAST(count(*) AS INTEGER) AS n_filings, max(estamp_cert) FILTER (WHERE filing = 1) AS canonical_cert, max(canonical_pdf) FILTER (WHERE filing = 1) AS canonical_pdf FROM o GROUP BY signature")
+_register("package_roster", lambda s, d: entity.package(_records(s, d).select(F.col("pdf_path").alias("path"), F.col("file_size").alias("size"))), """WITH r AS (SELECT CASE WHEN o_orderkey % 9 > 0 THEN 'in/CAND_' || CAST(o_custkey AS VARCHAR) || '__' || CAST(o_orderkey AS VARCHAR) || '.pdf' ELSE 'in/scan-' || CAST(o_orderkey AS VARCHAR) || '.pdf' END AS path, CASE WHEN o_orderkey % 9 > 0 THEN 'CAND_' || CAST(o_custkey AS VARCHAR) ELSE 'scan-' || CAST(o_orderkey AS VARCHAR) END AS key,
+  CASE WHEN o_orderkey % 9 > 0 THEN CAST(o_orderkey AS VARCHAR) ELSE '' END AS id, CAST(floor(o_totalprice) AS BIGINT) AS sz FROM orders), w AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY sz DESC, path) AS i FROM r)
+SELECT key, max(path) FILTER (WHERE i = 1) AS canonical, CAST(count(*) AS INTEGER) AS n_files, coalesce(string_agg(id, '; ' ORDER BY i) FILTER (WHERE i > 1), '') AS others, CAST(row_number() OVER (ORDER BY key) AS INTEGER) AS seq FROM w GROUP BY key""")
+
+
+def _part_b(spark: SparkSession, d: str) -> DataFrame:
+    o = model.table(spark, d, "orders").where("o_totalprice >= 10000")
+    a, b = F.floor("o_totalprice").cast("long"), (F.floor("o_totalprice") + 1).cast("long")
+    page = F.concat(F.lit("PART-B ABSTRACT\nTotal number of pending criminal cases "), (F.col("o_orderkey") % 90).cast("string"), F.when(F.col("o_orderkey") % 2 == 0, " (SEVEN)").otherwise(""), F.lit("\nTotal number of cases in which NIL convicted\nMoveable 1. "), a.cast("string"), F.lit("/- | "), b.cast("string"))
+    first = F.concat(F.lit("PART A\nset up by ALPHA PARTY (x)\nI, SAMPLE ONE ** son/daughter/wife of SOME FATHER\nAged 4§ years\nFROM AC-1,.NEW_TOWN CONSTITUENCY"), F.lit(""))
+    market = F.concat(F.lit("Rs. "), b.cast("string"), F.lit("/- | Rs. "), a.cast("string"), F.lit("/-\n(vi) Total of Current market value"))
+    return o.select(F.col("o_orderkey").alias("doc"), F.array(F.lit("Description of Document: Affidavit PART A"), first, page, market).alias("pages"))
+
+
+_register("parse_affidavits", lambda s, d: entity.parse_affidavits(_part_b(s, d)).drop("confidence", "address", "phone", "email"), """WITH o AS (SELECT o_orderkey AS doc, CAST(floor(o_totalprice) AS BIGINT) AS a FROM orders WHERE o_totalprice >= 10000)
+SELECT doc, 'SAMPLE ONE' AS name, 'SOME FATHER' AS father_name, 'ALPHA PARTY' AS party, 'AC-1, NEW TOWN' AS constituency, CAST(45 AS INTEGER) AS age, CAST(CASE WHEN doc % 2 = 0 THEN 7 ELSE doc % 90 END AS INTEGER) AS pending, CAST(0 AS INTEGER) AS convictions, CASE WHEN a >= 10000 THEN a END AS movable_self, a + 1 AS movable_spouse, a + 1 AS immovable_self, a AS immovable_spouse, 4 * a + 2 AS total_assets FROM o""")
+_register("stamp_metadata", lambda s, d: entity.stamp_metadata(model.table(s, d, "orders").select(F.col("o_orderkey").cast("string").alias("pdf_path"), F.concat(F.lit("Certificate No. : IN-DL"), F.lpad(F.col("o_orderkey").cast("string"), 14, "0"), F.lit("x\nCertificate Issued Date : "), F.date_format("o_orderdate", "dd-MMM-yyyy"), F.lit(" 05:23 PM\nPurchased by : SAMPLE ONE\nDescription of Document : Article 4 Affidavit\nFirst Party : SAMPLE TWO\nStamp Duty Amount(Rs.) : 10")).alias("cover"))),
+          "SELECT CAST(o_orderkey AS VARCHAR) AS pdf_path, 'IN-DL' || lpad(CAST(o_orderkey AS VARCHAR), 14, '0') || 'X' AS cert_number, strftime(o_orderdate, '%d-%b-%Y') || ' 05:23 PM' AS issue_date, 'SAMPLE ONE' AS purchaser, 'SAMPLE TWO' AS first_party, CAST(10 AS BIGINT) AS stamp_duty_rs, 'Article 4 Affidavit' AS doc_description, strftime(o_orderdate, '%Y-%m-%dT17:23:00') AS issue_dt FROM orders")
+
+# --- listings ---
+
+
+def _listing_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as saved listing pages, one per nation and remainder of the key."""
+    c = model.table(spark, d, "customer")
+    cell = lambda x: F.concat(F.lit("<td>"), x, F.lit("</td>"))
+    link = F.concat(F.lit('<a href="/c.php?candidate_id='), F.col("c_custkey").cast("string"), F.lit('"><img src="x"></a><a href="/c.php?candidate_id='), F.col("c_custkey").cast("string"), F.lit('"><b>'), F.col("c_name"), F.lit("</b></a>"))
+    row = F.concat(F.lit("<tr>"), cell(F.lit("1")), cell(link), cell(F.concat("c_mktsegment", F.when(F.col("c_custkey") % 10 == 0, " : BYE ELECTION ON 01-02-2020").otherwise(""))), cell(F.lit("ALPHA")), cell(F.concat(F.lit("<b>"), (F.col("c_custkey") % 5).cast("string"), F.lit("</b>"))), cell(F.lit("Graduate")), cell(F.concat(F.lit("Rs "), F.format_number(F.abs(F.floor("c_acctbal")), 0), F.lit(" &nbsp;<span>~ 1 Crore+</span>"))), cell(F.lit("Nil")), F.lit("</tr>"))
+    pages = c.groupBy(F.col("c_nationkey").cast("string").alias("slug"), (F.col("c_custkey") % 3 + 1).cast("int").alias("page")).agg(F.array_sort(F.collect_list(F.struct("c_custkey", row.alias("r")))).alias("rows"))
+    return pages.select("slug", "page", F.concat(F.lit("<html><body><table><tr><td>menu</td></tr></table><table><tr><th>Sno</th><th>Candidate</th><th>Constituency</th></tr>"), F.array_join(F.transform("rows", lambda x: x["r"]), ""), F.lit("<tr><td>7</td><td>short</td></tr></table></body></html>")).alias("html"))
+
+
+_register("listing_scan", lambda s, d: html_tables.candidates(html_tables.table_rows(_listing_pages(s, d))).select("slug", "page", "candidate_id", "name", "constituency", "party", "criminal_cases", "education", "total_assets_inr", "total_liabilities_inr", "is_bye_election", "bye_election_date"),
+          "SELECT CAST(c_nationkey AS VARCHAR) AS slug, CAST(c_custkey % 3 + 1 AS INTEGER) AS page, CAST(c_custkey AS INTEGER) AS candidate_id, c_name AS name, c_mktsegment AS constituency, 'ALPHA' AS party, CAST(c_custkey % 5 AS INTEGER) AS criminal_cases, 'Graduate' AS education, CAST(abs(floor(c_acctbal)) AS BIGINT) AS total_assets_inr, CAST(0 AS BIGINT) AS total_liabilities_inr, c_custkey % 10 = 0 AS is_bye_election, CASE WHEN c_custkey % 10 = 0 THEN '01-02-2020' END AS bye_election_date FROM customer WHERE c_custkey > 0")
+_register("listing_prefix_filter", lambda s, d: html_tables.near_names(html_tables.candidates(html_tables.table_rows(_listing_pages(s, d))), s.createDataFrame([("BUILD",), ("MACHINERY HALL",)], "seat string")).select("candidate_id", "constituency"), "SELECT CAST(c_custkey AS INTEGER) AS candidate_id, c_mktsegment AS constituency FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')")
+_register("listing_paged", lambda s, d: html_tables.paged_candidates(html_tables.table_rows(_listing_pages(s, d))).select("slug", "candidate_id", "page"), "SELECT CAST(c_nationkey AS VARCHAR) AS slug, CAST(c_custkey AS INTEGER) AS candidate_id, CAST(c_custkey % 3 + 1 AS INTEGER) AS page FROM customer WHERE c_custkey > 0")
