@@ -15,10 +15,22 @@ from oathmill.functions import names
 from oathmill.functions.cases import party_color, risk, severity
 from oathmill.plans.model import CRORE, LAKH
 
-WEALTH = F.coalesce("assets", F.lit(0)).cast("long")
-CASES = F.coalesce("cases", F.lit(0)).cast("long")
-PARTY = F.coalesce("party", F.lit("IND"))
-IS_CRORE = WEALTH >= CRORE
+
+
+def wealth() -> Column:
+    return F.coalesce("assets", F.lit(0)).cast("long")
+
+
+def n_cases() -> Column:
+    return F.coalesce("cases", F.lit(0)).cast("long")
+
+
+def party_or_ind() -> Column:
+    return F.coalesce("party", F.lit("IND"))
+
+
+def is_crore() -> Column:
+    return wealth() >= CRORE
 
 
 def _pct(part: Column, whole: Column) -> Column:
@@ -66,7 +78,7 @@ def upper_median(rows: DataFrame, by: list[str], value: Column, name: str) -> Da
 
 
 def _card(rows: DataFrame) -> DataFrame:
-    return rows.select("politician_id", "name", "slug", "appearance_id", "year", PARTY.alias("party"), "constituency", WEALTH.alias("assets"), CASES.alias("cases"))
+    return rows.select("politician_id", "name", "slug", "appearance_id", "year", party_or_ind().alias("party"), "constituency", wealth().alias("assets"), n_cases().alias("cases"))
 
 
 def top_by_wealth(fact: DataFrame, limit: int = 10, house: str = "Assembly", scope: str = "all", state: str | None = None) -> DataFrame:
@@ -113,7 +125,7 @@ def long_servers(fact: DataFrame, limit: int = 10, house: str = "Assembly", stat
 
 
 def clean_and_wealthy(fact: DataFrame, limit: int = 10, house: str = "Assembly", min_crore: float = 5.0, scope: str = "all", state: str | None = None) -> DataFrame:
-    rows = latest(fact, house, scope, state).where((WEALTH >= F.lit(int(min_crore * CRORE))) & (CASES == 0))
+    rows = latest(fact, house, scope, state).where((wealth() >= F.lit(int(min_crore * CRORE))) & (n_cases() == 0))
     return _card(rows.orderBy(F.desc("assets"), "appearance_id").limit(limit))
 
 
@@ -140,7 +152,7 @@ def party_switchers(fact: DataFrame, limit: int = 20, state: str | None = None)
 def trends_by_cycle(fact: DataFrame, state: str | None = None) -> DataFrame:
     """Winners of each election (state, house, year); elections without winners are left out."""
     rows = _scoped(fact, None, state).where("won").groupBy("state", "house", "year").agg(
-        F.count("*").alias("total_winners"), F.sum(WEALTH).alias("w"), F.count_if(IS_CRORE).alias("crorepati_count"), F.count_if(CASES > 0).alias("with_cases_count"))
+        F.count("*").alias("total_winners"), F.sum(wealth()).alias("w"), F.count_if(is_crore()).alias("crorepati_count"), F.count_if(n_cases() > 0).alias("with_cases_count"))
     return rows.select(
         "state", "house", "year", "total_winners", F.floor(F.col("w") / F.col("total_winners")).cast("long").alias("avg_wealth_inr"),
         "crorepati_count", _pct(F.col("crorepati_count"), F.col("total_winners")).alias("crorepati_pct"), "with_cases_count", _pct(F.col("with_cases_count"), F.col("total_winners")).alias("with_cases_pct"))
@@ -150,8 +162,8 @@ def party_stats(fact: DataFrame, year: int | None = None, state: str | None = No
     rows = _scoped(fact, None, state).where("won and party is not null")
     if year:
         rows = rows.where(F.col("year") == year)
-    sums = rows.groupBy("party").agg(F.count("*").alias("count"), F.sum(WEALTH).alias("total_inr"), F.count_if(CASES > 0).alias("with_cases_count"), F.count_if(IS_CRORE).alias("crorepati_count"))
-    median = upper_median(rows, ["party"], WEALTH, "median_inr")
+    sums = rows.groupBy("party").agg(F.count("*").alias("count"), F.sum(wealth()).alias("total_inr"), F.count_if(n_cases() > 0).alias("with_cases_count"), F.count_if(is_crore()).alias("crorepati_count"))
+    median = upper_median(rows, ["party"], wealth(), "median_inr")
     return sums.join(median, "party").select(
         "party", party_color(F.col("party")).alias("color"), "count", (F.col("total_inr").cast("double") / F.col("count").cast("double")).alias("avg_inr"), "median_inr",
         "with_cases_count", _pct(F.col("with_cases_count"), F.col("count")).alias("with_cases_pct"), "crorepati_count")
@@ -160,7 +172,7 @@ def party_stats(fact: DataFrame, year: int | None = None, state: str | None = No
 def party_seats_by_year(fact: DataFrame, house: str = "Assembly", state: str | None = None) -> DataFrame:
     """Every party in every year, zeros included, with the party's best year."""
     rows = _scoped(fact, house, state).where("won")
-    seats = rows.groupBy(PARTY.alias("party"), "year").agg(F.count("*").alias("seats"))
+    seats = rows.groupBy(party_or_ind().alias("party"), "year").agg(F.count("*").alias("seats"))
     years = seats.agg(F.array_sort(F.collect_set("year")).alias("years"))  # one row
     grid = seats.select("party").distinct().withColumn("k", F.lit(1)).join(F.broadcast(years.withColumn("k", F.lit(1))), "k").select("party", F.explode("years").alias("year"))
     dense = grid.join(seats, ["party", "year"], "left").select("party", "year", F.coalesce("seats", F.lit(0)).alias("seats"))
@@ -170,7 +182,7 @@ def party_seats_by_year(fact: DataFrame, house: str = "Assembly", state: str | N
 def party_wealth_by_cycle(fact: DataFrame, house: str = "Assembly", state: str | None = None, top: int = 5) -> DataFrame:
     """Mean wealth of winners of the richest parties per year; 0 where a party has no winner."""
     rows = _scoped(fact, house, state).where("won")
-    cells = rows.where("party is not null").groupBy("party", "year").agg(F.sum(WEALTH).alias("w"), F.count("*").alias("n"))
+    cells = rows.where("party is not null").groupBy("party", "year").agg(F.sum(wealth()).alias("w"), F.count("*").alias("n"))
     best = cells.groupBy("party").agg(F.sum("w").alias("total_inr")).orderBy(F.desc("total_inr"), "party").limit(top)
     years = rows.agg(F.array_sort(F.collect_set("year")).alias("years"))
     grid = best.withColumn("k", F.lit(1)).join(F.broadcast(years.withColumn("k", F.lit(1))), "k").select("party", "total_inr", F.explode("years").alias("year"))
@@ -181,7 +193,7 @@ def party_wealth_by_cycle(fact: DataFrame, house: str = "Assembly", state: str |
 
 
 def _tile(rows: DataFrame) -> list[Column]:
-    return [F.col("constituency"), F.col("name").alias("mla"), names.slug_or_id(F.col("slug"), F.col("politician_id")).alias("slug"), PARTY.alias("party"), party_color(F.col("party")).alias("color"), WEALTH.alias("wealth_inr"), CASES.alias("cases"), F.col("year")]
+    return [F.col("constituency"), F.col("name").alias("mla"), names.slug_or_id(F.col("slug"), F.col("politician_id")).alias("slug"), party_or_ind().alias("party"), party_color(F.col("party")).alias("color"), wealth().alias("wealth_inr"), n_cases().alias("cases"), F.col("year")]
 
 
 def scatter_points(fact: DataFrame, state: str | None = None) -> DataFrame:
@@ -194,7 +206,7 @@ def constituency_tiles(fact: DataFrame, ac_to_pc: DataFrame, year: int | None =
     listed twice belongs to the last (largest) pc. Reservation tags are dropped on both sides."""
     newest = Window.partitionBy("pc_key").orderBy(F.desc("year"), "appearance_id")
     mps = fact.where("house = 'LokSabha' and won and constituency is not null").withColumn("pc_key", names.seat_key(F.col("constituency")))
-    mps = mps.withColumn("n", F.row_number().over(newest)).where("n = 1").select("pc_key", F.col("name").alias("mp_name"), PARTY.alias("mp_party"), F.col("year").alias("mp_year"), WEALTH.alias("mp_wealth_inr"), CASES.alias("mp_cases"))
+    mps = mps.withColumn("n", F.row_number().over(newest)).where("n = 1").select("pc_key", F.col("name").alias("mp_name"), party_or_ind().alias("mp_party"), F.col("year").alias("mp_year"), wealth().alias("mp_wealth_inr"), n_cases().alias("mp_cases"))
     seats = ac_to_pc.groupBy(names.seat_key(F.col("ac")).alias("ac_key")).agg(F.max("pc").alias("ls_pc"))
     rows = latest(fact, "Assembly", "all", state).where("constituency is not null")
     if year:
@@ -234,7 +246,7 @@ def tile_intensity(kpis: DataFrame) -> DataFrame:
 
 
 def _kpis(rows: DataFrame, by: list[str]) -> DataFrame:
-    sums = rows.groupBy(*by).agg(F.count("*").alias("count"), F.coalesce(F.sum(WEALTH), F.lit(0)).alias("total_wealth_inr"), F.count_if(CASES > 0).alias("c"), F.count_if(IS_CRORE).alias("r"), F.coalesce(F.sum(CASES), F.lit(0)).alias("total_cases"))
+    sums = rows.groupBy(*by).agg(F.count("*").alias("count"), F.coalesce(F.sum(wealth()), F.lit(0)).alias("total_wealth_inr"), F.count_if(n_cases() > 0).alias("c"), F.count_if(is_crore()).alias("r"), F.coalesce(F.sum(n_cases()), F.lit(0)).alias("total_cases"))
     per = lambda x: F.coalesce(F.try_divide(x.cast("double"), F.col("count").cast("double")), F.lit(0.0))
     return sums.select(*by, "count", "total_wealth_inr", per(F.col("total_wealth_inr")).alias("avg_wealth_inr"), per(F.col("c") * 100).alias("pct_with_cases"), per(F.col("r") * 100).alias("pct_crorepati"), "total_cases", per(F.col("total_cases")).alias("avg_cases"))
 
@@ -251,7 +263,7 @@ def state_kpis(fact: DataFrame, house: str = "Assembly") -> DataFrame:
 def zone_summary(fact: DataFrame) -> DataFrame:
     rows = current_by_state(fact).where("zone is not null")
     return rows.groupBy("zone").agg(
-        F.count("*").alias("mlas"), _pct(F.count_if(CASES == 0), F.count("*")).alias("transparency"), (F.sum(CASES).cast("double") / F.count("*").cast("double")).alias("avg_cases"),
+        F.count("*").alias("mlas"), _pct(F.count_if(n_cases() == 0), F.count("*")).alias("transparency"), (F.sum(n_cases()).cast("double") / F.count("*").cast("double")).alias("avg_cases"),
         F.array_join(F.array_sort(F.collect_set("state")), ",").alias("states"))
 
 
@@ -267,18 +279,18 @@ def coverage_summary(fact: DataFrame, registry: DataFrame) -> DataFrame:
 
 def anomaly_scores(fact: DataFrame, house: str = "Assembly", state: str | None = None, scope: str = "current") -> DataFrame:
     rows = latest(fact, house, scope, state).withColumn("k", F.lit(1))
-    median = upper_median(rows, ["k"], WEALTH, "m") if state else _median_of_all(rows)
+    median = upper_median(rows, ["k"], wealth(), "m") if state else _median_of_all(rows)
     rows = rows.join(F.broadcast(median), "k")  # one row
-    ratio = F.greatest(F.lit(1.0), WEALTH.cast("double") / F.when(F.col("m") == 0, 1).otherwise(F.col("m")).cast("double"))
-    rows = rows.withColumn("ratio", ratio).where((CASES > 0) | (F.col("ratio") >= 3))
-    score = F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100.0 - CASES * 8 - F.log10(F.col("ratio") + 1) * 15))
-    return rows.select("politician_id", "name", "appearance_id", CASES.alias("cases"), WEALTH.alias("wealth_inr"), F.col("ratio").alias("wealth_x_median"), score.alias("score"), risk(score).alias("risk"))
+    ratio = F.greatest(F.lit(1.0), wealth().cast("double") / F.when(F.col("m") == 0, 1).otherwise(F.col("m")).cast("double"))
+    rows = rows.withColumn("ratio", ratio).where((n_cases() > 0) | (F.col("ratio") >= 3))
+    score = F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100.0 - n_cases() * 8 - F.log10(F.col("ratio") + 1) * 15))
+    return rows.select("politician_id", "name", "appearance_id", n_cases().alias("cases"), wealth().alias("wealth_inr"), F.col("ratio").alias("wealth_x_median"), score.alias("score"), risk(score).alias("risk"))
 
 
 def _median_of_all(rows: DataFrame) -> DataFrame:
     """The upper median of one large group without a window over it: count values, then walk the counts of distinct values
     range by range. Only range totals meet in one place."""
-    values = rows.groupBy(WEALTH.alias("v")).agg(F.count("*").alias("n"))
+    values = rows.groupBy(wealth().alias("v")).agg(F.count("*").alias("n"))
     ranged = values.withColumn("range", F.floor(F.log2(F.col("v") + 1) * 64))
     totals = ranged.groupBy("range").agg(F.sum("n").alias("t"))  # at most 64 * 64 ranges
     by_range = Window.orderBy("range")
@@ -302,9 +314,9 @@ def did_you_know(fact: DataFrame, state: str | None = None) -> DataFrame:
     """Up to six sentences, numbered in order."""
     rows = latest(fact, None, "all", state)
     named = F.trim(F.coalesce("name", F.lit(""))) != ""
-    richest, accused = F.max_by(F.struct("name", WEALTH.alias("x")), F.when(named, F.struct(WEALTH, -F.col("appearance_id")))), F.max_by(F.struct("name", CASES.alias("x")), F.when(named, F.struct(CASES, -F.col("appearance_id"))))
+    richest, accused = F.max_by(F.struct("name", wealth().alias("x")), F.when(named, F.struct(wealth(), -F.col("appearance_id")))), F.max_by(F.struct("name", n_cases().alias("x")), F.when(named, F.struct(n_cases(), -F.col("appearance_id"))))
     whole = fact.agg(F.count("*").alias("entries"), F.count_distinct("politician_id").alias("people")).withColumn("k", F.lit(1))
-    one = rows.agg(F.count("*").alias("n"), richest.alias("w"), accused.alias("c"), F.count_if(CASES > 0).alias("with_cases"), F.count_if(IS_CRORE).alias("rich"), F.min("year").alias("y1"), F.max("year").alias("y2"), F.count_distinct("year").alias("years")).withColumn("k", F.lit(1))
+    one = rows.agg(F.count("*").alias("n"), richest.alias("w"), accused.alias("c"), F.count_if(n_cases() > 0).alias("with_cases"), F.count_if(is_crore()).alias("rich"), F.min("year").alias("y1"), F.max("year").alias("y2"), F.count_distinct("year").alias("years")).withColumn("k", F.lit(1))
     one = one.join(F.broadcast(whole), "k")
     share = lambda c: F.floor(F.col(c) * 100 / F.col("n") + 0.5).cast("long").cast("string")
     facts = F.array(
@@ -327,7 +339,7 @@ def browse(fact: DataFrame, state: str, houses: tuple[str, ...] = ("Assembly", "
     inside = fact.where((F.col("state") == state) & F.col("house").isin(*houses)).select("politician_id").distinct()
     when = F.struct("year", "appearance_id")
     people = fact.join(inside, "politician_id", "left_semi").groupBy("politician_id").agg(
-        F.first("name").alias("name"), F.first("slug").alias("slug"), F.max_by(WEALTH, when).alias("wealth_inr"), F.max_by(CASES, when).alias("cases"), F.count_if("won").alias("terms"),
+        F.first("name").alias("name"), F.first("slug").alias("slug"), F.max_by(wealth(), when).alias("wealth_inr"), F.max_by(n_cases(), when).alias("cases"), F.count_if("won").alias("terms"),
         F.bool_or(F.coalesce(F.col("party") == (party or ""), F.lit(False))).alias("has_party"), F.bool_or(F.col("year") == (year or 0)).alias("has_year"))
     if q:
         people = people.where(F.col("name").ilike(f"%{q}%"))
@@ -343,7 +355,7 @@ def browse(fact: DataFrame, state: str, houses: tuple[str, ...] = ("Assembly", "
 def term_deltas(fact: DataFrame) -> DataFrame:
     """Each appearance against the one before, where that declared something."""
     order = Window.partitionBy("politician_id").orderBy("year", "appearance_id")
-    rows = fact.select("politician_id", "appearance_id", "year", WEALTH.alias("assets"), F.lag(WEALTH).over(order).alias("previous_inr"), F.lag("year").over(order).alias("from_year"))
+    rows = fact.select("politician_id", "appearance_id", "year", wealth().alias("assets"), F.lag(wealth()).over(order).alias("previous_inr"), F.lag("year").over(order).alias("from_year"))
     rows = rows.where("previous_inr > 0").withColumn("delta", F.col("assets") - F.col("previous_inr"))
     return rows.withColumn("pct", F.col("delta").cast("double") / F.col("previous_inr").cast("double") * 100)
 
@@ -387,7 +399,7 @@ def similar_names(fact: DataFrame, slug: str, limit: int = 6) -> DataFrame:
 def autocomplete(fact: DataFrame, q: str, limit: int = 8) -> DataFrame:
     when = F.struct("year", "appearance_id")
     rows = fact.where(F.col("name").ilike(f"%{q}%") & F.lit(len(q) >= 2))
-    rows = rows.groupBy("politician_id").agg(F.first("name").alias("name"), F.first("slug").alias("slug"), F.max_by(PARTY, when).alias("party"), F.max_by("constituency", when).alias("constituency"))
+    rows = rows.groupBy("politician_id").agg(F.first("name").alias("name"), F.first("slug").alias("slug"), F.max_by(party_or_ind(), when).alias("party"), F.max_by("constituency", when).alias("constituency"))
     return rows.orderBy("name", "politician_id").limit(limit)
 
 
