@@ -6,8 +6,9 @@ phrases and notices below (a table of constant size, so it is broadcast). A hit
 votes for the diagonal (word position - template position). Base phrases stand
 where all their 3-grams vote for one diagonal. For notices, neighbouring
 diagonals (at most GAP apart, as after an added or a lost word) merge into one
-span; the share of the notice's words under its verified hits is the span's
-score, and a span of SPAN_SHARE or more earns the label. Hash hits are verified
+span; the share of the notice's 3-grams with a verified hit is the span's
+score, and a span of SPAN_SHARE or more earns the label unless one that overlaps
+it scores higher. Hash hits are verified
 against the words themselves before they vote.
 
 Null and empty texts have no words, labels or places, and score 0. Repeated rows
@@ -80,11 +81,19 @@ def scan(spark: SparkSession, docs: DataFrame) -> DataFrame:
     spans = votes.groupBy(*key, "template", "span").agg(
         F.max("n_words").alias("n_words"), F.first("label").alias("label"), F.first("base").alias("base"), F.first("length").alias("length"),
         F.array_sort(F.collect_list(F.struct("diagonal", F.size("hits").alias("votes")))).alias("diagonals"), F.flatten(F.collect_list("hits")).alias("hits"))
-    covered = F.size(F.array_distinct(F.flatten(F.transform("hits", lambda p: F.array(*[p + i for i in range(K)])))))
+    voted = F.size(F.array_distinct("hits")) / (F.col("length") - K + 1)
     places = F.transform(F.filter("diagonals", lambda d: d["votes"] == F.col("length") - K + 1), lambda d: d["diagonal"])
-    spans = spans.select(*key, "n_words", "label", "base", F.when(F.col("base"), places).otherwise(F.array()).cast("array<bigint>").alias("places"), F.when(F.col("template").isNotNull(), covered / F.col("length")).otherwise(0.0).alias("share"), F.col("diagonals")[0]["diagonal"].alias("begin"))
+    spans = spans.select(*key, "n_words", "label", "base", "length", F.when(F.col("base"), places).otherwise(F.array()).cast("array<bigint>").alias("places"), F.when(F.col("template").isNotNull(), voted).otherwise(0.0).alias("share"), F.col("diagonals")[0]["diagonal"].alias("begin"))
+    # of notices whose spans overlap, the best one is meant
+    fits = ~F.col("base") & (F.col("share") >= SPAN_SHARE)
+    among = Window.partitionBy(*key, "fits").orderBy("begin", "end")
+    spans = spans.withColumns({"fits": fits, "end": F.col("begin") + F.col("length")})
+    fresh = F.coalesce(F.col("begin") >= F.max("end").over(among.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    spans = spans.withColumn("place", F.sum(fresh.cast("int")).over(among))
+    best = F.max("share").over(Window.partitionBy(*key, "fits", "place"))
+    spans = spans.withColumn("fits", F.col("fits") & (F.col("share") == best))
     base_label = F.when(F.col("base") & (F.size("places") > 0), F.col("label"))
-    label = F.coalesce(base_label, F.when(~F.col("base") & (F.col("share") >= SPAN_SHARE), F.col("label")))
+    label = F.coalesce(base_label, F.when(F.col("fits"), F.col("label")))
     out = spans.groupBy(*key).agg(
         F.max("n_words").alias("n_words"), F.sum(F.size("places")).cast("long").alias("n_base"), F.min(F.array_min("places")).alias("first_word"), F.max(F.array_max("places")).alias("last_word"),
         F.array_join(F.array_sort(F.collect_set(base_label)), ",").alias("base_labels"), F.array_join(F.array_sort(F.collect_set(label)), ",").alias("labels"), F.max("share").alias("score"),

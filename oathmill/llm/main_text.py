@@ -167,13 +167,14 @@ def main_slot(tokens: list[dict]) -> str | None:
             return max(named, key=lambda t: (t["chars"], -len(t["path"]), t["path"]))["path"]
     whole = max((t["chars"] for t in slots), default=0)
     big = [t for t in slots if t["chars"] >= MAIN_SHARE * whole and not t["static"] and t["path"].count(">") >= 1]
-    return max(big, key=lambda t: (t["path"].count(">"), t["path"]))["path"] if big and whole else None
+    holders = set(nested(tokens).values())  # tokens that another class, of repeated ones, is nested in
+    return max(big, key=lambda t: (t["path"] in holders, t["path"].count(">"), t["path"]))["path"] if big and whole else None
 
 
 def extract(page: str, template: list[dict] | None) -> str:
     tokens = template or []
-    slot, parents = main_slot(tokens), nested(tokens)
-    static = {t["path"] for t in tokens if t["static"] and parents.get(t["path"]) is not None}
+    slot = main_slot(tokens)
+    static = {t["path"] for t in tokens if t["static"] and ">" in t["path"]}
     events = list(walk(page))
     opened = {path(s) for k, s, _ in events if k == "open"}
     tags = {s[-1][0] for k, s, _ in events if k == "open"}
