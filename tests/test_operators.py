@@ -150,3 +150,32 @@ def test_centroids_flat_and_nested(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"X": {"lat": 1.0, "lng": 2.0}}')
     (tmp_path / "b.json").write_text('{"S": {"Y": {"lat": 3.0, "lng": 4.0}}}')
     assert {tuple(r) for f in "ab" for r in files.centroids(spark, str(tmp_path / f"{f}.json")).collect()} == {("X", 1.0, 2.0), ("Y", 3.0, 4.0)}
+
+
+def test_listing_job_is_idempotent(spark, tmp_path):
+    from oathmill.plans import jobs
+
+    row = '<tr><td>1</td><td><a href="?candidate_id={0}">N{0}</a></td><td>S</td><td>P</td><td>{0}</td><td>E</td><td>Rs 1,0{0}</td><td>Nil</td></tr>'
+    page = lambda *ids: "<table><tr><th>Candidate Constituency</th></tr>" + "".join(row.format(i) for i in ids) + "</table>"
+    pages = spark.createDataFrame([("e", 1, page(1, 2))], "slug string, page int, html string")
+    won = spark.createDataFrame([("e", 1, page(2, 3))], "slug string, page int, html string")
+    root = str(tmp_path / "facts")
+    jobs.load_listings(spark, pages, won, root, 1)
+    once = {tuple(r) for r in jobs.current(spark, root, jobs.FACTS).collect()}
+    jobs.load_listings(spark, pages, won, root, 2)
+    assert {tuple(r) for r in jobs.current(spark, root, jobs.FACTS).collect()} == once
+    assert {(r[1], r[6], r[7]) for r in once} == {(1, False, 101), (2, True, 102), (3, True, 103)}
+    assert jobs.targets(spark, "all").count() > jobs.targets(spark, "goa").count() == 4
+
+
+def test_engine_facade(spark, sf):
+    from oathmill.engine import Engine
+
+    assert Engine.of_driver_tables(spark, sf).hero_kpis(scope="current").first()["house"] == "Assembly"
+
+
+def test_seats_listed_twice_belong_to_the_later(spark):
+    from oathmill.sources import registry
+
+    got = {r["ac"]: r["pc"] for r in registry.seats(spark).collect()}
+    assert got["DHURI"] == "SANGRUR" and len(got) == 116
