@@ -63,3 +63,10 @@ def test_clean_documents_stay_and_junk_goes(spark):
     rows = Q.judge(spark, documents(spark, folder)).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").select("quality", "kept", "n_words").where("n_words >= 20").collect()
     good, bad = [r["kept"] for r in rows if r["quality"] == 1], [r["kept"] for r in rows if r["quality"] == 0]
     assert sum(good) >= 0.97 * len(good) and sum(bad) <= 0.25 * len(bad)
+
+
+def test_query_against_its_sql(spark, duck, sf):
+    from compare import rows_of
+    from oathmill.llm import queries
+
+    assert rows_of(queries.op2_quality_rules(spark, sf).toPandas()) == rows_of(duck.execute(queries.oracle_sql()["op2_quality_rules"]).fetchdf())
