@@ -20,7 +20,8 @@ def test_turns_and_loss_come_back(spark):
         assert [(t["role"], t["text"]) for t in out[conv]["turns"]] == [(r, x) for *_, r, x in rows]
         assert out[conv]["loss_text"] == "".join(x for *_, r, x in rows if r == "assistant")
         raw = out[conv]["formatted"]
-        assert "".join(raw[s["start"] : s["start"] + s["length"]] for s in out[conv]["loss_spans"]) == "".join(x.replace("\\", "\\\\").replace("<", "<\\").replace("[", "[\\") if False else "".join(c + "\\" * (c in "<[\\") for c in x) for *_, r, x in rows if r == "assistant")
+        escaped = "".join(c + "\\" * (c in "<[\\") for *_, r, x in rows if r == "assistant" for c in x)
+        assert "".join(raw[s["start"] : s["start"] + s["length"]] for s in out[conv]["loss_spans"]) == escaped
     assert out[1]["formatted"].count(C.START) == 3  # adjacent turns of a role share a block
     assert C.format_conversations(table.limit(0)).count() == 0
 
