@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from oathmill.functions import documents as D
 from oathmill.functions import names
 
+#: Characters of a name that its number is first counted by.
+HEAD = 8
 RECON_STATUSES = ("MATCH", "CLOSE", "FLAG", "NO_DB_ROW", "PARSE_FAIL")
 
 
@@ -49,7 +51,11 @@ def package(files: DataFrame) -> DataFrame:
     rows = files.withColumns({"key": names.candidate_key(F.col("path")), "id": names.affidavit_id(F.col("path"))})
     by_size = F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("s"), "path", "id")))
     out = rows.groupBy("key").agg(by_size.alias("f")).select("key", F.col("f")[0]["path"].alias("canonical"), F.size("f").alias("n_files"), F.array_join(F.transform(F.slice("f", 2, F.greatest(F.size("f"), F.lit(1))), lambda x: x["id"]), "; ").alias("others"))
-    return out.withColumn("seq", F.row_number().over(Window.orderBy("key")))
+    # number in name order: what stands before a name's beginning, and its place among names that share it
+    out = out.withColumn("head", F.substring("key", 1, HEAD))
+    heads = out.groupBy("head").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("head")) - F.col("n")).drop("n")
+    place = F.row_number().over(Window.partitionBy("head").orderBy("key"))
+    return out.join(heads, "head").withColumn("seq", (F.col("before") + place).cast("int")).drop("head", "before")
 
 
 def qc_report(pages: DataFrame) -> DataFrame:
@@ -61,9 +67,7 @@ def qc_report(pages: DataFrame) -> DataFrame:
 def status_shares(rows: DataFrame, statuses: tuple[str, ...]) -> DataFrame:
     """Count and percent of each status, absent ones with 0."""
     counts = rows.groupBy("status").agg(F.count("*").alias("n"))
-    all_ = rows.select(F.explode(F.array(*[F.lit(s) for s in statuses])).alias("status")).limit(0)
-    base = rows.sparkSession.createDataFrame([(s,) for s in statuses], "status string").unionByName(all_)
-    dense = base.join(counts, "status", "left").select("status", F.coalesce("n", F.lit(0)).alias("n"))
+    dense = rows.sparkSession.createDataFrame([(s,) for s in statuses], "status string").join(counts, "status", "left").select("status", F.coalesce("n", F.lit(0)).alias("n"))
     total = F.sum("n").over(Window.partitionBy())
     return dense.withColumn("pct", F.coalesce(F.try_divide((F.col("n") * 100).cast("double"), total.cast("double")), F.lit(0.0)))
 

@@ -279,7 +279,7 @@ def coverage_summary(fact: DataFrame, registry: DataFrame) -> DataFrame:
 
 def anomaly_scores(fact: DataFrame, house: str = "Assembly", state: str | None = None, scope: str = "current") -> DataFrame:
     rows = latest(fact, house, scope, state).withColumn("k", F.lit(1))
-    median = upper_median(rows, ["k"], wealth(), "m") if state else _median_of_all(rows)
+    median = _median_of_all(rows)
     rows = rows.join(F.broadcast(median), "k")  # one row
     ratio = F.greatest(F.lit(1.0), wealth().cast("double") / F.when(F.col("m") == 0, 1).otherwise(F.col("m")).cast("double"))
     rows = rows.withColumn("ratio", ratio).where((n_cases() > 0) | (F.col("ratio") >= 3))
@@ -289,7 +289,7 @@ def anomaly_scores(fact: DataFrame, house: str = "Assembly", state: str | None =
 
 def _median_of_all(rows: DataFrame) -> DataFrame:
     """The upper median of one large group without a window over it: count values, then walk the counts of distinct values
-    range by range. Only range totals meet in one place."""
+    range by range. Only range totals, and the distinct values of the one range with the middle, meet in one place."""
     values = rows.groupBy(wealth().alias("v")).agg(F.count("*").alias("n"))
     ranged = values.withColumn("range", F.floor(F.log2(F.col("v") + 1) * 64))
     totals = ranged.groupBy("range").agg(F.sum("n").alias("t"))  # at most 64 * 64 ranges
