@@ -27,7 +27,7 @@ SYMBOLS = b"#*$%&|<>"
 WINDOW, MIN_WORDS, MOST_REPEAT_PERCENT = 8, 20, 30
 MIN_GROUP, FENCE, LOW_Q, HIGH_Q = 200, 4, 25, 75
 #: Ratios in thousandths, each with the floor of its fence.
-FLOORS = {"symbols": 100, "exclaims": 150, "capitals": 300, "dup_lines": 300, "word_length": 14_000, "digits": 300}
+FLOORS = {"symbols": 100, "exclaims": 150, "capitals": 300, "dup_lines": 500, "word_length": 14_000, "digits": 300}
 _UPPER = bytes(range(65, 91))
 _LETTERS = _UPPER + bytes(range(97, 123))
 _DIGITS = b"0123456789"

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from oathmill import reach_workers
+
 #: Words are runs of anything but ASCII white space; bytes.split() cuts UTF-8 at exactly these bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 ASCII_SPACE = b" \t\n\r\x0b\x0c"
@@ -64,6 +66,8 @@ class Stage:
 
 
 def small_batches(spark: SparkSession) -> None:
+    """Set the rows of an Arrow batch, and let workers find this package."""
+    reach_workers(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
