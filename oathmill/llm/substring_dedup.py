@@ -192,18 +192,25 @@ def removal_spans(spark: SparkSession, docs: DataFrame) -> tuple[Stage, DataFram
     found = stage.write(hashed.join(wanted, "doc_id").select("doc_id", "th", "text", "wanted").mapInArrow(_stretched, "key long, whole long, doc_id long, th long, at int, n int, windows array<long>"), "stretches")
     stage.free()
     firsts = stage.write(found.groupBy("key", "whole").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), "firsts")
+    stage.free()
     repeated = firsts.where("first < last").select("key", "whole", "first")
-    later = found.select("key", "whole", "doc_id", "th", "at", "n").join(repeated, ["key", "whole"]).where("doc_id > first").select("doc_id", "th", "at", "n")
+    later = stage.write(found.select("key", "whole", "doc_id", "th", "at", "n").join(repeated, ["key", "whole"]).where("doc_id > first").select("doc_id", "th", "at", "n"), "later")
+    stage.free()
     # keys with different stretches: compare windows of each stretch's first document
     several = firsts.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1").select("key")
     several = stage.write(firsts.select("key", "whole", "first").join(several, "key", "left_semi"), "several")
+    stage.free()
     open_rows = found.join(several, ["key", "whole"]).where("doc_id = first")
     windows = stage.write(open_rows.select("key", "doc_id", "th", "at", F.posexplode("windows").alias("i", "window")).select("key", "window", "doc_id", "th", (F.col("at") + F.col("i")).alias("at")), "windows")
+    for name in ("stretches", "firsts", "several", "wanted"):
+        stage.drop(name)
+    stage.free()
     lowest = windows.groupBy("key", "window").agg(F.min("doc_id").alias("lowest"), F.max("doc_id").alias("highest")).where("lowest < highest").drop("highest")
-    single = windows.join(lowest, ["key", "window"]).where("doc_id > lowest").select("doc_id", "th", "at", F.lit(1).alias("n"))
-    marks = later.unionByName(single).groupBy("doc_id", "th").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
-    spans = stage.write(marks, "spans")
-    for name in ("stretches", "windows", "wanted"):
+    single = stage.write(windows.join(lowest, ["key", "window"]).where("doc_id > lowest").select("doc_id", "th", "at", F.lit(1).alias("n")), "single")
+    stage.drop("windows")
+    stage.free()
+    spans = stage.write(later.unionByName(single).groupBy("doc_id", "th").agg(F.collect_list(F.struct("at", "n")).alias("spans")), "spans")
+    for name in ("later", "single"):
         stage.drop(name)
     stage.free()
     return stage, spans
