@@ -205,9 +205,12 @@ def removal_spans(spark: SparkSession, docs: DataFrame) -> tuple[Stage, DataFram
     for name in ("stretches", "firsts", "several", "wanted"):
         stage.drop(name)
     stage.free()
-    lowest = windows.groupBy("key", "window").agg(F.min("doc_id").alias("lowest"), F.max("doc_id").alias("highest")).where("lowest < highest").drop("highest")
+    # a table of its own: a join of two plain shuffles can split a hot window's rows, one with an aggregate cannot
+    lowest = stage.write(windows.groupBy("key", "window").agg(F.min("doc_id").alias("lowest"), F.max("doc_id").alias("highest")).where("lowest < highest").drop("highest"), "lowest")
+    stage.free()
     single = stage.write(windows.join(lowest, ["key", "window"]).where("doc_id > lowest").select("doc_id", "th", "at", F.lit(1).alias("n")), "single")
-    stage.drop("windows")
+    for name in ("windows", "lowest"):
+        stage.drop(name)
     stage.free()
     spans = stage.write(later.unionByName(single).groupBy("doc_id", "th").agg(F.collect_list(F.struct("at", "n")).alias("spans")), "spans")
     for name in ("later", "single"):
