@@ -23,7 +23,7 @@ from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -138,11 +138,15 @@ def _level(units: DataFrame, level: int, last: bool) -> DataFrame:
     return dealt.select("source", "key", "p", "words", "bucket").mapInArrow(_round(level, last), "source string, key long, p double, words long, bucket long, up int")
 
 
-def mix(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies (how often the mix takes it), taken (words), key."""
+def mix(spark: SparkSession, docs: DataFrame, row: str | None = None) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies (how often the mix takes it), taken (words), key; and the column ``row``.
+
+    ``row`` tells rows of one doc_id, source and size apart; the verdicts are the same with it and without.
+    """
+    apart = [row] if row else []
     stage = Stage(spark, "mix")
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sized = stage.write(docs.select("doc_id", "source", size.alias("size")), "sized")
+    sized = stage.write(docs.select("doc_id", "source", size.alias("size"), *apart), "sized")
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     rows = totals.limit(MOST_SOURCES + 1).collect()
     if len(rows) > MOST_SOURCES:
@@ -152,8 +156,11 @@ def mix(spark: SparkSession, docs: DataFrame) -> DataFrame:
     goal = targets(sizes)
     shares = spark.createDataFrame([(s, sizes[s], goal[s], goal[s] / sizes[s] if sizes[s] else 0.0) for s in sizes], T.StructType.fromDDL("name string, source_size long, target double, rate double"))
     # equal rows get keys of their own: their number among equals
-    twin = sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("twins"))
-    each = twin.withColumn("twin", F.explode(F.sequence(F.lit(1), F.col("twins").cast("int")))).drop("twins")
+    twin = sized.groupBy("doc_id", "source", "size", *apart).agg(F.count("*").alias("twins")).withColumn("before", F.lit(0).cast("long"))
+    if row:
+        earlier = Window.partitionBy("doc_id", "source", "size").orderBy(row).rowsBetween(Window.unboundedPreceding, -1)
+        twin = twin.withColumn("before", F.coalesce(F.sum("twins").over(earlier), F.lit(0)))
+    each = twin.withColumn("twin", F.explode(F.sequence((F.col("before") + 1).cast("int"), (F.col("before") + F.col("twins")).cast("int")))).drop("twins", "before")
     each = each.join(checked_broadcast(shares), F.col("source").eqNullSafe(F.col("name")), "inner").drop("name")
     keyed = stage.write(each.withColumns({"key": F.xxhash64("doc_id", F.coalesce("source", F.lit("\x00")), F.col("source").isNull(), "size", "twin", F.lit(SEED)), "whole": F.floor("rate").cast("int")}), "keyed")
     buckets = max(1, ceil(n / BUCKET_UNITS))
@@ -166,4 +173,4 @@ def mix(spark: SparkSession, docs: DataFrame) -> DataFrame:
         decided = whole if decided is None else decided.unionByName(whole)
         units = done.where("up is null").select("source", "key", "p", "words", F.floor(F.col("bucket") / FAN_IN).cast("long").alias("bucket"))
     out = keyed.join(decided, "key", "left").withColumn("copies", (F.when(F.col("size") > 0, F.col("whole")).otherwise(0) + F.coalesce("up", F.lit(0))).cast("int"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "key")
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "key", *apart)

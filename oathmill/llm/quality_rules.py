@@ -83,11 +83,18 @@ def measure(text: bytes) -> tuple[int, ...]:
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [measure(t) for t in text_bytes(batch.column("text"))]
-        cols = [pa.array([f[i] for f in found], pa.int64()) for i in range(len(COUNTS) + len(FLOORS))]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("lang").cast(pa.string()), batch.column("source").cast(pa.string()), *cols], ["doc_id", "lang", "source", *COUNTS, *FLOORS])
+CARRIED = {"text": pa.string(), "n_chars": pa.int64()}
+
+
+def _measured(carry: tuple[str, ...]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [measure(t) for t in text_bytes(batch.column("text"))]
+            cols = [pa.array([f[i] for f in found], pa.int64()) for i in range(len(COUNTS) + len(FLOORS))]
+            cols += [batch.column(c).cast(CARRIED[c]) for c in carry]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("lang").cast(pa.string()), batch.column("source").cast(pa.string()), *cols], ["doc_id", "lang", "source", *COUNTS, *FLOORS, *carry])
+
+    return run
 
 
 def bucket(v: Column) -> Column:
@@ -127,12 +134,12 @@ def fences(measured: DataFrame) -> DataFrame:
     return best.groupBy("lang", "source").agg(*[F.max(F.when(F.col("metric") == m, fence)).alias(f"cut_{m}") for m in FLOORS])
 
 
-def judge(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source, the base counts and ratios, base_failed, cut_<ratio>, kept."""
+def judge(spark: SparkSession, docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, lang, source, the base counts and ratios, base_failed, cut_<ratio>, kept, a row per row; with the columns ``carry`` of CARRIED."""
     small_batches(spark)
     stage = Stage(spark, "rules")
-    schema = "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in (*COUNTS, *FLOORS))
-    measured = stage.write(docs.select("doc_id", "text", "lang", "source").mapInArrow(_measured, schema), "measured")
+    schema = "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in (*COUNTS, *FLOORS)) + "".join(f", {c} {'string' if c == 'text' else 'long'}" for c in carry)
+    measured = stage.write(docs.select("doc_id", "lang", "source", *{"text", *carry}).mapInArrow(_measured(carry), schema), "measured")
     cuts = stage.write(fences(measured), "fences").withColumnsRenamed({"lang": "cut_lang", "source": "cut_source"})
     same = F.col("lang").eqNullSafe(F.col("cut_lang")) & F.col("source").eqNullSafe(F.col("cut_source"))
     out = measured.join(checked_broadcast(cuts), same, "left").drop("cut_lang", "cut_source")

@@ -55,12 +55,14 @@ def fingerprint(text: bytes) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = np.fromiter(map(fingerprint, text_bytes(batch.column("text"))), np.uint64, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+        keys = {c: batch.column(c).cast(pa.int64()) for c in batch.schema.names if c != "text"}
+        yield pa.RecordBatch.from_arrays([*keys.values(), pa.array(prints.view(np.int64))], [*keys, "fp"])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long)."""
-    return docs.select("doc_id", "text").mapInArrow(_fingerprints, "doc_id long, fp long")
+def fingerprints(docs: DataFrame, *keys: str) -> DataFrame:
+    """doc_id and other whole-number ``keys``, fp (the 64 bits as a signed long)."""
+    names = ("doc_id", *keys)
+    return docs.select(*names, "text").mapInArrow(_fingerprints, ", ".join(f"{c} long" for c in (*names, "fp")))
 
 
 def _mask(blocks: tuple[tuple[int, int], ...]) -> int:
@@ -132,14 +134,29 @@ def components(stage: Stage, pairs: DataFrame) -> DataFrame:
     return leaves.unionByName(leaves.select(F.col("root").alias("node"), "root").distinct())
 
 
+def _rooted(stage: Stage, nodes: DataFrame) -> DataFrame:
+    """The nodes (fp and a column first_id), each with the root of its component."""
+    nodes = stage.write(nodes, "nodes")
+    roots = stage.write(components(stage, links(stage, nodes.select("fp"))), "roots")
+    return nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+
+
+def representatives(spark: SparkSession, docs: DataFrame, row: str) -> DataFrame:
+    """doc_id, ``row``: of each component the row with the smallest doc_id (a null one last), then the smallest ``row``."""
+    small_batches(spark)
+    stage = Stage(spark, "simhash")
+    prints = stage.write(fingerprints(docs, row), "prints")
+    first = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", row)
+    named = _rooted(stage, prints.groupBy("fp").agg(F.min(first).alias("first_id")))
+    return stage.write(named.groupBy("root").agg(F.min("first_id").alias("r")).select("r.doc_id", f"r.{row}"), "first")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, fp, component_id: the smallest doc_id that links reach."""
     small_batches(spark)
     stage = Stage(spark, "simhash")
     prints = stage.write(fingerprints(docs), "prints")
-    nodes = stage.write(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
-    roots = stage.write(components(stage, links(stage, nodes.select("fp"))), "roots")
-    named = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    named = _rooted(stage, prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     lowest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     names = stage.write(named.join(lowest, "root").select("fp", "component_id"), "names")
     return prints.join(names, "fp").select("doc_id", "fp", "component_id")

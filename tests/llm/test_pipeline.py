@@ -38,3 +38,19 @@ def test_odd_documents_pass(spark, make_docs, odd_rows, sf):
 
 def test_run_is_the_stages_in_a_row(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0 and len(corpus_pipeline.STAGES) == 5
+
+
+def test_rows_not_ids_are_judged_kept_and_mixed(spark, make_docs):
+    """Null and repeated doc_ids: each row by its own text, and the mix as mix() decides it."""
+    text = lambda seed: " ".join(f"{seed}word{i * 7919 % 1009}" for i in range(60))
+    rows = [(None, text("a"), "en", "s"), (None, text("b"), "en", "s"), (1, text("c"), "en", "s"), (1, "too short", "en", "s"), (2, text("c"), "en", "s"), (2, text("d"), "en", "s"), (3, text("e"), "en", "s"), (3, text("e"), "en", "s"), (None, text("f"), None, None), (4, text("f"), "en", "s")]
+    docs = make_docs(rows).select(*COLUMNS)
+    seen = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    judged = stages.apply_quality_rules(spark, docs, "")
+    assert seen(judged) == sorted(((d, t) for d, t, *_ in rows if t != "too short"), key=str)
+    single = stages.drop_near_duplicates(spark, judged, "")
+    assert seen(single) == sorted([(None, text("a")), (None, text("b")), (1, text("c")), (2, text("d")), (3, text("e")), (4, text("f"))], key=str)
+    many = make_docs([(i % 3 or None, text(f"m{i}x"), "en", "ab"[i % 2]) for i in range(24)] + [(9, text("n"), "en", "b")] * 8).select(*COLUMNS)
+    decided, out = mixing.mix(spark, many).collect(), stages.mix_sources(spark, many, "").collect()
+    for source in "ab":
+        assert sum(r["source"] == source for r in out) == sum(r["copies"] for r in decided if r["source"] == source)
