@@ -13,8 +13,8 @@ The main slot is the template's ``article`` or ``main`` element, else the deepes
 slot with MAIN_SHARE of the text that differs between pages. Within it, all text
 counts except that of elements for menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles and comments, known by tag or by a word of a class
-or id. Outside an article, slots whose text never changes are template, not
-content. A page without its host's main slot is judged by its own elements.
+or id. Outside the main slot, elements whose text never changes on three or more
+pages of different text are template, not content. A page without its host's main slot is judged by its own elements.
 
 Character references are decoded; white space inside a block becomes one space;
 blocks are trimmed and joined by a line feed in page order; empty blocks go. A
@@ -42,6 +42,8 @@ SUPPORT, MAIN_SHARE, STATIC_PAGES = 0.2, 0.6, 3
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style title textarea noscript template iframe svg math xmp noembed noframes".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label map mark meter output q ruby rp rt s samp small span strike strong sub sup time tt u var wbr".split())
+#: Blocks of running text: they fill a slot but are none themselves.
+RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 hr li ul ol dl dt dd blockquote pre address figure figcaption".split())
 CLOSES_ITSELF = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Elements and words of class names and ids that mark what is not the article.
 NOISE_TAGS = frozenset("nav aside footer form button select dialog menu script style title textarea noscript template iframe svg math head object".split())
@@ -98,6 +100,10 @@ def path(stack: tuple) -> str:
     return ">".join(f"{t}.{n}" if n else t for t, n, _ in stack)
 
 
+def last_tag(p: str) -> str:
+    return p.rsplit(">", 1)[-1].split(".", 1)[0]
+
+
 def host(url: str | None) -> str:
     m = re.match(r"[a-zA-Z][\w+.-]*://([^/?#]*)", url or "")
     return (m[1] if m else "").lower()
@@ -117,27 +123,33 @@ def page_tokens(page: str) -> dict[str, tuple[int, int, int]]:
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = [("host", pa.string()), ("path", pa.string()), ("n", pa.int32()), ("chars", pa.int64()), ("th", pa.int64()), ("v", pa.int64())]
+    kinds = [("host", pa.string()), ("path", pa.string()), ("n", pa.int32()), ("chars", pa.int64()), ("th", pa.int64()), ("v", pa.int64()), ("page", pa.int64())]
     for batch in batches:
         rows = []
         for url, page in zip(batch.column("url"), batch.column("html"), strict=True):
             h, page = host(url.as_py()), page.as_py() or ""
             own = f"{url.as_py()}\x00{xxhash.xxh3_64_intdigest(page.encode())}\x00"
-            rows += [(h, p, n, c, t, xxhash.xxh3_64_intdigest(f"{own}{n}".encode()) >> 33) for p, (n, c, t) in page_tokens(page).items()]
-            rows.append((h, "", 1, 0, 0, 0))
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*rows, strict=True) if rows else [[]] * 6, kinds, strict=True)], [c for c, _ in kinds])
+            tokens = page_tokens(page)
+            said = xxhash.xxh3_64_intdigest(repr([t for p, (_, _, t) in sorted(tokens.items()) if ">" not in p]).encode()) >> 33
+            rows += [(h, p, n, c, t, xxhash.xxh3_64_intdigest(f"{own}{n}".encode()) >> 33, said) for p, (n, c, t) in tokens.items()]
+            rows.append((h, "", 1, 0, 0, 0, 0))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*rows, strict=True) if rows else [[]] * 7, kinds, strict=True)], [c for c, _ in kinds])
 
 
 def templates(stage: Stage, pages: DataFrame) -> DataFrame:
     """host, template: the valid classes' tokens, as array<struct<path, class, once, static, chars>>."""
-    tokens = pages.select("url", "html").mapInArrow(_tokens, "host string, path string, n int, chars long, th long, v long")
+    tokens = pages.select("url", "html").mapInArrow(_tokens, "host string, path string, n int, chars long, th long, v long, page long")
+    square = (F.col("page") * F.col("page")).cast("decimal(38,0)")
     vectors = stage.write(tokens.groupBy("host", "path").agg(
         F.count("*").alias("pages"), F.sum("n").alias("times"), F.sum("v").alias("v1"), F.sum(F.col("v") * F.col("v") % 1_000_003).alias("v2"),
-        F.sum("chars").alias("chars"), (F.min("th") == F.max("th")).alias("static")), "vectors")
+        F.sum("chars").alias("chars"), (F.min("th") == F.max("th")).alias("static"),
+        F.min("page").cast("decimal(12,0)").alias("a"), F.max("page").cast("decimal(12,0)").alias("b"), F.sum("page").cast("decimal(24,0)").alias("s1"), F.sum(square).alias("s2")), "vectors")
+    # the sum of (page - a) * (b - page) is 0 if no page has a text between the hashes a and b: at most two texts, however many copies
+    differ = (F.col("a") + F.col("b")) * F.col("s1") - F.col("s2") - F.col("a") * F.col("b") * F.col("pages").cast("decimal(12,0)") > 0
     size = vectors.where("path = ''").select("host", F.col("pages").alias("host_pages"))
     valid = vectors.where("path <> ''").join(checked_broadcast(size), "host").where(F.col("pages") >= SUPPORT * F.col("host_pages"))
     kind = F.xxhash64("v1", "v2", "pages", "times")  # tokens with one vector
-    token = F.struct("path", kind.alias("class"), ((F.col("times") == F.col("pages")) & (F.col("pages") == F.col("host_pages"))).alias("once"), (F.col("static") & (F.col("pages") >= STATIC_PAGES)).alias("static"), "chars")
+    token = F.struct("path", kind.alias("class"), ((F.col("times") == F.col("pages")) & (F.col("pages") == F.col("host_pages"))).alias("once"), (F.col("static") & (F.col("pages") >= STATIC_PAGES) & differ).alias("static"), "chars")
     # at most 1 / SUPPORT times the tokens of a page
     return valid.groupBy("host").agg(F.sort_array(F.collect_list(token)).alias("template"))
 
@@ -166,7 +178,7 @@ def main_slot(tokens: list[dict]) -> str | None:
         if named:
             return max(named, key=lambda t: (t["chars"], -len(t["path"]), t["path"]))["path"]
     whole = max((t["chars"] for t in slots), default=0)
-    big = [t for t in slots if t["chars"] >= MAIN_SHARE * whole and not t["static"] and t["path"].count(">") >= 1]
+    big = [t for t in slots if t["chars"] >= MAIN_SHARE * whole and not t["static"] and t["path"].count(">") >= 1 and last_tag(t["path"]) not in INLINE | RUNNING]
     holders = set(nested(tokens).values())  # tokens that another class, of repeated ones, is nested in
     return max(big, key=lambda t: (t["path"] in holders, t["path"].count(">"), t["path"]))["path"] if big and whole else None
 
@@ -175,6 +187,8 @@ def extract(page: str, template: list[dict] | None) -> str:
     tokens = template or []
     slot = main_slot(tokens)
     static = {t["path"] for t in tokens if t["static"] and ">" in t["path"]}
+    if slot and last_tag(slot) not in ("html", "body"):  # all of the main slot is content
+        static = {p for p in static if not p.startswith(slot + ">")}
     events = list(walk(page))
     opened = {path(s) for k, s, _ in events if k == "open"}
     tags = {s[-1][0] for k, s, _ in events if k == "open"}

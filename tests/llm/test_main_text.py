@@ -48,3 +48,19 @@ def test_whole_pages_against_a_plain_cut(spark, sf):
 
     got = {r["page_id"]: r["text"] for r in M.main_text(spark, pages).collect()}
     assert got == {r["page_id"]: plain(r["html"]) for r in pages.collect()}
+
+
+def texts(spark, pages):
+    rows = spark.createDataFrame([(i, "https://h.x/p", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    return [r["text"] for r in sorted(M.main_text(spark, rows).collect(), key=lambda r: r["page_id"])]
+
+
+def test_copies_keep_their_text_and_constant_parts_of_the_article_stay(spark):
+    page = lambda s: f'<html><body><div class="top"><p>Our site</p></div><div class="body"><h2>Summary</h2><p>{s}</p></div></body></html>'
+    for n in (1, 2, 3, 5):
+        assert texts(spark, [page("The same long story on every page of it")] * n) == ["Summary\nThe same long story on every page of it"] * n
+    varied = [f"Story {i} with a tail long enough {i * i}" for i in range(5)]
+    assert texts(spark, [page(s) for s in varied]) == [f"Summary\n{s}" for s in varied]
+    split = lambda i: f"<html><body><div class=top>Our site</div><div class=x>left {i}</div><div class=y>right {i}</div></body></html>"
+    assert texts(spark, [split(i) for i in range(3)]) == [f"left {i}\nright {i}" for i in range(3)]
+    assert texts(spark, [split(0)] * 3 + [split(1)] * 2) == ["Our site\nleft 0\nright 0"] * 3 + ["Our site\nleft 1\nright 1"] * 2
