@@ -7,14 +7,18 @@ plain aggregation and never meet in one task. Tokens with one vector form an
 equivalence class; a class is valid with support on SUPPORT of the host's pages,
 and is nested in the class that holds its nearest enclosing token. The valid
 classes make the host's template; tokens that stand exactly once on each page
-part a page into slots.
+of their class part these pages into slots. Pages without elements are no pages
+of the template.
 
 The main slot is the template's ``article`` or ``main`` element, else the deepest
 slot with MAIN_SHARE of the text that differs between pages. Within it, all text
 counts except that of elements for menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles and comments, known by tag or by a word of a class
 or id. Outside the main slot, elements whose text never changes on three or more
-pages of different text are template, not content. A page without its host's main slot is judged by its own elements.
+pages of different text are template, not content. Where the pages of a host are built in several ways, a page without
+article or main has the deepest slot with MAIN_SHARE of its own text, of its most
+frequent class that has one. A page without a main slot is judged by its own
+elements.
 
 Character references are decoded; white space inside a block becomes one space;
 blocks are trimmed and joined by a line feed in page order; empty blocks go. A
@@ -132,12 +136,13 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tokens = page_tokens(page)
             said = xxhash.xxh3_64_intdigest(repr([t for p, (_, _, t) in sorted(tokens.items()) if ">" not in p]).encode()) >> 33
             rows += [(h, p, n, c, t, xxhash.xxh3_64_intdigest(f"{own}{n}".encode()) >> 33, said) for p, (n, c, t) in tokens.items()]
-            rows.append((h, "", 1, 0, 0, 0, 0))
+            if tokens:
+                rows.append((h, "", 1, 0, 0, 0, 0))
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*rows, strict=True) if rows else [[]] * 7, kinds, strict=True)], [c for c, _ in kinds])
 
 
 def templates(stage: Stage, pages: DataFrame) -> DataFrame:
-    """host, template: the valid classes' tokens, as array<struct<path, class, once, static, chars>>."""
+    """host, template: the valid classes' tokens, as array<struct<path, class, once, static, chars, pages, everywhere>>."""
     tokens = pages.select("url", "html").mapInArrow(_tokens, "host string, path string, n int, chars long, th long, v long, page long")
     square = (F.col("page") * F.col("page")).cast("decimal(38,0)")
     vectors = stage.write(tokens.groupBy("host", "path").agg(
@@ -149,7 +154,7 @@ def templates(stage: Stage, pages: DataFrame) -> DataFrame:
     size = vectors.where("path = ''").select("host", F.col("pages").alias("host_pages"))
     valid = vectors.where("path <> ''").join(checked_broadcast(size), "host").where(F.col("pages") >= SUPPORT * F.col("host_pages"))
     kind = F.xxhash64("v1", "v2", "pages", "times")  # tokens with one vector
-    token = F.struct("path", kind.alias("class"), ((F.col("times") == F.col("pages")) & (F.col("pages") == F.col("host_pages"))).alias("once"), (F.col("static") & (F.col("pages") >= STATIC_PAGES) & differ).alias("static"), "chars")
+    token = F.struct("path", kind.alias("class"), (F.col("times") == F.col("pages")).alias("once"), (F.col("static") & (F.col("pages") >= STATIC_PAGES) & differ).alias("static"), "chars", "pages", (F.col("pages") == F.col("host_pages")).alias("everywhere"))
     # at most 1 / SUPPORT times the tokens of a page
     return valid.groupBy("host").agg(F.sort_array(F.collect_list(token)).alias("template"))
 
@@ -171,8 +176,8 @@ def nested(tokens: list[dict]) -> dict[str, str | None]:
 
 
 def main_slot(tokens: list[dict]) -> str | None:
-    """The path of the slot that holds the article on this host's pages."""
-    slots = [t for t in tokens if t["once"]]
+    """The path of the slot that holds the article on all of this host's pages."""
+    slots = [t for t in tokens if t["once"] and t["everywhere"]]
     for tag in ("article", "main"):
         named = [t for t in slots if re.match(rf"{tag}(\.|$)", t["path"].rsplit(">", 1)[-1])]
         if named:
@@ -183,15 +188,30 @@ def main_slot(tokens: list[dict]) -> str | None:
     return max(big, key=lambda t: (t["path"] in holders, t["path"].count(">"), t["path"]))["path"] if big and whole else None
 
 
+def page_slot(tokens: list[dict], page: str) -> str | None:
+    """The path of the slot that holds the article on this page, among the classes that it has on some pages of its host."""
+    found = page_tokens(page)
+    tokens = [t for t in tokens if t["path"] in found]
+    static = {t["path"] for t in tokens if t["static"]}
+    top = {p for p in static if not any(p.startswith(s + ">") for s in static)}
+    own = {p: chars for p, (_, chars, _) in found.items()}
+    whole = sum(c for p, c in own.items() if ">" not in p) - sum(own[p] for p in top)
+    slots = [t for t in tokens if t["once"] and not t["static"] and t["path"].count(">") >= 1 and last_tag(t["path"]) not in INLINE | RUNNING | {"html", "body"}]
+    big = [t for t in slots if own[t["path"]] - sum(own[p] for p in top if p.startswith(t["path"] + ">")) >= MAIN_SHARE * whole]
+    return max(big, key=lambda t: (t["pages"], t["path"].count(">"), t["path"]))["path"] if big and whole > 0 else None
+
+
 def extract(page: str, template: list[dict] | None) -> str:
     tokens = template or []
     slot = main_slot(tokens)
     static = {t["path"] for t in tokens if t["static"] and ">" in t["path"]}
-    if slot and last_tag(slot) not in ("html", "body"):  # all of the main slot is content
-        static = {p for p in static if not p.startswith(slot + ">")}
     events = list(walk(page))
     opened = {path(s) for k, s, _ in events if k == "open"}
     tags = {s[-1][0] for k, s, _ in events if k == "open"}
+    if (slot not in opened or last_tag(slot) in ("html", "body")) and tags.isdisjoint(("article", "main")):
+        slot = page_slot(tokens, page) or slot
+    if slot and last_tag(slot) not in ("html", "body"):  # all of the main slot is content
+        static = {p for p in static if not p.startswith(slot + ">")}
     own = None if slot in opened else "article" if "article" in tags else "main" if "main" in tags else ""
     blocks, parts = [], []
 

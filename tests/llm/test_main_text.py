@@ -64,3 +64,14 @@ def test_copies_keep_their_text_and_constant_parts_of_the_article_stay(spark):
     split = lambda i: f"<html><body><div class=top>Our site</div><div class=x>left {i}</div><div class=y>right {i}</div></body></html>"
     assert texts(spark, [split(i) for i in range(3)]) == [f"left {i}\nright {i}" for i in range(3)]
     assert texts(spark, [split(0)] * 3 + [split(1)] * 2) == ["Our site\nleft 0\nright 0"] * 3 + ["Our site\nleft 1\nright 1"] * 2
+
+
+def test_odd_pages_leave_the_slot_to_the_others(spark):
+    """Empty, null and differently built pages on a host: the rest have their slot, and so has the other layout."""
+    one = lambda i: f'<html><body><div class="head">Menu of {i}</div><div class="body"><p>Story {i} with a tail long enough {i * i}</p><p>goes on</p></div></body></html>'
+    two = lambda i: f'<html><body><div class="top">Part {i}</div><div class="wrap"><div class="text"><p>Another {i} of some length, told {i}</p></div></div></body></html>'
+    first, second = [f"Story {i} with a tail long enough {i * i}\ngoes on" for i in range(6)], [f"Another {i} of some length, told {i}" for i in range(4)]
+    assert texts(spark, [one(i) for i in range(6)]) == first
+    assert texts(spark, [*(one(i) for i in range(6)), "", None, "plain"]) == [*first, "", "", "plain"]
+    assert texts(spark, [*(one(i) for i in range(6)), *(two(i) for i in range(4))]) == first + second
+    assert texts(spark, [*(one(i) for i in range(6)), "<p>alone</p>"]) == [*first, "alone"]
