@@ -14,7 +14,8 @@ The main slot is the template's ``article`` or ``main`` element, else the deepes
 slot with MAIN_SHARE of the text that differs between pages. Within it, all text
 counts except that of elements for menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles and comments, known by tag or by a word of a class
-or id. Outside the main slot, elements whose text never changes on three or more
+or id (with-sidebar and the like say what an element has, not what it is). What
+encloses the page's article is none of these. Outside the main slot, elements whose text never changes on three or more
 pages of different text are template, not content. Where the pages of a host are built in several ways, a page without
 article or main has the deepest slot with MAIN_SHARE of its own text, of its most
 frequent class that has one. A page without a main slot is judged by its own
@@ -52,14 +53,45 @@ CLOSES_ITSELF = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"t
 #: Elements and words of class names and ids that mark what is not the article.
 NOISE_TAGS = frozenset("nav aside footer form button select dialog menu script style title textarea noscript template iframe svg math head object".split())
 NOISE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent notice notices alert popup modal newsletter subscribe subscription sidebar menu nav navbar navigation breadcrumb breadcrumbs comment comments disqus reply replies footer masthead share sharing social related widget toolbar search login signup pagination pager".split())
+#: Words before a noise word that make it a property of the layout.
+HAS_WORDS = frozenset("with without has have no hide show".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _SPACE = re.compile(r"\s+")
 
 
-def walk(page: str) -> Iterator[tuple[str, tuple, str]]:
-    """('open', stack, '') for each element, ('text', stack, raw text) and ('break', stack, ''). A stack has (tag, names, is_noise)."""
-    stack: list[tuple[str, str, bool]] = []
+def noisy(names: str) -> bool:
+    """Whether a word of these class names and ids marks noise."""
+    for name in names.split():
+        words = re.split(r"[^a-z]+", name)
+        if any(w in NOISE_WORDS and before not in HAS_WORDS for before, w in zip(["", *words], words, strict=False)):
+            return True
+    return False
+
+
+def walk(page: str) -> list[tuple[str, tuple, str]]:
+    """('open', stack, '') for each element, ('text', stack, raw text) and ('break', stack, ''). A stack has [tag, names, is_noise]."""
+    events = list(_walk(page))
+    tops: dict[int, list] = {}  # articles and mains in no other: [noise around, characters, stack]
+    for kind, stack, raw in events:
+        at = next((i for i, s in enumerate(stack) if s[0] in ("article", "main")), None)
+        if at is None:
+            continue
+        top = tops.setdefault(id(stack[at]), [sum(s[2] for s in stack[:at]), 0, stack[: at + 1]])
+        if kind == "text" and not any(s[2] for s in stack[at:]):
+            top[1] += len(raw.strip())
+    told = [t for t in tops.values() if t[1]]
+    if told and all(t[0] for t in told):  # each article is in noise: what is around the one in the least of it is layout
+        _, _, stack = min(told, key=lambda t: (t[0], -t[1]))
+        layout = {path(stack[: i + 1]) for i, s in enumerate(stack) if s[2]}
+        for kind, stack, _ in events:
+            if kind == "open" and stack[-1][2] and path(stack) in layout:
+                stack[-1][2] = False
+    return events
+
+
+def _walk(page: str) -> Iterator[tuple[str, tuple, str]]:
+    stack: list[list] = []
     at = 0
     while True:
         m = _TOKEN.search(page, at)
@@ -88,10 +120,9 @@ def walk(page: str) -> Iterator[tuple[str, tuple, str]]:
         if tag in VOID:
             continue
         names = " ".join(v.strip("\"'") for _, v in _NAMES.findall(m[3] or "")).lower()
-        words = re.split(r"[^a-z]+", names)
         inside = any(t[0] in ("article", "main") for t in stack)
-        noise = tag in NOISE_TAGS or (tag == "header" and not inside) or (tag not in ("body", "html", "article", "main") and not NOISE_WORDS.isdisjoint(words))
-        stack.append((tag, re.sub(r"\d+", "#", ".".join(sorted(names.split()))), noise))
+        noise = tag in NOISE_TAGS or (tag == "header" and not inside) or (tag not in ("body", "html", "article", "main") and noisy(names))
+        stack.append([tag, re.sub(r"\d+", "#", ".".join(sorted(names.split()))), noise])
         yield "open", tuple(stack), ""
         if tag in RAW:
             end = re.compile(rf"</{tag}\b", re.I).search(page, at)
@@ -205,7 +236,7 @@ def extract(page: str, template: list[dict] | None) -> str:
     tokens = template or []
     slot = main_slot(tokens)
     static = {t["path"] for t in tokens if t["static"] and ">" in t["path"]}
-    events = list(walk(page))
+    events = walk(page)
     opened = {path(s) for k, s, _ in events if k == "open"}
     tags = {s[-1][0] for k, s, _ in events if k == "open"}
     if (slot not in opened or last_tag(slot) in ("html", "body")) and tags.isdisjoint(("article", "main")):

@@ -75,3 +75,13 @@ def test_odd_pages_leave_the_slot_to_the_others(spark):
     assert texts(spark, [*(one(i) for i in range(6)), "", None, "plain"]) == [*first, "", "", "plain"]
     assert texts(spark, [*(one(i) for i in range(6)), *(two(i) for i in range(4))]) == first + second
     assert texts(spark, [*(one(i) for i in range(6)), "<p>alone</p>"]) == [*first, "alone"]
+
+
+def test_layout_around_the_article_is_no_noise():
+    story = "<article><p>The story</p><div class=comments><article>reader</article></div></article>"
+    side = "<div class=sidebar>side<article>teaser that is longer than the story itself</article></div>"
+    for wrap in ("layout with-sidebar", "page has-nav", "sidebar-layout", "page banner-top"):
+        assert M.extract(f"<html><body><nav>n</nav><div class='{wrap}'>{story}{side}</div></body></html>", None) == "The story"
+    assert M.extract(f"<html><body><form id=f>{story}</form></body></html>", None) == "The story"
+    assert M.extract(f"<html><body>{story}<div class=related><article>more</article></div></body></html>", None) == "The story"
+    assert M.extract("<html><body><div class='page has-nav'><p>No article</p><div class=nav>n</div></div></body></html>", None) == "No article"
