@@ -77,6 +77,12 @@ def upper_median(rows: DataFrame, by: list[str], value: Column, name: str) -> Da
 # --- leaderboards ---
 
 
+def rank_labels(rows: DataFrame, *order: Column | str) -> DataFrame:
+    """The pages' row labels (W6): ``rank`` from 1 in the given order, and whether the row has the badge of the first three.
+    For results that are cut to a page's rows already: the ranks are dealt in one task."""
+    return rows.withColumn("rank", F.row_number().over(Window.orderBy(*order))).withColumn("badge", F.col("rank") <= 3)
+
+
 def _card(rows: DataFrame) -> DataFrame:
     return rows.select("politician_id", "name", "slug", "appearance_id", "year", party_or_ind().alias("party"), "constituency", wealth().alias("assets"), n_cases().alias("cases"))
 
@@ -305,6 +311,11 @@ def anomaly_candidates(fact: DataFrame, limit: int = 50, house: str = "Assembly"
     return anomaly_scores(fact, house, state, scope).orderBy("score", "appearance_id").limit(limit)
 
 
+def anomaly_ranks(fact: DataFrame, limit: int = 50, house: str = "Assembly", state: str | None = None, scope: str = "current") -> DataFrame:
+    """``anomaly_candidates`` with the labels of the page's rows."""
+    return rank_labels(anomaly_candidates(fact, limit, house, state, scope), "score", "appearance_id").orderBy("rank")
+
+
 def anomaly_buckets(fact: DataFrame, house: str = "Assembly", state: str | None = None, scope: str = "current", first: int = 500) -> DataFrame:
     rows = anomaly_candidates(fact, first, house, state, scope)
     return rows.agg(*[F.count_if(F.col("risk") == r).alias(r) for r in ("critical", "suspicious", "standard")])
@@ -348,8 +359,17 @@ def browse(fact: DataFrame, state: str, houses: tuple[str, ...] = ("Assembly", "
         people = people.where("has_party")
     if year:
         people = people.where("has_year")
+    return people.drop("has_party", "has_year").orderBy(_browse_key(sort, order), "politician_id")
+
+
+def _browse_key(sort: str, order: str) -> Column:
     key = {"name": F.lower("name"), "wealth": F.col("wealth_inr"), "terms": F.col("terms"), "cases": F.col("cases")}[sort]
-    return people.drop("has_party", "has_year").orderBy(key.desc() if order == "desc" else key.asc(), "politician_id")
+    return key.desc() if order == "desc" else key.asc()
+
+
+def browse_ranks(fact: DataFrame, state: str, *, sort: str = "name", order: str = "desc", **filters) -> DataFrame:
+    """``browse`` with the labels of the page's rows."""
+    return rank_labels(browse(fact, state, sort=sort, order=order, **filters), _browse_key(sort, order), "politician_id").orderBy("rank")
 
 
 def term_deltas(fact: DataFrame) -> DataFrame:

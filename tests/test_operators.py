@@ -179,3 +179,15 @@ def test_seats_listed_twice_belong_to_the_later(spark):
 
     got = {r["ac"]: r["pc"] for r in registry.seats(spark).collect()}
     assert got["DHURI"] == "SANGRUR" and len(got) == 116
+
+
+def test_rank_labels_follow_each_page_order(spark):
+    f = fact(spark, [(i, i, "Assembly", 2024, "A", True, a, c) for i, a, c in [(1, 50, 1), (2, 90, 9), (3, 90, 4), (4, 10, 2), (5, 70, 3)]])
+    top = analytics.rank_labels(analytics.top_by_wealth(f, 4), F.desc("assets"), "appearance_id").orderBy("rank")
+    assert [(r["appearance_id"], r["rank"], r["badge"]) for r in top.collect()] == [(2, 1, True), (3, 2, True), (5, 3, True), (1, 4, False)]
+    plain = analytics.browse(f, "S", sort="wealth").collect()
+    got = analytics.browse_ranks(f, "S", sort="wealth").collect()
+    assert [(r["politician_id"], r["rank"], r["badge"]) for r in got] == [(r["politician_id"], i, i <= 3) for i, r in enumerate(plain, 1)]
+    plain = analytics.anomaly_candidates(f, 4, scope="all").collect()
+    got = analytics.anomaly_ranks(f, 4, scope="all").collect()
+    assert len(got) == 4 and [(r["appearance_id"], r["rank"], r["badge"]) for r in got] == [(r["appearance_id"], i, i <= 3) for i, r in enumerate(plain, 1)]
