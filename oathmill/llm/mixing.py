@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import WORD, Stage, checked_broadcast
+from .shared import WORD, Stage, sized_broadcast
 
 WEIGHTS = (1, 2, 3)
 MOST_COPIES = 3
@@ -161,7 +161,7 @@ def mix(spark: SparkSession, docs: DataFrame, row: str | None = None) -> DataFra
         earlier = Window.partitionBy("doc_id", "source", "size").orderBy(row).rowsBetween(Window.unboundedPreceding, -1)
         twin = twin.withColumn("before", F.coalesce(F.sum("twins").over(earlier), F.lit(0)))
     each = twin.withColumn("twin", F.explode(F.sequence((F.col("before") + 1).cast("int"), (F.col("before") + F.col("twins")).cast("int")))).drop("twins", "before")
-    each = each.join(checked_broadcast(shares), F.col("source").eqNullSafe(F.col("name")), "inner").drop("name")
+    each = each.join(sized_broadcast(shares), F.col("source").eqNullSafe(F.col("name")), "inner").drop("name")
     keyed = stage.write(each.withColumns({"key": F.xxhash64("doc_id", F.coalesce("source", F.lit("\x00")), F.col("source").isNull(), "size", "twin", F.lit(SEED)), "whole": F.floor("rate").cast("int")}), "keyed")
     buckets = max(1, ceil(n / BUCKET_UNITS))
     units = keyed.where("size > 0 and rate > whole").select("source", "key", (F.col("rate") - F.col("whole")).alias("p"), F.col("size").alias("words"), F.pmod("key", F.lit(buckets)).alias("bucket"))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Stage, small_batches
+from .shared import Stage, batched
 
 FROM, SKETCH, MOST_LEVELS = 2, 32, 40
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -190,7 +190,6 @@ def _buckets(spark: SparkSession, docs: DataFrame) -> list[int]:
 
 def fingerprint_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
-    small_batches(spark)
     ends = _buckets(spark, docs)
     splits = F.array(*[F.lit(e).cast("long") for e in ends]) if ends else F.array(F.lit(0).cast("long"))
     count = max(1, len(ends))
@@ -204,4 +203,4 @@ def fingerprint_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     dealt = rows.select("doc_id", "text", "o", F.explode(homes).alias("h")).select("h.bucket", "h.copy", "doc_id", "text", "o")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sorted_rows = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket", "copy", F.desc("o"), "text")
-    return sorted_rows.select("bucket", "copy", "doc_id", "text").mapInArrow(_chained, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return sorted_rows.select("bucket", "copy", "doc_id", "text").mapInArrow(batched(_chained), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

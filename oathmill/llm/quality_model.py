@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import ASCII_SPACE, Stage, code_points, small_batches, text_bytes
+from .shared import ASCII_SPACE, Stage, batched, code_points, text_bytes
 
 TRAIN_ROWS = 30_000
 BINS, COARSE, PAIRS = 32, 8, 8
@@ -183,9 +183,8 @@ def _matrix(batch: pa.RecordBatch) -> np.ndarray:
 
 def score_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted."""
-    small_batches(spark)
     stage = Stage(spark, "quality")
-    table = stage.write(docs.select("doc_id", "text").mapInArrow(_featured, "doc_id long, " + ", ".join(f"{f} float" for f in FEATURES)), "features")
+    table = stage.write(docs.select("doc_id", "text").mapInArrow(batched(_featured), "doc_id long, " + ", ".join(f"{f} float" for f in FEATURES)), "features")
     known = labels.where("quality is not null and doc_id is not null").where(remainder(F.col("doc_id")) != 1).select(F.col("doc_id").alias("labelled"), "quality")
     sample = known.orderBy(F.xxhash64("labelled"), "labelled", "quality").limit(TRAIN_ROWS)
     rows = table.join(F.broadcast(sample), F.col("doc_id") == F.col("labelled")).orderBy(F.xxhash64("labelled"), "labelled", "quality", *FEATURES).limit(TRAIN_ROWS).select(*FEATURES, "quality").toArrow()  # at most TRAIN_ROWS
@@ -196,5 +195,5 @@ def score_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame) ->
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(_matrix(batch)))], ["doc_id", "score"])
 
-    scored = table.mapInArrow(run, "doc_id long, score double")
+    scored = table.mapInArrow(batched(run), "doc_id long, score double")
     return scored.select("doc_id", (remainder(F.col("doc_id")) == 1).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import ASCII_SPACE, Stage, checked_broadcast, code_points, small_batches, text_bytes
+from .shared import ASCII_SPACE, Stage, batched, code_points, sized_broadcast, text_bytes
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW, MIN_WORDS, MOST_REPEAT_PERCENT = 8, 20, 30
@@ -136,13 +136,12 @@ def fences(measured: DataFrame) -> DataFrame:
 
 def judge(spark: SparkSession, docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, lang, source, the base counts and ratios, base_failed, cut_<ratio>, kept, a row per row; with the columns ``carry`` of CARRIED."""
-    small_batches(spark)
     stage = Stage(spark, "rules")
     schema = "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in (*COUNTS, *FLOORS)) + "".join(f", {c} {'string' if c == 'text' else 'long'}" for c in carry)
-    measured = stage.write(docs.select("doc_id", "lang", "source", *{"text", *carry}).mapInArrow(_measured(carry), schema), "measured")
+    measured = stage.write(docs.select("doc_id", "lang", "source", *{"text", *carry}).mapInArrow(batched(_measured(carry)), schema), "measured")
     cuts = stage.write(fences(measured), "fences").withColumnsRenamed({"lang": "cut_lang", "source": "cut_source"})
     same = F.col("lang").eqNullSafe(F.col("cut_lang")) & F.col("source").eqNullSafe(F.col("cut_source"))
-    out = measured.join(checked_broadcast(cuts), same, "left").drop("cut_lang", "cut_source")
+    out = measured.join(sized_broadcast(cuts), same, "left").drop("cut_lang", "cut_source")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEAT_PERCENT * F.col("n_words"))
     within = F.lit(True)
     for m in FLOORS:

@@ -31,7 +31,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .shared import small_batches
+from oathmill import reach_workers
+
+from .shared import batched
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -311,15 +313,15 @@ def model_bytes(spark: SparkSession, path: str) -> bytes:
 
 def _over(spark: SparkSession, model: str, row):
     """An Arrow function that gives ``row(encoder, text)`` for each text, after its doc_id."""
+    reach_workers(spark)
     raw = spark.sparkContext.broadcast(model_bytes(spark, model))  # a model's size does not depend on the documents
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = opened(raw.value)
         for batch in batches:
-            for part in (batch.slice(i, 64) for i in range(0, batch.num_rows, 64)):
-                made = [row(encoder, t.as_py() or "") for t in part.column("text")]
-                columns = [pa.array([m[name] for m in made], kind) for name, kind in row.columns]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), *columns], ["doc_id", *(name for name, _ in row.columns)])
+            made = [row(encoder, t.as_py() or "") for t in batch.column("text")]
+            columns = [pa.array([m[name] for m in made], kind) for name, kind in row.columns]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *columns], ["doc_id", *(name for name, _ in row.columns)])
 
     return run
 
@@ -343,8 +345,7 @@ _with_digests.columns = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()),
 
 def encode(spark: SparkSession, docs: DataFrame, model: str = MODEL) -> DataFrame:
     """doc_id, ids array<int>."""
-    small_batches(spark)
-    return docs.select("doc_id", "text").mapInArrow(_over(spark, model, _with_ids), "doc_id long, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(batched(_over(spark, model, _with_ids), 64), "doc_id long, ids array<int>")
 
 
 def decode(spark: SparkSession, tokens: DataFrame, model: str = MODEL) -> DataFrame:
@@ -356,10 +357,9 @@ def decode(spark: SparkSession, tokens: DataFrame, model: str = MODEL) -> DataFr
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([encoder.decode(x.as_py() or []) for x in batch.column("ids")], pa.string())], ["doc_id", "text"])
 
-    return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return tokens.select("doc_id", "ids").mapInArrow(batched(run), "doc_id long, text string")
 
 
 def digests(spark: SparkSession, docs: DataFrame, model: str = MODEL) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of 4-byte little-endian ids), decoded_sha256, round_trip."""
-    small_batches(spark)
-    return docs.select("doc_id", "text").mapInArrow(_over(spark, model, _with_digests), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean")
+    return docs.select("doc_id", "text").mapInArrow(batched(_over(spark, model, _with_digests), 64), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean")

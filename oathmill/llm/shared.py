@@ -6,7 +6,8 @@ import atexit
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -23,9 +24,11 @@ BATCH_ROWS = 512
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where it is unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir); where it is unset, a temporary one in local mode only."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="corpus-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -48,6 +51,7 @@ class Stage:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        reach_workers(spark)
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         atexit.register(_drop, spark, self.root)
 
@@ -65,15 +69,38 @@ class Stage:
         self.spark.sparkContext._jvm.System.gc()
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Set the rows of an Arrow batch, and let workers find this package."""
-    reach_workers(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def batched(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], rows: int = BATCH_ROWS) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """An Arrow function that meets batches of at most ``rows`` rows. Spark bounds a batch's bytes."""
 
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return run(part for batch in batches for part in (batch.slice(i, rows) for i in range(0, batch.num_rows, rows)))
 
-def checked_broadcast(df: DataFrame, most_rows: int = 50_000) -> DataFrame:
-    """Broadcast ``df`` if it has few enough rows (it is counted); else leave the join to shuffle."""
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+    return sliced
+
+
+@contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Session settings (``__`` for a dot) for the jobs that run inside; the caller's come back afterwards."""
+    names = {name.replace("__", "."): value for name, value in values.items()}
+    before = {name: spark.conf.get(name, None) for name in names}
+    try:
+        for name, value in names.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+#: A broadcast table holds at most so many bytes.
+MOST_BROADCAST = 16_000_000
+
+
+def sized_broadcast(df: DataFrame, most_bytes: int = MOST_BROADCAST) -> DataFrame:
+    """Broadcast ``df`` if its measured size allows; else leave the join to shuffle. The result is the same."""
+    width = sum((F.coalesce(F.octet_length(c), F.lit(0)) + 8 if kind == "string" else F.lit(16) for c, kind in df.dtypes), F.lit(0))
+    size = df.agg(F.coalesce(F.sum(width.cast("long")), F.lit(0)).alias("b")).first()["b"]
+    return F.broadcast(df) if size <= most_bytes else df
 
 
 def text_bytes(column: pa.Array) -> Iterator[bytes]:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import LOWER, Stage, small_batches, text_bytes
+from .shared import LOWER, Stage, batched, text_bytes
 
 SHINGLE, SEED, MOST_BITS, HOT_KEY = 3, 42, 3, 256
 #: (first bit, bits) of the blocks: six of all 64 bits.
@@ -62,7 +62,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fingerprints(docs: DataFrame, *keys: str) -> DataFrame:
     """doc_id and other whole-number ``keys``, fp (the 64 bits as a signed long)."""
     names = ("doc_id", *keys)
-    return docs.select(*names, "text").mapInArrow(_fingerprints, ", ".join(f"{c} long" for c in (*names, "fp")))
+    return docs.select(*names, "text").mapInArrow(batched(_fingerprints), ", ".join(f"{c} long" for c in (*names, "fp")))
 
 
 def _mask(blocks: tuple[tuple[int, int], ...]) -> int:
@@ -143,7 +143,6 @@ def _rooted(stage: Stage, nodes: DataFrame) -> DataFrame:
 
 def representatives(spark: SparkSession, docs: DataFrame, row: str) -> DataFrame:
     """doc_id, ``row``: of each component the row with the smallest doc_id (a null one last), then the smallest ``row``."""
-    small_batches(spark)
     stage = Stage(spark, "simhash")
     prints = stage.write(fingerprints(docs, row), "prints")
     first = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", row)
@@ -153,7 +152,6 @@ def representatives(spark: SparkSession, docs: DataFrame, row: str) -> DataFrame
 
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, fp, component_id: the smallest doc_id that links reach."""
-    small_batches(spark)
     stage = Stage(spark, "simhash")
     prints = stage.write(fingerprints(docs), "prints")
     named = _rooted(stage, prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))

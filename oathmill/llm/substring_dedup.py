@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Stage, small_batches
+from .shared import Stage, batched
 
 WINDOW, GRAM = 13, 5
 #: Batches of a one-off run, and how many runs of one level are compacted into one.
@@ -81,7 +81,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def document_keys(docs: DataFrame) -> DataFrame:
     """key, doc_id: the distinct keys of each document."""
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(_keys, "key long, doc_id long")
+    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(batched(_keys), "key long, doc_id long")
 
 
 class FingerprintIndex:
@@ -174,7 +174,6 @@ def covered(n_words: int, spans: list[dict] | None) -> np.ndarray:
 
 def removal_spans(spark: SparkSession, docs: DataFrame) -> tuple[Stage, DataFrame]:
     """doc_id, th (hash of the text), spans: the windows to remove, as (first window, how many)."""
-    small_batches(spark)
     stage = Stage(spark, "substrings")
     ends = docs.agg(F.percentile_approx("doc_id", [i / BATCHES for i in range(1, BATCHES)], 10_000).alias("q")).first()["q"] or []
     index, shared, low = FingerprintIndex(stage), None, None
@@ -189,7 +188,7 @@ def removal_spans(spark: SparkSession, docs: DataFrame) -> tuple[Stage, DataFram
     wanted = stage.write(document_keys(docs).join(candidates, "key").groupBy("doc_id").agg(F.collect_list("key").alias("wanted")), "wanted")
     stage.free()
     hashed = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("th"), "text")
-    found = stage.write(hashed.join(wanted, "doc_id").select("doc_id", "th", "text", "wanted").mapInArrow(_stretched, "key long, whole long, doc_id long, th long, at int, n int, windows array<long>"), "stretches")
+    found = stage.write(hashed.join(wanted, "doc_id").select("doc_id", "th", "text", "wanted").mapInArrow(batched(_stretched, 32), "key long, whole long, doc_id long, th long, at int, n int, windows array<long>"), "stretches")
     stage.free()
     firsts = stage.write(found.groupBy("key", "whole").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), "firsts")
     stage.free()
@@ -240,7 +239,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def removal_digests(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256."""
-    return with_spans(spark, docs.select("doc_id", "text")).select("doc_id", "text", "spans").mapInArrow(_digests, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return with_spans(spark, docs.select("doc_id", "text")).select("doc_id", "text", "spans").mapInArrow(batched(_digests), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def without(text: str, spans: list[dict] | None) -> str:
@@ -267,4 +266,4 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, text, lang, source, n_chars with the repeated words removed."""
     rows = with_spans(spark, docs.select("doc_id", "text", "lang", "source", "n_chars"))
-    return rows.select("doc_id", "text", "lang", "source", "spans").mapInArrow(_texts, "doc_id long, text string, lang string, source string, n_chars long")
+    return rows.select("doc_id", "text", "lang", "source", "spans").mapInArrow(batched(_texts), "doc_id long, text string, lang string, source string, n_chars long")

@@ -85,3 +85,51 @@ def test_layout_around_the_article_is_no_noise():
     assert M.extract(f"<html><body><form id=f>{story}</form></body></html>", None) == "The story"
     assert M.extract(f"<html><body>{story}<div class=related><article>more</article></div></body></html>", None) == "The story"
     assert M.extract("<html><body><div class='page has-nav'><p>No article</p><div class=nav>n</div></div></body></html>", None) == "No article"
+
+
+def test_names_are_judged_by_their_last_word_and_never_on_running_text():
+    parts = '<section id="related-work"><p>Others did</p></section><p class="alert-free">calm</p><h2 id="search">Search</h2><p id="ad-hoc">done</p><math><mi>x</mi></math>'
+    page = f'<html><body><div class="site-footer">f</div><div class="story"><h1>Title</h1>{parts}<div class="comment-list">reader</div><div id="main-ad">buy</div></div></body></html>'
+    want = "Title\nOthers did\ncalm\nSearch\ndone\nx"
+    assert M.extract(page, None) == want
+    assert M.extract(page.replace('<div class="story">', "<article>").replace("<div id=\"main-ad\">buy</div></div>", '<div id="main-ad">buy</div></article>'), None) == want
+
+
+def test_templates_decide_on_the_whole_table(spark, monkeypatch):
+    """Without semantic tags and class names the classes find the same texts, which a page alone does not tell; no list of names is needed."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    rows = pages.collect()
+    got = {r["page_id"]: r["text"] for r in M.main_text(spark, pages).collect()}
+    bare = [(r["page_id"], r["url"], re.sub(r"<(/?)(?:article|nav|footer)\b[^>]*>", r"<\1div>", r["html"]).replace('<div class="ad">', "<div>")) for r in rows]
+    again = {r["page_id"]: r["text"] for r in M.main_text(spark, spark.createDataFrame(bare, "page_id long, url string, html string")).collect()}
+    assert again == got
+    assert sum(M.extract(page, None) != got[i] for i, _, page in bare) > 0
+    hosts: dict = {}
+    for r in rows:
+        hosts.setdefault(M.host(r["url"]), []).append(r["html"])
+    monkeypatch.setattr(M, "NOISE_TAGS", M.RAW | {"head"})
+    monkeypatch.setattr(M, "NOISE_WORDS", frozenset())
+    from oathmill.llm.shared import Stage
+
+    plans = {r["host"]: dict(zip(("slots", "static"), M.slots([t.asDict() for t in r["template"]]), strict=True)) for r in M.templates(Stage(spark, "t"), pages).where("texts").collect()}
+    assert all(M.extract(r["html"], plans.get(M.host(r["url"])), plans["*"]) == got[r["page_id"]] for r in rows)
+
+
+def test_long_open_and_deep_pages_take_seconds():
+    import time
+
+    begin = time.time()
+    assert M.extract("<div><p>text</p>" + '<a href="x ' * 100_000, None).startswith("text")
+    assert M.extract("<p>a</p>" + "<a b='>' " * 120_000, None).startswith("a")
+    assert M.extract("<div>" * 50_000 + "deep" + "</div></b>" * 50_000, None) == "deep"
+    assert M.extract("<p>x<!-- " * 50_000, None) == "x"
+    assert M.extract("".join(f"<tr><td>{i}" for i in range(50_000)), None).endswith("\n49999")
+    assert time.time() - begin < 30
+
+
+def test_small_and_alike_hosts_follow_all_hosts(spark):
+    """Short articles on hosts with one page: the template of all hosts' pages has the slot."""
+    page = lambda i, s: f"<html><body><div class=x>Offers of the day {i} are many and long</div><div class=y><p>{s}</p></div></body></html>"
+    rows = [(i, f"https://h{i % 3}.x/", page(i, f"Story {i} that goes on " * 9)) for i in range(12)] + [(50 + i, f"https://one{i}.x/", page(99 - i, f"s{i}")) for i in range(3)] + [(90, "https://one1.x/b", "")]
+    got = {r["page_id"]: r["text"] for r in M.main_text(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[50 + i] for i in range(3)] == ["s0", "s1", "s2"] and got[3] == ("Story 3 that goes on " * 9).strip() and got[90] == ""
