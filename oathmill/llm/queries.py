@@ -70,17 +70,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 _WORD = r"[^\x20\x09-\x0D]+"
 _COUNT = "length(regexp_replace(t, '[^{}]', '', 'g'))"
-_RATIO = "CAST(floor(1000 * (CAST({} AS DOUBLE) / greatest(1, {}))) AS BIGINT)"
+_RATIO = "1000 * {} // greatest(1, {})"
+_G = quality_rules.GRAIN
 
 
-def _fence(by: str) -> str:
-    """Fences of one grouping: the lowest bucket with enough rows at or under it, its top, and the floor."""
+def _sketch(by: str) -> str:
+    """n, middle and spread of one grouping: the lowest buckets with enough rows at or under them, and their tops."""
     keys = f"{by}, " if by else ""
     rank = f"PARTITION BY {keys}m"
-    top = lambda b: f"CASE WHEN {b} < 128 THEN {b} ELSE (({b} - (({b} - 64) // 64) * 64 + 1) << CAST(({b} - 64) // 64 AS INTEGER)) - 1 END"
-    return f"""(SELECT {keys}m, n, greatest({top('hi')} + 4 * ({top('hi')} - {top('lo')}), floor_) AS fence FROM (
-      SELECT {keys}m, floor_, n, min(b) FILTER (WHERE rn * 100 >= 75 * n) AS hi, min(b) FILTER (WHERE rn * 100 >= 25 * n) AS lo
-      FROM (SELECT *, row_number() OVER ({rank} ORDER BY b) AS rn, count(*) OVER ({rank}) AS n FROM long) GROUP BY {keys}m, floor_, n))"""
+    top = lambda b: f"CASE WHEN {b} < {2 * _G} THEN {b} ELSE (({b} - (({b} - {_G}) // {_G}) * {_G} + 1) << CAST(({b} - {_G}) // {_G} AS INTEGER)) - 1 END"
+    return f"""(SELECT {keys}m, n, {top('hi')} AS mid, greatest(1, {top('hi')} - {top('lo')}) AS spread FROM (
+      SELECT {keys}m, n, min(b) FILTER (WHERE rn * 100 >= 50 * n) AS hi, min(b) FILTER (WHERE rn * 100 >= 25 * n) AS lo
+      FROM (SELECT *, row_number() OVER ({rank} ORDER BY b) AS rn, count(*) OVER ({rank}) AS n FROM long) GROUP BY {keys}m, n))"""
+
+
+def _shrunk(a: str, b: str, x: str) -> str:
+    return f"({a}.n * {a}.{x} + {quality_rules.SHRINK} * {b}.{x}) // ({a}.n + {quality_rules.SHRINK})"
 
 
 #: The rules in SQL: counts, ratios, sketches as ranks of bucketed values, fences, verdicts.
@@ -91,18 +96,22 @@ win AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS s FROM d, unnest(g
 rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, s) AS c FROM win), unnest(generate_series(0, 7)) AS g(k) WHERE c > 1 GROUP BY doc_id),
 m AS (
   SELECT d.doc_id, lang, source, t, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST({_COUNT.format('#*$%&|<>')} AS BIGINT) AS n_symbols,
-    CAST(coalesce(l.dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, coalesce(l.n, 0) AS n_lines
+    CAST(coalesce(l.dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words
   FROM d LEFT JOIN l USING (doc_id) LEFT JOIN rep USING (doc_id)),
 v AS (
-  SELECT *, {_RATIO.format('n_symbols', 'n_words')} AS symbols, {_RATIO.format(_COUNT.format('!'), 'n_words')} AS exclaims, {_RATIO.format(_COUNT.format('A-Z'), _COUNT.format('A-Za-z'))} AS capitals,
-    {_RATIO.format('n_dup_lines', 'n_lines')} AS dup_lines, {_RATIO.format('word_chars', 'n_words')} AS word_length, {_RATIO.format(_COUNT.format('0-9'), 'word_chars')} AS digits FROM m),
-one AS (SELECT doc_id, lang, source, unnest([{', '.join(f"{{'m': '{k}', 'v': {k}, 'f': {x}}}" for k, x in quality_rules.FLOORS.items())}]) AS r FROM v),
-long AS (SELECT doc_id, lang, source, r.m AS m, r.v AS v, CAST(r.f AS BIGINT) AS floor_, CASE WHEN r.v < 128 THEN r.v ELSE (length(to_base(r.v, 2)) - 7) * 64 + (r.v >> CAST(length(to_base(r.v, 2)) - 7 AS INTEGER)) END AS b FROM one),
-own AS {_fence('lang, source')}, lan AS {_fence('lang')}, every AS {_fence('')},
+  SELECT *, {_RATIO.format(_COUNT.format('!-/:-@' + chr(92) + '[-`{-~'), 'word_chars')} AS marks, {_RATIO.format('word_chars', 'n_words')} AS word_length, {_RATIO.format(_COUNT.format('A-Z'), _COUNT.format('A-Za-z'))} AS capitals FROM m),
+one AS (SELECT doc_id, lang, source, unnest([{', '.join(f"{{'m': '{k}', 'v': {k}}}" for k in quality_rules.RATIOS)}]) AS r FROM v),
+long AS (
+  SELECT doc_id, lang, source, r.m AS m, r.v AS v,
+    CASE WHEN r.v < {2 * _G} THEN r.v ELSE (length(to_base(r.v, 2)) - {_G.bit_length()}) * {_G} + (r.v >> CAST(length(to_base(r.v, 2)) - {_G.bit_length()} AS INTEGER)) END AS b FROM one),
+every AS {_sketch('')},
+lan AS (SELECT a.lang, a.m, {_shrunk('a', 'b', 'mid')} AS mid, {_shrunk('a', 'b', 'spread')} AS spread FROM {_sketch('lang')} a JOIN every b ON a.m = b.m),
+own AS (
+  SELECT a.lang, a.source, a.m, {_shrunk('a', 'b', 'mid')} AS mid, least({_shrunk('a', 'b', 'spread')}, 2 * b.spread) AS spread, b.mid + {quality_rules.FENCE} * b.spread AS wide
+  FROM {_sketch('lang, source')} a JOIN lan b ON a.m = b.m AND a.lang IS NOT DISTINCT FROM b.lang),
 judged AS (
-  SELECT doc_id, bool_and(v <= CASE WHEN own.n >= 200 THEN own.fence WHEN lan.n >= 200 THEN lan.fence ELSE every.fence END) AS within
-  FROM long JOIN own ON own.m = long.m AND own.lang IS NOT DISTINCT FROM long.lang AND own.source IS NOT DISTINCT FROM long.source
-  JOIN lan ON lan.m = long.m AND lan.lang IS NOT DISTINCT FROM long.lang JOIN every ON every.m = long.m GROUP BY doc_id)
+  SELECT doc_id, bool_and(v <= CASE WHEN mid <= wide THEN mid + {quality_rules.FENCE} * spread ELSE wide END) AS within
+  FROM long JOIN own ON own.m = long.m AND own.lang IS NOT DISTINCT FROM long.lang AND own.source IS NOT DISTINCT FROM long.source GROUP BY doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
   NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND within AS kept FROM v JOIN judged USING (doc_id)"""
 
