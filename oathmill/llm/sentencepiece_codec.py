@@ -4,27 +4,34 @@ The lattice has a state per code point; an arc is a piece. For unigram models th
 best path is the one with the largest sum of scores. For BPE models an arc may
 follow another only if BPE itself would leave the two pieces side by side; of the
 paths that obey this exactly one reaches each state, and it is the BPE encoding
-of the prefix, so the same search gives the model's own ids. Only the states of
-the last ``longest piece`` code points stay open. Whenever the backpointer paths
-of all open states run through one boundary, the ids before it are committed and
-forgotten. A boundary that no piece spans (before a space mark that follows another
-character, around a character of no longer piece) is such a point; what lies
-between two of them is encoded once and remembered in a table of bounded size.
-
-Characters without a piece become byte pieces, or the unknown id where the model
-has none. Null and empty texts have no ids. Texts of any length run in the same
-memory. The space mark U+2581 in a text stands for a space, as in the format;
-all else comes back exactly. Repeated rows repeat their ids; columns other than
-doc_id and text are left out; an empty table gives an empty table.
+of the prefix, so the same search gives the model's own ids. One search serves all
+texts. It reads a text in slices of bounded size, and only the states of the last
+``longest piece`` code points stay open. Whenever the backpointer paths of all open
+states run through one boundary, the ids before it are committed and forgotten.
+
+A boundary that no piece spans (before a space mark that follows another character,
+around a character of no longer piece) is such a point, so what lies between two of
+them has ids of its own; the ids of short runs are remembered in a table of bounded
+size, which spares repeated searches and changes nothing else.
+
+Ties: of unigram paths with one score, the one whose last piece is longest; BPE merges
+of one score go left to right, as in the library. Characters without a piece become
+byte pieces, or the unknown id where the model has none. Null and empty texts have no
+ids. Beside the text itself and the ids that a caller keeps, memory does not depend on
+a text's length; ``digests`` keeps none. The space mark U+2581 in a text stands for a
+space, as in the format; all else comes back exactly. Repeated rows repeat their ids; a
+null doc_id is kept; columns other than doc_id and text are left out; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import re
 import struct
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Iterable, Iterator
+from itertools import chain, islice
 
 import ahocorasick
 import numpy as np
@@ -37,7 +44,10 @@ from .shared import batched
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
+#: Limits of the tables of remembered runs and pairs, and of the runs in them (code points).
 MEMO_RUNS, MEMO_PAIRS, MEMO_LENGTH = 200_000, 500_000, 48
+#: Code points of a text that are read at once, and ids that are handed on at once.
+SLICE = 65_536
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -105,6 +115,7 @@ class Encoder:
         self._pairs: dict[tuple[int, int], bool] = {}
         alone = re.escape(model.alone)
         self._runs = re.compile(rf"[{alone}]|{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" if alone else rf"{SPACE}*[^{SPACE}]+|{SPACE}+").findall if not model.spans else None
+        self._boundary = re.compile(rf"[^ {SPACE}](?=[ {SPACE}])")
         self._arcs = ahocorasick.Automaton()
         for p, i in model.ids.items():
             self._arcs.add_word(p, (len(p), i))
@@ -120,7 +131,7 @@ class Encoder:
             def __missing__(self, run: str) -> tuple[int, ...]:
                 ids = self.old.get(run)
                 if ids is None:
-                    ids = tuple(encoder._window(run) if model.bpe and len(run) <= MEMO_LENGTH else encoder.viterbi(run))
+                    ids = tuple(encoder.viterbi([run]))
                 if len(run) <= MEMO_LENGTH:
                     if len(self) >= MEMO_RUNS:
                         self.old = dict(self)
@@ -189,55 +200,31 @@ class Encoder:
             else:
                 j += 1
 
-    def _window(self, text: str) -> list[int]:
-        """The BPE search over a text that fits in the window whole."""
-        pairs, piece, begins = self._pairs, [-1] * (len(text) + 1), [*range(-1, len(text))]
-        known = pairs.get
-        for last, (length, p) in self._arcs.iter(text):
-            end = last + 1
-            if piece[end] < 0:
-                q = piece[end - length]
-                if q >= 0:
-                    ok = known((q, p))
-                    if not (self._learn(q, p) if ok is None else ok):
-                        continue
-                piece[end], begins[end] = p, end - length
-        out, at = [], len(text)
-        while at > 0:
-            begin = begins[at]
-            if piece[at] >= 0:
-                out.append(piece[at])
-            else:
-                out.extend([self.model.bytes[b] for b in reversed(text[begin:at].encode("utf-8", "replace"))] if self.model.bytes else [self.model.unknown])
-            at = begin
-        return out[::-1]
-
     def _learn(self, a: int, b: int) -> bool:
         if len(self._pairs) >= MEMO_PAIRS:
             self._pairs.clear()
         found = self._pairs[a, b] = self.side_by_side(a, b)
         return found
 
-    def viterbi(self, text: str) -> Iterator[int]:
-        """Ids of a text with space marks, committed as paths converge."""
+    def viterbi(self, slices: Iterable[str]) -> Iterator[int]:
+        """Ids of a text with space marks, read slice by slice, committed as paths converge."""
         model, pairs, bpe, longest = self.model, self._pairs, self.model.bpe, self.model.longest
-        size = len(text)
         # Of each state that is still held, state ``done`` first: the piece that ends there (-1: a character without
-        # one, -2: none), where it begins, its path's score.
-        done, piece, back, score = 0, [-2], [0], [0.0]
+        # one, -2: none), where it begins, its path's score. ``text`` begins at state ``done``.
+        done, text, piece, back, score = 0, "", [-2], [0], [0.0]
 
-        def path(upto: int) -> list[list[int]]:
+        def path(upto: int) -> Iterator[int]:
             out = []
             while upto > done:
                 p, begin = piece[upto - done], back[upto - done]
-                out.append([p] if p >= 0 else [model.bytes[b] for b in text[begin:upto].encode("utf-8", "replace")] if model.bytes else [model.unknown])
+                out.append([p] if p >= 0 else [model.bytes[b] for b in text[begin - done : upto - done].encode("utf-8", "replace")] if model.bytes else [model.unknown])
                 upto = begin
-            return out[::-1]
+            return chain.from_iterable(reversed(out))
 
         def close(end: int) -> int:
             """Give state ``end`` its unknown character if no piece ends there; find where all open paths meet."""
             nonlocal found
-            if found is None or (not bpe and text[end - 1] not in model.ids and score[end - 1 - done] + model.unknown_score > found[2]):
+            if found is None or (not bpe and text[end - 1 - done] not in model.ids and score[end - 1 - done] + model.unknown_score > found[2]):
                 found = (-1, end - 1, score[end - 1 - done] + model.unknown_score)
             piece.append(found[0])
             back.append(found[1])
@@ -252,47 +239,84 @@ class Encoder:
                 open_states.add(back[far - done] if far > done else done)
             return open_states.pop()
 
-        found, end = None, 1
-        for last, (length, p) in self._arcs.iter(text):  # by end, the longest first
-            while end <= last:
+        found, end, size, tail = None, 1, 0, ""
+        for part in slices:
+            text += part
+            before, size = size, size + len(part)
+            start, seen = before - len(tail), tail + part
+            tail = seen[-longest:]
+            for last, (length, p) in self._arcs.iter(seen):  # by end, the longest first
+                last += start
+                if last < before:
+                    continue
+                while end <= last:
+                    meet = close(end)
+                    if meet > done:
+                        yield from path(meet)
+                        piece, back, score, text, done = piece[meet - done :], back[meet - done :], score[meet - done :], text[meet - done :], meet
+                    end += 1
+                begin = last + 1 - length
+                if begin < done:
+                    continue
+                if bpe:
+                    if found is None:
+                        q = piece[begin - done]
+                        if q >= 0:
+                            ok = pairs.get((q, p))
+                            if not (self._learn(q, p) if ok is None else ok):
+                                continue
+                        found = (p, begin, 0.0)
+                else:
+                    s = score[begin - done] + model.scores[p]
+                    if found is None or s > found[2]:
+                        found = (p, begin, s)
+            while end < size:  # arcs into the last state may still come
                 meet = close(end)
                 if meet > done:
-                    for ids in path(meet):
-                        yield from ids
-                    piece, back, score, done = piece[meet - done :], back[meet - done :], score[meet - done :], meet
+                    yield from path(meet)
+                    piece, back, score, text, done = piece[meet - done :], back[meet - done :], score[meet - done :], text[meet - done :], meet
                 end += 1
-            begin = last + 1 - length
-            if begin < done:
-                continue
-            if bpe:
-                if found is None:
-                    q = piece[begin - done]
-                    if q >= 0:
-                        ok = pairs.get((q, p))
-                        if not (self._learn(q, p) if ok is None else ok):
-                            continue
-                    found = (p, begin, 0.0)
-            else:
-                s = score[begin - done] + model.scores[p]
-                if found is None or s > found[2]:
-                    found = (p, begin, s)
-        while end <= size:
-            close(end)
-            end += 1
-        for ids in path(size):
-            yield from ids
+        if size:
+            close(size)
+            yield from path(size)
 
-    def encode(self, text: str) -> list[int]:
+    def stream(self, text: str) -> Iterator[int]:
+        """Ids of a text; of the text no more than a slice is copied at once."""
         if not text:
-            return []
-        marked = (" " * self.model.dummy_prefix + text).replace(" ", SPACE)
+            return
+        prefix, at, size = SPACE * self.model.dummy_prefix, 0, len(text)
         if self._runs is None:
-            return list(self.viterbi(marked))
-        return list(chain.from_iterable(map(self._memo.__getitem__, self._runs(marked))))
+            yield from self.viterbi(chain([prefix], (text[i : i + SLICE].replace(" ", SPACE) for i in range(0, size, SLICE))))
+            return
+        while at < size:
+            end = size
+            if size - at > SLICE:
+                m = self._boundary.search(text, at + SLICE - 1)
+                end = m.end() if m else size
+            if end - at <= 2 * SLICE:
+                yield from chain.from_iterable(map(self._memo.__getitem__, self._runs(prefix + text[at:end].replace(" ", SPACE))))
+            else:  # no boundary in sight
+                yield from self.viterbi(chain([prefix], (text[i : min(i + SLICE, end)].replace(" ", SPACE) for i in range(at, end, SLICE))))
+            prefix, at = "", end
+
+    def encode(self, text: str) -> list[int]:
+        return list(self.stream(text))
+
+    def texts(self, ids: Iterable[int]) -> Iterator[str]:
+        """The text of ids, in parts."""
+        out, ids = codecs.getincrementaldecoder("utf-8")("replace"), iter(ids)
+        first, more = self.model.dummy_prefix, True
+        while more:
+            raw = b"".join(map(self.model.out.__getitem__, islice(ids, SLICE)))
+            more = bool(raw)
+            part = out.decode(raw, final=not more)
+            if first and part:
+                part, first = part[part.startswith(" ") :], False
+            if part:
+                yield part
 
-    def decode(self, ids: list[int]) -> str:
-        text = b"".join(map(self.model.out.__getitem__, ids)).decode("utf-8", "replace")
-        return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
+    def decode(self, ids: Iterable[int]) -> str:
+        return "".join(self.texts(ids))
 
 
 _OPEN: dict[str, Encoder] = {}
@@ -331,12 +355,21 @@ def _with_ids(encoder: Encoder, text: str) -> dict:
 
 
 def _with_digests(encoder: Encoder, text: str) -> dict:
-    ids = encoder.encode(text)
-    back = encoder.decode(ids)
-    return {
-        "n_tokens": len(ids), "ids_sha256": hashlib.sha256(np.array(ids, dtype="<i4").tobytes()).hexdigest(),
-        "decoded_sha256": hashlib.sha256(back.encode()).hexdigest(), "round_trip": back == text.replace(SPACE, " "),
-    }
+    n, at, same, told, back = 0, 0, True, hashlib.sha256(), hashlib.sha256()
+
+    def counted() -> Iterator[int]:
+        nonlocal n
+        ids = encoder.stream(text)
+        while part := list(islice(ids, SLICE)):
+            n += len(part)
+            told.update(np.array(part, dtype="<i4").tobytes())
+            yield from part
+
+    for part in encoder.texts(counted()):
+        back.update(part.encode())
+        same = same and part == text[at : at + len(part)].replace(SPACE, " ")
+        at += len(part)
+    return {"n_tokens": n, "ids_sha256": told.hexdigest(), "decoded_sha256": back.hexdigest(), "round_trip": same and at == len(text)}
 
 
 _with_ids.columns = [("ids", pa.list_(pa.int32()))]
