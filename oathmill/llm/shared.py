@@ -34,7 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def _drop(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store."""
     try:
         jvm = spark.sparkContext._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
@@ -53,7 +54,7 @@ class Stage:
     def __init__(self, spark: SparkSession, name: str):
         reach_workers(spark)
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        atexit.register(_drop, spark, self.root)
+        atexit.register(remove, spark, self.root)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -61,7 +62,7 @@ class Stage:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
-        _drop(self.spark, f"{self.root}/{name}")
+        remove(self.spark, f"{self.root}/{name}")
 
     def free(self) -> None:
         """Spark deletes the shuffle files of a plan once the driver has collected its garbage."""

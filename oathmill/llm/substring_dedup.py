@@ -6,24 +6,31 @@ judged on the input.
 
 Each window has a key: the smallest hash among its GRAM-word grams. Equal windows
 have equal keys, and neighbouring windows mostly share theirs, so documents have
-about one key for five words and no window is left out. The index holds sorted
-immutable runs (key, first and last doc_id). Batches of documents come in order of
-doc_id; each batch's run is merge-joined with the older runs, joins them, and runs
-of one size are compacted into a larger one. Keys that two documents share are
-candidates. Their windows are then verified: first whole stretches of windows
-under one key by a hash of all their words, and, where one key has several
-different stretches, window by window by a hash of its 13 words, along with the
-key. Only stretches that no smaller document has whole need the second step.
-
-Null and empty texts have no words. Rows that repeat a doc_id are judged apart,
-and never against each other. Rows with a null doc_id keep all words and remove
-none. Extra columns are left out; an empty table gives an empty table.
+about one key for five words and no window is left out. The index is a folder with
+immutable runs (key, first and last doc_id), each bucketed by key and sorted within
+its buckets, and a manifest that names the runs in force. A batch becomes a run,
+which is merge-joined with the older runs bucket by bucket, without moving or sorting
+them; FAN_IN runs of one level are merged into one of the next. A folder can be opened
+again for later batches. Keys that two documents share are candidates.
+
+Candidates are verified: first whole stretches of windows under one key, grouped by
+their very words; then, where one key has several different stretches, window by window,
+by two independent 64-bit hashes of its 13 words along with the key. Only stretches that
+no smaller document has whole need the second step.
+
+Null and empty texts have no words. Rows that repeat a doc_id are judged apart, and never
+against each other; equal ones share their spans. Rows with a null doc_id keep all words
+and remove none. Of equal windows the one in the smallest doc_id stays, and all of them
+that are in that document. A long text is cut whole, in memory of its own size; its keys and
+stretches are rows. Extra columns are left out; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,13 +39,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Stage, batched
+from .shared import Stage, batched, remove, settings
 
 WINDOW, GRAM = 13, 5
 #: Batches of a one-off run, and how many runs of one level are compacted into one.
-BATCHES, FAN_IN = 2, 4
+BATCHES, FAN_IN = 3, 2
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-_M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xA0761D6478BD642F)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -85,55 +92,118 @@ def document_keys(docs: DataFrame) -> DataFrame:
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of (key, first, last); ``add`` takes batches in any order of doc_id."""
-
-    def __init__(self, stage: Stage):
-        self.stage, self.made = stage, 0
-        self.runs: list[tuple[int, str, DataFrame]] = []  # level, name, rows
-
-    def _write(self, rows: DataFrame, level: int) -> None:
-        name = f"run{self.made}_level{level}"
-        self.made += 1
-        self.runs.append((level, name, self.stage.write(rows.sortWithinPartitions("key"), name)))
-
-    @staticmethod
-    def _merged(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("key").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-
-    def add(self, keys: DataFrame) -> DataFrame:
-        """Index a batch of (key, doc_id); gives the keys that it shares with the index or within itself."""
-        older = [rows for _, _, rows in self.runs]
-        self._write(keys.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), 0)
-        self.stage.free()
-        run = self.runs[-1][2]
-        shared = run.where("first < last").select("key")
-        for rows in older:
-            shared = shared.unionByName(run.join(rows.select("key").hint("merge"), "key", "left_semi").select("key"))
-        shared = self.stage.write(shared, f"shared{self.made}")
+    """Runs of (key, first, last) in a folder; ``add`` takes batches in any order of doc_id.
+
+    A run counts once the manifest names it, and the manifest is replaced in one move, so a lost job leaves the index
+    as it was.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
+        self.spark, self.path, self.tables = spark, path.rstrip("/"), {}
+        jvm = spark.sparkContext._jvm
+        self._file = jvm.org.apache.hadoop.fs.Path
+        self._store = self._file(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        known = self._file(f"{self.path}/manifest.json")
+        if self._store.exists(known):
+            stream = self._store.open(known)
+            try:
+                self.manifest = json.loads(bytes(stream.readAllBytes()))
+            finally:
+                stream.close()
+        else:
+            self.manifest = {"buckets": buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), "made": 0, "runs": []}
+
+    def _save(self) -> None:
+        new, known = self._file(f"{self.path}/manifest.new"), self._file(f"{self.path}/manifest.json")
+        stream = self._store.create(new, True)
+        try:
+            stream.write(bytearray(json.dumps(self.manifest).encode()))
+        finally:
+            stream.close()
+        files = self.spark.sparkContext._jvm.org.apache.hadoop.fs
+        over = self.spark.sparkContext._gateway.new_array(getattr(files, "Options$Rename"), 1)
+        over[0] = getattr(files, "Options$Rename").OVERWRITE
+        files.FileContext.getFileContext(self._store.getUri(), self._store.getConf()).rename(self._store.makeQualified(new), self._store.makeQualified(known), over)
+
+    def merging(self):
+        """Settings under which joins of runs read their buckets as they lie."""
+        return settings(
+            self.spark, spark__sql__legacy__bucketedTableScan__outputOrdering="true", spark__sql__autoBroadcastJoinThreshold="-1", spark__sql__adaptive__autoBroadcastJoinThreshold="-1",
+            spark__sql__shuffle__partitions=str(self.manifest["buckets"]), spark__sql__adaptive__coalescePartitions__enabled="false", spark__sql__join__preferSortMergeJoin="true")
+
+    def run(self, name: str) -> DataFrame:
+        """A run as a bucketed table; the session's catalogue learns of it on first use."""
+        if name not in self.tables:
+            self.tables[name] = f"run_{uuid.uuid4().hex}"
+            self.spark.sql(f"CREATE TABLE {self.tables[name]} (key BIGINT, first BIGINT, last BIGINT) USING parquet CLUSTERED BY (key) SORTED BY (key) INTO {self.manifest['buckets']} BUCKETS LOCATION '{self.path}/{name}'")
+        return self.spark.table(self.tables[name])
+
+    def _write(self, rows: DataFrame, level: int) -> str:
+        name = f"run{self.manifest['made']}_level{level}_{uuid.uuid4().hex[:8]}"
+        self.manifest["made"] += 1
+        table = self.tables[name] = f"run_{uuid.uuid4().hex}"
+        with self.merging():
+            rows.select("key", "first", "last").write.format("parquet").option("path", f"{self.path}/{name}").bucketBy(self.manifest["buckets"], "key").sortBy("key").saveAsTable(table)
+        return name
+
+    def add(self, keys: DataFrame, stage: Stage) -> DataFrame:
+        """Index a batch of (key, doc_id); gives the keys that it shares with the index or within itself, written in ``stage``."""
+        name = self._write(keys.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), 0)
+        stage.free()
+        with self.merging():
+            shared = stage.write(self.probe(name), f"shared{self.manifest['made']}")
+        self.manifest["runs"].append({"level": 0, "name": name})
+        self._save()
         self.compact()
         return shared
 
+    def probe(self, name: str) -> DataFrame:
+        """Keys of a run that two of its own documents have, or a run in force: a merge join, bucket by bucket."""
+        found, met = self.run(name), F.col("first") < F.col("last")
+        for i, r in enumerate(self.manifest["runs"]):
+            found = found.join(self.run(r["name"]).select("key", F.lit(True).alias(f"seen{i}")), "key", "left")
+            met = met | F.col(f"seen{i}").isNotNull()
+        return found.where(met).select("key")
+
     def compact(self) -> None:
-        for level in sorted({r[0] for r in self.runs}):
-            same = [r for r in self.runs if r[0] == level]
-            if len(same) >= FAN_IN:
-                rows = same[0][2]
-                for r in same[1:]:
-                    rows = rows.unionByName(r[2])
-                self._write(self._merged(rows), level + 1)
-                self.runs = [r for r in self.runs if r not in same]
-                for r in same:
-                    self.stage.drop(r[1])
+        """Merge FAN_IN runs of one level into one of the next, as often as there are so many."""
+        while True:
+            levels: dict[int, list[str]] = {}
+            for r in self.manifest["runs"]:
+                levels.setdefault(r["level"], []).append(r["name"])
+            full = min((k for k, names in levels.items() if len(names) >= FAN_IN), default=None)
+            if full is None:
+                return
+            old = levels[full][:FAN_IN]
+            rows = self.run(old[0])
+            for name in old[1:]:
+                other = self.run(name).select("key", F.col("first").alias("first2"), F.col("last").alias("last2"))
+                rows = rows.join(other, "key", "full").select("key", F.least("first", "first2").alias("first"), F.greatest("last", "last2").alias("last"))
+            new = self._write(rows, full + 1)
+            self.manifest["runs"] = [r for r in self.manifest["runs"] if r["name"] not in old] + [{"level": full + 1, "name": new}]
+            self._save()
+            for name in old:
+                self._forget(name)
+                remove(self.spark, f"{self.path}/{name}")
+
+    def _forget(self, name: str) -> None:
+        if name in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.tables.pop(name)}")
+
+    def close(self) -> None:
+        """Take the runs out of the session's catalogue; the folder stays."""
+        for name in list(self.tables):
+            self._forget(name)
 
     def drop(self) -> None:
-        for _, name, _ in self.runs:
-            self.stage.drop(name)
-        self.runs = []
+        self.close()
+        remove(self.spark, self.path)
 
 
-def stretches(text: bytes, wanted: np.ndarray) -> list[tuple[int, int, int, int, list[int]]]:
-    """(key, hash of all its words, first window, windows, their hashes) of each run of windows under one wanted key."""
-    keys, h = window_keys(text.split())
+def stretches(text: bytes, wanted: np.ndarray) -> list[tuple[int, bytes, int, int, list[int], list[int]]]:
+    """(key, words joined by a space, first window, windows, two hashes of each) of each run of windows under one wanted key."""
+    words = text.split()
+    keys, h = window_keys(words)
     if not len(keys):
         return []
     at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
@@ -142,25 +212,31 @@ def stretches(text: bytes, wanted: np.ndarray) -> list[tuple[int, int, int, int,
     if not chosen.any():
         return []
     with np.errstate(over="ignore"):
-        windows = _rolled(h, WINDOW, _M2).view(np.int64)
-    out = []
-    for a, b in zip(at[chosen].tolist(), at_end[chosen].tolist(), strict=True):
-        whole = xxhash.xxh3_64_intdigest(h[a : b + WINDOW - 1].tobytes(), b - a)
-        out.append((int(keys[a]), whole - (1 << 64) if whole >> 63 else whole, a, b - a, windows[a:b].tolist()))
-    return out
+        windows, again = _rolled(h, WINDOW, _M2).view(np.int64), _rolled(h ^ (h >> np.uint64(31)), WINDOW, _M3).view(np.int64)
+    return [(int(keys[a]), b" ".join(words[a : b + WINDOW - 1]), a, b - a, windows[a:b], again[a:b]) for a, b in zip(at[chosen].tolist(), at_end[chosen].tolist(), strict=True)]
+
+
+_STRETCH = [("key", pa.int64()), ("words", pa.binary()), ("doc_id", pa.int64()), ("th", pa.int64()), ("at", pa.int32()), ("n", pa.int32())]
+
+
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    """A list per array, without a Python object per number."""
+    ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *parts])))
 
 
 def _stretched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of (doc_id, th, text, wanted)."""
-    kinds = [("key", pa.int64()), ("whole", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("windows", pa.list_(pa.int64()))]
     for batch in batches:
-        for part in (batch.slice(i, 32) for i in range(0, batch.num_rows, 32)):
-            rows = []
-            for doc_id, th, text, wanted in zip(*(part.column(c) for c in ("doc_id", "th", "text", "wanted")), strict=True):
-                d, t = doc_id.as_py(), th.as_py()
-                rows += [(k, w, d, t, a, n, hs) for k, w, a, n, hs in stretches((text.as_py() or "").encode(), np.array(wanted.as_py(), np.int64))]
-            columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, kinds, strict=True)], [c for c, _ in kinds])
+        rows, windows, again = [], [], []
+        for doc_id, th, text, wanted in zip(*(batch.column(c) for c in ("doc_id", "th", "text", "wanted")), strict=True):
+            d, t = doc_id.as_py(), th.as_py()
+            for k, w, a, n, one, two in stretches((text.as_py() or "").encode(), wanted.values.to_numpy(zero_copy_only=False)):
+                rows.append((k, w, d, t, a, n))
+                windows.append(one)
+                again.append(two)
+        columns = zip(*rows, strict=True) if rows else [[]] * len(_STRETCH)
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, (_, k) in zip(columns, _STRETCH, strict=True)), _lists(windows), _lists(again)], [*(c for c, _ in _STRETCH), "windows", "again"])
 
 
 def covered(n_words: int, spans: list[dict] | None) -> np.ndarray:
@@ -172,46 +248,62 @@ def covered(n_words: int, spans: list[dict] | None) -> np.ndarray:
     return np.cumsum(marks)[:-1] > 0
 
 
-def removal_spans(spark: SparkSession, docs: DataFrame) -> tuple[Stage, DataFrame]:
-    """doc_id, th (hash of the text), spans: the windows to remove, as (first window, how many)."""
-    stage = Stage(spark, "substrings")
+def candidates(stage: Stage, index: FingerprintIndex, docs: DataFrame) -> DataFrame:
+    """key: those that two documents share, from batches of ``docs`` in order of doc_id."""
     ends = docs.agg(F.percentile_approx("doc_id", [i / BATCHES for i in range(1, BATCHES)], 10_000).alias("q")).first()["q"] or []
-    index, shared, low = FingerprintIndex(stage), None, None
-    for end in [*ends, None]:
+    shared, low = None, None
+    for end in [*sorted(set(ends)), None]:
         batch = docs if low is None else docs.where(F.col("doc_id") > low)
-        found = index.add(document_keys(batch if end is None else batch.where(F.col("doc_id") <= end)))
+        found = index.add(document_keys(batch if end is None else batch.where(F.col("doc_id") <= end)), stage)
         shared = found if shared is None else shared.unionByName(found)
         low = end
-    candidates = stage.write(shared.distinct(), "candidates")
+        stage.free()
+    return stage.write(shared.distinct(), "candidates")
+
+
+def removal_spans(spark: SparkSession, docs: DataFrame) -> tuple[Stage, DataFrame]:
+    """doc_id, th (hash of the text), spans: the windows to remove, as (first window, how many)."""
+    stage = Stage(spark, "substrings")
+    index = FingerprintIndex(spark, f"{stage.root}/index")
+    shared = candidates(stage, index, docs)
     index.drop()
     stage.free()
-    wanted = stage.write(document_keys(docs).join(candidates, "key").groupBy("doc_id").agg(F.collect_list("key").alias("wanted")), "wanted")
+    wanted = stage.write(document_keys(docs).join(shared, "key").groupBy("doc_id").agg(F.collect_list("key").alias("wanted")), "wanted")
     stage.free()
     hashed = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("th"), "text")
-    found = stage.write(hashed.join(wanted, "doc_id").select("doc_id", "th", "text", "wanted").mapInArrow(batched(_stretched, 32), "key long, whole long, doc_id long, th long, at int, n int, windows array<long>"), "stretches")
+    kinds = "key long, words binary, doc_id long, th long, at int, n int, windows array<long>, again array<long>"
+    found = stage.write(hashed.join(wanted, "doc_id").select("doc_id", "th", "text", "wanted").mapInArrow(batched(_stretched, 32), kinds), "stretches")
+    stage.drop("wanted")
+    stage.free()
+    # grouped by the words themselves; their hash only spares the later joins the words
+    same = F.xxhash64("words")
+    firsts = stage.write(found.groupBy("key", "words").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).select("key", same.alias("whole"), "words", "first", "last"), "firsts")
     stage.free()
-    firsts = stage.write(found.groupBy("key", "whole").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), "firsts")
+    kinds_of = stage.write(firsts.groupBy("key").agg(F.count("*").alias("kinds"), F.count_distinct("whole").alias("hashes")).where("kinds > 1"), "kinds")
     stage.free()
-    repeated = firsts.where("first < last").select("key", "whole", "first")
-    later = stage.write(found.select("key", "whole", "doc_id", "th", "at", "n").join(repeated, ["key", "whole"]).where("doc_id > first").select("doc_id", "th", "at", "n"), "later")
+    mixed = [] if kinds_of.where("hashes < kinds").isEmpty() else ["words"]  # two stretches with one hash: join by words
+    by = ["key", "whole", *mixed]
+    rows = found.select("key", same.alias("whole"), *mixed, "doc_id", "th", "at", "n")
+    later = stage.write(rows.join(firsts.where("first < last").select(*by, "first"), by).where("doc_id > first").select("doc_id", "th", "at", "n"), "later")
     stage.free()
     # keys with different stretches: compare windows of each stretch's first document
-    several = firsts.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1").select("key")
-    several = stage.write(firsts.select("key", "whole", "first").join(several, "key", "left_semi"), "several")
+    several = stage.write(firsts.select(*by, "first").join(kinds_of.select("key"), "key", "left_semi"), "several")
     stage.free()
-    open_rows = found.join(several, ["key", "whole"]).where("doc_id = first")
-    windows = stage.write(open_rows.select("key", "doc_id", "th", "at", F.posexplode("windows").alias("i", "window")).select("key", "window", "doc_id", "th", (F.col("at") + F.col("i")).alias("at")), "windows")
-    for name in ("stretches", "firsts", "several", "wanted"):
+    open_rows = found.select("key", same.alias("whole"), *mixed, "doc_id", "th", "at", "windows", "again").join(several, by).where("doc_id = first")
+    pairs = F.posexplode(F.arrays_zip("windows", "again")).alias("i", "w")
+    windows = stage.write(open_rows.select("key", "doc_id", "th", "at", pairs).select("key", F.col("w.windows").alias("window"), F.col("w.again").alias("again"), "doc_id", "th", (F.col("at") + F.col("i")).alias("at")), "windows")
+    for name in ("stretches", "firsts", "several", "kinds"):
         stage.drop(name)
     stage.free()
     # a table of its own: a join of two plain shuffles can split a hot window's rows, one with an aggregate cannot
-    lowest = stage.write(windows.groupBy("key", "window").agg(F.min("doc_id").alias("lowest"), F.max("doc_id").alias("highest")).where("lowest < highest").drop("highest"), "lowest")
+    window = ["key", "window", "again"]
+    lowest = stage.write(windows.groupBy(*window).agg(F.min("doc_id").alias("lowest"), F.max("doc_id").alias("highest")).where("lowest < highest").drop("highest"), "lowest")
     stage.free()
-    single = stage.write(windows.join(lowest, ["key", "window"]).where("doc_id > lowest").select("doc_id", "th", "at", F.lit(1).alias("n")), "single")
+    single = stage.write(windows.join(lowest, window).where("doc_id > lowest").select("doc_id", "th", "at", F.lit(1).alias("n")), "single")
     for name in ("windows", "lowest"):
         stage.drop(name)
     stage.free()
-    spans = stage.write(later.unionByName(single).groupBy("doc_id", "th").agg(F.collect_list(F.struct("at", "n")).alias("spans")), "spans")
+    spans = stage.write(later.unionByName(single).groupBy("doc_id", "th").agg(F.collect_set(F.struct("at", "n")).alias("spans")), "spans")
     for name in ("later", "single"):
         stage.drop(name)
     stage.free()

@@ -41,7 +41,6 @@ def test_odd_rows_against_brute_force(spark, make_docs, odd_rows):
 @pytest.mark.parametrize("batches", [1, 6])
 def test_random_mixtures_against_brute_force(spark, make_docs, monkeypatch, batches):
     monkeypatch.setattr(S, "BATCHES", batches)
-    monkeypatch.setattr(S, "FAN_IN", 2)
     random.seed(batches)
     passages = [[random.choice("abcdefgh") + random.choice("xyz") for _ in range(random.randint(10, 40))] for _ in range(12)]
     rows = []
@@ -55,13 +54,48 @@ def test_random_mixtures_against_brute_force(spark, make_docs, monkeypatch, batc
     assert collected(S.removal_digests(spark, make_docs(rows))) == brute(rows)
 
 
-def test_index_runs_are_compacted(spark):
+def test_index_takes_four_batches_in_four_calls(spark, tmp_path):
+    """Each call opens the folder anew; runs are compacted, and joined as they lie."""
     from oathmill.llm.shared import Stage
 
-    index = S.FingerprintIndex(Stage(spark, "t"))
-    shared = [index.add(spark.createDataFrame([(k, d) for k in range(3)] + [(10 + d, d)], "key long, doc_id long")).count() for d in range(S.FAN_IN)]
-    assert shared[0] == 0 and all(n for n in shared[1:])
-    assert [level for level, _, _ in index.runs] == [1] and index.runs[0][2].count() == 3 + S.FAN_IN
+    path, stage = f"file://{tmp_path}/index", Stage(spark, "t")
+    levels, shared = [], []
+    for d in range(4):
+        index = S.FingerprintIndex(spark, path, 4)
+        batch = spark.createDataFrame([(k, d) for k in range(100)] + [(1000 + d, d), (2000 + d, d), (2000 + d, 10 + d)], "key long, doc_id long")
+        shared.append(sorted(r["key"] for r in index.add(batch, stage).collect()))
+        levels.append(sorted(r["level"] for r in index.manifest["runs"]))
+        index.close()
+    assert shared == [[2000]] + [[*range(100), 2000 + d] for d in (1, 2, 3)]
+    assert levels == [[0], [1], [0, 1], [2]]
+    index = S.FingerprintIndex(spark, path)
+    assert index.manifest["buckets"] == 4 and len(index.manifest["runs"]) == 1
+    name = index.manifest["runs"][0]["name"]
+    rows = {r["key"]: (r["first"], r["last"]) for r in index.run(name).collect()}
+    assert rows == {k: (0, 3) for k in range(100)} | {1000 + d: (d, d) for d in range(4)} | {2000 + d: (d, 10 + d) for d in range(4)}
+    new = index._write(spark.createDataFrame([(5, 9), (7777, 9)], "key long, doc_id long").groupBy("key").agg({"doc_id": "min"}).selectExpr("key", "`min(doc_id)` first", "`min(doc_id)` last"), 0)
+    with index.merging():
+        joined = index.probe(new)
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+        assert [r["key"] for r in joined.collect()] == [5]
+    index.drop()
+    assert not spark.catalog.listTables(pattern="run_*")
+
+
+def test_rows_that_repeat_share_their_spans(spark, make_docs):
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [(1, passage, "en", "a")] + [(2, passage + " end", "en", "a")] * 50
+    assert collected(S.removal_digests(spark, make_docs(rows))) == brute(rows)
+    _, spans = S.removal_spans(spark, make_docs(rows))
+    found = spans.collect()
+    assert len(found) == 1 and len(found[0]["spans"]) < 30
+
+
+def test_stretches_with_one_hash_are_told_apart_by_their_words(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(S.F, "xxhash64", lambda *c: S.F.lit(7).cast("long") if c == ("words",) else S.F.hash(*c).cast("long"))
+    rows = [(d, " ".join(f"{'ab'[d % 2]}{i // 9}" for i in range(60)), "en", "a") for d in range(4)]
+    assert collected(S.removal_digests(spark, make_docs(rows))) == brute(rows)
 
 
 def test_white_space_of_kept_words_stays():
