@@ -9,11 +9,15 @@ than its one last unit. Documents are dealt into hash buckets; each bucket round
 its own units and hands on one residual per source, and the residuals meet in a
 reduction tree of fixed fan-in, so no task sees a whole source.
 
-All randomness comes from hashes of (doc_id, seed): reruns and other partitionings
-agree. Null and empty texts have size 0 and are taken 0 times. Null sources are a
-source of their own, last. Repeated rows are units of their own; rows that are
-equal in doc_id, size and source can change places without a difference. Extra
-columns stay out of the result. An empty table gives an empty table.
+Rows that are equal in doc_id, source and size are pivoted with each other first, in
+one step: of m equal fractions p, floor(m p) are whole and one residual is left.
+
+All randomness comes from hashes of (doc_id, source, size, seed): reruns and other
+partitionings agree. Targets are found by rounds of aggregates over the table of sources;
+only sums reach the driver. Null and empty texts have size 0 and are taken 0 times. Null
+sources are a source of their own, last. A null doc_id is an id like others. Of equal rows
+any may be the ones taken once more. A long text counts by its words. Extra columns stay out
+of the result. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -25,36 +29,43 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .shared import WORD, Stage, sized_broadcast
+from .shared import WORD, Stage, batched, repeated, sized_broadcast
 
 WEIGHTS = (1, 2, 3)
 MOST_COPIES = 3
 SEED = 20_240_817
 #: Units in a bucket on average, and residuals that one node of the tree joins.
 BUCKET_UNITS, FAN_IN = 512, 256
-#: One row per source reaches the driver; a table with more sources than this is refused.
-MOST_SOURCES = 2_000_000
 EPS = 1e-9
 
 
-def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> dict[str | None, float]:
-    """Share the sum of sizes by weight; no source above ``most`` times its size, the excess reshared by weight."""
-    names = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
-    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
-    out: dict[str | None, float] = {}
-    left, open_names = float(sum(sizes.values())), list(names)
-    while open_names:
-        unit = left / sum(weight[s] for s in open_names)
-        full = [s for s in open_names if weight[s] * unit > most * sizes[s]]
-        if not full:
-            return out | {s: weight[s] * unit for s in open_names}
-        for s in full:
-            out[s] = float(most * sizes[s])
-            left -= out[s]
-        open_names = [s for s in open_names if s not in out]
-    return out
+def numbered(stage: Stage, names: DataFrame) -> DataFrame:
+    """``names`` (distinct) with their rank in code point order, null last, from 0; ranges are numbered apart, and their counts added."""
+    ranged = names.repartitionByRange(F.col("source").isNull(), "source").sortWithinPartitions(F.col("source").isNull(), "source")
+    ranged = stage.write(ranged.withColumn("at", F.monotonically_increasing_id()), "ranged")
+    part = F.shiftright("at", 33)
+    counts = {r["part"]: r["n"] for r in ranged.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}  # one row per range
+    before, total = [F.lit(0)], 0  # at least one entry
+    for k in range(max(counts, default=-1) + 1):
+        before[k:] = [F.lit(total).cast("long")]
+        total += counts.get(k, 0)
+    return ranged.withColumn("rank", F.get(F.array(*before), part.cast("int")) + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).drop("at")
+
+
+def targets(stage: Stage, sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
+    """source, source_size, target: the sum of sizes shared by weight; no source above ``most`` times its size, the excess reshared by weight."""
+    weight = F.get(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights)).cast("int"))
+    rows = stage.write(numbered(stage, sizes).select("source", "source_size", weight.cast("long").alias("weight"), (most * F.col("source_size")).alias("most")), "weighed")
+    whole = rows.agg(F.sum("source_size").alias("s")).first()["s"] or 0
+    unit, full = 0.0, -1
+    while True:  # whole numbers are summed, so the order of rows does not matter; the full sources only grow
+        over = F.col("weight") * F.lit(unit) > F.col("most")
+        found = rows.agg(F.count_if(over).alias("n"), F.coalesce(F.sum(F.when(over, F.col("most"))), F.lit(0)).alias("taken"), F.sum(F.when(~over, F.col("weight"))).alias("weight")).first()
+        if found["n"] == full or not found["weight"]:
+            break
+        full, unit = found["n"], (whole - found["taken"]) / found["weight"]
+    return rows.select("source", "source_size", F.least(F.col("weight") * F.lit(unit), F.col("most").cast("double")).alias("target"))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -96,8 +107,7 @@ def pivot(units: list[tuple[int, float, int]], level: int) -> tuple[list[tuple[i
     return done, held
 
 
-_UNIT = "source string, key long, p double, words long, bucket long"
-_DONE = pa.schema([("source", pa.string()), ("key", pa.int64()), ("p", pa.float64()), ("words", pa.int64()), ("bucket", pa.int64()), ("up", pa.int32())])
+_UNIT = pa.schema([("source", pa.string()), ("doc_id", pa.int64()), ("words", pa.int64()), ("key", pa.int64()), ("p", pa.float64()), ("bucket", pa.int64()), ("up", pa.int32())])
 
 
 def _round(level: int, last: bool):
@@ -110,67 +120,81 @@ def _round(level: int, last: bool):
         def close() -> None:
             if at is None:
                 return
-            done, held = pivot([(k, p, w) for k, (p, w, _) in units.items()], level)
+            done, held = pivot([(k, u[3], u[1]) for k, u in units.items()], level)
             if held and last:
                 done.append((held[0], int(uniform(held[0], 99) < held[1])))
                 held = None
-            out.extend((at[1], k, None, units[k][1], at[0], up) for k, up in done)
+            out.extend((at[1], *units[k][:3], None, at[0], up) for k, up in done)
             if held:
-                out.append((at[1], held[0], held[1], held[2], at[0], None))
+                out.append((at[1], *units[held[0]][:3], held[1], at[0], None))
+
+        def rows() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * len(_UNIT), _UNIT, strict=True)], schema=_UNIT)
+            out.clear()
+            return made
 
         for batch in batches:
-            for source, key, p, words, bucket in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            for source, doc_id, words, key, p, bucket in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 if (bucket, source) != at:
                     close()
                     at, units = (bucket, source), {}
-                units[key] = (p, words, None)
+                name = key
+                while name in units:  # two units with one hash
+                    name += 1
+                units[name] = (doc_id, words, key, p)
             if len(out) > 20_000:
-                yield pa.RecordBatch.from_pylist([dict(zip(_DONE.names, r, strict=True)) for r in out], schema=_DONE)
-                out.clear()
+                yield rows()
         close()
-        yield pa.RecordBatch.from_pylist([dict(zip(_DONE.names, r, strict=True)) for r in out], schema=_DONE)
+        yield rows()
 
     return run
 
 
 def _level(units: DataFrame, level: int, last: bool) -> DataFrame:
-    dealt = units.repartition("bucket", "source").sortWithinPartitions("bucket", "source", F.xxhash64("key", F.lit(level)), "key")
-    return dealt.select("source", "key", "p", "words", "bucket").mapInArrow(_round(level, last), "source string, key long, p double, words long, bucket long, up int")
+    dealt = units.repartition("bucket", "source").sortWithinPartitions("bucket", "source", F.xxhash64("key", F.lit(level)), "key", "doc_id", "words")
+    return dealt.select("source", "doc_id", "words", "key", "p", "bucket").mapInArrow(batched(_round(level, last), 10_000), "source string, doc_id long, words long, key long, p double, bucket long, up int")
 
 
-def mix(spark: SparkSession, docs: DataFrame, row: str | None = None) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies (how often the mix takes it), taken (words), key; and the column ``row``.
+def mixed_groups(spark: SparkSession, docs: DataFrame, row: str | None = None) -> DataFrame:
+    """doc_id, source, size, source_size, target, key, twins (equal rows), copies (of each), more (how many of the twins are taken once more).
 
-    ``row`` tells rows of one doc_id, source and size apart; the verdicts are the same with it and without.
+    With a column ``row``, which tells rows of one doc_id, source and size apart, the group's ``more`` go to the smallest ``row`` first.
     """
     apart = [row] if row else []
     stage = Stage(spark, "mix")
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sized = stage.write(docs.select("doc_id", "source", size.alias("size"), *apart), "sized")
-    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    rows = totals.limit(MOST_SOURCES + 1).collect()
-    if len(rows) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    sizes = {r["source"]: r["source_size"] for r in rows}
-    n = sum(r["n"] for r in rows)
-    goal = targets(sizes)
-    shares = spark.createDataFrame([(s, sizes[s], goal[s], goal[s] / sizes[s] if sizes[s] else 0.0) for s in sizes], T.StructType.fromDDL("name string, source_size long, target double, rate double"))
-    # equal rows get keys of their own: their number among equals
-    twin = sized.groupBy("doc_id", "source", "size", *apart).agg(F.count("*").alias("twins")).withColumn("before", F.lit(0).cast("long"))
-    if row:
-        earlier = Window.partitionBy("doc_id", "source", "size").orderBy(row).rowsBetween(Window.unboundedPreceding, -1)
-        twin = twin.withColumn("before", F.coalesce(F.sum("twins").over(earlier), F.lit(0)))
-    each = twin.withColumn("twin", F.explode(F.sequence((F.col("before") + 1).cast("int"), (F.col("before") + F.col("twins")).cast("int")))).drop("twins", "before")
-    each = each.join(sized_broadcast(shares), F.col("source").eqNullSafe(F.col("name")), "inner").drop("name")
-    keyed = stage.write(each.withColumns({"key": F.xxhash64("doc_id", F.coalesce("source", F.lit("\x00")), F.col("source").isNull(), "size", "twin", F.lit(SEED)), "whole": F.floor("rate").cast("int")}), "keyed")
-    buckets = max(1, ceil(n / BUCKET_UNITS))
-    units = keyed.where("size > 0 and rate > whole").select("source", "key", (F.col("rate") - F.col("whole")).alias("p"), F.col("size").alias("words"), F.pmod("key", F.lit(buckets)).alias("bucket"))
+    twins = stage.write(docs.select("doc_id", "source", size.alias("size"), *apart).groupBy("doc_id", "source", "size", *apart).agg(F.count("*").alias("twins")), "twins")
+    shares = stage.write(targets(stage, twins.groupBy("source").agg(F.sum(F.col("size") * F.col("twins")).alias("source_size"))), "shares")
+    shares = shares.select(F.col("source").alias("name"), "source_size", "target", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("rate"))
+    groups = twins.groupBy("doc_id", "source", "size").agg(F.sum("twins").alias("twins")) if row else twins
+    groups = groups.join(sized_broadcast(shares), F.col("source").eqNullSafe(F.col("name"))).drop("name")
+    part = F.col("rate") - F.floor("rate")
+    sure = F.floor(F.col("twins") * part + F.lit(EPS))
+    key = F.xxhash64("doc_id", F.col("doc_id").isNull(), F.coalesce("source", F.lit("")), F.col("source").isNull(), "size", F.lit(SEED))
+    groups = stage.write(groups.select("doc_id", "source", "size", "source_size", "target", "twins", F.floor("rate").cast("int").alias("copies"), sure.alias("sure"), (F.col("twins") * part - sure).alias("p"), key.alias("key")), "groups")
+    buckets = max(1, ceil(groups.count() / BUCKET_UNITS))
+    units = groups.where((F.col("size") > 0) & (F.col("p") > EPS)).select("source", "doc_id", F.col("size").alias("words"), "key", "p", F.pmod("key", F.lit(buckets)).alias("bucket"))
     levels = 1 + max(0, ceil(log(buckets, FAN_IN) - 1e-9)) if buckets > 1 else 1
     decided = None
     for level in range(levels):
         done = stage.write(_level(units, level, level == levels - 1), f"level{level}")
-        whole = done.where("up is not null").select("key", "up")
+        whole = done.where("up = 1").select(*[F.col(c).alias(f"_{c}") for c in ("source", "doc_id", "words")], "up")
         decided = whole if decided is None else decided.unionByName(whole)
-        units = done.where("up is null").select("source", "key", "p", "words", F.floor(F.col("bucket") / FAN_IN).cast("long").alias("bucket"))
-    out = keyed.join(decided, "key", "left").withColumn("copies", (F.when(F.col("size") > 0, F.col("whole")).otherwise(0) + F.coalesce("up", F.lit(0))).cast("int"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "key", *apart)
+        units = done.where("up is null").select("source", "doc_id", "words", "key", "p", F.floor(F.col("bucket") / FAN_IN).cast("long").alias("bucket"))
+    # by all that makes the unit: a hash alone could meet another
+    same = F.col("source").eqNullSafe(F.col("_source")) & F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("size") == F.col("_words"))
+    taken = F.col("size") > 0
+    out = groups.join(decided, same, "left").withColumns({"copies": F.when(taken, F.col("copies")).otherwise(0), "more": F.when(taken, F.col("sure") + F.coalesce("up", F.lit(0))).otherwise(0)})
+    out = out.select("doc_id", "source", "size", "source_size", "target", "key", "twins", "copies", "more")
+    if not row:
+        return out
+    earlier = Window.partitionBy("doc_id", "source", "size").orderBy(row).rowsBetween(Window.unboundedPreceding, -1)
+    rows = twins.withColumn("before", F.coalesce(F.sum("twins").over(earlier), F.lit(0))).withColumnsRenamed({"doc_id": "_doc_id", "source": "_source", "size": "_words"})
+    return out.drop("twins").join(rows, same).withColumn("more", F.least(F.greatest(F.col("more") - F.col("before"), F.lit(0)), F.col("twins"))).drop("before", "_doc_id", "_source", "_words")
+
+
+def mix(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies (how often the mix takes it), taken (words), key: a row per row."""
+    rows = repeated(mixed_groups(spark, docs), F.col("twins"), "number")
+    out = rows.withColumn("copies", F.col("copies") + (F.col("number") < F.col("more")).cast("int"))
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "key")

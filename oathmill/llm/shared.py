@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oathmill import reach_workers
@@ -104,6 +104,17 @@ def sized_broadcast(df: DataFrame, most_bytes: int = MOST_BROADCAST) -> DataFram
     return F.broadcast(df) if size <= most_bytes else df
 
 
+#: Rows that one array repeats.
+REPEAT_BLOCK = 65_536
+
+
+def repeated(df: DataFrame, times: Column, number: str) -> DataFrame:
+    """Each row ``times`` times, with its number from 0. Blocks of numbers are exploded apart, so no array grows with ``times``."""
+    blocks = df.withColumn("_times", times.cast("long")).where("_times > 0").withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.call_function("div", F.col("_times") - 1, F.lit(REPEAT_BLOCK)))))
+    begin = F.col("_block") * REPEAT_BLOCK
+    return blocks.withColumn(number, F.explode(F.sequence(begin, F.least(begin + REPEAT_BLOCK, F.col("_times")) - 1))).drop("_times", "_block")
+
+
 def text_bytes(column: pa.Array) -> Iterator[bytes]:
     """UTF-8 of each text; null counts as empty."""
     binary = column.cast(pa.large_binary()) if pa.types.is_string(column.type) else column.cast(pa.large_string()).cast(pa.large_binary())

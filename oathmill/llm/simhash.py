@@ -12,11 +12,14 @@ the key of at least one of the 20 triples of blocks. A key with more than
 HOT_KEY fingerprints is split by the same rule again over the bits it leaves
 open; then at most 16 bits are free, whatever the input. Each pair is
 emitted for its first shared key only. Components come from alternating large and
-small stars on the links.
+small stars on the links, repeated until the links stay as they are. Counts and smallest
+neighbours are tables of their own before they are joined, so a frequent key or a hub
+meets plain shuffles, which adaptive execution can split.
 
 doc_id may repeat: rows with one doc_id and different texts are linked by their
 texts as other rows are. A null doc_id never names a component unless it has no
-other. Extra columns are left out; an empty table gives an empty table.
+other. Repeated rows get one component. Of equal bit counts (half the shingles) the bit
+stays 0. A long text is cut whole, in memory of its own size. Extra columns are left out; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -105,7 +108,7 @@ def _close(keys: DataFrame, on: list[str], masks: tuple[int, ...] | None) -> Dat
 def links(stage: Stage, nodes: DataFrame) -> DataFrame:
     """u < v: all pairs of distinct fingerprints (column fp) that differ in 1 to MOST_BITS bits."""
     keyed = nodes.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("key")) for k, m in enumerate(MASKS)])).alias("x")).select("fp", "x.k", "x.key")
-    sizes = keyed.groupBy("k", "key").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = stage.write(keyed.groupBy("k", "key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
     met = stage.write(keyed.join(sizes, ["k", "key"]), "keys")
     cold = _close(met.where(F.col("n") <= HOT_KEY), ["k", "key"], MASKS)
     finer = F.array(*[F.array(*[F.lit(m).cast("long") for m in ms]) for ms in FINER])
@@ -117,16 +120,19 @@ def links(stage: Stage, nodes: DataFrame) -> DataFrame:
 def components(stage: Stage, pairs: DataFrame) -> DataFrame:
     """node, root: the smallest node that links reach, for every node of a pair (u, v)."""
     edges = stage.write(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges0")
-    before = None
-    for turn in range(1, 64):
+    before, turn = None, 0
+    while True:  # each turn lowers a node's parent or is the last
+        turn += 1
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        low = stage.write(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), f"low{turn}")
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = stage.write(large, f"large{turn}")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = stage.write(large.groupBy("u").agg(F.min("v").alias("m")), f"least{turn}")
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v")))
         edges = stage.write(small.distinct(), f"edges{turn}")
         state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        for name in (f"edges{turn - 1}", f"low{turn}", f"large{turn}", f"least{turn}"):
+            stage.drop(name)
         if state == before:
             break
         before = state
@@ -155,7 +161,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     stage = Stage(spark, "simhash")
     prints = stage.write(fingerprints(docs), "prints")
     named = _rooted(stage, prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    lowest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    named = stage.write(named, "named")
+    lowest = stage.write(named.groupBy("root").agg(F.min("first_id").alias("component_id")), "lowest")
     names = stage.write(named.join(lowest, "root").select("fp", "component_id"), "names")
     return prints.join(names, "fp").select("doc_id", "fp", "component_id")
 

@@ -85,3 +85,12 @@ def test_pairs_of_clouds(spark, monkeypatch, hot):
         for a, b in want:
             marks[a] = marks[b] = min(marks[a], marks[b])
     assert all(roots.get(p, p) == marks[p] for p in prints)
+
+
+def test_components_of_a_long_chain_are_whole(spark):
+    """A chain takes many turns; none is left half done."""
+    random.seed(4)
+    nodes = random.sample(range(10**6), 3000)
+    pairs = spark.createDataFrame([(min(a, b), max(a, b)) for a, b in zip(nodes, nodes[1:], strict=False)] + [(10**7, 10**7 + i) for i in range(1, 500)], "u long, v long")
+    roots = {r["node"]: r["root"] for r in H.components(Stage(spark, "t"), pairs).collect()}
+    assert roots == {n: min(nodes) for n in nodes} | {10**7 + i: 10**7 for i in range(500)}
