@@ -200,43 +200,48 @@ class FingerprintIndex:
         remove(self.spark, self.path)
 
 
-def stretches(text: bytes, wanted: np.ndarray) -> list[tuple[int, bytes, int, int, list[int], list[int]]]:
-    """(key, words joined by a space, first window, windows, two hashes of each) of each run of windows under one wanted key."""
+def stretches(text: bytes, wanted: np.ndarray) -> list[tuple[int, bytes, int, int]]:
+    """(key, words joined by a space, first window, windows) of each run of windows under one wanted key."""
     words = text.split()
-    keys, h = window_keys(words)
+    keys, _ = window_keys(words)
     if not len(keys):
         return []
     at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
     at_end = np.append(at[1:], len(keys))
     chosen = np.isin(keys[at], wanted)
-    if not chosen.any():
-        return []
-    with np.errstate(over="ignore"):
-        windows, again = _rolled(h, WINDOW, _M2).view(np.int64), _rolled(h ^ (h >> np.uint64(31)), WINDOW, _M3).view(np.int64)
-    return [(int(keys[a]), b" ".join(words[a : b + WINDOW - 1]), a, b - a, windows[a:b], again[a:b]) for a, b in zip(at[chosen].tolist(), at_end[chosen].tolist(), strict=True)]
+    return [(k, b" ".join(words[a : b + WINDOW - 1]), a, b - a) for k, a, b in zip(keys[at[chosen]].tolist(), at[chosen].tolist(), at_end[chosen].tolist(), strict=True)]
 
 
 _STRETCH = [("key", pa.int64()), ("words", pa.binary()), ("doc_id", pa.int64()), ("th", pa.int64()), ("at", pa.int32()), ("n", pa.int32())]
 
 
-def _lists(parts: list[np.ndarray]) -> pa.Array:
-    """A list per array, without a Python object per number."""
-    ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *parts])))
-
-
 def _stretched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of (doc_id, th, text, wanted)."""
     for batch in batches:
-        rows, windows, again = [], [], []
+        rows = []
         for doc_id, th, text, wanted in zip(*(batch.column(c) for c in ("doc_id", "th", "text", "wanted")), strict=True):
             d, t = doc_id.as_py(), th.as_py()
-            for k, w, a, n, one, two in stretches((text.as_py() or "").encode(), wanted.values.to_numpy(zero_copy_only=False)):
-                rows.append((k, w, d, t, a, n))
-                windows.append(one)
-                again.append(two)
+            rows += [(k, w, d, t, a, n) for k, w, a, n in stretches((text.as_py() or "").encode(), wanted.values.to_numpy(zero_copy_only=False))]
         columns = zip(*rows, strict=True) if rows else [[]] * len(_STRETCH)
-        yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, (_, k) in zip(columns, _STRETCH, strict=True)), _lists(windows), _lists(again)], [*(c for c, _ in _STRETCH), "windows", "again"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, _STRETCH, strict=True)], [c for c, _ in _STRETCH])
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows of stretches (key, words, doc_id, th, at), each with two hashes of its words."""
+    for batch in batches:
+        one, two, count = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)], []
+        for words in batch.column("words"):
+            parts = words.as_py().split(b" ")
+            h = np.fromiter(map(xxhash.xxh3_64_intdigest, parts), np.uint64, len(parts))
+            with np.errstate(over="ignore"):
+                one.append(_rolled(h, WINDOW, _M2))
+                two.append(_rolled(h ^ (h >> np.uint64(31)), WINDOW, _M3))
+            count.append(len(one[-1]))
+        times = np.array(count, dtype=np.int64)
+        again = {c: np.repeat(batch.column(c).to_numpy(zero_copy_only=False), times) for c in ("key", "doc_id", "th", "at")}
+        within = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        columns = [again["key"], np.concatenate(one).view(np.int64), np.concatenate(two).view(np.int64), again["doc_id"], again["th"], (again["at"] + within).astype(np.int32)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "window", "again", "doc_id", "th", "at"])
 
 
 def covered(n_words: int, spans: list[dict] | None) -> np.ndarray:
@@ -248,13 +253,13 @@ def covered(n_words: int, spans: list[dict] | None) -> np.ndarray:
     return np.cumsum(marks)[:-1] > 0
 
 
-def candidates(stage: Stage, index: FingerprintIndex, docs: DataFrame) -> DataFrame:
-    """key: those that two documents share, from batches of ``docs`` in order of doc_id."""
-    ends = docs.agg(F.percentile_approx("doc_id", [i / BATCHES for i in range(1, BATCHES)], 10_000).alias("q")).first()["q"] or []
+def candidates(stage: Stage, index: FingerprintIndex, keys: DataFrame) -> DataFrame:
+    """key: those that two documents share, from batches of (key, doc_id) in order of doc_id."""
+    ends = keys.agg(F.percentile_approx("doc_id", [i / BATCHES for i in range(1, BATCHES)], 10_000).alias("q")).first()["q"] or []
     shared, low = None, None
     for end in [*sorted(set(ends)), None]:
-        batch = docs if low is None else docs.where(F.col("doc_id") > low)
-        found = index.add(document_keys(batch if end is None else batch.where(F.col("doc_id") <= end)), stage)
+        batch = keys if low is None else keys.where(F.col("doc_id") > low)
+        found = index.add(batch if end is None else batch.where(F.col("doc_id") <= end), stage)
         shared = found if shared is None else shared.unionByName(found)
         low = end
         stage.free()
@@ -265,19 +270,23 @@ def removal_spans(spark: SparkSession, docs: DataFrame) -> tuple[Stage, DataFram
     """doc_id, th (hash of the text), spans: the windows to remove, as (first window, how many)."""
     stage = Stage(spark, "substrings")
     index = FingerprintIndex(spark, f"{stage.root}/index")
-    shared = candidates(stage, index, docs)
+    keys = stage.write(document_keys(docs), "keys")
+    shared = candidates(stage, index, keys)
     index.drop()
     stage.free()
-    wanted = stage.write(document_keys(docs).join(shared, "key").groupBy("doc_id").agg(F.collect_list("key").alias("wanted")), "wanted")
+    wanted = stage.write(keys.join(shared, "key").groupBy("doc_id").agg(F.collect_list("key").alias("wanted")), "wanted")
     stage.free()
+    for name in ("keys", "candidates"):
+        stage.drop(name)
     hashed = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("th"), "text")
-    kinds = "key long, words binary, doc_id long, th long, at int, n int, windows array<long>, again array<long>"
-    found = stage.write(hashed.join(wanted, "doc_id").select("doc_id", "th", "text", "wanted").mapInArrow(batched(_stretched, 32), kinds), "stretches")
+    kinds = "key long, words binary, doc_id long, th long, at int, n int"
+    # neighbouring stretches share 12 words, which the codec finds
+    found = stage.write(hashed.join(wanted, "doc_id").select("doc_id", "th", "text", "wanted").mapInArrow(batched(_stretched, 32), kinds), "stretches", "zstd")
     stage.drop("wanted")
     stage.free()
     # grouped by the words themselves; their hash only spares the later joins the words
     same = F.xxhash64("words")
-    firsts = stage.write(found.groupBy("key", "words").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).select("key", same.alias("whole"), "words", "first", "last"), "firsts")
+    firsts = stage.write(found.groupBy("key", "words").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).select("key", same.alias("whole"), "words", "first", "last"), "firsts", "zstd")
     stage.free()
     kinds_of = stage.write(firsts.groupBy("key").agg(F.count("*").alias("kinds"), F.count_distinct("whole").alias("hashes")).where("kinds > 1"), "kinds")
     stage.free()
@@ -287,11 +296,11 @@ def removal_spans(spark: SparkSession, docs: DataFrame) -> tuple[Stage, DataFram
     later = stage.write(rows.join(firsts.where("first < last").select(*by, "first"), by).where("doc_id > first").select("doc_id", "th", "at", "n"), "later")
     stage.free()
     # keys with different stretches: compare windows of each stretch's first document
-    several = stage.write(firsts.select(*by, "first").join(kinds_of.select("key"), "key", "left_semi"), "several")
+    several = stage.write(firsts.join(kinds_of.select("key"), "key", "left_semi").select("key", "whole", "words", "first"), "several", "zstd")
     stage.free()
-    open_rows = found.select("key", same.alias("whole"), *mixed, "doc_id", "th", "at", "windows", "again").join(several, by).where("doc_id = first")
-    pairs = F.posexplode(F.arrays_zip("windows", "again")).alias("i", "w")
-    windows = stage.write(open_rows.select("key", "doc_id", "th", "at", pairs).select("key", F.col("w.windows").alias("window"), F.col("w.again").alias("again"), "doc_id", "th", (F.col("at") + F.col("i")).alias("at")), "windows")
+    open_rows = rows.select(*by, "doc_id", "th", "at").join(several, by).where("doc_id = first")
+    windows = open_rows.select("key", "words", "doc_id", "th", "at").mapInArrow(batched(_windows), "key long, window long, again long, doc_id long, th long, at int")
+    windows = stage.write(windows, "windows")
     for name in ("stretches", "firsts", "several", "kinds"):
         stage.drop(name)
     stage.free()
