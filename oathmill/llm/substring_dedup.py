@@ -229,18 +229,19 @@ def _stretched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The windows of stretches (key, words, doc_id, th, at), each with two hashes of its words."""
     for batch in batches:
-        one, two, count = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)], []
-        for words in batch.column("words"):
-            parts = words.as_py().split(b" ")
-            h = np.fromiter(map(xxhash.xxh3_64_intdigest, parts), np.uint64, len(parts))
-            with np.errstate(over="ignore"):
-                one.append(_rolled(h, WINDOW, _M2))
-                two.append(_rolled(h ^ (h >> np.uint64(31)), WINDOW, _M3))
-            count.append(len(one[-1]))
-        times = np.array(count, dtype=np.int64)
-        again = {c: np.repeat(batch.column(c).to_numpy(zero_copy_only=False), times) for c in ("key", "doc_id", "th", "at")}
+        texts = [w.as_py() for w in batch.column("words")]
+        if not texts:
+            continue
+        parts = b" ".join(texts).split(b" ")
+        sizes = np.array([t.count(b" ") + 1 for t in texts], dtype=np.int64)
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, parts), np.uint64, len(parts))
+        with np.errstate(over="ignore"):
+            one, two = _rolled(h, WINDOW, _M2), _rolled(h ^ (h >> np.uint64(31)), WINDOW, _M3)
+        times = sizes - WINDOW + 1  # the rest of the rolled windows lie across stretches
         within = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        columns = [again["key"], np.concatenate(one).view(np.int64), np.concatenate(two).view(np.int64), again["doc_id"], again["th"], (again["at"] + within).astype(np.int32)]
+        where = np.repeat(np.cumsum(sizes) - sizes, times) + within
+        again = {c: np.repeat(batch.column(c).to_numpy(zero_copy_only=False), times) for c in ("key", "doc_id", "th", "at")}
+        columns = [again["key"], one[where].view(np.int64), two[where].view(np.int64), again["doc_id"], again["th"], (again["at"] + within).astype(np.int32)]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "window", "again", "doc_id", "th", "at"])
 
 
