@@ -44,7 +44,9 @@ def all_case_types(ipc: Column) -> Column:
     """Every label that fits, in rule order; the default label if none does; empty for empty text."""
     text = F.trim(F.coalesce(ipc, F.lit("")))
     hits = F.array_compact(F.array(*[F.when(text.rlike(f"(?i){p}"), label) for p, label in CASE_RULES]))
-    return F.when(text == "", F.array().cast("array<string>")).when(F.size(hits) == 0, F.array(F.lit(OTHER))).otherwise(F.array_distinct(hits))
+    # bound by a lambda, so that the rules run once
+    labels = F.get(F.transform(F.array(hits), lambda h: F.when(F.size(h) == 0, F.array(F.lit(OTHER))).otherwise(F.array_distinct(h))), F.lit(0))
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(labels)
 
 
 def case_type(ipc: Column) -> Column:

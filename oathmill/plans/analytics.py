@@ -67,11 +67,21 @@ def current_by_state(fact: DataFrame, house: str = "Assembly") -> DataFrame:
 
 
 def upper_median(rows: DataFrame, by: list[str], value: Column, name: str) -> DataFrame:
-    """The middle value of each group, the upper of two."""
-    ranked = rows.select(*by, value.alias("v")).withColumns({
-        "i": F.row_number().over(Window.partitionBy(*by).orderBy("v")),
-        "n": F.count("*").over(Window.partitionBy(*by))})
-    return ranked.where(F.col("i") == F.col("n") - F.floor((F.col("n") - 1) / 2)).select(*by, F.col("v").alias(name))
+    """The middle value of each group, the upper of two; null counts as the least. No task holds a group: values are counted,
+    counts are walked range by range, then the distinct values of the one range with the middle."""
+    key = F.struct(*[F.col(c) for c in by])
+    values = rows.groupBy(key.alias("key_"), value.alias("v")).agg(F.count("*").alias("n"))
+    spread = F.signum("v") * F.floor(F.log2(F.abs("v").cast("double") + 1) * 64)
+    ranged = values.withColumn("range_", F.coalesce(spread.cast("long"), F.lit(-(10**6))))
+    totals = ranged.groupBy("key_", "range_").agg(F.sum("n").alias("t"))  # a few thousand ranges a group at most
+    here = Window.partitionBy("key_")
+    totals = totals.withColumns({"upto": F.sum("t").over(here.orderBy("range_")), "all": F.sum("t").over(here)})
+    place = F.col("all") - F.floor((F.col("all") - 1) / 2)
+    middle = totals.where((F.col("upto") >= place) & (F.col("upto") - F.col("t") < place)).select(F.col("key_").alias("k2"), F.col("range_").alias("r2"), (place - F.col("upto") + F.col("t")).alias("want"))
+    inside = ranged.join(middle, F.col("key_").eqNullSafe(F.col("k2")) & (F.col("range_") == F.col("r2")))
+    inside = inside.withColumn("seen", F.sum("n").over(Window.partitionBy("key_").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    found = inside.where((F.col("seen") >= F.col("want")) & (F.col("seen") - F.col("n") < F.col("want")))
+    return found.select("key_.*", F.col("v").alias(name))
 
 
 # --- leaderboards ---
@@ -410,6 +420,28 @@ def lookup(fact: DataFrame, keys: DataFrame) -> DataFrame:
     return found.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n")
 
 
+def profile(fact: DataFrame, cases: DataFrame, keys: DataFrame) -> DataFrame:
+    """The page of each politician that ``keys`` (key) name: appearances, newest first (``nth`` from 1), each with the change since the
+    one before and its cases, the sections of which are listed in the order of ``case_no``. cases: (appearance_id, case_no, ipc)."""
+    who = lookup(fact, keys).select("key", "politician_id")
+    rows = fact.join(who, "politician_id")
+    order = Window.partitionBy("key").orderBy(F.desc("year"), F.desc("appearance_id"))
+    rows = rows.withColumn("nth", F.row_number().over(order)).select("key", "nth", "politician_id", "name", "appearance_id", "year", party_or_ind().alias("party"), "constituency", "won", wealth().alias("assets"))
+    deltas = term_deltas(fact.join(who.select("politician_id").distinct(), "politician_id")).select("appearance_id", "from_year", "delta", "pct")
+    told = cases.groupBy("appearance_id").agg(F.count("*").alias("n_cases"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("case_no", "ipc"))), lambda c: c["ipc"]), "; ").alias("sections"))
+    rows = rows.join(deltas, "appearance_id", "left").join(told, "appearance_id", "left")
+    return rows.withColumns({"n_cases": F.coalesce("n_cases", F.lit(0)), "sections": F.coalesce("sections", F.lit(""))})
+
+
+def heat_map(fact: DataFrame, areas: DataFrame) -> DataFrame:
+    """Every area of a map (column ``name``) with its seat's newest winner, by seat key; areas without one stay, without numbers."""
+    won = fact.where("house = 'Assembly' and won and constituency is not null").withColumn("seat", names.seat_key(F.col("constituency"), ampersand=True))
+    newest = F.max_by(F.struct("constituency", F.col("name").alias("mla"), wealth().alias("wealth_inr"), n_cases().alias("cases")), F.struct("year", -F.col("appearance_id")))
+    tiles = won.groupBy("seat").agg(newest.alias("t")).select("seat", "t.*")
+    areas = areas.withColumn("seat", names.seat_key(F.col("name"), ampersand=True))
+    return areas.join(tiles, "seat", "left").select("name", "constituency", "mla", "wealth_inr", "cases", severity(F.col("cases")).alias("severity"))
+
+
 def similar_names(fact: DataFrame, slug: str, limit: int = 6) -> DataFrame:
     tokens = [t for t in slug.split("-") if len(t) > 2]
     hit = F.exists(F.array(*[F.lit(t) for t in tokens]).cast("array<string>"), lambda t: F.ilike(F.col("name"), F.concat(F.lit("%"), t, F.lit("%")))) if tokens else F.lit(False)
@@ -447,8 +479,10 @@ def leaderboards(fact: DataFrame, limit: int = 5) -> DataFrame:
 
 def random_politician(fact: DataFrame, seed: int = 0) -> DataFrame:
     """A uniform pick that a seed fixes."""
-    return people(fact).orderBy(F.xxhash64("politician_id", F.lit(seed)), "politician_id").limit(1)
+    return people(fact).orderBy(F.md5(F.concat_ws("|", "politician_id", F.lit(seed)).cast("binary")), "politician_id").limit(1)
 
 
 def case_type_counts(texts: DataFrame, types: Column) -> DataFrame:
-    return texts.select(F.explode(types).alias("case_type")).groupBy("case_type").agg(F.count("*").alias("n"))
+    """Rows per label; each distinct text is labelled once."""
+    distinct = texts.groupBy(*texts.columns).agg(F.count("*").alias("rows_"))
+    return distinct.select(F.explode(types).alias("case_type"), "rows_").groupBy("case_type").agg(F.sum("rows_").alias("n"))

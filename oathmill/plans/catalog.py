@@ -174,7 +174,7 @@ _fact("api_leaderboards", A.leaderboards, """(SELECT 'wealth' AS board, politici
 UNION ALL (SELECT 'cases', politician_id, name, cases FROM latest_assembly WHERE cases > 0 ORDER BY cases DESC, appearance_id LIMIT 5)
 UNION ALL (SELECT 'gain', politician_id, name, to_inr - from_inr FROM ends ORDER BY to_inr - from_inr DESC, politician_id LIMIT 5)
 UNION ALL (SELECT 'loss', politician_id, name, to_inr - from_inr FROM ends ORDER BY to_inr - from_inr, politician_id LIMIT 5)""")
-_fact("random_politician", A.random_politician)
+_fact("random_politician", A.random_politician, _PEOPLE + "md5(politician_id || '|0'), politician_id LIMIT 1")
 
 # --- writes ---
 
@@ -216,9 +216,9 @@ _register("split_merged", _split, "SELECT o_orderkey AS id, 'Person ' || CAST(o_
 _IPC = "'IPC ' || CAST(l_partkey % 520 AS VARCHAR) || ', ' || CAST(l_suppkey * 7 % 520 AS VARCHAR) || CASE l_linenumber WHEN 1 THEN 'A NDPS' WHEN 2 THEN 'B' WHEN 3 THEN ' Arms Act' ELSE '' END"
 
 
-def _ipc(spark: SparkSession, d: str) -> DataFrame:
+def _ipc(spark: SparkSession, d: str, *more: str) -> DataFrame:
     tail = F.when(F.col("l_linenumber") == 1, "A NDPS").when(F.col("l_linenumber") == 2, "B").when(F.col("l_linenumber") == 3, " Arms Act").otherwise("")
-    return model.table(spark, d, "lineitem").select(F.concat(F.lit("IPC "), (F.col("l_partkey") % 520).cast("string"), F.lit(", "), (F.col("l_suppkey") * 7 % 520).cast("string"), tail).alias("ipc"))
+    return model.table(spark, d, "lineitem").select(F.concat(F.lit("IPC "), (F.col("l_partkey") % 520).cast("string"), F.lit(", "), (F.col("l_suppkey") * 7 % 520).cast("string"), tail).alias("ipc"), *more)
 
 
 _FIRST = "CASE " + " ".join(f"WHEN regexp_matches(ipc, '(?i){p}') THEN '{label}'" for p, label in C.CASE_RULES) + f" ELSE '{C.OTHER}' END"
@@ -258,14 +258,14 @@ _register("qc_summary", lambda s, d: entity.status_shares(entity.qc_report(_doc_
 
 
 def _recon(spark: SparkSession, d: str) -> DataFrame:
-    people = model.table(spark, d, "customer").where("c_acctbal >= 0")
+    people = model.table(spark, d, "customer").withColumn("c_acctbal", F.abs("c_acctbal"))
     recorded = people.where("c_custkey % 7 <> 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.floor("c_acctbal").cast("long").alias("assets"), (F.col("c_custkey") % 4).alias("cases"))
     gap = F.array(F.lit(0), F.lit(4), F.lit(9), F.lit(30))
     read = people.select(F.lower("c_name").alias("name"), F.when(F.col("c_custkey") % 5 > 0, F.floor("c_acctbal").cast("long") + F.floor(F.floor("c_acctbal") * F.get(gap, (F.col("c_custkey") % 4).cast("int")) / 100).cast("long")).alias("read_assets"), F.when(F.col("c_custkey") % 3 > 0, F.col("c_custkey") % 4 + F.col("c_custkey") % 2).alias("read_cases"))
     return entity.reconcile(read, recorded)
 
 
-_RECON = """WITH p AS (SELECT c_custkey AS k, c_name, CAST(floor(c_acctbal) AS BIGINT) AS a FROM customer WHERE c_acctbal >= 0),
+_RECON = """WITH p AS (SELECT c_custkey AS k, c_name, CAST(floor(abs(c_acctbal)) AS BIGINT) AS a FROM customer),
 r AS (SELECT k, lower(c_name) AS name, CASE WHEN k % 7 <> 0 THEN k END AS id, CASE WHEN k % 7 <> 0 THEN a END AS db_assets, CASE WHEN k % 7 <> 0 THEN k % 4 END AS db_cases, CASE WHEN k % 5 > 0 THEN a + CAST(floor(CAST(a * [0, 4, 9, 30][k % 4 + 1] AS DOUBLE) / 100) AS BIGINT) END AS read_assets, CASE WHEN k % 3 > 0 THEN k % 4 + k % 2 END AS read_cases FROM p),
 g AS (SELECT *, CASE WHEN db_assets = 0 THEN CASE WHEN read_assets = 0 THEN 0.0 ELSE 100.0 END ELSE CAST(abs(read_assets - db_assets) AS DOUBLE) / CAST(nullif(db_assets, 0) AS DOUBLE) * 100 END AS gap, coalesce(abs(read_cases - db_cases), 0) AS dc FROM r),
 s AS (SELECT *, CASE WHEN db_assets IS NULL THEN 'NO_DB_ROW' WHEN read_assets IS NULL THEN 'PARSE_FAIL' WHEN gap <= 5 AND dc <= 0 THEN 'MATCH' WHEN gap <= 10 AND dc <= 1 THEN 'CLOSE' ELSE 'FLAG' END AS status FROM g)"""
@@ -293,7 +293,7 @@ SELECT key, max(path) FILTER (WHERE i = 1) AS canonical, CAST(count(*) AS INTEGE
 
 
 def _part_b(spark: SparkSession, d: str) -> DataFrame:
-    o = model.table(spark, d, "orders").where("o_totalprice >= 10000")
+    o = model.table(spark, d, "orders").withColumn("o_totalprice", F.col("o_totalprice") + 10000)
     a, b = F.floor("o_totalprice").cast("long"), (F.floor("o_totalprice") + 1).cast("long")
     page = F.concat(F.lit("PART-B ABSTRACT\nTotal number of pending criminal cases "), (F.col("o_orderkey") % 90).cast("string"), F.when(F.col("o_orderkey") % 2 == 0, " (SEVEN)").otherwise(""), F.lit("\nTotal number of cases in which NIL convicted\nMoveable: Rs Total "), a.cast("string"), F.lit("/- | "), b.cast("string"))
     first = F.concat(F.lit("PART A\nset up by ALPHA PARTY (x)\nI, SAMPLE ONE ** son/daughter/wife of SOME FATHER\nAged 4§ years\nFROM AC-1,.NEW_TOWN CONSTITUENCY"), F.lit(""))
@@ -301,7 +301,7 @@ def _part_b(spark: SparkSession, d: str) -> DataFrame:
     return o.select(F.col("o_orderkey").alias("doc"), F.array(F.lit("Description of Document: Affidavit PART A"), first, page, market).alias("pages"))
 
 
-_register("parse_affidavits", lambda s, d: entity.parse_affidavits(_part_b(s, d)).drop("confidence", "address", "phone", "email"), """WITH o AS (SELECT o_orderkey AS doc, CAST(floor(o_totalprice) AS BIGINT) AS a FROM orders WHERE o_totalprice >= 10000)
+_register("parse_affidavits", lambda s, d: entity.parse_affidavits(_part_b(s, d)).drop("confidence", "address", "phone", "email"), """WITH o AS (SELECT o_orderkey AS doc, CAST(floor(o_totalprice + 10000) AS BIGINT) AS a FROM orders)
 SELECT doc, 'SAMPLE ONE' AS name, 'SOME FATHER' AS father_name, 'ALPHA PARTY' AS party, 'AC-1, NEW TOWN' AS constituency, CAST(45 AS INTEGER) AS age, CAST(CASE WHEN doc % 2 = 0 THEN 7 ELSE doc % 90 END AS INTEGER) AS pending, CAST(0 AS INTEGER) AS convictions, CASE WHEN a >= 10000 THEN a END AS movable_self, a + 1 AS movable_spouse, a + 1 AS immovable_self, a AS immovable_spouse, 4 * a + 2 AS total_assets FROM o""")
 _register("stamp_metadata", lambda s, d: entity.stamp_metadata(model.table(s, d, "orders").select(F.col("o_orderkey").cast("string").alias("pdf_path"), F.concat(F.lit("Certificate No. : IN-DL"), F.lpad(F.col("o_orderkey").cast("string"), 14, "0"), F.lit("x\nCertificate Issued Date : "), F.date_format("o_orderdate", "dd-MMM-yyyy"), F.lit(" 05:23 PM\nPurchased by : SAMPLE ONE\nDescription of Document : Article 4 Affidavit\nFirst Party : SAMPLE TWO\nStamp Duty Amount(Rs.) : 10")).alias("cover"))),
           "SELECT CAST(o_orderkey AS VARCHAR) AS pdf_path, 'IN-DL' || lpad(CAST(o_orderkey AS VARCHAR), 14, '0') || 'X' AS cert_number, strftime(o_orderdate, '%d-%b-%Y') || ' 05:23 PM' AS issue_date, 'SAMPLE ONE' AS purchaser, 'SAMPLE TWO' AS first_party, CAST(10 AS BIGINT) AS stamp_duty_rs, 'Article 4 Affidavit' AS doc_description, strftime(o_orderdate, '%Y-%m-%dT17:23:00') AS issue_dt FROM orders")
@@ -323,3 +323,5 @@ _register("listing_scan", lambda s, d: html_tables.candidates(html_tables.table_
           "SELECT CAST(c_nationkey AS VARCHAR) AS slug, CAST(c_custkey % 3 + 1 AS INTEGER) AS page, CAST(c_custkey AS INTEGER) AS candidate_id, c_name AS name, c_mktsegment AS constituency, 'ALPHA' AS party, CAST(c_custkey % 5 AS INTEGER) AS criminal_cases, 'Graduate' AS education, CAST(abs(floor(c_acctbal)) AS BIGINT) AS total_assets_inr, CAST(0 AS BIGINT) AS total_liabilities_inr, c_custkey % 10 = 0 AS is_bye_election, CASE WHEN c_custkey % 10 = 0 THEN '01-02-2020' END AS bye_election_date FROM customer WHERE c_custkey > 0")
 _register("listing_prefix_filter", lambda s, d: html_tables.near_names(html_tables.candidates(html_tables.table_rows(_listing_pages(s, d))), s.createDataFrame([("BUILD",), ("MACHINERY HALL",)], "seat string")).select("candidate_id", "constituency"), "SELECT CAST(c_custkey AS INTEGER) AS candidate_id, c_mktsegment AS constituency FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')")
 _register("listing_paged", lambda s, d: html_tables.paged_candidates(html_tables.table_rows(_listing_pages(s, d))).select("slug", "candidate_id", "page"), "SELECT CAST(c_nationkey AS VARCHAR) AS slug, CAST(c_custkey AS INTEGER) AS candidate_id, CAST(c_custkey % 3 + 1 AS INTEGER) AS page FROM customer WHERE c_custkey > 0")
+
+from oathmill.plans import catalog_rows  # noqa: E402, F401 - registers more queries

@@ -30,13 +30,24 @@ def current(spark: SparkSession, root: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{root}/v{done[-1]}") if done else spark.createDataFrame([], schema)
 
 
+def published(spark: SparkSession, root: str, version: int) -> bool:
+    """Whether a version is complete."""
+    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/v{version}/_SUCCESS")
+    return mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)
+
+
 def publish(spark: SparkSession, rows: DataFrame, root: str, version: int) -> None:
-    """Write one version; it counts once Spark has put its success mark."""
+    """Write one version; it counts once Spark has put its success mark. A complete version is never written again."""
+    if published(spark, root, version):
+        raise ValueError(f"version {version} is published")
     rows.write.mode("overwrite").parquet(f"{root}/v{version}")
 
 
 def load_listings(spark: SparkSession, pages: DataFrame, winners: DataFrame, root: str, version: int, reset: bool = False) -> None:
-    """The job for one election, one state or all: whatever the pages hold. Running it twice changes nothing."""
+    """The job for one election, one state or all: whatever the pages hold. A version that is published stays as it is,
+    so running it twice changes nothing."""
+    if published(spark, root, version):
+        return
     old = spark.createDataFrame([], FACTS) if reset else current(spark, root, FACTS)
     publish(spark, ingest.upsert_appearances(old, listing_facts(pages, winners)), root, version)
 
@@ -45,3 +56,9 @@ def targets(spark: SparkSession, name: str) -> DataFrame:
     """The cycles of a target: a state's key, or ``all``."""
     rows = registry.cycles(spark)
     return rows if name == "all" else rows.where(F.col("key") == name)
+
+
+def load_target(spark: SparkSession, name: str, pages: DataFrame, winners: DataFrame, root: str, version: int, reset: bool = False) -> None:
+    """The job for a target: the pages of its elections alone."""
+    of = lambda rows: rows.join(F.broadcast(targets(spark, name).select("slug")), "slug", "left_semi")  # noqa: E731 - the registry is of fixed size
+    load_listings(spark, of(pages), of(winners), root, version, reset)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pytest
+
 import json
 
 from pyspark.sql import functions as F
@@ -191,3 +193,16 @@ def test_rank_labels_follow_each_page_order(spark):
     plain = analytics.anomaly_candidates(f, 4, scope="all").collect()
     got = analytics.anomaly_ranks(f, 4, scope="all").collect()
     assert len(got) == 4 and [(r["appearance_id"], r["rank"], r["badge"]) for r in got] == [(r["appearance_id"], i, i <= 3) for i, r in enumerate(plain, 1)]
+
+
+def test_a_published_version_is_never_written_again(spark, tmp_path):
+    from oathmill.plans import jobs
+
+    root, one = f"file://{tmp_path}/t", spark.createDataFrame([(1,)], "x int")
+    jobs.publish(spark, one, root, 1)
+    again = jobs.current(spark, root, "x int")
+    with pytest.raises(ValueError):
+        jobs.publish(spark, again, root, 1)
+    assert [r["x"] for r in jobs.current(spark, root, "x int").collect()] == [1]
+    jobs.publish(spark, again, root, 2)
+    assert [r["x"] for r in jobs.current(spark, root, "x int").collect()] == [1]
