@@ -13,6 +13,10 @@ from left to right gives the text back. The loss mask is a list of (start,
 length) spans over the formatted text, counted in code points; markers are
 outside it. Rows with a null conv_id form one conversation. An empty table gives
 an empty table. Extra columns are left out.
+
+One conversation is one row, in one task. Arrays that grow while they are folded, and
+places counted from the beginning of a text, are kept to CHUNK items at a time, so the work
+for n turns grows as n * (CHUNK + n / CHUNK) at most and not as the square of n.
 """
 
 from __future__ import annotations
@@ -22,6 +26,8 @@ from pyspark.sql import functions as F
 
 BOS, START, SEP, TURN, END = "<s>", "<|im_start|>", "<|im_sep|>", "<|turn|>", "<|im_end|>"
 TRAINED_ROLE = "assistant"
+#: Items that are folded, or cut out of a text, at once.
+CHUNK = 256
 
 
 def escape(text: Column) -> Column:
@@ -39,7 +45,35 @@ def _blocks(turns: Column) -> Column:
     ends = F.concat(F.slice(begins, 2, F.greatest(F.size(begins), F.lit(1))), F.array(F.size(turns)))
     return F.transform(
         F.arrays_zip(begins.alias("b"), ends.alias("e")),
-        lambda r: F.struct(F.get(turns, r["b"])["role"].alias("role"), F.transform(F.slice(turns, r["b"] + 1, r["e"] - r["b"]), lambda t: t["text"]).alias("texts")),
+        lambda r: F.struct(F.get(turns, r["b"])["role"].alias("role"), F.transform(F.sequence(r["b"], r["e"] - 1), lambda i: F.get(turns, i)["text"]).alias("texts")),
+    )
+
+
+def _chunks(items: str) -> Column:
+    """The array in arrays of CHUNK (one empty array for none)."""
+    last = F.call_function("div", F.greatest(F.size(items), F.lit(1)) - 1, F.lit(CHUNK)).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(items, i * CHUNK + 1, F.lit(CHUNK)))
+
+
+def _spans(pieces: Column) -> Column:
+    """struct<length, spans>: the code points of all pieces, and where among them those of the loss are."""
+    return F.aggregate(
+        pieces,
+        F.struct(F.lit(0).cast("long").alias("length"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans")),
+        lambda acc, p: F.struct(
+            (acc["length"] + F.char_length(p["s"])).alias("length"),
+            F.when(p["loss"], F.array_append(acc["spans"], F.struct(acc["length"].alias("start"), F.char_length(p["s"]).cast("long").alias("length")))).otherwise(acc["spans"]).alias("spans"),
+        ),
+    )
+
+
+def _begins(parts: Column) -> Column:
+    """Where each part begins in the formatted text."""
+    return F.aggregate(
+        parts,
+        F.struct(F.lit(len(BOS)).cast("long").alias("at"), F.array().cast("array<bigint>").alias("begins")),
+        lambda acc, p: F.struct((acc["at"] + p["length"]).alias("at"), F.array_append(acc["begins"], acc["at"]).alias("begins")),
+        lambda acc: acc["begins"],
     )
 
 
@@ -59,16 +93,10 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
         return F.concat(F.array(head), F.flatten(bodies), F.array(tail))
 
     rows = rows.select("conv_id", F.flatten(F.transform("blocks", pieces)).alias("pieces"))
-    sums = F.aggregate(
-        "pieces",
-        F.struct(F.lit(len(BOS)).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans")),
-        lambda acc, p: F.struct(
-            (acc["at"] + F.char_length(p["s"])).alias("at"),
-            F.when(p["loss"], F.array_append(acc["spans"], F.struct(acc["at"].alias("start"), F.char_length(p["s"]).cast("long").alias("length")))).otherwise(acc["spans"]).alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
-    return rows.select("conv_id", F.concat(F.lit(BOS), F.array_join(F.transform("pieces", lambda p: p["s"]), "")).alias("formatted"), sums.alias("loss_spans"))
+    text = F.concat(F.lit(BOS), F.array_join(F.transform("pieces", lambda p: p["s"]), ""))
+    rows = rows.select("conv_id", text.alias("formatted"), F.transform(_chunks("pieces"), _spans).alias("parts"))
+    moved = F.zip_with("parts", _begins(F.col("parts")), lambda p, at: F.transform(p["spans"], lambda s: F.struct((s["start"] + at).alias("start"), s["length"].alias("length"))))
+    return rows.select("conv_id", "formatted", F.flatten(moved).alias("loss_spans"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -80,5 +108,13 @@ def read_back(formatted: DataFrame) -> DataFrame:
         body = F.replace(F.get(parts, F.lit(1)), F.lit(END), F.lit(""))
         return F.transform(F.split(body, r"<\|turn\|>"), lambda t: F.struct(unescape(F.get(parts, F.lit(0))).alias("role"), unescape(t).alias("text")))
 
-    loss = F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int"))))
+    def cut(text: Column, start: Column, length: Column) -> Column:
+        return F.substring(text, (start + 1).cast("int"), length.cast("int"))
+
+    def part(spans: Column) -> Column:
+        first, last = F.get(spans, F.lit(0)), F.get(spans, F.size(spans) - 1)
+        return F.struct(spans.alias("spans"), first["start"].alias("at"), cut(F.col("formatted"), first["start"], last["start"] + last["length"] - first["start"]).alias("text"))
+
+    parts = F.transform(_chunks("loss_spans"), part)
+    loss = F.flatten(F.transform(parts, lambda p: F.transform(p["spans"], lambda s: unescape(cut(p["text"], s["start"] - p["at"], s["length"])))))
     return formatted.withColumns({"turns": F.flatten(F.transform(blocks, turns)), "loss_text": F.array_join(loss, "")})
