@@ -16,7 +16,7 @@ an empty table. Extra columns are left out.
 
 One conversation is one row, in one task. Arrays that grow while they are folded, and
 places counted from the beginning of a text, are kept to CHUNK items at a time, so the work
-for n turns grows as n * (CHUNK + n / CHUNK) at most and not as the square of n.
+for n turns grows as n * (CHUNK + n / CHUNK): a square remains, but a CHUNK-th of it.
 """
 
 from __future__ import annotations
