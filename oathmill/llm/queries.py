@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, license_scan, main_text, mixing, phrases, quality_model, quality_rules, sentencepiece_codec, simhash, substring_dedup
+from . import chat_format, lexical_search, license_scan, main_text, mixing, phrases, quality_model, quality_rules
+from . import sentencepiece_codec, simhash, substring_dedup, url_filter, vector_codes
 from .shared import documents
 
 
@@ -64,8 +65,22 @@ def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score_documents(spark, documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.codes(spark, spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked(spark, documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_quality_rules, op3_fingerprints, op4_license_scan, op5_chat_formatting, op6_substring_dedup, op7_simhash, op8_mixing, op9_main_text, op10_quality_model)}
+    return {f.__name__: f for f in (
+        op1_sentencepiece, op2_quality_rules, op3_fingerprints, op4_license_scan, op5_chat_formatting, op6_substring_dedup, op7_simhash,
+        op8_mixing, op9_main_text, op10_quality_model, op11_url_filter, op12_vector_codes, op13_lexical_search)}
 
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -153,5 +168,75 @@ FROM w LEFT JOIN kept USING (doc_id)""",
 }
 
 
+_LINK = url_filter.LINK.replace("'", "''")
+_HOST = "translate(coalesce(regexp_extract({}, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ORACLES["op11_url_filter"] = f"""
+WITH RECURSIVE rules(rhost, rpath, rverdict) AS (VALUES {', '.join(map(str, url_filter.RULES))}),
+u AS (
+  SELECT row_number() OVER () AS n, page_id, {_HOST.format('url')} AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+best AS (
+  SELECT n, arg_max({{'r': rhost || rpath, 'v': rverdict}}, (length(rhost || rpath), rhost || rpath, rverdict)) AS b
+  FROM u JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY n),
+j AS (SELECT u.*, b.r AS rule, b.v AS ruled FROM u LEFT JOIN best USING (n)),
+seed AS (
+  SELECT host, {url_filter.MASS} * count(*) FILTER (WHERE ruled = 'allow') // count(*) AS trust,
+    {url_filter.MASS} * count(*) FILTER (WHERE ruled = 'block') // count(*) AS distrust FROM j WHERE host <> '' GROUP BY host),
+link AS (
+  SELECT DISTINCT src, translate(dst, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst
+  FROM (SELECT {_HOST.format('url')} AS src, unnest(regexp_extract_all(html, '{_LINK}', 1)) AS dst FROM pages)),
+edge AS (SELECT true AS good, src AS a, dst AS b FROM link WHERE src <> '' AND src <> dst UNION ALL SELECT false, dst, src FROM link WHERE src <> '' AND src <> dst),
+way AS (SELECT *, count(*) OVER (PARTITION BY good, a) AS parts FROM edge),
+walk AS (
+  SELECT 0 AS turn, host, good, mass FROM (SELECT host, true AS good, trust AS mass FROM seed UNION ALL SELECT host, false, distrust FROM seed) WHERE mass > 0
+  UNION ALL
+  SELECT turn + 1, b, w.good, CAST(sum(mass * {url_filter.DAMPING} // (parts * 100)) AS BIGINT) FROM walk w JOIN way ON w.host = a AND w.good = way.good
+  WHERE turn < {url_filter.ROUNDS} AND mass * {url_filter.DAMPING} // (parts * 100) > 0 GROUP BY turn, b, w.good),
+mass AS (
+  SELECT host, CAST(sum(CASE WHEN good THEN mass * {100 - url_filter.DAMPING} // 100 ELSE 0 END) AS BIGINT) AS trust,
+    CAST(sum(CASE WHEN good THEN 0 ELSE mass * {100 - url_filter.DAMPING} // 100 END) AS BIGINT) AS distrust FROM walk GROUP BY host)
+SELECT page_id, j.host, path, rule, coalesce(ruled, CASE WHEN distrust * 100 > (trust + distrust) * {url_filter.THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict,
+  coalesce(trust, 0) AS trust, coalesce(distrust, 0) AS distrust FROM j LEFT JOIN mass ON mass.host = j.host"""
+
+
+def _lloyd(turn: int) -> str:
+    """One assignment to the entries of ``book{turn}`` and, but for the last, the entries after it."""
+    near = f"""near{turn} AS MATERIALIZED (
+  SELECT r, p, arg_min(e, (d, e)) AS e, min(d) AS d FROM (
+    SELECT x.r, x.p, b.e, list_sum(list_transform(list_zip(x.q, b.q), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM x JOIN book{turn} b ON b.p = x.p) GROUP BY r, p)"""
+    if turn == vector_codes.ROUNDS:
+        return near
+    return near + f""",
+sum{turn} AS (SELECT p, e, i, CAST(sum(c) AS BIGINT) AS s, count(*) AS n FROM (SELECT x.p, e, unnest(q) AS c, unnest(generate_series(1, len(q))) AS i FROM x JOIN near{turn} a ON a.r = x.r AND a.p = x.p) GROUP BY p, e, i),
+mean{turn} AS (SELECT p, e, list((s - (s % n + n) % n) // n ORDER BY i) AS q FROM sum{turn} GROUP BY p, e),
+book{turn + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.q, b.q) AS q FROM book{turn} b LEFT JOIN mean{turn} m ON m.p = b.p AND m.e = b.e)"""
+
+
+ORACLES["op12_vector_codes"] = f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda c: CAST(floor({vector_codes.GRAIN} * CAST(c AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+x AS MATERIALIZED (SELECT r, p, v[p * (len(v) // {vector_codes.PARTS}) + 1 : (p + 1) * (len(v) // {vector_codes.PARTS})] AS q FROM kept, range({vector_codes.PARTS}) AS t(p)),
+book0 AS MATERIALIZED (SELECT p, r - 1 AS e, q FROM x WHERE r <= {vector_codes.ENTRIES}),
+{(', ' + chr(10)).join(_lloyd(i) for i in range(vector_codes.ROUNDS + 1))},
+coded AS MATERIALIZED (SELECT r, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM near{vector_codes.ROUNDS} GROUP BY r),
+num AS (SELECT p, e, unnest(q) AS c, unnest(generate_series(1, len(q))) AS i FROM book{vector_codes.ROUNDS})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY p, e, i)) FROM num) AS codebooks_sha256
+FROM kept JOIN coded USING (r)"""
+
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ORACLES["op13_lexical_search"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOW}, '{lexical_search.TERM}') AS t FROM documents),
+n AS (SELECT r, doc_id, len(t) AS n FROM d WHERE len(t) > 0),
+whole AS (SELECT count(*) AS nn, CAST(coalesce(sum(n), 0) AS BIGINT) AS l FROM n),
+post AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM d) GROUP BY r, term),
+weight AS (SELECT term, CAST(floor(1000 * ln((2 * nn + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM post, whole GROUP BY term, nn),
+item AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOW}, '{lexical_search.TERM}')) AS term FROM benchmark),
+score AS (
+  SELECT item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nn) // l)))) AS BIGINT) AS score
+  FROM item JOIN weight USING (term) JOIN post USING (term) JOIN n USING (r), whole GROUP BY item_id, r, doc_id),
+place AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank FROM score WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM place WHERE rank <= 50"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
