@@ -339,6 +339,21 @@ def did_you_know(fact: DataFrame, state: str | None = None) -> DataFrame:
     whole = fact.agg(F.count("*").alias("entries"), F.count_distinct("politician_id").alias("people")).withColumn("k", F.lit(1))
     one = rows.agg(F.count("*").alias("n"), richest.alias("w"), accused.alias("c"), F.count_if(n_cases() > 0).alias("with_cases"), F.count_if(is_crore()).alias("rich"), F.min("year").alias("y1"), F.max("year").alias("y2"), F.count_distinct("year").alias("years")).withColumn("k", F.lit(1))
     one = one.join(F.broadcast(whole), "k")
+    return _sentences(one)
+
+
+def facts_of(rows: DataFrame, shown: Column, person: Column) -> DataFrame:
+    """``did_you_know`` over rows of all appearances in one aggregation: ``shown`` marks the rows it speaks of, ``person`` one row of each politician."""
+    named = shown & (F.trim(F.coalesce("name", F.lit(""))) != "")
+    most = lambda x: F.max_by(F.struct("name", x.alias("x")), F.when(named, F.struct(x, -F.col("appearance_id"))))
+    year = F.when(shown, F.col("year"))
+    return _sentences(rows.agg(
+        F.count_if(shown).alias("n"), most(wealth()).alias("w"), most(n_cases()).alias("c"), F.count_if(shown & (n_cases() > 0)).alias("with_cases"), F.count_if(shown & is_crore()).alias("rich"),
+        F.min(year).alias("y1"), F.max(year).alias("y2"), F.count_distinct(year).alias("years"), F.count("*").alias("entries"), F.count_if(person).alias("people")))
+
+
+def _sentences(one: DataFrame) -> DataFrame:
+    """pos, fact, from one row of figures: n, w and c (the richest and the most accused), with_cases, rich, y1, y2, years, entries, people."""
     share = lambda c: F.floor(F.col(c) * 100 / F.col("n") + 0.5).cast("long").cast("string")
     facts = F.array(
         F.when(F.col("w.x") > 0, F.concat(F.lit("The wealthiest member on record is "), F.col("w.name"), F.lit(" with declared assets of "), F.floor(F.col("w.x") / CRORE).cast("long").cast("string"), F.lit(" crore."))),

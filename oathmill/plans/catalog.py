@@ -324,4 +324,4 @@ _register("listing_scan", lambda s, d: html_tables.candidates(html_tables.table_
 _register("listing_prefix_filter", lambda s, d: html_tables.near_names(html_tables.candidates(html_tables.table_rows(_listing_pages(s, d))), s.createDataFrame([("BUILD",), ("MACHINERY HALL",)], "seat string")).select("candidate_id", "constituency"), "SELECT CAST(c_custkey AS INTEGER) AS candidate_id, c_mktsegment AS constituency FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')")
 _register("listing_paged", lambda s, d: html_tables.paged_candidates(html_tables.table_rows(_listing_pages(s, d))).select("slug", "candidate_id", "page"), "SELECT CAST(c_nationkey AS VARCHAR) AS slug, CAST(c_custkey AS INTEGER) AS candidate_id, CAST(c_custkey % 3 + 1 AS INTEGER) AS page FROM customer WHERE c_custkey > 0")
 
-from oathmill.plans import catalog_rows  # noqa: E402, F401 - registers more queries
+from oathmill.plans import catalog_rows, catalog_flows  # noqa: E402, F401, I001 - register more queries

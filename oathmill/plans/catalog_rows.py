@@ -66,10 +66,15 @@ def _crawl(spark: SparkSession, d: str) -> DataFrame:
 
 _CRAWL = """WITH c AS (SELECT o_orderkey % 7 AS page, o_orderkey AS pos, 'https://x.org/' || o_custkey AS profile_url, CASE WHEN o_orderkey % 4 > 0 THEN 'A' || (o_orderkey % 5000) ELSE '' END AS affidavit_id,
   CASE WHEN o_orderkey % 10 = 0 THEN NULL WHEN o_orderstatus = 'O' THEN 'Accepted' WHEN o_orderstatus = 'F' THEN 'REJECTED' ELSE 'withdrawn' END AS status, o_orderkey % 3 = 0 AS download_succeeded FROM orders)"""
-_register("crawl_dedupe", lambda s, d: files.crawl_dedupe(_crawl(s, d)).select("page", "pos", "profile_url", "affidavit_id"), _CRAWL + """,
-u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY profile_url ORDER BY page, pos) AS n FROM c) WHERE n = 1),
-v AS (SELECT *, row_number() OVER (PARTITION BY affidavit_id ORDER BY page, pos) AS m FROM u)
-SELECT page, pos, profile_url, affidavit_id FROM v WHERE affidavit_id = '' OR m = 1""")
+_register("crawl_dedupe", lambda s, d: files.crawl_dedupe(_crawl(s, d)).select("page", "pos", "profile_url", "affidavit_id"), _CRAWL.replace("WITH c", "WITH RECURSIVE c") + """,
+r AS (
+  SELECT page, pos, profile_url, affidavit_id, false AS kept FROM c
+  UNION ALL
+  SELECT page, pos, profile_url, affidavit_id, k FROM (
+    SELECT *, bool_or(k) OVER (PARTITION BY profile_url) OR (affidavit_id <> '' AND bool_or(k) OVER (PARTITION BY affidavit_id)) AS taken FROM (
+      SELECT *, row_number() OVER (PARTITION BY profile_url ORDER BY page, pos) = 1 AND (affidavit_id = '' OR row_number() OVER (PARTITION BY affidavit_id ORDER BY page, pos) = 1) AS k FROM r WHERE NOT kept))
+  WHERE k OR NOT taken)
+SELECT page, pos, profile_url, affidavit_id FROM r WHERE kept""")
 _register("crawl_status", lambda s, d: files.with_status(_crawl(s, d), ("accepted", "withdrawn"), keep_unknown=True).select("pos", "status"), _CRAWL + " SELECT pos, status FROM c WHERE lower(coalesce(status, '')) IN ('accepted', 'withdrawn', '')")
 _register("crawl_status_counts", lambda s, d: files.status_counts(_crawl(s, d)), _CRAWL + " SELECT coalesce(status, '(blank)') AS status, count(*) AS n FROM c GROUP BY 1")
 _register("crawl_pending", lambda s, d: files.pending(_crawl(s, d), _crawl(s, d)).select("pos"), _CRAWL + " SELECT pos FROM c WHERE profile_url NOT IN (SELECT profile_url FROM c WHERE download_succeeded)")

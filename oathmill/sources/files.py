@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from oathmill.store import Scratch
+
 MANIFEST = "name string, party string, status string, state string, constituency string, profile_url string, affidavit_id string, pdf_path string, download_attempted boolean, download_succeeded boolean, error string"
 PAGE_DOC = "source_pdf string, page_count int, pages array<struct<page:int, method:string, text:string>>, stats struct<pages_pdfplumber:int, pages_easyocr:int, elapsed_seconds:double>"
 
@@ -37,11 +39,34 @@ def status_counts(rows: DataFrame) -> DataFrame:
 
 
 def crawl_dedupe(rows: DataFrame) -> DataFrame:
-    """rows (page, pos, profile_url, affidavit_id): first per address, then first per affidavit id of those left. A crawl that
-    drops on either key as it goes differs only where a row dropped for one key had been the first of the other."""
-    first = lambda key: F.row_number().over(Window.partitionBy(key).orderBy("page", "pos"))
-    by_url = rows.withColumn("n", first("profile_url")).where("n = 1").drop("n")
-    return by_url.withColumn("n", F.when(F.coalesce("affidavit_id", F.lit("")) == "", 1).otherwise(first("affidavit_id"))).where("n = 1").drop("n")
+    """rows (page, pos, profile_url, affidavit_id and any others): what a crawl in order of (page, pos) keeps, which passes over a row
+    if a kept one before it has its address or its affidavit id; blank ids never meet, null addresses are one address.
+
+    Rounds: rows that are the first of both their keys are kept, those that share a key with a kept one go, and the rest
+    is looked at again. Of rows with one pair of keys only the first can be kept. The first row of all is first on both keys,
+    so every round keeps one at least; in practice a few rounds do. Each round is a table in the shared folder.
+    """
+    scratch = Scratch(rows.sparkSession, "crawl")
+    at = F.struct("page", "pos")
+    pairs = rows.groupBy(F.coalesce("profile_url", F.lit("")).alias("u"), F.coalesce("affidavit_id", F.lit("")).alias("f")).agg(F.min(at).alias("at"), F.min_by(F.struct(*rows.columns), at).alias("row"))
+    pairs = scratch.write(pairs, "pairs")
+    open_, kept, turn = pairs.drop("row"), None, 0
+    while turn == 0 or not open_.isEmpty():
+        turn += 1
+        named = open_.where("f <> ''")
+        by_url = open_.groupBy("u").agg(F.min("at").alias("first_u"))
+        by_id = named.groupBy("f").agg(F.min("at").alias("first_f"))
+        seen = open_.join(by_url, "u")
+        first = seen.where("f = ''").withColumn("k", F.col("at") == F.col("first_u")).select("u", "f", "at", "k")
+        both = seen.where("f <> ''").join(by_id, "f").withColumn("k", (F.col("at") == F.col("first_u")) & (F.col("at") == F.col("first_f")))
+        marked = scratch.write(first.unionByName(both.select("u", "f", "at", "k")), f"marked{turn}")
+        now = marked.where("k").select("u", "f", "at")
+        kept = now if kept is None else kept.unionByName(now)
+        left = marked.where("not k").drop("k").join(now.select("u"), "u", "left_anti")
+        taken = now.where("f <> ''").select("f")
+        left = left.where("f = ''").unionByName(left.where("f <> ''").join(taken, "f", "left_anti"))
+        open_ = scratch.write(left, f"open{turn}")
+    return pairs.join(kept.select("u", "f"), ["u", "f"], "left_semi").select("row.*")
 
 
 def page_docs(spark: SparkSession, path: str) -> DataFrame:

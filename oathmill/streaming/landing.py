@@ -1,13 +1,67 @@
-"""Resumable loads: new files are picked up once; the stream's checkpoint is the manifest of what is done."""
+"""Resumable loads: new files are picked up once; the stream's checkpoint and the tables' commit log say what is done."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from oathmill.plans.commits import Change, Log, Snapshot
+from oathmill.sources.files import MANIFEST
 
 
 def land(spark: SparkSession, folder: str, schema: str, done: str, apply: Callable[[DataFrame, int], None], form: str = "json") -> None:
     """Hand the files that are new since the last call to ``apply`` (a batch and its number), then stop."""
     query = spark.readStream.schema(schema).format(form).load(folder).writeStream.foreachBatch(apply).option("checkpointLocation", done).trigger(availableNow=True).start()
     query.awaitTermination()
+
+
+def newest(old: DataFrame, batch: DataFrame, key: list[str], seq: list[str]) -> DataFrame:
+    """The last row of each key, by ``seq``; of an old and a new row that are equal in it, the new one."""
+    both = old.select("*", F.lit(0).alias("batch_")).unionByName(batch.select(*old.columns, F.lit(1).alias("batch_")))
+    rest = [c for c in old.columns if c not in key]
+    return both.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*seq, "batch_")).alias("r")).select(*key, "r.*").select(*old.columns)
+
+
+def merged(log: Log, table: str, schema: str, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+    """A function for foreachBatch that merges each batch into a table of the log exactly once. The commit that holds a batch's rows
+    also marks its number for this stream (known by the id in its checkpoint), so a replayed batch changes nothing."""
+
+    def apply(batch: DataFrame, number: int) -> None:
+        stream = f"{table}:{batch.sparkSession.sparkContext.getLocalProperty('sql.streaming.queryId')}"
+
+        def change(at: Snapshot) -> Change:
+            if at.marks.get(stream, -1) >= number:
+                return None
+            return {table: merge(log.read(table, schema, at), batch)}, {stream: number}
+
+        log.update(change)
+
+    return apply
+
+
+def land_upsert(spark: SparkSession, folder: str, schema: str, log: Log, table: str, key: list[str], seq: list[str], done: str, form: str = "json", files: int = 1000) -> None:
+    """Land the new files of a folder in a table of the log, one row per key, ``files`` at a time, then stop."""
+    lines = spark.readStream.schema(schema).format(form).option("maxFilesPerTrigger", files).load(folder)
+    apply = merged(log, table, schema, lambda old, batch: newest(old, batch, key, seq))
+    lines.writeStream.foreachBatch(apply).option("checkpointLocation", done).trigger(availableNow=True).start().awaitTermination()
+
+
+STATE = f"{MANIFEST}, file string, line int"
+
+
+def last_lines(lines: DataFrame) -> DataFrame:
+    """Per address its last line, files in order of their names: keyed state if ``lines`` (path, value: a whole file) is a stream."""
+    rows = lines.select(F.col("path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
+    rows = rows.select(F.from_json("value", MANIFEST).alias("r"), "file", "line").where("coalesce(r.profile_url, '') <> ''")
+    last = rows.groupBy(F.col("r.profile_url").alias("u")).agg(F.max_by(F.struct("r", "file", "line"), F.struct("file", "line")).alias("m"))
+    return last.select("m.r.*", "m.file", "m.line")
+
+
+def follow_manifest(spark: SparkSession, folder: str, log: Log, table: str, done: str, files: int = 1000) -> None:
+    """Keep a table of each address's last manifest line, over files that come in any order. Each batch updates the stream's state store
+    by address; what changed is merged into the table. A manifest file is one row, so files should be cut (a crawl's day or less)."""
+    whole = spark.readStream.schema("value string").option("wholetext", True).option("maxFilesPerTrigger", files).text(folder).select("value", F.col("_metadata.file_path").alias("path"))
+    apply = merged(log, table, STATE, lambda old, batch: newest(old, batch, ["profile_url"], ["file", "line"]))
+    last_lines(whole).writeStream.outputMode("update").foreachBatch(apply).option("checkpointLocation", done).trigger(availableNow=True).start().awaitTermination()
