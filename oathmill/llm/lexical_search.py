@@ -36,7 +36,9 @@ from pyspark.sql import functions as F
 
 from .shared import Stage, batched, sized_broadcast, text_bytes
 
-SHARD_DOCS, SHARD_POSTINGS, GROUP, BLOCK, SALTS, STEP = 8192, 1 << 20, 64, 1024, 64, 4096
+SHARD_DOCS, SHARD_POSTINGS, GROUP, BLOCK, SALTS, STEP = 8192, 1 << 19, 64, 1024, 64, 4096
+#: Bytes of a row group of the index: a reader holds a few shards at a time.
+ROW_GROUP = 1 << 25
 #: What is no part of a term becomes a space, A-Z small letters.
 _CUT = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -133,7 +135,9 @@ def index(stage: Stage, docs: DataFrame, name: str = "index") -> Index:
     """Write the shards of all documents (doc_id, text) as a table of the stage."""
     n, size = totals(docs)
     shards = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(batched(_shards(n, size)), INDEX)
-    return Index(stage.write(shards, name, "zstd"), n, size)
+    path = f"{stage.root}/{name}"
+    shards.write.option("parquet.block.size", ROW_GROUP).parquet(path, compression="zstd")
+    return Index(stage.spark.read.schema(INDEX).parquet(path), n, size)
 
 
 class Shard:
