@@ -15,11 +15,13 @@ again for later batches. Keys that two documents share are candidates.
 
 Candidates are verified: first whole stretches of windows under one key, grouped by
 their very words; then, where one key has several different stretches, window by window,
-by two independent 64-bit hashes of its 13 words along with the key. Only stretches that
-no smaller document has whole need the second step.
+by the key and two 64-bit hashes of its 13 words, which come from two hashes of each word under
+different seeds and roll with different factors: words that collide in one do not in the other. Only
+stretches that no smaller document has whole need the second step.
 
 Null and empty texts have no words. Rows that repeat a doc_id are judged apart, and never
-against each other; equal ones share their spans. Rows with a null doc_id keep all words
+against each other; equal ones share their spans. What is gathered for a row is bounded by its own text,
+whatever the number of rows with its doc_id. Rows with a null doc_id keep all words
 and remove none. Of equal windows the one in the smallest doc_id stays, and all of them
 that are in that document. A long text is cut whole, in memory of its own size; its keys and
 stretches are rows. Extra columns are left out; an empty table gives an empty table.
@@ -32,11 +34,12 @@ import json
 import re
 import uuid
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import Stage, batched, remove, settings
@@ -46,6 +49,8 @@ WINDOW, GRAM = 13, 5
 BATCHES, FAN_IN = 3, 2
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xA0761D6478BD642F)
+#: Seed of the words' second hash, and the parts that the texts of one doc_id are told apart by.
+SECOND, SALTS = 0x5EED, 32_768
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -77,18 +82,23 @@ def window_keys(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys, ids = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for doc_id, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
+        keys, ids, salts = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int16)]
+        for doc_id, salt, text in zip(batch.column("doc_id"), batch.column("salt"), batch.column("text"), strict=True):
             found = window_keys((text.as_py() or "").encode().split())[0]
             if len(found):
                 keys.append(np.unique(found))
                 ids.append(np.full(len(keys[-1]), doc_id.as_py(), np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(ids))], ["key", "doc_id"])
+                salts.append(np.full(len(keys[-1]), salt.as_py(), np.int16))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, ids, salts)], ["key", "doc_id", "salt"])
+
+
+def _salt() -> Column:
+    return F.pmod(F.xxhash64("text"), F.lit(SALTS)).cast("short").alias("salt")
 
 
 def document_keys(docs: DataFrame) -> DataFrame:
-    """key, doc_id: the distinct keys of each document."""
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(batched(_keys), "key long, doc_id long")
+    """key, doc_id, salt (a part of the text's hash): the distinct keys of each row."""
+    return docs.where("doc_id is not null").select("doc_id", _salt(), "text").mapInArrow(batched(_keys), "key long, doc_id long, salt short")
 
 
 class FingerprintIndex:
@@ -235,8 +245,9 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = b" ".join(texts).split(b" ")
         sizes = np.array([t.count(b" ") + 1 for t in texts], dtype=np.int64)
         h = np.fromiter(map(xxhash.xxh3_64_intdigest, parts), np.uint64, len(parts))
+        g = np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SECOND)), np.uint64, len(parts))
         with np.errstate(over="ignore"):
-            one, two = _rolled(h, WINDOW, _M2), _rolled(h ^ (h >> np.uint64(31)), WINDOW, _M3)
+            one, two = _rolled(h, WINDOW, _M2), _rolled(g, WINDOW, _M3)
         times = sizes - WINDOW + 1  # the rest of the rolled windows lie across stretches
         within = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
         where = np.repeat(np.cumsum(sizes) - sizes, times) + within
@@ -271,18 +282,21 @@ def removal_spans(spark: SparkSession, docs: DataFrame) -> tuple[Stage, DataFram
     """doc_id, th (hash of the text), spans: the windows to remove, as (first window, how many)."""
     stage = Stage(spark, "substrings")
     index = FingerprintIndex(spark, f"{stage.root}/index")
-    keys = stage.write(document_keys(docs), "keys")
-    shared = candidates(stage, index, keys)
-    index.drop()
+    try:
+        keys = stage.write(document_keys(docs), "keys")
+        shared = candidates(stage, index, keys)
+    finally:  # no run stays in the session's catalogue
+        index.drop()
     stage.free()
-    wanted = stage.write(keys.join(shared, "key").groupBy("doc_id").agg(F.collect_list("key").alias("wanted")), "wanted")
+    # by text, not by doc_id alone: rows that repeat a doc_id gather no more than their own keys
+    wanted = stage.write(keys.join(shared, "key").groupBy("doc_id", "salt").agg(F.collect_set("key").alias("wanted")), "wanted")
     stage.free()
     for name in ("keys", "candidates"):
         stage.drop(name)
-    hashed = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("th"), "text")
+    hashed = docs.where("doc_id is not null").select("doc_id", _salt(), F.xxhash64("text").alias("th"), "text")
     kinds = "key long, words binary, doc_id long, th long, at int, n int"
     # neighbouring stretches share 12 words, which the codec finds
-    found = stage.write(hashed.join(wanted, "doc_id").select("doc_id", "th", "text", "wanted").mapInArrow(batched(_stretched, 32), kinds), "stretches", "zstd")
+    found = stage.write(hashed.join(wanted, ["doc_id", "salt"]).select("doc_id", "th", "text", "wanted").mapInArrow(batched(_stretched, 32), kinds), "stretches", "zstd")
     stage.drop("wanted")
     stage.free()
     # grouped by the words themselves; their hash only spares the later joins the words

@@ -92,6 +92,31 @@ def test_rows_that_repeat_share_their_spans(spark, make_docs):
     assert len(found) == 1 and len(found[0]["spans"]) < 30
 
 
+def test_five_thousand_texts_of_one_doc_id(spark, make_docs, monkeypatch):
+    """What is gathered for a row does not grow with the rows of its doc_id."""
+    passage = [f"p{i}" for i in range(40)]
+    rows = [(1, " ".join(passage), "en", "a")] + [(2, " ".join([f"x{i}", *passage[i % 20 : i % 20 + 15], f"y{i}"]), "en", "a") for i in range(5000)] + [(3, " ".join(passage[5:25]), "en", "a")]
+    sizes, real = [], S.Stage.write
+
+    def write(self, df, name, *codec):
+        out = real(self, df, name, *codec)
+        if name == "wanted":
+            sizes.append(out.selectExpr("max(size(wanted))").first()[0])
+        return out
+
+    monkeypatch.setattr(S.Stage, "write", write)
+    assert collected(S.removal_digests(spark, make_docs(rows))) == brute(rows)
+    assert sizes and sizes[0] <= 15 * 5  # a few texts of one part of the hash at most
+
+
+def test_words_that_collide_in_one_hash_do_not_match(spark, make_docs, monkeypatch):
+    """Two words with one first hash give different windows by the second."""
+    batch = S.pa.RecordBatch.from_arrays([S.pa.array([1, 1]), S.pa.array([" ".join(["w"] * 12 + [x]).encode() for x in "ab"]), *(S.pa.array([0, 1]) for _ in range(3))], ["key", "words", "doc_id", "th", "at"])
+    monkeypatch.setattr(S.xxhash, "xxh3_64_intdigest", lambda w: 7)
+    made = next(S._windows(iter([batch])))
+    assert len(set(made.column("window").to_pylist())) == 1 and len(set(made.column("again").to_pylist())) == 2
+
+
 def test_stretches_with_one_hash_are_told_apart_by_their_words(spark, make_docs, monkeypatch):
     monkeypatch.setattr(S.F, "xxhash64", lambda *c: S.F.lit(7).cast("long") if c == ("words",) else S.F.hash(*c).cast("long"))
     rows = [(d, " ".join(f"{'ab'[d % 2]}{i // 9}" for i in range(60)), "en", "a") for d in range(4)]
