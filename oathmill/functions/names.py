@@ -2,13 +2,58 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Latin letters that do not decompose, and Cyrillic, lower case, with their plain letters.
+LETTERS = {
+    "æ": "ae", "œ": "oe", "ß": "ss", "þ": "th", "ð": "d", "ø": "o", "đ": "d", "ł": "l", "ı": "i", "ħ": "h", "ŋ": "ng",
+    "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ё": "io", "ж": "zh", "з": "z", "и": "i", "й": "i", "к": "k", "л": "l", "м": "m", "н": "n", "о": "o", "п": "p",
+    "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ъ": "", "ы": "y", "ь": "", "э": "e", "ю": "iu", "я": "ia", "ੰ": "n", "ੱ": "h",
+}
+#: The plain letters of an Indic block, from its first code point on ("-": none). The blocks share one order.
+INDIC = (
+    "- n n h - a aa i ii u uu r l en e e ai on o o au k kh g gh ng c ch j jh ny tt tth dd ddh nn t th d dh n nnn p ph b bh m y r rr l l lll v sh ss s h - - - - "
+    "aa i ii u uu r rr en e e ai on o o au - - - - - - - - - - q khh ghh z dddh rh f yy rr ll l ll - - 0 1 2 3 4 5 6 7 8 9").split()
+INDIC_BLOCKS = (0x900, 0x980, 0xA00, 0xA80, 0xB00, 0xB80, 0xC00, 0xC80, 0xD00)
+
+
+def _plain_letters() -> dict[str, str]:
+    """Every letter that has plain ones: by decomposition (composed and ligature letters), then the tables."""
+    out = {chr(c): "" for c in range(0x300, 0x370)}  # marks
+    for c in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00), *range(0xFB00, 0xFB07)]:
+        apart = "".join(x for x in unicodedata.normalize("NFKD", chr(c).lower()) if not unicodedata.combining(x))
+        if apart.isascii() and apart.isalpha():
+            out[chr(c)] = apart
+    out |= LETTERS
+    for block in INDIC_BLOCKS:
+        out |= {chr(block + i): "" if x == "-" else x for i, x in enumerate(INDIC)}
+    return out
+
+
+def transliterate(text: Column) -> Column:
+    """Lower case with plain letters for accented, joined, Cyrillic and Indic ones; all else as it is. ASCII text takes no part in it.
+
+    One ``translate`` gives each letter its plain one, drops marks, and puts a private character for several; these are
+    then spelled out from a list."""
+    table = _plain_letters()
+    several = sorted({v for v in table.values() if len(v) > 1})
+    code = {v: chr(0xE000 + i) for i, v in enumerate(several)}
+    kept = sorted(k for k, v in table.items() if v)
+    dropped = sorted(k for k, v in table.items() if not v)
+    low = F.translate(F.lower(text), "".join(kept + dropped), "".join(code.get(table[k], table[k]) for k in kept))
+    spelled = F.split(F.lit(" ".join(several)), " ")
+    inside = lambda c: (c >= F.lit(chr(0xE000))) & (c < F.lit(chr(0xE000 + len(several))))
+    apart = F.transform(F.regexp_extract_all(low, F.lit("(?s)."), F.lit(0)), lambda c: F.when(inside(c), F.get(spelled, F.ascii(c) - 0xE000)).otherwise(c))
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.array_join(apart, "")).otherwise(F.lower(text))
+
+
 def slugify(text: Column) -> Column:
-    """ASCII letters and digits, lower case, joined by hyphens; accents fall away where they have a plain letter."""
-    plain = F.translate(F.lower(text), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+    """ASCII letters and digits, lower case, joined by hyphens. Letters of other scripts are transliterated first; commas within numbers go."""
+    plain = F.regexp_replace(transliterate(text), r"(?<=\d),(?=\d)", "")
     return F.trim(F.regexp_replace(plain, "[^a-z0-9]+", "-"), F.lit("-"))
 
 

@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from oathmill.functions import documents as D
 from oathmill.functions import names
+from oathmill.store import Scratch
 
-#: Characters of a name that its number is first counted by.
-HEAD = 8
 RECON_STATUSES = ("MATCH", "CLOSE", "FLAG", "NO_DB_ROW", "PARSE_FAIL")
 
 
@@ -51,11 +50,19 @@ def package(files: DataFrame) -> DataFrame:
     rows = files.withColumns({"key": names.candidate_key(F.col("path")), "id": names.affidavit_id(F.col("path"))})
     by_size = F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("s"), "path", "id")))
     out = rows.groupBy("key").agg(by_size.alias("f")).select("key", F.col("f")[0]["path"].alias("canonical"), F.size("f").alias("n_files"), F.array_join(F.transform(F.slice("f", 2, F.greatest(F.size("f"), F.lit(1))), lambda x: x["id"]), "; ").alias("others"))
-    # number in name order: what stands before a name's beginning, and its place among names that share it
-    out = out.withColumn("head", F.substring("key", 1, HEAD))
-    heads = out.groupBy("head").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("head")) - F.col("n")).drop("n")
-    place = F.row_number().over(Window.partitionBy("head").orderBy("key"))
-    return out.join(heads, "head").withColumn("seq", (F.col("before") + place).cast("int")).drop("head", "before")
+    return in_order(out, "key", "seq")
+
+
+def in_order(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """Number rows from 1 in order of ``key``: rows are dealt by ranges of the key and sorted there, each range numbers its own, and the
+    counts of the ranges before it (a row per range) are added. No task sees all rows, or all that begin alike."""
+    scratch = Scratch(rows.sparkSession, "ordered")
+    dealt = scratch.write(rows.repartitionByRange(key).sortWithinPartitions(key).withColumn("at_", F.monotonically_increasing_id()), "dealt")
+    split = {"range_": F.shiftright("at_", 33), "nth_": F.col("at_").bitwiseAND(F.lit((1 << 33) - 1))}
+    dealt = dealt.withColumns(split).drop("at_")
+    counts = dealt.groupBy("range_").agg(F.count("*").alias("n_"))
+    before = counts.select("range_", (F.sum("n_").over(Window.orderBy("range_")) - F.col("n_")).alias("before_"))
+    return dealt.join(F.broadcast(before), "range_").withColumn(name, (F.col("before_") + F.col("nth_") + 1).cast("int")).drop("range_", "nth_", "before_")
 
 
 def qc_report(pages: DataFrame) -> DataFrame:
@@ -89,13 +96,34 @@ def stamp_metadata(covers: DataFrame) -> DataFrame:
     return covers.select("pdf_path", D.stamp(F.col("cover")).alias("s")).select("pdf_path", "s.*", D.stamp_time(F.col("s.issue_date")).alias("issue_dt"))
 
 
-def reconcile(read: DataFrame, recorded: DataFrame) -> DataFrame:
-    """read (name, read_assets, read_cases) against recorded (id, name, assets, cases): by person key, the smallest id of equals."""
-    first = Window.partitionBy("key").orderBy("id")
-    db = recorded.withColumn("key", names.person_key(F.col("name"))).withColumn("n", F.row_number().over(first)).where("n = 1 and key <> ''").select("key", "id", F.col("assets").alias("db_assets"), F.col("cases").alias("db_cases"))
-    rows = read.withColumn("key", names.person_key(F.col("name"))).join(db, "key", "left")
+def _judged(rows: DataFrame) -> DataFrame:
     status = D.recon_status(F.col("db_assets"), F.col("read_assets"), F.col("db_cases"), F.col("read_cases"))
-    return rows.withColumns({"status": status, "asset_delta_pct": F.when(F.col("db_assets").isNotNull() & F.col("read_assets").isNotNull(), D.asset_gap(F.col("db_assets"), F.col("read_assets")))})
+    gap = F.when(F.col("db_assets").isNotNull() & F.col("read_assets").isNotNull(), D.asset_gap(F.col("db_assets"), F.col("read_assets")))
+    return rows.withColumns({"status": status, "asset_delta_pct": gap})
+
+
+def reconcile(read: DataFrame, recorded: DataFrame) -> DataFrame:
+    """read (name, read_assets, read_cases) against recorded (id, name, assets, cases): by person key, the smallest id of equals.
+    Rows without a key meet nothing."""
+    db = recorded.withColumn("key", names.person_key(F.col("name"))).where("key <> ''")
+    db = db.groupBy("key").agg(F.min_by(F.struct("id", F.col("assets").alias("db_assets"), F.col("cases").alias("db_cases")), "id").alias("r")).select("key", "r.*")
+    rows = read.withColumn("key", names.person_key(F.col("name")))
+    met = rows.where("key <> ''").join(db, "key", "left").unionByName(rows.where("key = ''"), allowMissingColumns=True)
+    return _judged(met)
+
+
+def reconcile_scoped(read: DataFrame, recorded: DataFrame) -> DataFrame:
+    """read (doc, name, year, state, read_assets, read_cases) against recorded (id, name, year, state, assets, cases): the candidate of that
+    name in that year whose state holds the asked one (in any case, its words in order, with anything between them); of several
+    the smallest id. Year and key block the join, so people of one name in other years or states do not meet.
+    ``doc`` names a read row; rows without a key, year or state meet nothing."""
+    rows = read.withColumn("key", names.person_key(F.col("name")))
+    asked = rows.where("key <> '' and year is not null and coalesce(trim(state), '') <> ''").select("doc", "key", "year", F.col("state").alias("asked"))
+    db = recorded.withColumn("key", names.person_key(F.col("name"))).where("key <> '' and year is not null")
+    db = db.select("key", "year", F.col("state").alias("held"), F.struct("id", F.col("assets").alias("db_assets"), F.col("cases").alias("db_cases")).alias("r"))
+    fits = F.ilike(F.col("held"), F.concat(F.lit("%"), F.regexp_replace(F.trim("asked"), r"\s+", "%"), F.lit("%")))
+    found = asked.join(db, ["key", "year"]).where(fits).groupBy("doc").agg(F.min_by("r", F.col("r.id")).alias("r")).select("doc", "r.*")
+    return _judged(rows.join(found, "doc", "left"))
 
 
 def flag_gate(summary: DataFrame, most_pct: float = 10.0) -> DataFrame:

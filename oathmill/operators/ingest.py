@@ -71,6 +71,52 @@ def insert_missing(dst: DataFrame, src: DataFrame, key: list[str]) -> DataFrame:
     return dst.unionByName(once.join(dst.select(*key), key, "left_anti"), allowMissingColumns=True)
 
 
+#: What each table's columns refer to.
+REFERENCES = {
+    "states": {}, "parties": {}, "politicians": {}, "constituencies": {"state_id": "states"}, "elections": {"state_id": "states"},
+    "election_appearances": {"politician_id": "politicians", "election_id": "elections", "constituency_id": "constituencies", "party_id": "parties"},
+    "assets": {"appearance_id": "election_appearances"}, "liabilities": {"appearance_id": "election_appearances"}, "criminal_cases": {"appearance_id": "election_appearances"},
+}
+
+
+def dependency_order(references: dict[str, dict[str, str]]) -> list[str]:
+    """Tables with those they refer to before them; by name where either could come first."""
+    out: list[str] = []
+    while len(out) < len(references):
+        ready = sorted(t for t, refs in references.items() if t not in out and set(refs.values()) <= set(out) | {t})
+        if not ready:
+            raise ValueError("tables refer to each other in a circle")
+        out += ready
+    return out
+
+
+def bulk_copy(src: dict[str, DataFrame], dst: dict[str, DataFrame], reset: bool = False, references: dict[str, dict[str, str]] = REFERENCES) -> tuple[dict[str, DataFrame], dict[str, DataFrame], dict[str, DataFrame]]:
+    """Copy all tables, parents before children: (tables after, rows rejected, next free id of each).
+
+    Rows with a known id are left alone, so a copy may be repeated. A row that refers to no row of the table after its own copy is
+    rejected, and with it whatever refers to it in turn; null references are none. ``reset`` starts from empty tables. A
+    table that the source lacks stays; one that only the source has is not made. Rows that repeat an id count once.
+    """
+    after, rejected, following = {}, {}, {}
+    for name in dependency_order(references):
+        if name not in dst:
+            continue
+        old = dst[name].limit(0) if reset else dst[name]
+        rows = src[name] if name in src else old.limit(0)
+        fresh = rows.groupBy("id").agg(F.min_by(F.struct(*rows.columns), F.struct(*rows.columns)).alias("r")).select("r.*").join(old.select("id"), "id", "left_anti")
+        lost = F.lit(False)
+        for column, parent in references[name].items():
+            if column in rows.columns and parent in after:
+                held = after[parent].select(F.col("id").alias(f"held_{column}"))
+                fresh = fresh.join(held, F.col(column) == F.col(f"held_{column}"), "left")
+                lost = lost | (F.col(column).isNotNull() & F.col(f"held_{column}").isNull())
+        marked = fresh.withColumn("lost_", lost)
+        rejected[name] = marked.where("lost_").select(*rows.columns)
+        after[name] = old.unionByName(marked.where("not lost_").select(*[c for c in rows.columns if c in old.columns]), allowMissingColumns=True)
+        following[name] = after[name].agg((F.coalesce(F.max("id"), F.lit(0)) + 1).alias("next_id"))
+    return after, rejected, following
+
+
 def split_merged(appearances: DataFrame, politicians: DataFrame) -> tuple[DataFrame, DataFrame]:
     """One politician per (election slug, candidate id) of the source address: (politicians, appearances with the new ids).
     The longest name of a group stays (the first by id); ids start over above the largest."""
@@ -91,8 +137,9 @@ def repair_slugs(politicians: DataFrame) -> DataFrame:
     """Every slug filled and unique: the first row of a slug keeps it; empty and later ones get name slugs that no row has."""
     base = F.coalesce(F.nullif(F.substring(names.slugify(F.col("name")), 1, 200), F.lit("")), F.concat(F.lit("politician-"), F.col("id").cast("string")))
     blank = F.coalesce("slug", F.lit("")) == ""
-    nth = F.row_number().over(Window.partitionBy("slug").orderBy("id"))
-    rows = politicians.withColumn("keeps", ~blank & (nth == 1)).withColumn("base", base)
+    first = politicians.where(~blank).groupBy("slug").agg(F.min("id").alias("first_"))
+    known = politicians.where(~blank).join(first, "slug").withColumn("keeps", F.col("id") == F.col("first_")).select(*politicians.columns, "keeps")
+    rows = known.unionByName(politicians.where(blank).withColumn("keeps", F.lit(False))).withColumn("base", base)
     kept = rows.where("keeps").select(F.col("slug").alias("k"))
     broken = rows.where("not keeps").withColumn("nth", F.row_number().over(Window.partitionBy("base").orderBy("id")))
     # numbers that kept slugs of this base already use

@@ -46,12 +46,14 @@ def _scoped(fact: DataFrame, house: str | None = None, state: str | None = None)
     return out
 
 
-def latest(fact: DataFrame, house: str | None = None, scope: str = "all", state: str | None = None) -> DataFrame:
-    """Scope ``current``: winners of the newest election year, none if that year has no winner yet. Scope ``all``: each
+def latest(fact: DataFrame, house: str | None = None, scope: str = "all", state: str | None = None, elections: DataFrame | None = None) -> DataFrame:
+    """Scope ``current``: winners of the newest election year, none if that year has no winner yet; the year is that of ``elections``
+    (state, house, year), which may know elections without any appearance, else of the fact. Scope ``all``: each
     politician's rows of their newest year in the house, winners or not; two in one year both stay."""
     if scope == "current":
         rows = _scoped(fact, house, state)
-        newest = rows.agg(F.max("year").alias("newest_year"))  # one row
+        held = rows if elections is None else _scoped(elections, house, state)
+        newest = held.agg(F.max("year").alias("newest_year"))  # one row
         return rows.join(F.broadcast(newest), F.col("year") == F.col("newest_year")).where("won").drop("newest_year")
     by_politician = Window.partitionBy("politician_id").orderBy(F.desc("year"))
     rows = _scoped(fact, house).withColumn("rank_", F.rank().over(by_politician)).where("rank_ = 1").drop("rank_")
@@ -267,9 +269,9 @@ def _kpis(rows: DataFrame, by: list[str]) -> DataFrame:
     return sums.select(*by, "count", "total_wealth_inr", per(F.col("total_wealth_inr")).alias("avg_wealth_inr"), per(F.col("c") * 100).alias("pct_with_cases"), per(F.col("r") * 100).alias("pct_crorepati"), "total_cases", per(F.col("total_cases")).alias("avg_cases"))
 
 
-def hero_kpis(fact: DataFrame, house: str = "Assembly", scope: str = "all", state: str | None = None) -> DataFrame:
+def hero_kpis(fact: DataFrame, house: str = "Assembly", scope: str = "all", state: str | None = None, elections: DataFrame | None = None) -> DataFrame:
     """One row, zeros if nothing matches."""
-    return _kpis(latest(fact, house, scope, state), []).withColumn("house", F.lit(house))
+    return _kpis(latest(fact, house, scope, state, elections), []).withColumn("house", F.lit(house))
 
 
 def state_kpis(fact: DataFrame, house: str = "Assembly") -> DataFrame:
@@ -423,16 +425,18 @@ def people(fact: DataFrame) -> DataFrame:
 
 
 def lookup(fact: DataFrame, keys: DataFrame) -> DataFrame:
-    """``keys`` (key, a few): the politician by slug, by number, or by slug in any case; the first way that hits."""
-    who, ask = people(fact), F.broadcast(keys)
-    number = F.when(F.col("key").rlike(r"^\d+$"), F.col("key").try_cast("long"))
-    ways = [(1, F.col("slug") == F.col("key")), (2, F.col("politician_id") == number), (3, F.lower("slug") == F.lower("key"))]
-    found = None
-    for rank, on in ways:
-        part = who.join(ask, on).select("key", F.lit(rank).alias("way"), "politician_id", "name")
-        found = part if found is None else found.unionByName(part)
-    first = Window.partitionBy("key").orderBy("way", "politician_id")
-    return found.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n")
+    """``keys`` (key, a few): the politician by slug, by the source's candidate id (where the fact has one), by number, or by slug in any
+    case; the first way that hits, then the smallest id. Each politician is read once, under all names that find them."""
+    extra = [F.max("candidate_id").alias("candidate_id")] if "candidate_id" in fact.columns else []
+    who = fact.groupBy("politician_id").agg(F.first("name").alias("name"), F.first("slug").alias("slug"), *extra)
+    if not extra:
+        who = who.withColumn("candidate_id", F.lit(None).cast("int"))
+    number = F.when(F.col("key").rlike(r"^\d+$"), F.col("key").try_cast("long").cast("string"))
+    asked = keys.select("key", F.explode(F.array(*[F.struct(F.lit(w).alias("way"), v.alias("called")) for w, v in enumerate((F.col("key"), number, number, F.lower("key")), 1)])).alias("a")).select("key", "a.*")
+    called = (F.col("slug"), F.col("candidate_id").cast("string"), F.col("politician_id").cast("string"), F.lower("slug"))
+    named = who.select("politician_id", "name", F.explode(F.array(*[F.struct(F.lit(w).alias("way"), v.alias("called")) for w, v in enumerate(called, 1)])).alias("c")).select("politician_id", "name", "c.*")
+    found = named.join(F.broadcast(asked), ["way", "called"])  # four rows for each of a few keys
+    return found.groupBy("key").agg(F.min(F.struct("way", "politician_id", "name")).alias("r")).select("key", "r.*")
 
 
 def profile(fact: DataFrame, cases: DataFrame, keys: DataFrame) -> DataFrame:
@@ -443,7 +447,7 @@ def profile(fact: DataFrame, cases: DataFrame, keys: DataFrame) -> DataFrame:
     order = Window.partitionBy("key").orderBy(F.desc("year"), F.desc("appearance_id"))
     rows = rows.withColumn("nth", F.row_number().over(order)).select("key", "nth", "politician_id", "name", "appearance_id", "year", party_or_ind().alias("party"), "constituency", "won", wealth().alias("assets"))
     deltas = term_deltas(fact.join(who.select("politician_id").distinct(), "politician_id")).select("appearance_id", "from_year", "delta", "pct")
-    told = cases.groupBy("appearance_id").agg(F.count("*").alias("n_cases"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("case_no", "ipc"))), lambda c: c["ipc"]), "; ").alias("sections"))
+    told = cases.join(rows.select("appearance_id"), "appearance_id", "left_semi").groupBy("appearance_id").agg(F.count("*").alias("n_cases"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("case_no", "ipc"))), lambda c: c["ipc"]), "; ").alias("sections"))
     rows = rows.join(deltas, "appearance_id", "left").join(told, "appearance_id", "left")
     return rows.withColumns({"n_cases": F.coalesce("n_cases", F.lit(0)), "sections": F.coalesce("sections", F.lit(""))})
 

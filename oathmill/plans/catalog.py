@@ -253,7 +253,8 @@ m AS (SELECT source_pdf, t, CAST((contains(upper(t), 'MARY') AND contains(upper(
   CAST(regexp_matches(t, '(?:Rs\.?|₹|RS\.?)\s*[\d,]{3,}') AS INTEGER) AS currency_found, CAST(regexp_matches(upper(t), 'PART-B|PART - B|PART B|ABSTRACT OF THE DETAILS') AS INTEGER) AS part_b_found FROM t),
 h AS (SELECT *, name_found + pan_found + party_found + currency_found + part_b_found AS hits FROM m),
 s AS (SELECT *, CASE WHEN length(t) < 500 THEN 'EMPTY' WHEN hits >= 5 THEN 'CLEAN' WHEN hits >= 4 THEN 'LIGHT' ELSE 'FLAG' END AS status FROM h)"""
-_register("qc_markers", lambda s, d: entity.qc_report(_doc_text(s, d)).drop("pan_sample", "rs_sample"), _QC + " SELECT source_pdf, 'MARY JONES' AS candidate_name, name_found, pan_found, party_found, currency_found, part_b_found, hits, status, CAST(length(t) AS INTEGER) AS text_chars FROM s")
+_register("qc_markers", lambda s, d: entity.qc_report(_doc_text(s, d)), _QC + r""" SELECT source_pdf, 'MARY JONES' AS candidate_name, name_found, pan_found, party_found, currency_found, part_b_found, hits, status, CAST(length(t) AS INTEGER) AS text_chars,
+  regexp_extract(t, '\b[A-Z]{5}\d{4}[A-Z]\b') AS pan_sample, regexp_extract(t, '(?:Rs\.?|₹|RS\.?)\s*[\d,]{3,}') AS rs_sample FROM s""")
 _register("qc_summary", lambda s, d: entity.status_shares(entity.qc_report(_doc_text(s, d)), ("CLEAN", "LIGHT", "FLAG", "EMPTY")), _QC + " SELECT v.status, count(s.status) AS n, CAST(100 * count(s.status) AS DOUBLE) / sum(count(s.status)) OVER () AS pct FROM (VALUES ('CLEAN'), ('LIGHT'), ('FLAG'), ('EMPTY')) v(status) LEFT JOIN s ON s.status = v.status GROUP BY v.status")
 
 
@@ -296,13 +297,22 @@ def _part_b(spark: SparkSession, d: str) -> DataFrame:
     o = model.table(spark, d, "orders").withColumn("o_totalprice", F.col("o_totalprice") + 10000)
     a, b = F.floor("o_totalprice").cast("long"), (F.floor("o_totalprice") + 1).cast("long")
     page = F.concat(F.lit("PART-B ABSTRACT\nTotal number of pending criminal cases "), (F.col("o_orderkey") % 90).cast("string"), F.when(F.col("o_orderkey") % 2 == 0, " (SEVEN)").otherwise(""), F.lit("\nTotal number of cases in which NIL convicted\nMoveable: Rs Total "), a.cast("string"), F.lit("/- | "), b.cast("string"))
-    first = F.concat(F.lit("PART A\nset up by ALPHA PARTY (x)\nI, SAMPLE ONE ** son/daughter/wife of SOME FATHER\nAged 4§ years\nFROM AC-1,.NEW_TOWN CONSTITUENCY"), F.lit(""))
+    first = F.concat(F.lit("PART A\nset up by ALPHA PARTY (x)\nI, SAMPLE ONE ** son/daughter/wife of SOME FATHER\nAged 4§ years, resident of House "), F.col("o_orderkey").cast("string"), F.lit(",\nSome  Road (mention full postal address)\n"),
+                     F.when(F.col("o_orderkey") % 3 > 0, F.concat(F.lit("My contact telephone number(s) is/are 98765 "), F.col("o_orderkey").cast("string"), F.lit(" and "))).otherwise(""),
+                     F.when(F.col("o_orderkey") % 4 > 0, F.concat(F.lit("my e-mail id (if any) is a."), F.col("o_orderkey").cast("string"), F.lit("@x.org"))).otherwise(""), F.lit("\nFROM AC-1,.NEW_TOWN CONSTITUENCY"))
     market = F.concat(F.lit("Rs. "), b.cast("string"), F.lit("/- | Rs. "), a.cast("string"), F.lit("/-\n(vi) Total of Current market value"))
     return o.select(F.col("o_orderkey").alias("doc"), F.array(F.lit("Description of Document: Affidavit PART A"), first, page, market).alias("pages"))
 
 
-_register("parse_affidavits", lambda s, d: entity.parse_affidavits(_part_b(s, d)).drop("confidence", "address", "phone", "email"), """WITH o AS (SELECT o_orderkey AS doc, CAST(floor(o_totalprice + 10000) AS BIGINT) AS a FROM orders)
-SELECT doc, 'SAMPLE ONE' AS name, 'SOME FATHER' AS father_name, 'ALPHA PARTY' AS party, 'AC-1, NEW TOWN' AS constituency, CAST(45 AS INTEGER) AS age, CAST(CASE WHEN doc % 2 = 0 THEN 7 ELSE doc % 90 END AS INTEGER) AS pending, CAST(0 AS INTEGER) AS convictions, CASE WHEN a >= 10000 THEN a END AS movable_self, a + 1 AS movable_spouse, a + 1 AS immovable_self, a AS immovable_spouse, 4 * a + 2 AS total_assets FROM o""")
+def _sure(rows: DataFrame) -> DataFrame:
+    """The confidence map as one sorted string."""
+    return rows.withColumn("confidence", F.array_join(F.array_sort(F.transform(F.map_entries("confidence"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ","))
+
+
+_register("parse_affidavits", lambda s, d: _sure(entity.parse_affidavits(_part_b(s, d))), """WITH o AS (SELECT o_orderkey AS doc, CAST(floor(o_totalprice + 10000) AS BIGINT) AS a FROM orders)
+SELECT doc, 'SAMPLE ONE' AS name, 'SOME FATHER' AS father_name, 'ALPHA PARTY' AS party, 'AC-1, NEW TOWN' AS constituency, CAST(45 AS INTEGER) AS age, CAST(CASE WHEN doc % 2 = 0 THEN 7 ELSE doc % 90 END AS INTEGER) AS pending, CAST(0 AS INTEGER) AS convictions, CASE WHEN a >= 10000 THEN a END AS movable_self, a + 1 AS movable_spouse, a + 1 AS immovable_self, a AS immovable_spouse, 4 * a + 2 AS total_assets,
+  'House ' || doc || ', Some Road' AS address, CASE WHEN doc % 3 > 0 THEN '98765 ' || doc END AS phone, CASE WHEN doc % 4 > 0 THEN 'a.' || doc || '@x.org' END AS email,
+  'address=medium,age=high,constituency=high,' || CASE WHEN doc % 4 > 0 THEN 'email=high,' ELSE '' END || 'immovable_market=high,movable=high,name=high,party=high,pending_cases=high' || CASE WHEN doc % 3 > 0 THEN ',phone=medium' ELSE '' END AS confidence FROM o""")
 _register("stamp_metadata", lambda s, d: entity.stamp_metadata(model.table(s, d, "orders").select(F.col("o_orderkey").cast("string").alias("pdf_path"), F.concat(F.lit("Certificate No. : IN-DL"), F.lpad(F.col("o_orderkey").cast("string"), 14, "0"), F.lit("x\nCertificate Issued Date : "), F.date_format("o_orderdate", "dd-MMM-yyyy"), F.lit(" 05:23 PM\nPurchased by : SAMPLE ONE\nDescription of Document : Article 4 Affidavit\nFirst Party : SAMPLE TWO\nStamp Duty Amount(Rs.) : 10")).alias("cover"))),
           "SELECT CAST(o_orderkey AS VARCHAR) AS pdf_path, 'IN-DL' || lpad(CAST(o_orderkey AS VARCHAR), 14, '0') || 'X' AS cert_number, strftime(o_orderdate, '%d-%b-%Y') || ' 05:23 PM' AS issue_date, 'SAMPLE ONE' AS purchaser, 'SAMPLE TWO' AS first_party, CAST(10 AS BIGINT) AS stamp_duty_rs, 'Article 4 Affidavit' AS doc_description, strftime(o_orderdate, '%Y-%m-%dT17:23:00') AS issue_dt FROM orders")
 
@@ -324,4 +334,4 @@ _register("listing_scan", lambda s, d: html_tables.candidates(html_tables.table_
 _register("listing_prefix_filter", lambda s, d: html_tables.near_names(html_tables.candidates(html_tables.table_rows(_listing_pages(s, d))), s.createDataFrame([("BUILD",), ("MACHINERY HALL",)], "seat string")).select("candidate_id", "constituency"), "SELECT CAST(c_custkey AS INTEGER) AS candidate_id, c_mktsegment AS constituency FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')")
 _register("listing_paged", lambda s, d: html_tables.paged_candidates(html_tables.table_rows(_listing_pages(s, d))).select("slug", "candidate_id", "page"), "SELECT CAST(c_nationkey AS VARCHAR) AS slug, CAST(c_custkey AS INTEGER) AS candidate_id, CAST(c_custkey % 3 + 1 AS INTEGER) AS page FROM customer WHERE c_custkey > 0")
 
-from oathmill.plans import catalog_rows, catalog_flows  # noqa: E402, F401, I001 - register more queries
+from oathmill.plans import catalog_rows, catalog_flows, catalog_tables  # noqa: E402, F401, I001 - register more queries

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oathmill.plans import home, model
+from oathmill.plans import catalog, catalog_rows, home, jobs, model
 from oathmill.plans.catalog import FACT, _fact, _register
 from oathmill.plans.commits import Log
-from oathmill.sources import files
+from oathmill.sources import html_tables
 from oathmill.store import Scratch
 from oathmill.streaming import landing
 
@@ -121,3 +121,32 @@ def manifest_state(spark: SparkSession, d: str) -> DataFrame:
 
 
 _register("manifest_state", manifest_state, """SELECT 'https://x.org/' || o_custkey AS profile_url, CAST(max(o_orderkey) AS VARCHAR) AS affidavit_id, arg_max(o_orderstatus, o_orderkey) AS status, max(o_orderkey) % 3 = 0 AS download_succeeded FROM orders GROUP BY o_custkey""")
+
+# --- targets ---
+
+_SLUGS = ("Goa2022", "goa2017", "goa2012", "goa2007", "Delhi2025")
+
+
+def _loaded(spark: SparkSession, d: str) -> Log:
+    """Customers as candidates of five elections; those with an even key have won. One state is loaded, then its winners' pages."""
+    slug = F.get(F.array(*[F.lit(x) for x in _SLUGS]), (F.col("slug").cast("int") % len(_SLUGS)).cast("int"))
+    pages = catalog._listing_pages(spark, d)
+    listings = pages.groupBy(slug.alias("slug"), "page").agg(F.array_join(F.array_sort(F.collect_list("html")), "").alias("html"))
+    everyone = html_tables.candidates(html_tables.table_rows(listings))
+    won = F.concat(F.lit("<table><tr><th>Sno</th><th>Candidate</th><th>Constituency</th></tr>"), F.array_join(F.array_sort(F.collect_list(F.concat(
+        F.lit('<tr><td>1</td><td><a href="/c.php?candidate_id='), F.col("candidate_id").cast("string"), F.lit('">'), "name", F.lit("</a></td><td>X</td><td>ALPHA</td><td>0</td><td>Graduate</td><td>Rs 5</td><td>Rs 1</td></tr>")))), ""), F.lit("</table>"))
+    winners = everyone.where("candidate_id % 2 = 0").groupBy("slug").agg(won.alias("html")).select("slug", F.lit(1).alias("page"), "html")
+    scratch = Scratch(spark, "targets")
+    log = Log(spark, f"{scratch.root}/log")
+    jobs.run_target(log, "goa_all", listings, winners)
+    own = catalog_rows._candidate_pages(spark, d).select(F.col("slug").cast("int").alias("candidate_id"), "html")
+    own = own.join(everyone.select(F.col("slug").alias("election"), "candidate_id").distinct(), "candidate_id")
+    jobs.run_target(log, "goa_detail", own)
+    return log
+
+
+_OF = f"(SELECT c_custkey AS k, {list(_SLUGS)}[c_nationkey % {len(_SLUGS)} + 1] AS election, c_name FROM customer WHERE c_custkey > 0)"
+_register("target_all", lambda s, d: _loaded(s, d).read("appearances", jobs.FACTS).select("election", "candidate_id", "name", "won"),
+          f"SELECT election, CAST(k AS INTEGER) AS candidate_id, c_name AS name, k % 2 = 0 AS won FROM {_OF} WHERE election <> 'Delhi2025'")
+_register("target_detail", lambda s, d: _loaded(s, d).read("enriched", jobs.ENRICHED), f"""SELECT election || '/' || k AS appearance_id, CAST(CASE WHEN k % 130 BETWEEN 18 AND 110 THEN k % 130 END AS INTEGER) AS age, 'Farmer' AS profession,
+  k * 1000 AS movable_assets_inr, CAST(NULL AS BIGINT) AS immovable_assets_inr, CAST(nullif(k % 4, 0) AS INTEGER) AS serious_cases_count FROM {_OF} WHERE election <> 'Delhi2025' AND k % 2 = 0""")

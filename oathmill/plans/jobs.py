@@ -1,12 +1,18 @@
-"""Loads as jobs: saved pages in, tables out. A job writes each table whole into a new version folder and then names it the
-current one, so a lost run leaves the old version readable."""
+"""Loads as jobs: saved pages in, tables out.
+
+``run_target`` is the command line's dispatch: a state's key loads its winners, ``<state>_all`` all candidates,
+``<state>_detail`` and ``<state>_detail_all`` enrich winners or all from their own pages, ``punjab_ls`` loads the
+members of parliament, who have always won, ``all`` every state. A target commits its tables to a commit log at once, so a lost run, or one
+that another writer overtook, leaves whole versions. ``load_listings`` is the older form for one table, in numbered folders.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oathmill.operators import ingest
+from oathmill.plans.commits import Change, Log, Snapshot
 from oathmill.sources import html_tables, registry
 
 FACTS = "election string, candidate_id int, name string, constituency string, party string, education string, won boolean, assets long, liabilities long, cases int"
@@ -62,3 +68,68 @@ def load_target(spark: SparkSession, name: str, pages: DataFrame, winners: DataF
     """The job for a target: the pages of its elections alone."""
     of = lambda rows: rows.join(F.broadcast(targets(spark, name).select("slug")), "slug", "left_semi")  # noqa: E731 - the registry is of fixed size
     load_listings(spark, of(pages), of(winners), root, version, reset)
+
+
+# --- targets in a commit log ---
+
+ENRICHED = "appearance_id string, age int, profession string, movable_assets_inr long, immovable_assets_inr long, serious_cases_count int"
+ASSETS = "appearance_id string, category string, subcategory string, value_inr long"
+CASES = "appearance_id string, ipc_sections string, description string, status string"
+MODES = ("_detail_all", "_detail", "_all", "_ls", "")
+
+
+def parse_target(name: str) -> tuple[str, str]:
+    """(state's key or ``all``, mode) of a target's name; the mode is one of MODES. Only one state has parliamentary pages."""
+    keys = {k for k, *_ in registry.STATES} | {"all"}
+    mode = next((m for m in MODES if name.endswith(m) and name[: len(name) - len(m)] in keys), None)
+    if mode is None or (mode == "_ls" and name != "punjab_ls"):
+        raise ValueError(f"unknown target {name}; known are {', '.join(sorted(keys))}, each with {', '.join(m for m in MODES if m and m != '_ls')}, and punjab_ls")
+    return name[: len(name) - len(mode)], mode
+
+
+def appearance_id() -> Column:
+    return F.concat_ws("/", "election", F.col("candidate_id").cast("string")).alias("appearance_id")
+
+
+def _facts(found: DataFrame) -> DataFrame:
+    """Listing rows as facts; a candidate's first page comes last, so it counts."""
+    return found.select(F.col("slug").alias("election"), "candidate_id", "name", "constituency", "party", "education", "won", F.col("total_assets_inr").alias("assets"), F.col("total_liabilities_inr").alias("liabilities"), F.col("criminal_cases").alias("cases"), (-F.col("page")).alias("seq"))
+
+
+def _enrichment(log: Log, at: Snapshot, wanted: DataFrame, pages: DataFrame, force: bool) -> Change:
+    """Tables of the appearances (appearance_id) that are wanted, from their pages (election, candidate_id, html)."""
+    assets, cases, known = log.read("assets", ASSETS, at), log.read("cases", CASES, at), log.read("enriched", ENRICHED, at)
+    todo = ingest.not_enriched(wanted, assets, force)
+    own = pages.select(appearance_id(), "html").join(todo, "appearance_id", "left_semi").select(F.col("appearance_id").alias("slug"), F.lit(1).alias("page"), "html")
+    rows = html_tables.table_rows(own)
+    read = html_tables.details(own).select(F.col("slug").alias("appearance_id"), "age", "profession", F.col("movable_total_inr").alias("movable_assets_inr"), F.col("immovable_total_inr").alias("immovable_assets_inr"), F.col("serious_cases").alias("serious_cases_count"))
+    fresh = todo.join(known, "appearance_id", "left_anti").join(read.select("appearance_id"), "appearance_id", "left_semi")
+    enriched = ingest.enrich(known.unionByName(fresh, allowMissingColumns=True), read)
+    found = lambda df: df.withColumnRenamed("slug", "appearance_id").drop("page")
+    return {"enriched": enriched, "assets": ingest.replace_children(assets, found(html_tables.detail_assets(rows)), "value_inr"), "cases": ingest.replace_children(cases, found(html_tables.detail_cases(rows)))}, {}
+
+
+def run_target(log: Log, name: str, pages: DataFrame, winners: DataFrame | None = None, force: bool = False) -> Snapshot:
+    """Load one target. pages: (slug, page, html) of listings, or (election, candidate_id, html) of candidates for the detail targets;
+    winners: the listings of winners, for ``_all``. Running it again changes nothing but the version."""
+    key, mode = parse_target(name)
+    spark = log.spark
+    slugs = F.broadcast(targets(spark, key).select("slug"))  # the registry is of fixed size
+    of = lambda rows: rows.join(slugs, "slug", "left_semi")
+
+    def change(at: Snapshot) -> Change:
+        old = log.read("appearances", FACTS, at)
+        if mode.startswith("_detail"):
+            mine = of(old.withColumnRenamed("election", "slug")).withColumnRenamed("slug", "election")
+            wanted = (mine if mode == "_detail_all" else mine.where("won")).select(appearance_id())
+            return _enrichment(log, at, wanted, pages, force)
+        if mode == "_all":
+            new = listing_facts(of(pages), of(winners))
+        else:  # pages of winners: all on them have won
+            found = html_tables.candidates(html_tables.table_rows(pages if mode == "_ls" else of(pages)))
+            if mode == "_ls":
+                found = html_tables.near_names(found, registry.parliamentary_seats(spark))
+            new = _facts(found.withColumn("won", F.lit(True)))
+        return {"appearances": ingest.upsert_appearances(old, new)}, {}
+
+    return log.update(change)

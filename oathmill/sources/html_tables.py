@@ -144,9 +144,15 @@ def paged_candidates(rows: DataFrame, most_pages: int = 80) -> DataFrame:
 
 
 def near_names(rows: DataFrame, seats: DataFrame) -> DataFrame:
-    """Rows whose seat and a known one (seat, a few dozen rows) begin with one another; an empty name fits any."""
-    known, key = F.broadcast(seats.select(names.seat_key(F.col("seat"), reserved=False).alias("known"))), names.seat_key(F.col("constituency"), reserved=False)
-    return rows.withColumn("k_", key).join(known, F.startswith("k_", "known") | F.startswith("known", "k_"), "left_semi").drop("k_")
+    """Rows whose seat and a known one (seat) begin with one another; an empty name fits any. Names meet by their prefixes, so the join
+    is one of equal keys and neither side need be small."""
+    key = names.seat_key(F.col("constituency"), reserved=False)
+    known = seats.select(names.seat_key(F.col("seat"), reserved=False).alias("known")).where("known is not null").distinct()
+    asked = rows.select(key.alias("k_")).where("k_ is not null").distinct()
+    heads = lambda c: F.explode(F.transform(F.sequence(F.lit(0), F.char_length(c)), lambda n: F.substring(F.col(c), F.lit(1), n)))
+    longer = asked.select("k_", heads("k_").alias("known")).join(known, "known", "left_semi").select("k_")
+    shorter = asked.join(known.select(heads("known").alias("k_")).distinct(), "k_", "left_semi")
+    return rows.withColumn("k_", key).join(longer.unionByName(shorter).distinct(), "k_", "left_semi").select(*rows.columns)
 
 
 # --- detail pages ---
