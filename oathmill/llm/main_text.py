@@ -17,15 +17,18 @@ pages. Hosts whose pages do not differ (fewer than three texts) have no template
 their own: the classes of all hosts' pages together decide. Where no class has such
 a slot on a page, the deepest single container with MAIN_SHARE of the page's own
 text is taken, else its ``article`` or ``main`` element, else all text that is not
-static. Ties go to the deeper, then the later path in code point order.
+static. Ties go to the deeper, then the later path in code point order. Slots are measured by the text outside noise, and
+only where no slot has its share of that by all text; noise itself is a slot only on pages that have nothing else. Where
+pages have one ``article`` (else one ``main``) outside noise, or one that encloses less deeply than all others, the slot is it
+or lies in it, whatever stands beside it. Readers' comments in boxes without a name, on pages without such an element, are told from an article by
+their share of the text alone.
 
 Within the main slot all text counts except that of elements for menus, footers,
 sidebars, notices, adverts, forms, scripts, styles and comments: HTML's own tags for
 them, and containers (never paragraphs, headings or inline elements) with a class,
 id or role that names one. The last word of a name counts (post-comments is comments,
 related-work is work), less words for boxes (comment-list). A named element or a form
-around LAYOUT_SHARE of the page's text is layout. Slots are measured by all text;
-only where no slot has its share are they measured without such elements and headers.
+around LAYOUT_SHARE of the page's text is layout, unless its name is one of BESIDE_WORDS.
 
 Character references are decoded; white space inside a block becomes one space;
 blocks are trimmed and joined by a line feed in page order; empty blocks go. A
@@ -64,6 +67,8 @@ CLOSES_ITSELF = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"t
 #: Elements that are not the article, and last words of class names and ids that say so.
 NOISE_TAGS = frozenset("nav aside footer form button select dialog menu head".split()) | RAW
 NOISE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent notice notices alert popup modal newsletter subscribe subscription sidebar menu nav navbar navigation breadcrumb breadcrumbs comment comments disqus reply replies footer masthead share sharing social related widget toolbar search login signup pagination pager".split())
+#: Those of boxes that stand beside an article, however large they are.
+BESIDE_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsored promo newsletter breadcrumb breadcrumbs comment comments disqus reply replies footer related pagination pager".split())
 #: Words for boxes, which do not say what is in them.
 BOX_WORDS = frozenset("area bar block box container form group inner item items list outer panel section slot thread unit wrap wrapper".split())
 #: Words before a noise word that make it a property of the layout.
@@ -77,13 +82,14 @@ _PARTS = re.compile(r"[^a-z]+")
 _DIGITS = re.compile(r"\d+")
 
 
-def noisy(names: str) -> bool:
-    """Whether one of these class names and ids names noise by its last word."""
+def noisy(names: str, known: frozenset[str] | None = None) -> bool:
+    """Whether one of these class names and ids names noise (or one of the ``known`` words) by its last word."""
+    known = NOISE_WORDS if known is None else known
     for name in names.split():
         words = [w for w in _PARTS.split(name) if w]
         while len(words) > 1 and words[-1] in BOX_WORDS:
             words.pop()
-        if words and words[-1] in NOISE_WORDS and not (len(words) > 1 and words[-2] in HAS_WORDS):
+        if words and words[-1] in known and not (len(words) > 1 and words[-2] in HAS_WORDS):
             return True
     return False
 
@@ -97,6 +103,7 @@ class Page:
     depths: list[int] = field(default_factory=list)
     paths: list[str] = field(default_factory=list)
     noise: list[bool] = field(default_factory=list)
+    beside: list[bool] = field(default_factory=list)  # named as what stands beside an article, never around it
     events: list[tuple[int, str | None]] = field(default_factory=list)
 
 
@@ -189,6 +196,7 @@ def parse(page: str) -> Page:
         parents.append(parent)
         depths.append(depth)
         paths.append(full if depth <= READABLE else f"~{xxhash.xxh3_64_hexdigest(full)}")
+        out.beside.append(bool(names) and not fills and noisy(names, BESIDE_WORDS))
         noise.append(tag in NOISE_TAGS or (bool(names) and not fills and tag not in ("html", "body", "article", "main") and noisy(names)))
         if tag in RAW:
             found = re.compile(rf"</{tag}\b", re.I).search(page, at)
@@ -218,7 +226,7 @@ def _spare_layout(page: Page) -> None:
         if page.parents[i] >= 0:
             chars[page.parents[i]] += chars[i]
     for i, n in enumerate(chars):
-        if page.noise[i] and (page.tags[i] == "form" or page.tags[i] not in NOISE_TAGS) and whole and n >= LAYOUT_SHARE * whole:
+        if page.noise[i] and not page.beside[i] and (page.tags[i] == "form" or page.tags[i] not in NOISE_TAGS) and whole and n >= LAYOUT_SHARE * whole:
             page.noise[i] = False
 
 
@@ -345,25 +353,48 @@ def slots(tokens: list[dict]) -> tuple[list[str], list[str]]:
     top = [t for t in tokens if t["static"] and t["depth"] > 1 and not under[t["path"]]]
     holders = set(nested(tokens).values())  # tokens that another class, of repeated ones, is nested in
     found: dict[int, tuple] = {}
-    for text, whole in (("chars", "whole"), ("clean", "whole_clean")):
+    # where the pages have one article, the slot lies in it, whatever stands beside it
+    anchor = only_article([(t["tag"], t["depth"], t["path"]) for t in tokens if t["once"] and not t["static"] and t["clean"] > 0])
+    anchored, most, inside = set(), 0, (False, 0, "")
+    for text, whole in (("clean", "whole_clean"), ("chars", "whole")):
         same = dict.fromkeys(known, 0)
         for t in top:
             same[t["path"]] = t[text]
         for t in reversed(order):
             if t["parent"] in same:
                 same[t["parent"]] += same[t["path"]]
-        for t in tokens:
+        for t in order:
             if not t["once"] or t["static"] or t["depth"] < 2 or t["tag"] in INLINE or t["tag"] in RUNNING or t["tag"] in ("html", "body", "head"):
                 continue
+            if t["whole_clean"] > 0 and t["clean"] == 0:  # noise is no slot where a page has anything else
+                continue
             constant = sum(s[text] / s["pages"] * min(s["pages"], t["pages"]) for s in top)
             own = t[text] - same[t["path"]]
+            rank = (t["path"] in holders, t["depth"], t["path"])
+            if text == "clean" and own > 0 and (t["path"] == anchor or t["parent"] in anchored):
+                anchored.add(t["path"])
+                if t["path"] == anchor:
+                    most = own
+                if own >= MAIN_SHARE * most and t["pages"] >= known[anchor]["pages"] and rank[1:] > inside[1:]:
+                    inside = rank
             if own > 0 and own >= MAIN_SHARE * (t[whole] - constant):
-                rank = (t["path"] in holders, t["depth"], t["path"])
                 if t["class"] not in found or rank > found[t["class"]][1]:
                     found[t["class"]] = (t["pages"], rank)
-        if found:  # what is outside noise decides only where all text does not
+        if found:  # all text decides only where what is outside noise does not
             break
-    return [rank[2] for _, rank in sorted(found.values(), reverse=True)], sorted(t["path"] for t in top)
+    ranked = [rank[2] for _, rank in sorted(found.values(), reverse=True)]
+    return [inside[2]] * bool(inside[2]) + [p for p in ranked if p != inside[2]], sorted(t["path"] for t in top)
+
+
+def only_article(marked: list[tuple[str, int, str]]) -> str | None:
+    """The path of the one ``article`` (else ``main``) that no other of its kind stands beside, from (tag, depth, path) of those outside noise."""
+    for tag in ("article", "main"):
+        of = sorted((depth, path) for t, depth, path in marked if t == tag)
+        if of and (len(of) == 1 or of[0][0] < of[1][0]):
+            return of[0][1]
+        if of:  # several articles are a page of them
+            return None
+    return None
 
 
 def main_slot(tokens: list[dict]) -> str | None:
@@ -374,8 +405,12 @@ def main_slot(tokens: list[dict]) -> str | None:
 def own_slot(page: Page) -> str | None:
     """The deepest single container with MAIN_SHARE of the page's own text, or of what is not noise."""
     found, wholes, _ = measured(page)
-    for k, whole in enumerate(wholes):
-        big = [(t[6], p) for p, t in found.items() if t[0] == 1 and whole and t[1 + k] >= MAIN_SHARE * whole and not t[7] and t[5] not in INLINE and t[5] not in RUNNING and t[5] not in ("html", "body")]
+    anchor = only_article([(t[5], t[6], p) for p, t in found.items() if t[0] == 1 and not t[7] and t[2] > 0])
+    for k, whole in ((1, wholes[1]), (0, wholes[0])):
+        if k and anchor:
+            whole = found[anchor][2]
+        big = [(t[6], p) for p, t in found.items() if t[0] == 1 and whole and t[1 + k] >= MAIN_SHARE * whole and not t[7] and t[5] not in INLINE and t[5] not in RUNNING and t[5] not in ("html", "body")
+               and (not (k and anchor) or p == anchor or p.startswith(anchor + ">"))]
         if big:
             return max(big)[1]
     return None
@@ -395,8 +430,8 @@ def extract(page: str, template: dict | None, pool: dict | None = None) -> str:
         up = p >= 0 and kept[p]
         kept[i] = up or tree.paths[i] == slot or (tag is not None and tree.tags[i] == (tag or tree.tags[i]))
         off[i] = (p >= 0 and off[p]) or tree.noise[i] or (not slot and not tag and tree.paths[i] in static) or (tree.tags[i] == "header" and not (up and (slot or tag)))
-        if tree.paths[i] == slot:  # what is around the slot is layout
-            off[i] = False
+        if tree.paths[i] == slot:  # what is around the slot is layout; a slot's own mark stays
+            off[i] = tree.noise[i]
     blocks, parts = [], []
 
     def close() -> None:

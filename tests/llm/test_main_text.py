@@ -3,6 +3,8 @@ from __future__ import annotations
 import html
 import re
 
+import pytest
+
 from oathmill.llm import main_text as M
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p><p>no";</script></head><body><header><p>Site</p></header><nav><ul><li><a href=/>Home</a></ul></nav><!-- <p>no</p> -->
@@ -133,3 +135,33 @@ def test_small_and_alike_hosts_follow_all_hosts(spark):
     rows = [(i, f"https://h{i % 3}.x/", page(i, f"Story {i} that goes on " * 9)) for i in range(12)] + [(50 + i, f"https://one{i}.x/", page(99 - i, f"s{i}")) for i in range(3)] + [(90, "https://one1.x/b", "")]
     got = {r["page_id"]: r["text"] for r in M.main_text(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert [got[50 + i] for i in range(3)] == ["s0", "s1", "s2"] and got[3] == ("Story 3 that goes on " * 9).strip() and got[90] == ""
+
+
+def _words(i, n, salt):
+    return " ".join(f"{salt}{(i * 31 + k * 7) % 997}" for k in range(n))
+
+
+@pytest.mark.parametrize("box", ["section class='comments'", "div class='related'", "aside", "div", "div id='disqus_thread'", "div class='comment-list'"])
+@pytest.mark.parametrize("times", [1, 2, 5])
+def test_what_readers_add_never_becomes_the_text(spark, box, times):
+    """Eight pages of a host with 60 words of article and up to five times as many beside it, in a box with a name, a tag, or neither."""
+    story = lambda i: f"{_words(i, 40, 's')}\n{_words(i, 20, 't')}"
+    item = lambda i, k: f"<div><b>Reader {i}{k}</b><p>{_words(i + 100 * k, 30, 'r')}</p></div>"
+
+    def page(i, inside=False):
+        body = "".join(f"<p>{p}</p>" for p in story(i).split("\n"))
+        added = f"<{box}>{''.join(item(i, k) for k in range(2 * times))}</{box.split()[0]}>"
+        text = f"<article>{body}{added}</article>" if inside else f"<article>{body}</article>{added}"
+        return f"<html><body><div class=top>Our site</div><div class=page>{text}</div></body></html>"
+
+    assert texts(spark, [page(i) for i in range(8)]) == [story(i) for i in range(8)]
+    assert [M.extract(page(i), None) for i in range(2)] == [story(i) for i in range(2)]
+    if box != "div":
+        assert texts(spark, [page(i, True) for i in range(8)]) == [story(i) for i in range(8)]
+        plain = [page(i).replace("<article>", "<div class=body>").replace("</article>", "</div>") for i in range(8)]
+        assert texts(spark, plain) == [story(i) for i in range(8)]
+
+
+def test_a_page_of_several_articles_keeps_them_all(spark):
+    page = lambda i: "<html><body><div class=top>Our site</div><div class=list>" + "".join(f"<article><p>{_words(i + k, 30, 'n')}</p></article>" for k in range(3)) + "</div></body></html>"
+    assert texts(spark, [page(i) for i in range(8)]) == ["\n".join(_words(i + k, 30, "n") for k in range(3)) for i in range(8)]
