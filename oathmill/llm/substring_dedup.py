@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Stage, batched, remove, settings
+from .shared import Stage, batched, remove, settings, text_bytes
 
 WINDOW, GRAM = 13, 5
 #: Batches of a one-off run, and how many runs of one level are compacted into one.
@@ -83,8 +83,8 @@ def window_keys(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys, ids, salts = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int16)]
-        for doc_id, salt, text in zip(batch.column("doc_id"), batch.column("salt"), batch.column("text"), strict=True):
-            found = window_keys((text.as_py() or "").encode().split())[0]
+        for doc_id, salt, text in zip(batch.column("doc_id"), batch.column("salt"), text_bytes(batch.column("text")), strict=True):
+            found = window_keys(text.split())[0]
             if len(found):
                 keys.append(np.unique(found))
                 ids.append(np.full(len(keys[-1]), doc_id.as_py(), np.int64))
@@ -218,8 +218,16 @@ def stretches(text: bytes, wanted: np.ndarray) -> list[tuple[int, bytes, int, in
         return []
     at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
     at_end = np.append(at[1:], len(keys))
-    chosen = np.isin(keys[at], wanted)
-    return [(k, b" ".join(words[a : b + WINDOW - 1]), a, b - a) for k, a, b in zip(keys[at[chosen]].tolist(), at[chosen].tolist(), at_end[chosen].tolist(), strict=True)]
+    known = np.sort(wanted)
+    place = np.minimum(np.searchsorted(known, keys[at]), len(known) - 1)
+    chosen = known[place] == keys[at] if len(known) else np.zeros(len(at), bool)
+    # words stand one space apart, so a stretch is a slice between two words' places
+    joined = b" ".join(words)
+    begin = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    begin = np.append(0, begin)
+    a, b = at[chosen], at_end[chosen]
+    ends = (begin[b + WINDOW - 1] - 1).tolist()
+    return [(k, joined[i:j], x, n) for k, i, j, x, n in zip(keys[a].tolist(), begin[a].tolist(), ends, a.tolist(), (b - a).tolist(), strict=True)]
 
 
 _STRETCH = [("key", pa.int64()), ("words", pa.binary()), ("doc_id", pa.int64()), ("th", pa.int64()), ("at", pa.int32()), ("n", pa.int32())]
@@ -229,9 +237,9 @@ def _stretched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of (doc_id, th, text, wanted)."""
     for batch in batches:
         rows = []
-        for doc_id, th, text, wanted in zip(*(batch.column(c) for c in ("doc_id", "th", "text", "wanted")), strict=True):
+        for doc_id, th, text, wanted in zip(batch.column("doc_id"), batch.column("th"), text_bytes(batch.column("text")), batch.column("wanted"), strict=True):
             d, t = doc_id.as_py(), th.as_py()
-            rows += [(k, w, d, t, a, n) for k, w, a, n in stretches((text.as_py() or "").encode(), wanted.values.to_numpy(zero_copy_only=False))]
+            rows += [(k, w, d, t, a, n) for k, w, a, n in stretches(text, wanted.values.to_numpy(zero_copy_only=False))]
         columns = zip(*rows, strict=True) if rows else [[]] * len(_STRETCH)
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, _STRETCH, strict=True)], [c for c, _ in _STRETCH])
 
@@ -256,15 +264,22 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "window", "again", "doc_id", "th", "at"])
 
 
-def covered(n_words: int, spans: list[dict] | None) -> np.ndarray:
-    """Which words the windows starting at spans (at, n) cover."""
-    marks = np.zeros(n_words + 1, np.int64)
-    for s in spans or []:
-        marks[s["at"]] += 1
-        marks[s["at"] + s["n"] + WINDOW - 1] -= 1
+def covered(n_words: int, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Which words the windows cover that start at the n words from ``at`` on."""
+    marks = np.bincount(at, minlength=n_words + 1) - np.bincount(at + n + (WINDOW - 1), minlength=n_words + 1)
     return np.cumsum(marks)[:-1] > 0
 
 
+def _spans(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
+    """(at, n) of each row's spans; None where there are none."""
+    flat = column.flatten()
+    at, n = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("at", "n"))
+    sizes = np.nan_to_num(np.asarray(column.value_lengths().to_numpy(zero_copy_only=False), float)).astype(np.int64)
+    ends = np.cumsum(sizes)
+    for begin, end in zip((ends - sizes).tolist(), ends.tolist(), strict=True):
+        yield (at[begin:end], n[begin:end]) if end > begin else None
+
+
 def candidates(stage: Stage, index: FingerprintIndex, keys: DataFrame) -> DataFrame:
     """key: those that two documents share, from batches of (key, doc_id) in order of doc_id."""
     ends = keys.agg(F.percentile_approx("doc_id", [i / BATCHES for i in range(1, BATCHES)], 10_000).alias("q")).first()["q"] or []
@@ -344,11 +359,14 @@ def with_spans(spark: SparkSession, docs: DataFrame) -> DataFrame:
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for text, spans in zip(batch.column("text"), batch.column("spans"), strict=True):
-            words = (text.as_py() or "").encode().split()
-            gone = covered(len(words), spans.as_py())
-            kept = words if not gone.any() else [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
-            rows.append((len(words), int(gone.sum()), hashlib.sha256(b" ".join(kept)).hexdigest()))
+        for text, spans in zip(text_bytes(batch.column("text")), _spans(batch.column("spans")), strict=True):
+            words, n = text.split(), 0
+            kept = words
+            if spans:
+                gone = covered(len(words), *spans)
+                n = int(gone.sum())
+                kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
+            rows.append((len(words), n, hashlib.sha256(b" ".join(kept)).hexdigest()))
         columns = zip(*rows, strict=True) if rows else [[]] * 3
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *(pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.string()), strict=True))], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
@@ -358,13 +376,13 @@ def removal_digests(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return with_spans(spark, docs.select("doc_id", "text")).select("doc_id", "text", "spans").mapInArrow(batched(_digests), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-def without(text: str, spans: list[dict] | None) -> str:
-    """The text without the removed words and the white space after each; other white space stays."""
+def without(text: str, spans: tuple[np.ndarray, np.ndarray] | None) -> str:
+    """The text without the words that spans (at, n) remove and the white space after each; other white space stays."""
     if not spans:
         return text
     raw = text.encode()
     at = [m.start() for m in _WORD.finditer(raw)]
-    gone = covered(len(at), spans)
+    gone = covered(len(at), *spans)
     parts = [raw[: at[0]]] if at else [raw]
     for i, (a, g) in enumerate(zip(at, gone.tolist(), strict=True)):
         if not g:
@@ -374,7 +392,7 @@ def without(text: str, spans: list[dict] | None) -> str:
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [None if t.as_py() is None else without(t.as_py(), s.as_py()) for t, s in zip(batch.column("text"), batch.column("spans"), strict=True)]
+        texts = [None if t is None else without(t, s) for t, s in zip(batch.column("text").to_pylist(), _spans(batch.column("spans")), strict=True)]
         n = [None if t is None else len(t) for t in texts]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(texts, pa.string()), batch.column("lang").cast(pa.string()), batch.column("source").cast(pa.string()), pa.array(n, pa.int64())], ["doc_id", "text", "lang", "source", "n_chars"])
 

@@ -125,7 +125,7 @@ def test_stretches_with_one_hash_are_told_apart_by_their_words(spark, make_docs,
 
 def test_white_space_of_kept_words_stays():
     text = "a\nb  " + " ".join(f"p{i}" for i in range(13)) + "\n\nc"
-    assert S.without(text, [{"at": 2, "n": 1}]) == "a\nb  c" and S.without(text, None) == text
+    assert S.without(text, (S.np.array([2]), S.np.array([1]))) == "a\nb  c" and S.without(text, None) == text
 
 
 def test_query_against_its_sql(spark, duck, sf):
