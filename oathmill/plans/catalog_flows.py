@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from oathmill.plans import catalog, catalog_rows, home, jobs, model
 from oathmill.plans.catalog import FACT, _fact, _register
 from oathmill.plans.commits import Log
-from oathmill.sources import html_tables
-from oathmill.store import Scratch
+from oathmill.sources import html_tables, readers
+from oathmill.store import Scratch, filesystem
 from oathmill.streaming import landing
 
 # --- home page ---
@@ -150,3 +150,27 @@ _register("target_all", lambda s, d: _loaded(s, d).read("appearances", jobs.FACT
           f"SELECT election, CAST(k AS INTEGER) AS candidate_id, c_name AS name, k % 2 = 0 AS won FROM {_OF} WHERE election <> 'Delhi2025'")
 _register("target_detail", lambda s, d: _loaded(s, d).read("enriched", jobs.ENRICHED), f"""SELECT election || '/' || k AS appearance_id, CAST(CASE WHEN k % 130 BETWEEN 18 AND 110 THEN k % 130 END AS INTEGER) AS age, 'Farmer' AS profession,
   k * 1000 AS movable_assets_inr, CAST(NULL AS BIGINT) AS immovable_assets_inr, CAST(nullif(k % 4, 0) AS INTEGER) AS serious_cases_count FROM {_OF} WHERE election <> 'Delhi2025' AND k % 2 = 0""")
+
+# --- saved crawls as data sources ---
+
+
+def manifest_source(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as manifest lines, some broken, read by the data source with a filter that it takes over, and counted."""
+    scratch, rows = _landed(spark, d, "lines")
+    line = F.to_json(F.struct(F.col("custkey").cast("string").alias("profile_url"), "status", F.col("orderkey").cast("string").alias("affidavit_id")))
+    lines = rows.select(F.when(F.col("orderkey") % 50 == 0, F.substring(line, 1, 9)).otherwise(line).alias("value"))
+    lines.write.option("lineSep", "\n").text(f"{scratch.root}/in")
+    renamed, cls = filesystem(spark, f"{scratch.root}/in")
+    for s in renamed.listStatus(cls(f"{scratch.root}/in")):  # the source reads .jsonl
+        name = s.getPath().getName()
+        if name.endswith(".txt"):
+            renamed.rename(s.getPath(), cls(f"{scratch.root}/in/{name[:-4]}.jsonl"))
+    readers.register(spark)
+    load = lambda: spark.read.format("manifest").option("push", True).load(f"{scratch.root}/in")  # noqa: E731 - one frame for each pushed filter
+    kept = load().where("status = 'F'").groupBy("status").agg(F.count("*").alias("n"), F.count_distinct("profile_url").alias("people"), F.max(F.col("affidavit_id").cast("long")).alias("last"))
+    broken = load().where("error is not null").agg(F.count("*").alias("n")).select(F.lit("broken").alias("status"), "n", F.lit(None).cast("long").alias("people"), F.lit(None).cast("long").alias("last"))
+    return kept.unionByName(broken)
+
+
+_register("manifest_source", manifest_source, """SELECT 'F' AS status, count(*) AS n, count(DISTINCT o_custkey) AS people, max(o_orderkey) AS last FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 50 <> 0
+UNION ALL SELECT 'broken', count(*), NULL, NULL FROM orders WHERE o_orderkey % 50 = 0""")

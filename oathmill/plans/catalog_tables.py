@@ -23,8 +23,8 @@ def _kpis(spark: SparkSession, d: str, known: bool) -> DataFrame:
 
 
 _register("kpis_newest_appearance", partial(_kpis, known=False), f"WITH {FACT} SELECT 'Assembly' AS house, {_KPIS} FROM current_assembly")
-_register("kpis_newest_election", partial(_kpis, known=True), f"""WITH {FACT}, e AS (SELECT state, house, year FROM fact UNION SELECT n_name, 'Assembly', 1999 FROM nation)
-SELECT 'Assembly' AS house, {_KPIS} FROM fact WHERE house = 'Assembly' AND won AND year = (SELECT max(year) FROM e WHERE house = 'Assembly')""")
+_register("kpis_newest_election", partial(_kpis, known=True), f"""WITH {FACT}, e AS (SELECT state, house, year FROM fact UNION SELECT n_name, 'Assembly', 2050 FROM nation)
+SELECT 'Assembly' AS house, {_KPIS.replace('/ count(*)', '/ nullif(count(*), 0)')} FROM fact WHERE house = 'Assembly' AND won AND year = (SELECT max(year) FROM e WHERE house = 'Assembly')""")
 _register("fact_from_tables", lambda s, d: model.from_tables(model.normalised(s, d)).drop("zone", "candidate_id"),
           f"WITH {FACT} SELECT appearance_id, politician_id, name, slug, state, house, year, constituency, party, won, assets, cases FROM fact")
 _register("politician_lookup", lambda s, d: A.lookup(model.from_tables(model.normalised(s, d)), s.createDataFrame([("customer-000000007",), ("500009",), ("12",), ("CUSTOMER-000000015",), ("nobody",)], "key string")),

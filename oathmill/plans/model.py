@@ -64,7 +64,7 @@ def elections(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def normalised(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The star schema as normalised tables: what ``from_driver`` reads, before it is joined, with one more election (1999) that nobody stood in yet."""
+    """The star schema as normalised tables: what ``from_driver`` reads, before it is joined, with one more election (2050) that nobody stood in yet."""
     orders = table(spark, sf_dir, "orders").withColumns({"year": F.year("o_orderdate"), "house": F.when(F.col("o_orderkey") % 10 == 0, "LokSabha").otherwise("Assembly")})
     orders = orders.groupBy("o_custkey", "year", "house").agg(F.max_by(F.struct("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority"), "o_orderkey").alias("r")).select("o_custkey", "year", "house", "r.*")
     people = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
@@ -73,7 +73,7 @@ def normalised(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     rows = rows.join(cases, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     number = lambda *c: (F.pmod(F.xxhash64(*c), F.lit(2**31 - 1))).cast("int")  # noqa: E731 - ids of dimensions by hash
     held = rows.select("year", "house", "c_nationkey").distinct()
-    later = table(spark, sf_dir, "nation").select(F.lit(1999).alias("year"), F.lit("Assembly").alias("house"), F.col("n_nationkey").alias("c_nationkey"))
+    later = table(spark, sf_dir, "nation").select(F.lit(2050).alias("year"), F.lit("Assembly").alias("house"), F.col("n_nationkey").alias("c_nationkey"))
     held = held.unionByName(later).distinct()
     seats = people.select("c_nationkey", "c_mktsegment").distinct()
     tables = {

@@ -10,12 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Class names of cards, status badges and names, how far up a card is looked for, labels and statuses.
 _CARD = re.compile("card|candidate|row|item", re.I)
 _BADGE = re.compile(r"badge|status|(^|\s)(chip|label|pill)(\s|$)", re.I)
 _NAME = re.compile(r"(^|\s)(candidate-name|cand-name|name)(\s|$)")
+_CLIMB = 6
+_STATUSES = ("Accepted", "Rejected", "Withdrawn", "Contesting")
+_HEADINGS = ("h1", "h2", "h3", "h4", "h5")
 _BLOCK = frozenset("p div li tr td th h1 h2 h3 h4 h5 section article ul table".split())
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-_CLIMB = 6
 
 
 class _Node:
@@ -55,32 +58,57 @@ class _Tree(HTMLParser):
         self.at.inside.append(data)
 
 
-def _first(card: _Node, fits) -> str:
-    return next((t for n in card.walk() if fits(n) and (t := n.text().strip())), "")
+def _labelled(label: str):
+    """Rule: what follows a label on its line."""
+    pattern = re.compile(rf"{label}\s*:?\s*([^\n]+)", re.I)
+    return lambda card, text: (m := pattern.search(text)) and m[1]
+
+
+def _element(fits):
+    """Rule: the text of the first element of a kind."""
+    return lambda card, text: next((t for n in card.walk() if fits(n) and (t := n.text().strip())), None)
+
+
+def _attribute(name: str, pattern: str = "(.+)", within: str = ""):
+    """Rule: what a pattern finds in the first attribute of a name that holds ``within`` and has it."""
+    return lambda card, text: next((m[1] for n in card.walk() if within in n.attrs.get(name, "") and (m := re.search(pattern, n.attrs.get(name, "")))), None)
+
+
+_PROFILE = "show-profile"
+#: A field's rules; the first that finds anything gives it.
+RULES = {
+    "name": (_labelled("Name"), _element(lambda n: n.tag in _HEADINGS or _NAME.search(n.attrs.get("class", ""))), _element(lambda n: _PROFILE in n.attrs.get("href", ""))),
+    "party": (_labelled("Party"),),
+    "status": (_labelled("Status"), _element(lambda n: _BADGE.search(n.attrs.get("class", ""))), lambda card, text: (m := re.search(rf"\b({'|'.join(_STATUSES)})\b", text, re.I)) and m[1]),
+    "state": (_labelled("State"),),
+    "constituency": (_labelled("Constituency"),),
+    "affidavit_id": (_attribute("data-affidavit-id"), _attribute("href", r"(\d{4,})", "download")),
+}
+
+
+def _card_of(link: _Node) -> _Node:
+    """The nearest element around a link that looks like a row, within _CLIMB steps; else the last one reached."""
+    card = link.up
+    for _ in range(_CLIMB - 1):
+        if card.tag in ("tr", "li") or _CARD.search(card.attrs.get("class", "")) or card.up is None or card.up.tag == "":
+            break
+        card = card.up
+    return card
 
 
 def cards(page: str) -> list[dict[str, str]]:
-    """One row per card: the nearest row-like ancestor of a profile link, labelled fields first, then likely elements."""
+    """One row per card that holds a profile link, its fields by RULES."""
     tree = _Tree()
     tree.feed(page)
-    seen, out = set(), []
-    for link in [n for n in tree.root.walk() if n.tag == "a" and "show-profile" in n.attrs.get("href", "")]:
-        card = link.up
-        for _ in range(_CLIMB - 1):
-            if card.up is None or card.up.tag == "" or card.tag in ("tr", "li") or _CARD.search(card.attrs.get("class", "")):
-                break
-            card = card.up
-        if id(card) in seen:
-            continue
-        seen.add(id(card))
+    links = {}
+    for link in (n for n in tree.root.walk() if n.tag == "a" and _PROFILE in n.attrs.get("href", "")):
+        card = _card_of(link)
+        links.setdefault(id(card), (card, link))
+    out = []
+    for card, link in links.values():
         text = re.sub(r"[ \t]+", " ", re.sub(r"\s*\n\s*", "\n", card.text()))
-        field = {k: (m[1].strip() if (m := re.search(rf"{k}\s*:?\s*([^\n]+)", text, re.I)) else "") for k in ("Name", "Party", "Status", "State", "Constituency")}
-        status = field["Status"] or _first(card, lambda n: _BADGE.search(n.attrs.get("class", ""))) or ((m := re.search(r"\b(Accepted|Rejected|Withdrawn|Contesting)\b", text, re.I)) and m[1]) or ""
-        name = field["Name"] or _first(card, lambda n: n.tag in ("h1", "h2", "h3", "h4", "h5") or _NAME.search(n.attrs.get("class", ""))) or _first(card, lambda n: "show-profile" in n.attrs.get("href", ""))
-        number = next((n.attrs["data-affidavit-id"] for n in card.walk() if n.attrs.get("data-affidavit-id")), "")
-        if not number:
-            number = next((m[1] for n in card.walk() if "download" in n.attrs.get("href", "") and (m := re.search(r"(\d{4,})", n.attrs["href"]))), "")
-        out.append({"name": name, "party": field["Party"], "status": status[:1].upper() + status[1:].lower(), "state": field["State"], "constituency": field["Constituency"], "profile_url": link.attrs["href"], "affidavit_id": number})
+        row = {field: next((found.strip() for rule in rules if (found := rule(card, text)) and found.strip()), "") for field, rules in RULES.items()}
+        out.append(row | {"status": row["status"][:1].upper() + row["status"][1:].lower(), "profile_url": link.attrs["href"]})
     return out
 
 

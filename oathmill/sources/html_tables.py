@@ -187,14 +187,17 @@ def details(pages: DataFrame) -> DataFrame:
 def detail_cases(rows: DataFrame) -> DataFrame:
     """Case rows of tables whose first row speaks of IPC, sections or charges."""
     texts = F.transform("cells", lambda c: c["text"])
-    rows = rows.where(F.col("header").rlike("ipc|section|charge") & (F.col("row_no") > 0) & (F.size("cells") > 0)).withColumn("t", texts)
+    rows = rows.where(F.col("header").rlike(OFFENCE_HEADER) & (F.col("row_no") > 0) & (F.size("cells") > 0)).withColumn("t", texts)
     return rows.select(
-        "slug", "page", F.substring(F.coalesce(F.get(F.filter("t", lambda c: c.rlike(r"(?i)\bIPC\b|\bsection\b")), F.lit(0)), F.lit("")), 1, 255).alias("ipc_sections"),
+        "slug", "page", F.substring(F.coalesce(F.get(F.filter("t", lambda c: c.rlike(OFFENCES)), F.lit(0)), F.lit("")), 1, 255).alias("ipc_sections"),
         F.substring(F.coalesce(F.get(F.filter("t", lambda c: F.char_length(c) > 20), F.lit(0)), F.element_at("t", -1)), 1, 500).alias("description"), F.lit("pending").alias("status"))
 
 
 #: Words of header and summary rows.
 HEADER_WORDS = ("sr no", "description", "self", "spouse", "huf", "dependent", "value", "remarks", "self/spouse")
+#: How rows are numbered (a letter in brackets or none, Roman or plain numbers), and what a cell of offences holds.
+ROW_NUMBER = r"(?i)^(?:\(?[a-z]\)?|[ivxlcdm]+\.?|\d+\.?)$"
+OFFENCES, OFFENCE_HEADER = r"(?i)\bIPC\b|\bsection\b", "ipc|section|charge"
 SUMMARY_WORDS = ("total", "totals", "gross total", "sum of", "calculated as sum", "grand total")
 
 
@@ -205,7 +208,7 @@ def detail_assets(rows: DataFrame) -> DataFrame:
     rows = rows.withColumns({"category": kind, "t": F.transform("cells", lambda c: F.trim(c["text"]))}).where("category <> '' and size(cells) >= 2")
     joined = F.lower(F.array_join("t", " "))
     first = F.get("t", F.lit(0))
-    shifted = (F.size("t") >= 3) & (first.rlike(r"(?i)^(?:\(?[a-z]\)?|[ivxlcdm]+\.?|\d+\.?)$") | (F.char_length(first) <= 2))
+    shifted = (F.size("t") >= 3) & (first.rlike(ROW_NUMBER) | (F.char_length(first) <= 2))
     rows = rows.where(~(has(joined, HEADER_WORDS) & (F.char_length(joined) < 200)))
     rows = rows.withColumns({"sub": F.when(shifted, F.get("t", F.lit(1))).otherwise(first), "rest": F.when(shifted, F.slice("t", 3, F.size("t"))).otherwise(F.slice("t", 2, F.size("t")))})
     keep = (F.char_length("sub") > 3) & ~F.col("sub").rlike(r"^\d+$") & ~has(F.lower("sub"), SUMMARY_WORDS) & ~F.lower("sub").isin(*HEADER_WORDS)
