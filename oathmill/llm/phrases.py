@@ -17,7 +17,9 @@ The next document is the one with the next smaller doc_id; after the last one
 comes the first. Equal doc_ids are ordered by text; a null doc_id counts as the
 smallest number. A single row is its own next. Repeated rows follow each other.
 Documents are dealt into ranges of doc_id, each range gets a copy of the first
-document of the next one, and tasks stream over sorted ranges.
+document of the next one, and tasks stream over sorted ranges. A long text is parsed
+whole, alone, in memory of its own size. Extra columns are left out; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations

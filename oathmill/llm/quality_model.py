@@ -187,6 +187,7 @@ def score_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame) ->
     stage = Stage(spark, "quality")
     table = stage.write(docs.select("doc_id", "text").mapInArrow(batched(_featured), "doc_id long, " + ", ".join(f"{f} float" for f in FEATURES)), "features")
     known = labels.where("quality is not null and doc_id is not null").where(remainder(F.col("doc_id")) != 1).select(F.col("doc_id").alias("labelled"), "quality")
+    known = known.join(table.select(F.col("doc_id").alias("labelled")), "labelled", "left_semi")  # labels of documents that are there
     sample = known.orderBy(F.xxhash64("labelled"), "labelled", "quality").limit(TRAIN_ROWS)
     rows = table.join(F.broadcast(sample), F.col("doc_id") == F.col("labelled")).orderBy(F.xxhash64("labelled"), "labelled", "quality", *FEATURES).limit(TRAIN_ROWS).select(*FEATURES, "quality").toArrow()  # at most TRAIN_ROWS
     data = np.column_stack([rows.column(f).to_numpy().astype(np.float64) for f in FEATURES]) if len(rows) else np.empty((0, len(FEATURES)))
