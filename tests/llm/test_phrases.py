@@ -8,6 +8,63 @@ from oathmill.llm import phrases as P
 from oathmill.llm.shared import documents
 
 
+MASK = 2**64 - 1
+ODD = 0x9E3779B97F4A7C15
+
+
+def _mixed(x):
+    for _ in range(2):
+        x = ((x ^ (x >> 32)) * 0xD6E8FEB86659FD93) & MASK
+    return x ^ (x >> 32)
+
+
+def _tossed(items, width):
+    """Labels of items: twice the lowest bit in which one differs from the one before (the first: from its complement), plus that bit."""
+    out = []
+    for i, x in enumerate(items):
+        y = items[i - 1] if i else ~x & ((1 << width) - 1)
+        differ = x ^ y
+        k = (differ & -differ).bit_length() - 1 if differ else 0
+        out.append(2 * k + (x >> k & 1))
+    return out
+
+
+def parsed(text):
+    """Fingerprint of one text in Python's own numbers: (root, sample), by loops over items."""
+    symbols, names, kept, level = list(text), [_mixed((b + 1) * ODD & MASK) for b in text], set(), 0
+    if not text:
+        return 0, []
+    while True:
+        level += 1
+        runs = []  # [symbol, name, how often]
+        for x, n in zip(symbols, names, strict=True):
+            if runs and runs[-1][0] == x:
+                runs[-1][2] += 1
+            else:
+                runs.append([x, n, 1])
+        items = [r[0] for r in runs]
+        named = [r[1] if r[2] == 1 else _mixed((r[1] + r[2] * ODD) & MASK) for r in runs]
+        labels = _tossed(items, 8 if level == 1 else 64)
+        for _ in range(2 if level == 1 else 3):
+            labels = _tossed(labels, 8)
+        begins = [0] + [i for i in range(1, len(items) - 1) if labels[i - 1] > labels[i] < labels[i + 1]]
+        phrases = []
+        for a, b in zip(begins, begins[1:] + [len(items)], strict=True):
+            phrases.append(_mixed((sum(n * pow(ODD, i, 2**64) for i, n in enumerate(named[a:b])) + b - a) & MASK))
+        if level >= P.FROM or len(phrases) == 1:
+            kept |= {n >> 32 for n in phrases}
+        if len(phrases) == 1:
+            return phrases[0], sorted(kept)[: P.SKETCH]
+        symbols = names = phrases
+
+
+def alike(a, b):
+    if a == b:
+        return 1.0
+    low = sorted({*a[1], *b[1]})[: P.SKETCH]
+    return sum(v in a[1] and v in b[1] for v in low) / len(low) if low else 0.0
+
+
 def brute(rows):
     rows = sorted(rows, key=lambda r: (P.LEAST_ID if r[0] is None else r[0]) * -1 if r[0] != 0 else 0)
     rows.sort(key=lambda r: r[1] if r[1] is not None else "")
@@ -17,8 +74,9 @@ def brute(rows):
         t, u = t or "", u or ""
         half = len(t) // 2
         e = t[: len(t) - half] + u[:half]
-        a, b, c = (P.fingerprints([x.encode()])[0] for x in (t, e, u))
-        out.append((d, len(t), hashlib.sha256(e.encode()).hexdigest(), P.shown(a), P.shown(b), P.likeness(a, b), P.likeness(a, c)))
+        a, b, c = (parsed(x.encode()) for x in (t, e, u))
+        shown = lambda f: f"{f[0]:016x}" + "".join(f"{v:08x}" for v in f[1])
+        out.append((d, len(t), hashlib.sha256(e.encode()).hexdigest(), shown(a), shown(b), alike(a, b), alike(a, c)))
     return sorted(out, key=str)
 
 
