@@ -426,16 +426,18 @@ def people(fact: DataFrame) -> DataFrame:
 
 def lookup(fact: DataFrame, keys: DataFrame) -> DataFrame:
     """``keys`` (key, a few): the politician by slug, by the source's candidate id (where the fact has one), by number, or by slug in any
-    case; the first way that hits, then the smallest id. Each politician is read once, under all names that find them."""
-    extra = [F.max("candidate_id").alias("candidate_id")] if "candidate_id" in fact.columns else []
-    who = fact.groupBy("politician_id").agg(F.first("name").alias("name"), F.first("slug").alias("slug"), *extra)
-    if not extra:
-        who = who.withColumn("candidate_id", F.lit(None).cast("int"))
+    case; the first way that hits (numbered from 1), then the smallest id. Each politician is read once, under all names that find them."""
     number = F.when(F.col("key").rlike(r"^\d+$"), F.col("key").try_cast("long").cast("string"))
-    asked = keys.select("key", F.explode(F.array(*[F.struct(F.lit(w).alias("way"), v.alias("called")) for w, v in enumerate((F.col("key"), number, number, F.lower("key")), 1)])).alias("a")).select("key", "a.*")
-    called = (F.col("slug"), F.col("candidate_id").cast("string"), F.col("politician_id").cast("string"), F.lower("slug"))
-    named = who.select("politician_id", "name", F.explode(F.array(*[F.struct(F.lit(w).alias("way"), v.alias("called")) for w, v in enumerate(called, 1)])).alias("c")).select("politician_id", "name", "c.*")
-    found = named.join(F.broadcast(asked), ["way", "called"])  # four rows for each of a few keys
+    ways = [(F.col("key"), F.col("slug")), (number, F.col("politician_id").cast("string")), (F.lower("key"), F.lower("slug"))]
+    extra = []
+    if "candidate_id" in fact.columns:
+        extra = [F.max("candidate_id").alias("candidate_id")]
+        ways.insert(1, (number, F.col("candidate_id").cast("string")))
+    who = fact.groupBy("politician_id").agg(F.first("name").alias("name"), F.first("slug").alias("slug"), *extra)
+    numbered = lambda xs: F.explode(F.array(*[F.struct(F.lit(w).alias("way"), x.alias("called")) for w, x in enumerate(xs, 1)]))
+    asked = keys.select("key", numbered(k for k, _ in ways).alias("a")).select("key", "a.*")
+    named = who.select("politician_id", "name", numbered(c for _, c in ways).alias("c")).select("politician_id", "name", "c.*")
+    found = named.join(F.broadcast(asked), ["way", "called"])  # a row per way for each of a few keys
     return found.groupBy("key").agg(F.min(F.struct("way", "politician_id", "name")).alias("r")).select("key", "r.*")
 
 
