@@ -147,15 +147,6 @@ def _rooted(stage: Stage, nodes: DataFrame) -> DataFrame:
     return nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
 
 
-def representatives(spark: SparkSession, docs: DataFrame, row: str) -> DataFrame:
-    """doc_id, ``row``: of each component the row with the smallest doc_id (a null one last), then the smallest ``row``."""
-    stage = Stage(spark, "simhash")
-    prints = stage.write(fingerprints(docs, row), "prints")
-    first = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", row)
-    named = _rooted(stage, prints.groupBy("fp").agg(F.min(first).alias("first_id")))
-    return stage.write(named.groupBy("root").agg(F.min("first_id").alias("r")).select("r.doc_id", f"r.{row}"), "first")
-
-
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, fp, component_id: the smallest doc_id that links reach."""
     stage = Stage(spark, "simhash")
