@@ -12,7 +12,7 @@ the key of at least one of the 20 triples of blocks. A key with more than
 HOT_KEY fingerprints is split by the same rule again over the bits it leaves
 open; then at most 16 bits are free, whatever the input. Each pair is
 emitted for its first shared key only. Components come from alternating large and
-small stars on the links, repeated until the links stay as they are. Counts and smallest
+small stars on the links, repeated until every component is a star. Counts and smallest
 neighbours are tables of their own before they are joined, so a frequent key or a hub
 meets plain shuffles, which adaptive execution can split.
 
@@ -117,11 +117,18 @@ def links(stage: Stage, nodes: DataFrame) -> DataFrame:
     return stage.write(cold.unionByName(_close(hot, ["k", "k2", "key2"], None)), "pairs").distinct()
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether no node is below two others, or below one and above another: then every component is a star around its smallest node."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("over"), F.lit(0).alias("under"))
+    ends = ends.unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("over"), F.lit(1).alias("under")))
+    return ends.groupBy("node").agg(F.sum("over").alias("over"), F.max("under").alias("under")).where((F.col("over") + F.col("under") > 1) & (F.col("over") > 0)).isEmpty()
+
+
 def components(stage: Stage, pairs: DataFrame) -> DataFrame:
     """node, root: the smallest node that links reach, for every node of a pair (u, v)."""
     edges = stage.write(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges0")
-    before, turn = None, 0
-    while True:  # each turn lowers a node's parent or is the last
+    turn = 0
+    while not _stars(edges):  # each turn lowers a node's parent
         turn += 1
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = stage.write(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), f"low{turn}")
@@ -130,12 +137,8 @@ def components(stage: Stage, pairs: DataFrame) -> DataFrame:
         low = stage.write(large.groupBy("u").agg(F.min("v").alias("m")), f"least{turn}")
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v")))
         edges = stage.write(small.distinct(), f"edges{turn}")
-        state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         for name in (f"edges{turn - 1}", f"low{turn}", f"large{turn}", f"least{turn}"):
             stage.drop(name)
-        if state == before:
-            break
-        before = state
     leaves = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return leaves.unionByName(leaves.select(F.col("root").alias("node"), "root").distinct())
 
