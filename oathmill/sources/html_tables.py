@@ -22,9 +22,11 @@ _UNSEEN = frozenset(("script", "style"))
 class _Tables(HTMLParser):
     """Collects tables (rows of cells with text and links), the heading before each, and the page's own text."""
 
-    def __init__(self) -> None:
+    def __init__(self, texts: bool = False) -> None:
         super().__init__(convert_charrefs=True)
-        self.tables: list[dict] = []
+        self.texts = texts
+        self.live: dict[int, dict] = {}
+        self.seen = 0
         self.text: list[str] = []
         self.title: list[str] = []
         self.headings: list[str] = []
@@ -35,7 +37,8 @@ class _Tables(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag == "table":
             self._open.append({"rows": [], "heading": self._last})
-            self.tables.append(self._open[-1])
+            self.live[self.seen] = self._open[-1]
+            self.seen += 1
         elif self._open and tag == "tr":
             self._open[-1]["rows"].append([])
         elif self._open and tag in ("td", "th"):
@@ -44,7 +47,7 @@ class _Tables(HTMLParser):
             self._open[-1]["rows"][-1].append({"text": [], "links": [], "head": tag == "th"})
         elif tag == "a" and self._cell() is not None:
             self._cell()["links"].append({"href": dict(attrs).get("href") or "", "text": []})
-        elif tag in ("h2", "h3"):
+        elif self.texts and tag in ("h2", "h3"):
             self.headings.append("")
         if tag not in _VOID:
             self._tags.append(tag)
@@ -56,6 +59,9 @@ class _Tables(HTMLParser):
             while self._tags.pop() != tag:
                 pass
 
+    def open_tables(self) -> list[dict]:
+        return self._open
+
     def _cell(self) -> dict | None:
         rows = self._open[-1]["rows"] if self._open else []
         return rows[-1][-1] if rows and rows[-1] else None
@@ -64,9 +70,10 @@ class _Tables(HTMLParser):
         piece = data.strip()
         if not piece or (self._tags and self._tags[-1] in _UNSEEN):
             return
-        if "title" in self._tags:
-            self.title.append(piece)
-        self.text.append(piece)
+        if self.texts:
+            if "title" in self._tags:
+                self.title.append(piece)
+            self.text.append(piece)
         if self._tags and self._tags[-1] in ("h2", "h3") and self.headings:
             self.headings[-1] += piece
         cell = self._cell()
@@ -79,7 +86,8 @@ class _Tables(HTMLParser):
 
 
 def parse(page: str) -> _Tables:
-    out = _Tables()
+    """A page's own text, titles and headings."""
+    out = _Tables(texts=True)
     out.feed(page)
     out.close()
     return out
@@ -90,17 +98,65 @@ _CELL = pa.struct([("text", pa.string()), ("links", pa.list_(_LINK))])
 _ROWS = "slug string, page int, table_no int, row_no int, header string, heading string, cells array<struct<text:string, links:array<struct<href:string, text:string>>>>"
 
 
+#: Characters of a page that the parser takes at a time; rows of tables, and pages with their texts, in an Arrow batch.
+PIECE, ROWS, PAGES = 1 << 16, 1024, 64
+
+
+def _pieces(page: str) -> Iterator[str]:
+    """A page cut before table rows, so no text is cut."""
+    begin = 0
+    while begin < len(page):
+        end = page.find("<tr", begin + PIECE)
+        end = len(page) if end < 0 else end
+        yield page[begin:end]
+        begin = end
+
+
+def _page_rows(page: str) -> Iterator[tuple]:
+    """(table_no, row_no, header, heading, cells) of each table row. A row leaves once another has begun in its table or the table has ended,
+    so what is held is about a piece of the page."""
+    parser, done = _Tables(), {}
+
+    def cell(c: dict) -> dict:
+        return {"text": " ".join(c["text"]), "links": [{"href": x["href"], "text": " ".join(x["text"])} for x in c["links"]]}
+
+    def ready(whole: bool) -> Iterator[tuple]:
+        still = {id(t) for t in parser.open_tables()}
+        for t in sorted(parser.live):
+            table = parser.live[t]
+            rows, ended = table["rows"], whole or id(table) not in still
+            for row in rows[: len(rows) if ended else len(rows) - 1]:
+                n, header = done.get(t, (0, None))
+                if header is None:
+                    header = " ".join(" ".join(c["text"]) for c in row).lower()
+                done[t] = (n + 1, header)
+                yield t, n, header, table["heading"], [cell(c) for c in row if not c["head"]]
+            if ended:
+                del parser.live[t]
+                done.pop(t, None)
+            elif rows:
+                del rows[:-1]
+
+    for piece in _pieces(page):
+        parser.feed(piece)
+        yield from ready(False)
+    parser.close()
+    yield from ready(True)
+
+
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = [("slug", pa.string()), ("page", pa.int32()), ("table_no", pa.int32()), ("row_no", pa.int32()), ("header", pa.string()), ("heading", pa.string()), ("cells", pa.list_(_CELL))]
+    made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*rows, strict=True), kinds, strict=True)], [n for n, _ in kinds])
+    rows = []
     for batch in batches:
-        rows = []
-        for slug, page, raw in zip(*(batch.column(c).to_pylist() for c in ("slug", "page", "html")), strict=True):
-            for t, table in enumerate(parse(raw or "").tables):
-                header = " ".join(" ".join(c["text"]) for c in table["rows"][0]).lower() if table["rows"] else ""
-                for r, row in enumerate(table["rows"]):
-                    cells = [{"text": " ".join(c["text"]), "links": [{"href": x["href"], "text": " ".join(x["text"])} for x in c["links"]]} for c in row if not c["head"]]
-                    rows.append((slug, page, t, r, header, table["heading"], cells))
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*rows, strict=True) if rows else [[]] * len(kinds), kinds, strict=True)], [n for n, _ in kinds])
+        for slug, page, raw in zip(*(batch.column(c) for c in ("slug", "page", "html")), strict=True):
+            for row in _page_rows(raw.as_py() or ""):
+                rows.append((slug.as_py(), page.as_py(), *row))
+                if len(rows) >= ROWS:
+                    yield made(rows)
+                    rows = []
+    if rows:
+        yield made(rows)
 
 
 def table_rows(pages: DataFrame) -> DataFrame:
@@ -145,7 +201,7 @@ def paged_candidates(rows: DataFrame, most_pages: int = 80) -> DataFrame:
 
 def near_names(rows: DataFrame, seats: DataFrame) -> DataFrame:
     """Rows whose seat and a known one (seat) begin with one another; an empty name fits any. Names meet by their prefixes, so the join
-    is one of equal keys and neither side need be small."""
+    is one of equal keys and neither side need be small. The rows are read three times, so those of parsed pages should be written first."""
     key = names.seat_key(F.col("constituency"), reserved=False)
     known = seats.select(names.seat_key(F.col("seat"), reserved=False).alias("known")).where("known is not null").distinct()
     asked = rows.select(key.alias("k_")).where("k_ is not null").distinct()
@@ -161,8 +217,8 @@ _PAGE = "slug string, page int, text string, title string, headings array<string
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        made = [parse(h or "") for h in batch.column("html").to_pylist()]
+    for batch in (part for whole in batches for part in (whole.slice(i, PAGES) for i in range(0, whole.num_rows, PAGES))):
+        made = [parse(h.as_py() or "") for h in batch.column("html")]
         yield pa.RecordBatch.from_arrays([batch.column("slug"), batch.column("page"), pa.array([" ".join(m.text) for m in made], pa.string()), pa.array([" ".join(m.title) for m in made], pa.string()), pa.array([m.headings for m in made], pa.list_(pa.string()))], ["slug", "page", "text", "title", "headings"])
 
 
