@@ -22,3 +22,12 @@ def test_rows_of_a_long_page_leave_in_small_batches():
     page = pa.RecordBatch.from_arrays([pa.array(["s"]), pa.array([1], pa.int32()), pa.array([LISTING])], ["slug", "page", "html"])
     sizes = [b.num_rows for b in html_tables._split(iter([page]))]
     assert sum(sizes) == 4000 and max(sizes) <= html_tables.ROWS
+
+
+def test_prefix_filter_has_the_customer_of_key_0(spark, tmp_path):
+    rows = pa.table({"c_custkey": pa.array([0, 1, 2]), "c_name": ["a", "b", "c"], "c_nationkey": pa.array([1, 1, 2], pa.int32()), "c_acctbal": [1.0, 2.0, 3.0], "c_mktsegment": ["BUILDING", "MACHINERY", "FURNITURE"]})
+    pq.write_table(rows, tmp_path / "customer.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet'")
+    want = con.execute(catalog.ORACLES["listing_prefix_filter"]).fetchdf()
+    assert rows_of(catalog.QUERIES["listing_prefix_filter"](spark, str(tmp_path)).toPandas()) == rows_of(want) and len(want) == 2
