@@ -131,14 +131,14 @@ def _loaded(spark: SparkSession, d: str) -> Log:
     """Customers as candidates of five elections; those with an even key have won. One state is loaded, then its winners' pages."""
     slug = F.get(F.array(*[F.lit(x) for x in _SLUGS]), (F.col("slug").cast("int") % len(_SLUGS)).cast("int"))
     pages = catalog._listing_pages(spark, d)
-    listings = pages.groupBy(slug.alias("slug"), "page").agg(F.array_join(F.array_sort(F.collect_list("html")), "").alias("html"))
-    everyone = html_tables.candidates(html_tables.table_rows(listings))
+    scratch = Scratch(spark, "targets")
+    listings = scratch.write(pages.select(slug.alias("slug"), "page", "html"), "listings")
+    everyone = scratch.write(html_tables.candidates(html_tables.table_rows(listings)).select("slug", "candidate_id", "name"), "everyone")
     won = F.concat(F.lit("<table><tr><th>Sno</th><th>Candidate</th><th>Constituency</th></tr>"), F.array_join(F.array_sort(F.collect_list(F.concat(
         F.lit('<tr><td>1</td><td><a href="/c.php?candidate_id='), F.col("candidate_id").cast("string"), F.lit('">'), "name", F.lit("</a></td><td>X</td><td>ALPHA</td><td>0</td><td>Graduate</td><td>Rs 5</td><td>Rs 1</td></tr>")))), ""), F.lit("</table>"))
-    winners = everyone.where("candidate_id % 2 = 0").groupBy("slug").agg(won.alias("html")).select("slug", F.lit(1).alias("page"), "html")
-    scratch = Scratch(spark, "targets")
+    winners = everyone.where("candidate_id % 2 = 0").groupBy("slug", F.floor(F.col("candidate_id") / catalog._PAGE_KEYS).alias("part")).agg(won.alias("html")).select("slug", F.lit(1).alias("page"), "html")
     log = Log(spark, f"{scratch.root}/log")
-    jobs.run_target(log, "goa_all", listings, winners)
+    jobs.run_target(log, "goa_all", listings, scratch.write(winners, "winners"))
     own = catalog_rows._candidate_pages(spark, d).select(F.col("slug").cast("int").alias("candidate_id"), "html")
     own = own.join(everyone.select(F.col("slug").alias("election"), "candidate_id").distinct(), "candidate_id")
     jobs.run_target(log, "goa_detail", own)

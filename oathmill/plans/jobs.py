@@ -14,15 +14,19 @@ from pyspark.sql import functions as F
 from oathmill.operators import ingest
 from oathmill.plans.commits import Change, Log, Snapshot
 from oathmill.sources import html_tables, registry
+from oathmill.store import Scratch
 
 FACTS = "election string, candidate_id int, name string, constituency string, party string, education string, won boolean, assets long, liabilities long, cases int"
 
 
 def listing_facts(pages: DataFrame, winners: DataFrame) -> DataFrame:
-    """Candidates of all pages in one pass, flagged by the winners' pages; ``seq`` orders repeated ones."""
-    everyone = html_tables.paged_candidates(html_tables.table_rows(pages))
-    won = html_tables.candidates(html_tables.table_rows(winners)).select("slug", "candidate_id")
-    both = everyone.unionByName(html_tables.candidates(html_tables.table_rows(winners)).join(everyone, ["slug", "candidate_id"], "left_anti"))
+    """Candidates of all pages in one pass, flagged by the winners' pages; ``seq`` orders repeated ones. Pages are parsed once: what is read
+    more than once is written first, which also tells the planner its size."""
+    scratch = Scratch(pages.sparkSession, "listings")
+    everyone = scratch.write(html_tables.paged_candidates(scratch.write(html_tables.table_rows(pages), "rows")), "everyone")
+    named = scratch.write(html_tables.candidates(html_tables.table_rows(winners)), "named")
+    won = named.select("slug", "candidate_id")
+    both = everyone.unionByName(named.join(everyone, ["slug", "candidate_id"], "left_anti"))
     rows = ingest.flag_winners(both, won, ["slug", "candidate_id"])
     return rows.select(F.col("slug").alias("election"), "candidate_id", "name", "constituency", "party", "education", "won", F.col("total_assets_inr").alias("assets"), F.col("total_liabilities_inr").alias("liabilities"), F.col("criminal_cases").alias("cases"), (-F.col("page")).alias("seq"))
 
@@ -101,8 +105,10 @@ def _enrichment(log: Log, at: Snapshot, wanted: DataFrame, pages: DataFrame, for
     assets, cases, known = log.read("assets", ASSETS, at), log.read("cases", CASES, at), log.read("enriched", ENRICHED, at)
     todo = ingest.not_enriched(wanted, assets, force)
     own = pages.select(appearance_id(), "html").join(todo, "appearance_id", "left_semi").select(F.col("appearance_id").alias("slug"), F.lit(1).alias("page"), "html")
-    rows = html_tables.table_rows(own)
-    read = html_tables.details(own).select(F.col("slug").alias("appearance_id"), "age", "profession", F.col("movable_total_inr").alias("movable_assets_inr"), F.col("immovable_total_inr").alias("immovable_assets_inr"), F.col("serious_cases").alias("serious_cases_count"))
+    scratch = Scratch(log.spark, "details")
+    own = scratch.write(own, "pages")
+    rows = scratch.write(html_tables.table_rows(own), "rows")
+    read = scratch.write(html_tables.details(own).select(F.col("slug").alias("appearance_id"), "age", "profession", F.col("movable_total_inr").alias("movable_assets_inr"), F.col("immovable_total_inr").alias("immovable_assets_inr"), F.col("serious_cases").alias("serious_cases_count")), "read")
     fresh = todo.join(known, "appearance_id", "left_anti").join(read.select("appearance_id"), "appearance_id", "left_semi")
     enriched = ingest.enrich(known.unionByName(fresh, allowMissingColumns=True), read)
     found = lambda df: df.withColumnRenamed("slug", "appearance_id").drop("page")

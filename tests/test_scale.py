@@ -24,6 +24,12 @@ def test_rows_of_a_long_page_leave_in_small_batches():
     assert sum(sizes) == 4000 and max(sizes) <= html_tables.ROWS
 
 
+def test_loads_parse_pages_once(spark):
+    pages = spark.createDataFrame([("goa2022", 1, LISTING)], "slug string, page int, html string")
+    facts = jobs.listing_facts(pages, pages)
+    assert "MapInArrow" not in _optimized(facts) and facts.where("won").count() == 3999
+
+
 def test_prefix_filter_has_the_customer_of_key_0(spark, tmp_path):
     rows = pa.table({"c_custkey": pa.array([0, 1, 2]), "c_name": ["a", "b", "c"], "c_nationkey": pa.array([1, 1, 2], pa.int32()), "c_acctbal": [1.0, 2.0, 3.0], "c_mktsegment": ["BUILDING", "MACHINERY", "FURNITURE"]})
     pq.write_table(rows, tmp_path / "customer.parquet")
