@@ -105,7 +105,7 @@ def _candidate_pages(spark: SparkSession, d: str) -> DataFrame:
     assets = F.concat(F.lit("<h3>Movable Assets</h3><table><tr><td>Sr No</td><td>Description</td><td>Self</td></tr><tr><td>i</td><td>Bank deposits</td><td>Rs "), F.format_number(k * 1000, 0), F.lit("</td><td>Rs 5</td></tr><tr><td>ii</td><td>Gross Total Value</td><td>Rs 9</td></tr></table>"))
     facts = F.concat(F.lit("<p>Self Age: "), (k % 130).cast("string"), F.lit("</p><p>Self Profession: Farmer Self</p><p>Total Movable Assets: Rs "), F.format_number(k * 1000, 0), F.lit("</p><p>"), (k % 4).cast("string"), F.lit(" Number of Serious IPC counts</p>"))
     name = F.concat(F.lit("Ada No "), F.translate(k.cast("string"), "0123456789", "abcdefghij"))
-    return model.table(spark, d, "customer").select(k.cast("string").alias("slug"), F.lit(1).alias("page"), F.concat(F.lit("<html><head><title>"), name, F.lit("</title></head><body><h2>"), name, F.lit("</h2>"), facts, cases, assets, F.lit("</body></html>")).alias("html"))
+    return model.spread(model.table(spark, d, "customer").select("c_custkey"), "c_custkey").select(k.cast("string").alias("slug"), F.lit(1).alias("page"), F.concat(F.lit("<html><head><title>"), name, F.lit("</title></head><body><h2>"), name, F.lit("</h2>"), facts, cases, assets, F.lit("</body></html>")).alias("html"))
 
 
 _register("candidate_details", lambda s, d: html_tables.details(_candidate_pages(s, d)).select("slug", "age", "profession", "movable_total_inr", "immovable_total_inr", "serious_cases", "name"), """SELECT CAST(c_custkey AS VARCHAR) AS slug, CAST(CASE WHEN c_custkey % 130 BETWEEN 18 AND 110 THEN c_custkey % 130 END AS INTEGER) AS age,

@@ -37,6 +37,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by keys to four tasks a core: a small file is one task, however long the work on each of its rows."""
+    spark = rows.sparkSession
+    return rows.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def from_tables(tables: dict[str, DataFrame], zones: DataFrame | None = None) -> DataFrame:
     """The wide fact from normalised tables; dimensions are left joins, so rows without a party, seat or state stay."""
     a, e = tables["election_appearances"].alias("a"), tables["elections"].alias("e")

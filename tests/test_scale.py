@@ -37,3 +37,7 @@ def test_prefix_filter_has_the_customer_of_key_0(spark, tmp_path):
     con.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet'")
     want = con.execute(catalog.ORACLES["listing_prefix_filter"]).fetchdf()
     assert rows_of(catalog.QUERIES["listing_prefix_filter"](spark, str(tmp_path)).toPandas()) == rows_of(want) and len(want) == 2
+
+
+def test_pages_of_a_small_file_are_dealt_to_all_cores(spark, sf):
+    assert catalog_rows._candidate_pages(spark, sf).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
