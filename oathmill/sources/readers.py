@@ -13,8 +13,10 @@ object stores.
 
 from __future__ import annotations
 
+import codecs
 import json
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyarrow import fs
@@ -25,6 +27,8 @@ from pyspark.sql.types import StructType
 from oathmill.sources.cards import _FIELDS, cards
 
 PARTITION_BYTES = 32_000_000
+#: Bytes of a file of lines that are read at a time, and rows in an Arrow batch.
+PIECE, ROWS = 1 << 20, 4096
 _MANIFEST = ("name", "party", "status", "state", "constituency", "profile_url", "affidavit_id", "pdf_path", "error")
 
 
@@ -38,7 +42,7 @@ class FileReader(DataSourceReader):
     """Rows out of the files of a folder; ``source.rows_of`` says which."""
 
     def __init__(self, source: SavedFiles, folder: str, schema: StructType):
-        self.rows_of, self.endings, self.folder, self.schema = type(source).rows_of, type(source).endings, folder, schema
+        self.rows_of, self.rows_of_lines, self.endings, self.folder, self.schema = type(source).rows_of, type(source).rows_of_lines, type(source).endings, folder, schema
         self.equal: dict[str, object] = {}
 
     def partitions(self) -> list[Files]:
@@ -60,18 +64,44 @@ class FileReader(DataSourceReader):
         store = fs.FileSystem.from_uri(self.folder)[0] if "://" in self.folder else fs.LocalFileSystem()
         kinds = {f.name: {"int": pa.int32(), "boolean": pa.bool_()}.get(f.dataType.simpleString(), pa.string()) for f in self.schema}
         for path in partition.paths:
-            name = path.rsplit("/", 1)[-1]
-            try:
-                with store.open_input_stream(path) as stream:
-                    rows = list(self.rows_of(stream.read().decode()))
-            except (ValueError, OSError) as e:
-                rows = [{"error": f"{type(e).__name__}: {e}"[:500]}]
-            rows = [r | {"file": name} for r in rows]
-            for column, value in self.equal.items():
-                rows = [r for r in rows if r.get(column) is not None and r.get(column) == value]
-            if rows:
+            file = {"file": path.rsplit("/", 1)[-1]}
+            kept = (r for r in (x | file for x in self._rows(store, path)) if all(r.get(c) is not None and r.get(c) == v for c, v in self.equal.items()))
+            while rows := list(islice(kept, ROWS)):
                 yield pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], kind) for c, kind in kinds.items()], list(kinds))
 
+    def _rows(self, store: fs.FileSystem, path: str) -> Iterator[dict]:
+        """A file's rows: all, or one that says why it cannot be read. Lines are read a piece at a time, once the whole file is known to be text."""
+        try:
+            if self.rows_of_lines is None:
+                with store.open_input_stream(path) as stream:
+                    found = list(self.rows_of(stream.read().decode()))
+            else:
+                with store.open_input_stream(path) as stream:
+                    check = codecs.getincrementaldecoder("utf-8")()
+                    while piece := stream.read(PIECE):
+                        check.decode(piece)
+                    check.decode(b"", True)
+        except (ValueError, OSError) as e:
+            yield {"error": f"{type(e).__name__}: {e}"[:500]}
+            return
+        if self.rows_of_lines is None:
+            yield from found
+            return
+        with store.open_input_stream(path) as stream:
+            yield from self.rows_of_lines(_lines(stream))
+
+
+def _lines(stream: pa.NativeFile) -> Iterator[str]:
+    """What stands between the line feeds of a file; a line alone is held."""
+    parts: list[bytes] = []
+    while piece := stream.read(PIECE):
+        first, *rest = piece.split(b"\n")
+        parts.append(first)
+        for line in rest:
+            yield b"".join(parts).decode()
+            parts = [line]
+    yield b"".join(parts).decode()
+
 
 class PushingReader(FileReader):
     """Takes equality filters on whole columns over from Spark."""
@@ -85,9 +115,10 @@ class PushingReader(FileReader):
 
 
 class SavedFiles(DataSource):
-    """A folder of saved files; subclasses say what rows a file's text has."""
+    """A folder of saved files; subclasses say what rows a file's text has, or its lines, where a line is read by itself."""
 
     endings: tuple[str, ...] = ()
+    rows_of_lines: Callable[[Iterable[str]], Iterator[dict]] | None = None
 
     @staticmethod
     def rows_of(text: str) -> Iterator[dict]:
@@ -114,7 +145,11 @@ class Manifest(SavedFiles):
 
     @staticmethod
     def rows_of(text: str) -> Iterator[dict]:
-        for line, raw in enumerate(text.split("\n")):
+        return Manifest.rows_of_lines(text.split("\n"))
+
+    @staticmethod
+    def rows_of_lines(lines: Iterable[str]) -> Iterator[dict]:
+        for line, raw in enumerate(lines):
             if not raw.strip():
                 continue
             try:

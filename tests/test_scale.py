@@ -24,6 +24,16 @@ def test_rows_of_a_long_page_leave_in_small_batches():
     assert sum(sizes) == 4000 and max(sizes) <= html_tables.ROWS
 
 
+def test_lines_of_a_manifest_leave_in_small_batches(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text("".join(f'{{"profile_url": "é{i}"}}\n' for i in range(10_000)))
+    from pyspark.sql.types import StructType
+
+    reader = readers.Manifest({"path": str(tmp_path)}).reader(StructType.fromDDL("profile_url string, line int, file string, error string"))
+    batches = list(reader.read(reader.partitions()[0]))
+    rows = [r for b in batches for r in b.to_pylist()]
+    assert [(r["profile_url"], r["line"]) for r in rows] == [(f"é{i}", i) for i in range(10_000)] and max(b.num_rows for b in batches) <= readers.ROWS
+
+
 def test_loads_parse_pages_once(spark):
     pages = spark.createDataFrame([("goa2022", 1, LISTING)], "slug string, page int, html string")
     facts = jobs.listing_facts(pages, pages)
