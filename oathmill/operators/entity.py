@@ -118,12 +118,14 @@ def reconcile_scoped(read: DataFrame, recorded: DataFrame) -> DataFrame:
     the smallest id. Year and key block the join, so people of one name in other years or states do not meet.
     ``doc`` names a read row; rows without a key, year or state meet nothing."""
     rows = read.withColumn("key", names.person_key(F.col("name")))
-    asked = rows.where("key <> '' and year is not null and coalesce(trim(state), '') <> ''").select("doc", "key", "year", F.col("state").alias("asked"))
+    # equal questions have one answer, and of the recorded rows that are alike but for their ids the smallest counts: these meet, not the rows
+    asked = rows.where("key <> '' and year is not null and coalesce(trim(state), '') <> ''").select("key", "year", "state").distinct()
     db = recorded.withColumn("key", names.person_key(F.col("name"))).where("key <> '' and year is not null")
-    db = db.select("key", "year", F.col("state").alias("held"), F.struct("id", F.col("assets").alias("db_assets"), F.col("cases").alias("db_cases")).alias("r"))
-    fits = F.ilike(F.col("held"), F.concat(F.lit("%"), F.regexp_replace(F.trim("asked"), r"\s+", "%"), F.lit("%")))
-    found = asked.join(db, ["key", "year"]).where(fits).groupBy("doc").agg(F.min_by("r", F.col("r.id")).alias("r")).select("doc", "r.*")
-    return _judged(rows.join(found, "doc", "left"))
+    db = db.groupBy("key", "year", F.col("state").alias("held")).agg(F.min_by(F.struct("id", F.col("assets").alias("db_assets"), F.col("cases").alias("db_cases")), "id").alias("r"))
+    fits = F.ilike(F.col("held"), F.concat(F.lit("%"), F.regexp_replace(F.trim("state"), r"\s+", "%"), F.lit("%")))
+    found = asked.join(db, ["key", "year"]).where(fits).groupBy("key", "year", "state").agg(F.min_by("r", F.col("r.id")).alias("r"))
+    found = found.select("key", "year", "state", "r.*")
+    return _judged(rows.join(found, ["key", "year", "state"], "left"))
 
 
 def flag_gate(summary: DataFrame, most_pct: float = 10.0) -> DataFrame:

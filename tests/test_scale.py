@@ -51,3 +51,11 @@ def test_prefix_filter_has_the_customer_of_key_0(spark, tmp_path):
 
 def test_pages_of_a_small_file_are_dealt_to_all_cores(spark, sf):
     assert catalog_rows._candidate_pages(spark, sf).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_namesakes_meet_by_their_states(spark):
+    """Both sides are grouped before they meet: the plan has an aggregate on each, and one on what met."""
+    rows = spark.range(3000).selectExpr("id", "id AS doc", "'Ada' AS name", "2020 AS year", "'North X' AS state", "id AS assets", "0 AS cases", "id AS read_assets", "0 AS read_cases")
+    out = entity.reconcile_scoped(rows.select("doc", "name", "year", "state", "read_assets", "read_cases"), rows.select("id", "name", "year", "state", "assets", "cases"))
+    assert _optimized(out).count("Aggregate [") >= 3
+    assert {(r["id"], r["n"]) for r in out.groupBy("id").count().withColumnRenamed("count", "n").collect()} == {(0, 3000)}
