@@ -12,6 +12,11 @@ from oathmill.store import Scratch
 RECON_STATUSES = ("MATCH", "CLOSE", "FLAG", "NO_DB_ROW", "PARSE_FAIL")
 
 
+def _once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Columns that are computed once a row. As plain ones the optimizer writes their expressions into every use of their fields."""
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def signature(path: Column, name: Column, party: Column, seat: Column) -> Column:
     """Candidate identity: file name and party, else read name and party, else seat and party, else the file alone."""
     file_name, party, name, seat = names.name_from_file(path), names.person_key(party), names.person_key(name), names.person_key(seat)
@@ -28,21 +33,30 @@ def drop_poisoned(records: DataFrame) -> DataFrame:
 
 def filings(records: DataFrame) -> DataFrame:
     """signature, estamp_cert: files, bytes, the largest file (the first path on ties), whether it is the candidate's canonical filing."""
-    rows = records.withColumns({"signature": signature(F.col("pdf_path"), F.col("candidate_name"), F.col("candidate_party"), F.col("candidate_constituency")), "estamp_cert": F.coalesce("estamp_cert", F.lit(""))})
+    return _filings(_signed(records))
+
+
+def _signed(records: DataFrame) -> DataFrame:
+    rows = _once(records, signature=signature(F.col("pdf_path"), F.col("candidate_name"), F.col("candidate_party"), F.col("candidate_constituency")))
+    return rows.withColumn("estamp_cert", F.coalesce("estamp_cert", F.lit("")))
+
+
+def _filings(rows: DataFrame, *more: Column) -> DataFrame:
     largest = F.min_by("pdf_path", F.struct(-F.col("file_size"), F.col("pdf_path")))
-    out = rows.groupBy("signature", "estamp_cert").agg(F.count("*").alias("pdf_count"), F.sum("file_size").alias("total_bytes"), largest.alias("canonical_pdf"))
+    out = rows.groupBy("signature", "estamp_cert").agg(F.count("*").alias("pdf_count"), F.sum("file_size").alias("total_bytes"), largest.alias("canonical_pdf"), *more)
     newest = Window.partitionBy("signature").orderBy(F.desc(D.cert_key(F.col("estamp_cert"))), F.desc("total_bytes"), "estamp_cert")
     return out.withColumn("filing", F.row_number().over(newest)).withColumn("is_canonical", F.col("filing") == 1)
 
 
 def candidates(records: DataFrame) -> DataFrame:
-    """One row per candidate: identity of the first record (by path), filings in order, canonical filing and file."""
-    rows = records.withColumn("signature", signature(F.col("pdf_path"), F.col("candidate_name"), F.col("candidate_party"), F.col("candidate_constituency")))
-    who = rows.groupBy("signature").agg(F.min_by(F.struct("candidate_name", "candidate_father", "candidate_party", "candidate_constituency"), "pdf_path").alias("w"))
-    made = filings(records).groupBy("signature").agg(
+    """One row per candidate: identity of the first record (by path), filings in order, canonical filing and file. Records are signed and
+    dealt once: a filing carries its first record."""
+    who = F.struct("candidate_name", "candidate_father", "candidate_party", "candidate_constituency")
+    made = _filings(_signed(records), F.min("pdf_path").alias("first_"), F.min_by(who, "pdf_path").alias("who_")).groupBy("signature").agg(
+        F.min_by("who_", "first_").alias("w"),
         F.array_sort(F.collect_list(F.struct("filing", "estamp_cert", "pdf_count", "canonical_pdf"))).alias("filings"),
         F.max(F.when(F.col("is_canonical"), F.col("estamp_cert"))).alias("canonical_cert"), F.max(F.when(F.col("is_canonical"), F.col("canonical_pdf"))).alias("canonical_pdf"))
-    return who.join(made, "signature").select("signature", "w.*", "filings", "canonical_cert", "canonical_pdf")
+    return made.select("signature", "w.*", "filings", "canonical_cert", "canonical_pdf")
 
 
 def package(files: DataFrame) -> DataFrame:

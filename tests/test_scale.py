@@ -59,3 +59,7 @@ def test_namesakes_meet_by_their_states(spark):
     out = entity.reconcile_scoped(rows.select("doc", "name", "year", "state", "read_assets", "read_cases"), rows.select("id", "name", "year", "state", "assets", "cases"))
     assert _optimized(out).count("Aggregate [") >= 3
     assert {(r["id"], r["n"]) for r in out.groupBy("id").count().withColumnRenamed("count", "n").collect()} == {(0, 3000)}
+
+
+def test_candidates_are_made_without_a_join(spark, sf):
+    assert "Join" not in _optimized(entity.candidates(catalog._records(spark, sf)))
