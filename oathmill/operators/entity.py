@@ -95,7 +95,8 @@ def status_shares(rows: DataFrame, statuses: tuple[str, ...]) -> DataFrame:
 
 def parse_affidavits(docs: DataFrame) -> DataFrame:
     """docs (doc, pages array<string>): identity, counts, totals, with what each was read from as a confidence map."""
-    rows = docs.withColumns({"a": D.part_a(D.part_a_page(F.col("pages"))), "b": D.part_b(D.part_b_page(F.col("pages"))), "m": D.market_values(F.col("pages"))})
+    rows = _once(docs, page_a=D.part_a_page(F.col("pages")), page_b=D.part_b_page(F.col("pages")), m=D.market_values(F.col("pages")))
+    rows = _once(rows, a=D.part_a(F.col("page_a")), b=D.part_b(F.col("page_b")))
     sure = lambda key, got, level: F.when(got, F.create_map(F.lit(key), F.lit(level))).otherwise(F.create_map().cast("map<string,string>"))
     conf = F.map_concat(sure("name", F.col("a.name").isNotNull(), "high"), sure("party", F.col("a.party").isNotNull(), "high"), sure("age", F.col("a.age").isNotNull(), "high"), sure("constituency", F.col("a.constituency").isNotNull(), "high"),
                         sure("address", F.col("a.address").isNotNull(), "medium"), sure("phone", F.col("a.phone").isNotNull(), "medium"), sure("email", F.col("a.email").isNotNull(), "high"), sure("pending_cases", F.col("b.pending").isNotNull(), "high"),

@@ -61,5 +61,9 @@ def test_namesakes_meet_by_their_states(spark):
     assert {(r["id"], r["n"]) for r in out.groupBy("id").count().withColumnRenamed("count", "n").collect()} == {(0, 3000)}
 
 
+def test_pages_of_a_form_are_looked_for_once(spark, sf):
+    assert _optimized(entity.parse_affidavits(catalog._part_b(spark, sf))).count("DESCRIPTIONOFDOCUMENT") <= 2
+
+
 def test_candidates_are_made_without_a_join(spark, sf):
     assert "Join" not in _optimized(entity.candidates(catalog._records(spark, sf)))
