@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from oathmill.llm import near_copies as N
 from oathmill.llm import stages
@@ -104,3 +105,16 @@ def test_no_block_meets_itself_whole(spark, make_docs, monkeypatch):
     monkeypatch.setattr(N, "verified", lambda docs, nodes, pairs: met.append(pairs.count()) or plain(docs, nodes, pairs))
     kept = stages.drop_near_duplicates(spark, make_docs([(d, t, "en", "s") for d, t in rows]), "").collect()
     assert sorted(r["doc_id"] for r in kept) == survivors(rows) and met[0] < 600 and sum(met) < 600 * 600 / 10
+
+
+def test_sets_of_a_hot_block_meet_without_another_block(spark, make_docs, monkeypatch):
+    """All sets share one block and no other: those at 0.8 link all the same, also in a block of more than HOT_KEY sets."""
+    monkeypatch.setattr(N, "HOT_KEY", 3)
+    plain, rng, rows = N.sketches, random.Random(5), []
+    monkeypatch.setattr(N, "sketches", lambda docs: plain(docs).withColumn("keys", F.when(F.size("keys") > 0, F.array(F.lit(1).cast("long"))).otherwise(F.col("keys"))))
+    for g in range(5):
+        base = [f"g{g}w{i}" for i in range(150)]
+        rows += [" ".join(base[i:] + [f"g{g}end{j}" for j in range(i)]) for i in (0, 8, 16, 24, 32)]
+    rows = list(zip(rng.sample(range(1000), len(rows)), rows, strict=True))
+    kept = stages.drop_near_duplicates(spark, make_docs([(d, t, "en", "s") for d, t in rows]), "").collect()
+    assert sorted(r["doc_id"] for r in kept) == survivors(rows) and len(survivors(rows)) < 25
