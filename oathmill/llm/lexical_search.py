@@ -34,11 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import Stage, batched, sized_broadcast, text_bytes
+from .shared import Stage, batched, settings, sized_broadcast, text_bytes
 
 SHARD_DOCS, SHARD_POSTINGS, GROUP, BLOCK, SALTS, STEP = 8192, 1 << 19, 64, 1024, 64, 4096
-#: Bytes of a row group of the index: a reader holds a few shards at a time.
+#: Bytes of a row group of the index. Parquet looks at its size every 100 rows, which a task's shards seldom are, so it must after each.
 ROW_GROUP = 1 << 25
+_GROUPS = {"parquet.block.size": ROW_GROUP, "parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 1, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1}
+#: How shards are read: one at a time. Spark's vectorised reader decodes thousands of rows at once, which are all the shards of a file.
+_SINGLY = {"spark__sql__parquet__enableVectorizedReader": "false", "spark__sql__execution__arrow__maxRecordsPerBatch": "1"}
 #: What is no part of a term becomes a space, A-Z small letters.
 _CUT = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -136,7 +139,7 @@ def index(stage: Stage, docs: DataFrame, name: str = "index") -> Index:
     n, size = totals(docs)
     shards = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(batched(_shards(n, size)), INDEX)
     path = f"{stage.root}/{name}"
-    shards.write.option("parquet.block.size", ROW_GROUP).parquet(path, compression="zstd")
+    shards.write.options(**_GROUPS).parquet(path, compression="zstd")
     return Index(stage.spark.read.schema(INDEX).parquet(path), n, size)
 
 
@@ -256,7 +259,8 @@ def _first(rows: DataFrame, k: int, *by: str) -> DataFrame:
 def search(stage: Stage, found: Index, items: DataFrame, k: int = 50) -> DataFrame:
     """item_id, rank, doc_id, score: the k best documents of each item (item_id, text) with a score above 0."""
     terms = stage.write(item_terms(items), "terms")
-    known = stage.write(weights(found, terms), "weights")
+    with settings(stage.spark, **_SINGLY):
+        known = stage.write(weights(found, terms), "weights")
     asked = terms.join(known, "term").groupBy("item_id").agg(F.collect_list(F.struct("term", "w")).alias("query"))
     block = F.pmod(F.xxhash64("item_id"), F.lit(max(1, -(-terms.select("item_id").distinct().count() // BLOCK)))).cast("int")
     asked = stage.write(asked.withColumn("block", block), "asked")
@@ -266,7 +270,8 @@ def search(stage: Stage, found: Index, items: DataFrame, k: int = 50) -> DataFra
         query = [(i, [(t["term"], t["w"]) for t in r["query"]]) for i, r in enumerate(rows)]
         names = stage.spark.createDataFrame([(i, r["item_id"]) for i, r in enumerate(rows)], "item long, item_id long")
         out = found.shards.mapInArrow(_found(query, k), "item long, doc_id long, score long")
-        out = stage.write(out.withColumn("salt", F.spark_partition_id() % SALTS), f"found{number}")
+        with settings(stage.spark, **_SINGLY):
+            out = stage.write(out.withColumn("salt", F.spark_partition_id() % SALTS), f"found{number}")
         part = _first(_first(out, k, "item", "salt").drop("rank"), k, "item").join(F.broadcast(names), "item")
         hits = part if hits is None else hits.unionByName(part)
     if hits is None:

@@ -99,3 +99,18 @@ def test_best_first_leaves_most_nodes(monkeypatch):
     monkeypatch.setattr(shard, "ones", lambda level, at: opened.append(len(level)) or real(level, at))
     scores, numbers = shard.best([("common", 1), ("rare", 9000)], 1, 1)
     assert numbers.tolist() == [777] and sum(opened) / 2 < n / 2
+
+
+def test_row_groups_of_the_index_are_few_shards(spark, monkeypatch):
+    """Parquet's own look at its size after 100 rows would put all shards of a task into one row group."""
+    import glob
+
+    import pyarrow.parquet as pq
+    from oathmill.llm import lexical_search as L
+    from oathmill.llm.shared import Stage
+
+    monkeypatch.setitem(L._GROUPS, "parquet.block.size", 1024)
+    stage = Stage(spark, "groups")
+    L.index(stage, spark.range(0, 3 * L.SHARD_DOCS, 1, 1).selectExpr("id AS doc_id", "concat('w', id) AS text"))
+    files = [pq.ParquetFile(f) for f in glob.glob(f"{stage.root}/index/*.parquet")]
+    assert sum(f.metadata.num_rows for f in files) == sum(f.num_row_groups for f in files) == 3
