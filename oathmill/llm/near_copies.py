@@ -10,8 +10,9 @@ Work is on distinct sets, so copies never meet. The sets that share a block are
 them has are counted: two sets have no more in common than the smaller count of the rest, which tells many pairs apart
 unseen (copies of one text with edits of their own, a common form with texts of their own). First every set meets one other,
 the one of its blocks with the smallest share of such shingles. What is linked by then needs no further proof; next only sets of one block that lie in
-different components, and that may still be SIMILAR by the counts, meet. In a block with more than HOT_KEY sets
-those meet that have one of their rarest shingles in common, as sets at SIMILAR must. Components are op7's stars.
+different components, and that may still be SIMILAR by the counts, meet. Sets of blocks with more than HOT_KEY sets
+meet, whatever their blocks, by one of their rarest shingles, as sets at SIMILAR must, if what follows it in both is still enough.
+Components are op7's stars.
 
 A row is known by its doc_id, which may be null or repeat, and a number ``row``. Null texts and texts without a word have
 no shingle and link by op7's rule alone. A long text is cut whole, in memory of its own size. Extra columns are left out, repeated
@@ -116,25 +117,27 @@ def verified(sets: DataFrame, similar: float, pairs: DataFrame) -> DataFrame:
     return both.where(shared >= F.lit(similar) * (F.size("a") + F.size("b") - shared)).select("u", "v")
 
 
-def _across(members: DataFrame, on: list[str]) -> DataFrame:
-    """Pairs of one block in different components that may be SIMILAR by their counts."""
+def _across(members: DataFrame, on: str) -> DataFrame:
+    """Pairs equal in column ``on``, in different components, that may be SIMILAR by their counts. Where members have a place ``at`` of the
+    value in their order of shingles, a pair meets at its first common one alone or after it: no more than what follows is common."""
     a, b = members.alias("a"), members.alias("b")
     most = F.least("a.common", "b.common")
-    meet = (F.col("a.s") < F.col("b.s")) & (F.col("a.root") != F.col("b.root"))
+    if "at" in members.columns:
+        most = F.least(most, F.col("a.size") - F.col("a.at"), F.col("b.size") - F.col("b.at"))
+    meet = (F.col("a.s") < F.col("b.s")) & (F.col("a.root") != F.col("b.root")) & (F.col(f"a.{on}") == F.col(f"b.{on}"))
     meet = meet & (most >= F.lit(SIMILAR) * (F.col("a.size") + F.col("b.size") - most))
-    for c in on:
-        meet = meet & (F.col(f"a.{c}") == F.col(f"b.{c}"))
     return a.join(b, meet).select(F.col("a.s").alias("u"), F.col("b.s").alias("v"))
 
 
 def prefixes(sets: DataFrame, wanted: DataFrame) -> DataFrame:
-    """s, x: the rarest shingles of each wanted set (column s), one more than it may lack in a set at SIMILAR. Two such sets have one of
-    these in common, whatever the order, so those that meet by them are all. Shingles of one set alone count, but meet nothing."""
-    held = sets.join(wanted.select("s").distinct(), "s", "left_semi").select("s", F.explode("found").alias("x"))
+    """s, x, at: the rarest shingles of each wanted set (column s), one more than it may lack in a set at SIMILAR, and their places in that
+    order from 0. Two such sets have one of these in common, whatever the order, so those that meet by them are all. Shingles of one
+    set alone count, but meet nothing."""
+    held = sets.join(wanted.select("s"), "s", "left_semi").select("s", F.explode("found").alias("x"))
     counts = held.groupBy("x").agg(F.count("*").alias("n"))
     ordered = held.join(counts, "x").groupBy("s").agg(F.array_sort(F.collect_list(F.struct("n", "x"))).alias("o"))
     most = (F.size("o") - F.ceil(F.lit(SIMILAR) * F.size("o") - 1e-9) + 1).cast("int")
-    return ordered.select("s", F.explode(F.slice("o", F.lit(1), most)).alias("o")).where("o.n > 1").select("s", "o.x")
+    return ordered.select("s", F.posexplode(F.slice("o", F.lit(1), most)).alias("at", "o")).where("o.n > 1").select("s", "o.x", "at")
 
 
 def _same_print(spark: SparkSession, prints: DataFrame) -> DataFrame:
@@ -168,10 +171,11 @@ def rooted(spark: SparkSession, rows: DataFrame) -> DataFrame:
     members = stage.write(met.join(roots, "s", "left").withColumn("root", F.coalesce("root", "s")), "members")
     several = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
     several = stage.write(members.join(several, "key"), "several")
-    hot = several.where(F.col("members") > HOT_KEY)
-    hot = stage.write(hot.join(stage.write(prefixes(sets, hot), "prefixes"), "s"), "hot")
-    mixed = hot.groupBy("key", "x").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key", "x")
-    pairs = _across(several.where(F.col("members") <= HOT_KEY), ["key"]).unionByName(_across(hot.join(mixed, ["key", "x"]), ["key", "x"]))
+    # a set meets by its own rarest shingles, once each, however many hot blocks it is in
+    hot = stage.write(several.where(F.col("members") > HOT_KEY).groupBy("s").agg(*[F.first(c).alias(c) for c in ("size", "common", "root")]), "hot")
+    held = stage.write(prefixes(sets, hot).join(hot, "s"), "prefixes")
+    mixed = held.groupBy("x").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("x")
+    pairs = _across(several.where(F.col("members") <= HOT_KEY), "key").unionByName(_across(held.join(mixed, "x"), "x"))
     pairs = stage.write(stage.write(pairs, "across").distinct(), "pairs")
     linked = roots.where("s <> root").select(F.col("s").alias("u"), F.col("root").alias("v")).unionByName(stage.write(verified(sets, SIMILAR, pairs), "linked2"))
 

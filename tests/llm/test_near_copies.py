@@ -118,3 +118,25 @@ def test_sets_of_a_hot_block_meet_without_another_block(spark, make_docs, monkey
     rows = list(zip(rng.sample(range(1000), len(rows)), rows, strict=True))
     kept = stages.drop_near_duplicates(spark, make_docs([(d, t, "en", "s") for d, t in rows]), "").collect()
     assert sorted(r["doc_id"] for r in kept) == survivors(rows) and len(survivors(rows)) < 25
+
+
+def test_two_large_groups_below_the_similarity_do_not_meet_pair_by_pair(spark, make_docs, monkeypatch):
+    """Two groups share two hot blocks and most of their words, and their differences occur many times: no set of one meets each of the other's."""
+    monkeypatch.setattr(N, "HOT_KEY", 8)
+    plain, across, met = N.sketches, N._across, []
+    two = F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))
+    monkeypatch.setattr(N, "sketches", lambda docs: plain(docs).withColumn("keys", F.when(F.size("keys") > 0, two).otherwise(F.col("keys"))))
+
+    def counted(*args):
+        out = across(*args)
+        met.append(out.count())
+        return out
+
+    monkeypatch.setattr(N, "_across", counted)
+    base = [f"w{i}" for i in range(120)]
+    rows = [(40 * g + i, " ".join([*base, *[f"g{g}end{j}" for j in range(24)], f"own{g}x{i}"])) for g in range(2) for i in range(40)]
+    edge = [*base, *[f"g0end{j}" for j in range(10)]]
+    rows += [(100 + i, " ".join([*edge, *[f"edge{i}x{j}" for j in range(n)]])) for i, n in enumerate((12, 16, 20, 24))]
+    kept = stages.drop_near_duplicates(spark, make_docs([(d, t, "en", "s") for d, t in rows]), "").collect()
+    want = survivors(rows)
+    assert sorted(r["doc_id"] for r in kept) == want and {0, 40} <= set(want) and sum(met) < 84
