@@ -77,7 +77,7 @@ def page_docs(spark: SparkSession, path: str) -> DataFrame:
 
 def centroids(spark: SparkSession, path: str) -> DataFrame:
     """A flat map of names to {lat, lng}, or one nested by state; both give name, lat, lng."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     flat = text.select(F.explode(F.from_json("value", "map<string, struct<lat:double, lng:double>>")).alias("name", "at"))
     nested = text.select(F.explode(F.from_json("value", "map<string, map<string, struct<lat:double, lng:double>>>")).alias("state", "m")).select(F.explode("m").alias("name", "at"))
     rows = flat.unionByName(nested).where("at.lat is not null and at.lng is not null")
@@ -86,7 +86,7 @@ def centroids(spark: SparkSession, path: str) -> DataFrame:
 
 def geojson_names(spark: SparkSession, path: str, key: str) -> DataFrame:
     """The named property of each feature; a file that is no feature collection gives no rows."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     doc = F.from_json("value", "type string, features array<struct<properties:map<string, string>>>")
     return text.select(doc.alias("d")).where("d.type = 'FeatureCollection'").select(F.explode("d.features").alias("f")).select(F.try_element_at("f.properties", F.lit(key)).alias("name"))
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from oathmill import reach_workers
 from oathmill.plans.commits import Change, Log, Snapshot
 from oathmill.sources.files import MANIFEST
 
@@ -48,20 +50,36 @@ def land_upsert(spark: SparkSession, folder: str, schema: str, log: Log, table:
     lines.writeStream.foreachBatch(apply).option("checkpointLocation", done).trigger(availableNow=True).start().awaitTermination()
 
 
-STATE = f"{MANIFEST}, file string, line int"
+STATE = f"{MANIFEST}, file string, start long, nth long"
+_LINE = "value string, file string, start long, nth long"
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    done = 0
+    for batch in batches:
+        nth = pa.array(range(done, done + batch.num_rows), pa.int64())
+        done += batch.num_rows
+        yield pa.RecordBatch.from_arrays([*batch.columns, nth], [*batch.schema.names, "nth"])
+
+
+def placed(lines: DataFrame) -> DataFrame:
+    """Lines (value, file, start: where the part of a file that a task reads begins) with their number ``nth`` in the task, which reads a
+    part's lines in order: (file, start, nth) is the order of all. Spark's own row numbers are not for streams."""
+    return lines.select("value", "file", "start").mapInArrow(_counted, _LINE)
 
 
 def last_lines(lines: DataFrame) -> DataFrame:
-    """Per address its last line, files in order of their names: keyed state if ``lines`` (path, value: a whole file) is a stream."""
-    rows = lines.select(F.col("path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
-    rows = rows.select(F.from_json("value", MANIFEST).alias("r"), "file", "line").where("coalesce(r.profile_url, '') <> ''")
-    last = rows.groupBy(F.col("r.profile_url").alias("u")).agg(F.max_by(F.struct("r", "file", "line"), F.struct("file", "line")).alias("m"))
-    return last.select("m.r.*", "m.file", "m.line")
+    """Per address its last line, files in order of their names: keyed state if ``lines`` (value, file, start, nth) is a stream."""
+    rows = lines.select(F.from_json("value", MANIFEST).alias("r"), "file", "start", "nth").where("coalesce(r.profile_url, '') <> ''")
+    last = rows.groupBy(F.col("r.profile_url").alias("u")).agg(F.max_by(F.struct("r", "file", "start", "nth"), F.struct("file", "start", "nth")).alias("m"))
+    return last.select("m.r.*", "m.file", "m.start", "m.nth")
 
 
 def follow_manifest(spark: SparkSession, folder: str, log: Log, table: str, done: str, files: int = 1000) -> None:
     """Keep a table of each address's last manifest line, over files that come in any order. Each batch updates the stream's state store
-    by address; what changed is merged into the table. A manifest file is one row, so files should be cut (a crawl's day or less)."""
-    whole = spark.readStream.schema("value string").option("wholetext", True).option("maxFilesPerTrigger", files).text(folder).select("value", F.col("_metadata.file_path").alias("path"))
-    apply = merged(log, table, STATE, lambda old, batch: newest(old, batch, ["profile_url"], ["file", "line"]))
-    last_lines(whole).writeStream.outputMode("update").foreachBatch(apply).option("checkpointLocation", done).trigger(availableNow=True).start().awaitTermination()
+    by address; what changed is merged into the table. Large files are read in parts; no file need fit in memory."""
+    reach_workers(spark)
+    lines = spark.readStream.schema("value string").option("maxFilesPerTrigger", files).text(folder)
+    lines = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    apply = merged(log, table, STATE, lambda old, batch: newest(old, batch, ["profile_url"], ["file", "start", "nth"]))
+    last_lines(placed(lines)).writeStream.outputMode("update").foreachBatch(apply).option("checkpointLocation", done).trigger(availableNow=True).start().awaitTermination()

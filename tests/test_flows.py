@@ -108,6 +108,31 @@ def test_streamed_manifest_equals_the_batch(spark, tmp_path):
     assert {"u6", "u7"} <= {r["profile_url"] for r in files.pending(todo, log.read("m", landing.STATE)).collect()}
 
 
+def test_last_line_of_a_long_file_counts(spark, tmp_path):
+    """A file that tasks read in parts, and many lines of each address: the last one by its place in the file stays."""
+    folder, log = tmp_path / "in", Log(spark, str(tmp_path / "log"))
+    folder.mkdir()
+    for name, first in (("m1", 4000), ("m0", 0)):
+        (folder / f"{name}.jsonl").write_text("".join(json.dumps({"profile_url": f"u{i * i % 7}", "affidavit_id": str(first + i)}) + "\n" for i in range(4000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        landing.follow_manifest(spark, str(folder), log, "m", str(tmp_path / "done"), files=1)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    kept = log.read("m", landing.STATE).collect()
+    assert {r["profile_url"]: int(r["affidavit_id"]) for r in kept} == {f"u{i * i % 7}": 4000 + i for i in range(4000)} and len(kept) == 4
+    assert len({(r["file"], r[-2], r[-1]) for r in kept}) == 4  # each is known by a place of its own
+
+
+def test_files_of_many_lines_are_read_whole(spark, tmp_path):
+    (tmp_path / "places.json").write_text(json.dumps({"Goa": {"lat": 1.5, "lng": 2.5}}, indent=1))
+    assert [tuple(r) for r in files.centroids(spark, str(tmp_path / "places.json")).collect()] == [("Goa", 1.5, 2.5)]
+    (tmp_path / "seats.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": [{"properties": {"seat": "Panaji"}}]}, indent=1))
+    assert [tuple(r) for r in files.geojson_names(spark, str(tmp_path / "seats.geojson"), "seat").collect()] == [("Panaji",)]
+
+
 def _crawled(rows):
     urls, ids, out = set(), set(), []
     for page, pos, url, number in sorted(rows, key=lambda r: r[:2]):
