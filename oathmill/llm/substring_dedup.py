@@ -34,7 +34,7 @@ import json
 import re
 import uuid
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -42,13 +42,20 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Stage, batched, remove, settings, text_bytes
+from .shared import ASCII_SPACE, Stage, batched, remove, settings, text_bytes
 
 WINDOW, GRAM = 13, 5
 #: Batches of a one-off run, and how many runs of one level are compacted into one.
 BATCHES, FAN_IN = 3, 2
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xA0761D6478BD642F)
+#: Texts are cut so many bytes at a time (a longer one by itself); words of more bytes are hashed one by one.
+GROUP_BYTES, LONG = 262_144, 64
+_IN_WORD = np.array([c not in ASCII_SPACE for c in range(256)])
+#: The low bytes of a number, by how many.
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Joins hash their smaller side instead of sorting both where each of its partitions, as it was shuffled, has at most so many bytes.
+HASHED = "64m"
 #: Seed of the words' second hash, and the parts that the texts of one doc_id are told apart by.
 SECOND, SALTS = 0x5EED, 32_768
 
@@ -65,31 +72,101 @@ def _rolled(h: np.ndarray, size: int, odd: np.uint64) -> np.ndarray:
     return _mix(out)
 
 
-def window_keys(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Per window its key; the words' hashes. Both empty if the text has no window."""
-    if len(words) < WINDOW:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    digest = xxhash.xxh3_64_intdigest
-    h = np.fromiter(map(digest, words), np.uint64, len(words))
-    with np.errstate(over="ignore"):
-        grams = _rolled(h, GRAM, _M1)
-    n = len(words) - WINDOW + 1
-    keys = grams[:n].copy()
-    for k in range(1, WINDOW - GRAM + 1):
-        np.minimum(keys, grams[k : k + n], out=keys)
-    return keys.view(np.int64), h
+class Words:
+    """The words of some texts, side by side: where they begin and end, their sizes and hashes.
+
+    Words are hashed all at once, eight bytes at a time, as a call for each word costs more than its hash; those over LONG bytes are hashed by themselves.
+    """
+
+    def __init__(self, texts: list[bytes]):
+        raw = b" " + b" ".join(texts) + b" " * 9
+        self.data = np.frombuffer(raw, np.uint8)
+        self.within = _IN_WORD[self.data]
+        edges = np.flatnonzero(self.within[1:] != self.within[:-1]) + 1
+        self.begin, self.end = edges[::2], edges[1::2]
+        self.sizes = self.end - self.begin
+        starts = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+        #: each text's first word, and at last the number of words
+        self.first = np.append(0, np.searchsorted(self.begin, starts))
+        self.hashes = self._hashed(raw)
+
+    def _hashed(self, raw: bytes) -> np.ndarray:
+        eight = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
+        with np.errstate(over="ignore"):
+            h = _mix((eight[self.begin] & _LOW[np.minimum(self.sizes, 8)]) * _M1 + self.sizes.astype(np.uint64))
+            more, k = np.flatnonzero(self.sizes > 8), 8
+            while len(more) and k < LONG:
+                part = eight[self.begin[more] + k] & _LOW[np.minimum(self.sizes[more] - k, 8)]
+                h[more] = _mix((h[more] ^ part) * _M2)
+                k += 8
+                more = more[self.sizes[more] > k]
+        for i in more.tolist():
+            h[i] = xxhash.xxh3_64_intdigest(raw[self.begin[i] : self.end[i]])
+        return h
+
+    def stretches(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """text, first word, windows and key of each run of windows under one key; a key is the least hash of a window's grams."""
+        if len(self.begin) < WINDOW:
+            return (*(np.empty(0, np.int64) for _ in range(4)),)
+        with np.errstate(over="ignore"):
+            grams = _rolled(self.hashes, GRAM, _M1)
+        n = len(self.begin) - WINDOW + 1
+        keys = grams[:n].copy()
+        for k in range(1, WINDOW - GRAM + 1):
+            np.minimum(keys, grams[k : k + n], out=keys)
+        new = np.append(True, keys[1:] != keys[:-1])
+        # the windows that begin in a text's last words lie across texts
+        last = self.first[1:] - (WINDOW - 1)
+        new[self.first[:-1][self.first[:-1] < n]] = True
+        new[last[(last >= self.first[:-1]) & (last < n)]] = True
+        at = np.flatnonzero(new)
+        times = np.append(at[1:], n) - at
+        text = np.searchsorted(self.first, at, "right") - 1
+        whole = at < last[text]
+        return text[whole], at[whole], times[whole], keys[at[whole]].view(np.int64)
+
+    def slices(self, at: np.ndarray, words: np.ndarray) -> list[bytes]:
+        """So many words from each word ``at`` on, joined by a space."""
+        keep = self.within.copy()
+        keep[self.end] = True
+        place = np.append(0, np.cumsum(self.sizes + 1))
+        spaced = self.data[keep]
+        spaced[place[1:] - 1] = 32
+        joined = spaced.tobytes()
+        return [joined[i:j] for i, j in zip(place[at].tolist(), (place[at + words] - 1).tolist(), strict=True)]
+
+
+def _grouped(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
+    """The texts of a batch, some hundred KB at a time, and the first one's row."""
+    texts, size, row = [], 0, 0
+    for text in text_bytes(batch.column("text")):
+        texts.append(text)
+        size += len(text)
+        if size >= GROUP_BYTES:
+            yield row, texts
+            row, texts, size = row + len(texts), [], 0
+    if texts:
+        yield row, texts
+
+
+def _column(batch: pa.RecordBatch, name: str, rows: np.ndarray) -> np.ndarray:
+    return batch.column(name).to_numpy(zero_copy_only=False)[rows]
+
+
+def _distinct(text: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Places of distinct (text, key)."""
+    order = np.lexsort((key, text))
+    if len(order):
+        order = order[np.append(True, (text[order][1:] != text[order][:-1]) | (key[order][1:] != key[order][:-1]))]
+    return order
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys, ids, salts = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int16)]
-        for doc_id, salt, text in zip(batch.column("doc_id"), batch.column("salt"), text_bytes(batch.column("text")), strict=True):
-            found = window_keys(text.split())[0]
-            if len(found):
-                keys.append(np.unique(found))
-                ids.append(np.full(len(keys[-1]), doc_id.as_py(), np.int64))
-                salts.append(np.full(len(keys[-1]), salt.as_py(), np.int16))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, ids, salts)], ["key", "doc_id", "salt"])
+        for row, texts in _grouped(batch):
+            text, _, _, key = Words(texts).stretches()
+            one = _distinct(text, key)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[one], _column(batch, "doc_id", text[one] + row), _column(batch, "salt", text[one] + row))], ["key", "doc_id", "salt"])
 
 
 def _salt() -> Column:
@@ -210,38 +287,25 @@ class FingerprintIndex:
         remove(self.spark, self.path)
 
 
-def stretches(text: bytes, wanted: np.ndarray) -> list[tuple[int, bytes, int, int]]:
-    """(key, words joined by a space, first window, windows) of each run of windows under one wanted key."""
-    words = text.split()
-    keys, _ = window_keys(words)
-    if not len(keys):
-        return []
-    at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    at_end = np.append(at[1:], len(keys))
-    known = np.sort(wanted)
-    place = np.minimum(np.searchsorted(known, keys[at]), len(known) - 1)
-    chosen = known[place] == keys[at] if len(known) else np.zeros(len(at), bool)
-    # words stand one space apart, so a stretch is a slice between two words' places
-    joined = b" ".join(words)
-    begin = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    begin = np.append(0, begin)
-    a, b = at[chosen], at_end[chosen]
-    ends = (begin[b + WINDOW - 1] - 1).tolist()
-    return [(k, joined[i:j], x, n) for k, i, j, x, n in zip(keys[a].tolist(), begin[a].tolist(), ends, a.tolist(), (b - a).tolist(), strict=True)]
-
-
-_STRETCH = [("key", pa.int64()), ("words", pa.binary()), ("doc_id", pa.int64()), ("th", pa.int64()), ("at", pa.int32()), ("n", pa.int32())]
-
-
 def _stretched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of (doc_id, th, text, wanted)."""
+    """Rows of (doc_id, th, text, wanted): the stretches under wanted keys, with their words."""
     for batch in batches:
-        rows = []
-        for doc_id, th, text, wanted in zip(batch.column("doc_id"), batch.column("th"), text_bytes(batch.column("text")), batch.column("wanted"), strict=True):
-            d, t = doc_id.as_py(), th.as_py()
-            rows += [(k, w, d, t, a, n) for k, w, a, n in stretches(text, wanted.values.to_numpy(zero_copy_only=False))]
-        columns = zip(*rows, strict=True) if rows else [[]] * len(_STRETCH)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, _STRETCH, strict=True)], [c for c, _ in _STRETCH])
+        wanted, sizes = batch.column("wanted").flatten().to_numpy(zero_copy_only=False), batch.column("wanted").value_lengths().to_numpy(zero_copy_only=False)
+        ends = np.append(0, np.cumsum(sizes))
+        for row, texts in _grouped(batch):
+            words = Words(texts)
+            text, at, n, key = words.stretches()
+            known = _told(np.repeat(np.arange(len(texts)), sizes[row : row + len(texts)]), wanted[ends[row] : ends[row + len(texts)]])
+            chosen = np.isin(_told(text, key), known)
+            text, at, n, key = (x[chosen] for x in (text, at, n, key))
+            columns = [key, pa.array(words.slices(at, n + (WINDOW - 1)), pa.binary()), _column(batch, "doc_id", text + row), _column(batch, "th", text + row), (at - words.first[text]).astype(np.int32), n.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "words", "doc_id", "th", "at", "n"])
+
+
+def _told(text: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """One number for a text's key. Should two meet, a stretch under a key that no other document has is verified in vain."""
+    with np.errstate(over="ignore"):
+        return key.view(np.uint64) ^ _mix((text.astype(np.uint64) + np.uint64(1)) * _M3)
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,9 +344,9 @@ def _spans(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
         yield (at[begin:end], n[begin:end]) if end > begin else None
 
 
-def candidates(stage: Stage, index: FingerprintIndex, keys: DataFrame) -> DataFrame:
-    """key: those that two documents share, from batches of (key, doc_id) in order of doc_id."""
-    ends = keys.agg(F.percentile_approx("doc_id", [i / BATCHES for i in range(1, BATCHES)], 10_000).alias("q")).first()["q"] or []
+def candidates(stage: Stage, index: FingerprintIndex, docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """key: those that two of ``docs`` share, from batches of (key, doc_id) in order of doc_id."""
+    ends = docs.agg(F.percentile_approx("doc_id", [i / BATCHES for i in range(1, BATCHES)], 10_000).alias("q")).first()["q"] or []
     shared, low = None, None
     for end in [*sorted(set(ends)), None]:
         batch = keys if low is None else keys.where(F.col("doc_id") > low)
@@ -296,10 +360,15 @@ def candidates(stage: Stage, index: FingerprintIndex, keys: DataFrame) -> DataFr
 def removal_spans(spark: SparkSession, docs: DataFrame) -> tuple[Stage, DataFrame]:
     """doc_id, th (hash of the text), spans: the windows to remove, as (first window, how many)."""
     stage = Stage(spark, "substrings")
-    index = FingerprintIndex(spark, f"{stage.root}/index")
+    with settings(spark, spark__sql__adaptive__maxShuffledHashJoinLocalMapThreshold=HASHED):
+        return stage, _spans_of(stage, docs)
+
+
+def _spans_of(stage: Stage, docs: DataFrame) -> DataFrame:
+    index = FingerprintIndex(stage.spark, f"{stage.root}/index")
     try:
         keys = stage.write(document_keys(docs), "keys")
-        shared = candidates(stage, index, keys)
+        shared = candidates(stage, index, docs, keys)
     finally:  # no run stays in the session's catalogue
         index.drop()
     stage.free()
@@ -311,7 +380,7 @@ def removal_spans(spark: SparkSession, docs: DataFrame) -> tuple[Stage, DataFram
     hashed = docs.where("doc_id is not null").select("doc_id", _salt(), F.xxhash64("text").alias("th"), "text")
     kinds = "key long, words binary, doc_id long, th long, at int, n int"
     # neighbouring stretches share 12 words, which the codec finds
-    found = stage.write(hashed.join(wanted, ["doc_id", "salt"]).select("doc_id", "th", "text", "wanted").mapInArrow(batched(_stretched, 32), kinds), "stretches", "zstd")
+    found = stage.write(hashed.join(wanted, ["doc_id", "salt"]).select("doc_id", "th", "text", "wanted").mapInArrow(batched(_stretched), kinds), "stretches", "zstd")
     stage.drop("wanted")
     stage.free()
     # grouped by the words themselves; their hash only spares the later joins the words
@@ -346,7 +415,7 @@ def removal_spans(spark: SparkSession, docs: DataFrame) -> tuple[Stage, DataFram
     for name in ("later", "single"):
         stage.drop(name)
     stage.free()
-    return stage, spans
+    return spans
 
 
 def with_spans(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -365,7 +434,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if spans:
                 gone = covered(len(words), *spans)
                 n = int(gone.sum())
-                kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
+                kept = compress(words, (~gone).tolist())
             rows.append((len(words), n, hashlib.sha256(b" ".join(kept)).hexdigest()))
         columns = zip(*rows, strict=True) if rows else [[]] * 3
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *(pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.string()), strict=True))], ["doc_id", "n_words", "n_removed", "kept_sha256"])

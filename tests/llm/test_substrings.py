@@ -83,6 +83,57 @@ def test_index_takes_four_batches_in_four_calls(spark, tmp_path):
     assert not spark.catalog.listTables(pattern="run_*")
 
 
+def text_batch(texts, **more):
+    pa = S.pa
+    columns = {"doc_id": pa.array(range(10, 10 + len(texts))), "salt": pa.array([1] * len(texts), pa.int16()), "th": pa.array(range(len(texts))), "text": pa.array(texts, pa.string())} | more
+    return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+
+ODD_TEXTS = [
+    None, "", " \n ", "short one", " ".join(f"p{i}" for i in range(12)), " ".join(f"p{i}" for i in range(13)), "\t" + "\n\n".join(f"p{i}" for i in range(30)) + " ", "word " * 40,
+    " ".join("é" * (i % 40) + str(i) for i in range(60)), " ".join("x" * i for i in range(1, 150)), " ".join("x" * i for i in range(1, 150)) + "y", "", " ".join(f"p{i}" for i in range(9, 40)), "p8\x00 " * 20,
+]
+
+
+@pytest.mark.parametrize("group", [1, 300, 262_144])
+def test_stretches_of_a_batch_are_those_of_each_text(monkeypatch, group):
+    """Texts cut together: none runs into the next, and every window lies in one stretch, under its own key."""
+    monkeypatch.setattr(S, "GROUP_BYTES", group)
+    found = [r for b in S._keys(iter([text_batch(ODD_TEXTS).slice(1, 0), text_batch(ODD_TEXTS)])) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    assert len(found) == len(set(found)) and {salt for *_, salt in found} == {1}
+    by_doc = {d: [k for k, x, _ in found if x == d] for d in range(10, 10 + len(ODD_TEXTS))}
+    wanted = S.pa.array(list(by_doc.values()), S.pa.list_(S.pa.int64()))
+    windows, keys = {}, {}
+    for b in S._stretched(iter([text_batch(ODD_TEXTS, wanted=wanted)])):
+        for key, words, d, th, at, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            words = words.decode().split(" ")
+            assert th == d - 10 and key in by_doc[d] and len(words) == n + 12
+            for i in range(n):
+                assert (d, at + i) not in windows
+                windows[d, at + i] = tuple(words[i : i + 13])
+                assert keys.setdefault(windows[d, at + i], key) == key
+    split = {d: WORD.findall(t or "") for d, t in enumerate(ODD_TEXTS, 10)}
+    assert windows == {(d, i): tuple(w[i : i + 13]) for d, w in split.items() for i in range(len(w) - 12)}
+    some = S.pa.array([k[::2] for k in by_doc.values()], S.pa.list_(S.pa.int64()))
+    few = [r for b in S._stretched(iter([text_batch(ODD_TEXTS, wanted=some).slice(3)])) for r in zip(b.column("doc_id").to_pylist(), b.column("key").to_pylist(), strict=True)]
+    assert set(few) == {(d, k) for d, ks in by_doc.items() if d >= 13 for k in ks[::2]}
+
+
+def test_words_are_hashed_together(monkeypatch):
+    """A call for each word took a large part of op6's time; only words beyond LONG bytes have one."""
+    calls, real = [], S.xxhash.xxh3_64_intdigest
+    monkeypatch.setattr(S.xxhash, "xxh3_64_intdigest", lambda w: calls.append(w) or real(w))
+    made = list(S._keys(iter([text_batch([" ".join(f"w{i}" for i in range(3000)), "z" * 200 + " a" * 20])])))
+    assert sum(b.num_rows for b in made) > 400 and calls == [b"z" * 200]
+
+
+def test_words_that_differ_have_different_hashes():
+    words = [b"x" * i + bytes([c]) for i in range(100) for c in b"abc\x00"] + [b"\x00" * i for i in range(1, 80)]
+    words = list(dict.fromkeys(words))
+    once, again = S.Words([b" ".join(words)]).hashes, S.Words([b"\n \t", b"\r\n".join(reversed(words))]).hashes
+    assert len(set(once.tolist())) == len(words) and once.tolist() == again.tolist()[::-1]
+
+
 def test_rows_that_repeat_share_their_spans(spark, make_docs):
     passage = " ".join(f"p{i}" for i in range(40))
     rows = [(1, passage, "en", "a")] + [(2, passage + " end", "en", "a")] * 50
