@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Larger rupee values are plot or account numbers that strayed into a money cell.
 MOST_RUPEES = 10_000_000_000_000
+#: What \s stands for in a pattern.
+WHITE = " \t\n\x0b\f\r"
 
 
 def parse_inr(text: Column) -> Column:
@@ -25,12 +27,11 @@ def candidate_id(href: Column) -> Column:
 
 def indian_int(text: Column) -> Column:
     """Digits and points of a number, truncated; null where they form none."""
-    digits = F.nullif(F.regexp_replace(text, r"[^\d.]", ""), F.lit(""))
-    return digits.try_cast("double").try_cast("long")
+    return F.regexp_replace(text, r"[^\d.]", "").try_cast("double").try_cast("long")
 
 
 def spaced_number(raw: Column) -> Column:
-    return F.trim(F.regexp_replace(F.coalesce(raw, F.lit("")), r"\s+", ""), F.lit(" ,."))
+    return F.trim(F.translate(F.coalesce(raw, F.lit("")), WHITE, ""), F.lit(" ,."))
 
 
 def safe_inr(value: Column) -> Column:

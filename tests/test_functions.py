@@ -104,6 +104,23 @@ def test_form_pages(give):
     assert (m["own"], m["spouse"]) == (None, 10000)
 
 
+def test_market_row_is_the_first_with_a_label_under_it(give):
+    label = "(vi) Total of current market value"
+    pages = F.array(L(None).cast("string"), L(f"11111 / 22222\nno label\n{label}"), L(f"{label}\n33333 / 44444"), L(f"5 / 6\n{label}\n55 555 / 1\n{label}\n5555 5 / 6666\n{label}\n77777 / 88888\n{label}"), L(f"99999 / 99999\n{label}"))
+    m = give(D.market_values(pages))
+    assert (m["own"], m["spouse"]) == (55555, None)
+    none = give(D.market_values(F.array(L(label), L("12345 / 12345\nTotal of\ncurrent market"))))
+    assert (none["own"], none["spouse"]) == (None, None)
+    b = give(D.part_b(L("Moveable: none\nTotal number of cases in which 4 convicted")))
+    assert (b["pending"], b["convictions"], b["movable_self"], b["immovable_spouse"]) == (None, 4, None, None)
+
+
+def test_spaced_numbers_lose_the_marks_at_their_ends_alone(give):
+    for raw, want in ((" .5", "5"), (" 1 , 2. ", "1,2"), ("5 . ,\n", "5"), ("1. 2", "1.2"), (", ,", ""), (None, ""), ("5.\u2028", "5.\u2028")):
+        assert give(money.spaced_number(L(raw).cast("string"))) == want
+    assert give(money.indian_int(L("1,23.9"))) == 123 and give(money.indian_int(L("x"))) is None and give(money.indian_int(L("1.2.3"))) is None
+
+
 @pytest.mark.parametrize(("db", "read", "dbc", "readc", "want"), [
     (None, 100, 0, 0, "NO_DB_ROW"), (100, None, 0, 0, "PARSE_FAIL"), (None, None, None, None, "NO_DB_ROW"), (0, 0, 0, 0, "MATCH"), (0, 5, 0, 0, "FLAG"), (1000, 1050, 2, 2, "MATCH"), (1000, 1050, 2, 3, "CLOSE"),
     (1000, 1100, 2, 2, "CLOSE"), (1000, 1101, 2, 2, "FLAG"), (1000, 1000, 2, 4, "FLAG"), (1000, 1000, None, 9, "MATCH")])

@@ -77,5 +77,11 @@ def test_pages_of_a_form_are_looked_for_once(spark, sf):
     assert _optimized(entity.parse_affidavits(catalog._part_b(spark, sf))).count("DESCRIPTIONOFDOCUMENT") <= 2
 
 
+def test_market_row_of_a_form_is_looked_for_once(spark, sf):
+    """A page is split once, not once for each of its lines, and its row is found once, not once for each use of its amounts."""
+    plan = _optimized(entity.parse_affidavits(catalog._part_b(spark, sf)))
+    assert plan.count("split(lambda") == 1 and plan.count("u[rn]rent") == 2 and plan.count("a?ble") == 1
+
+
 def test_candidates_are_made_without_a_join(spark, sf):
     assert "Join" not in _optimized(entity.candidates(catalog._records(spark, sf)))
